@@ -114,3 +114,29 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return nodes.unionByName(roots)
+
+
+def let(value, body):
+    """``body`` applied to ``value``, which is computed once however often the
+    body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def trimmed_split(text, breaks: str):
+    """The words of ``text`` between matches of ``breaks``, none of them empty.
+    Only the first and the last part of a split can be empty."""
+    def inner(parts):
+        n = F.size(parts)
+        lead = (parts[0] == "").cast("int")
+        trail = (parts[n - 1] == "").cast("int")
+        return F.slice(parts, lead + 1, F.greatest(F.lit(0), n - lead - trail))
+
+    return let(F.split(F.coalesce(text, F.lit("")), breaks), inner)
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose id and text ``kept`` names as ``doc_id`` and
+    ``text_hash`` (xxhash64 of the text); null ids match null ids."""
+    right = kept.select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.xxhash64(F.col(text_col)) == F.col("_kept_hash"))
+    return docs.join(right, same, "left_semi").select(*docs.columns)
