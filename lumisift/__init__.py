@@ -1,0 +1 @@
+"""Image-collection curation, and training-data preparation, on Spark."""

@@ -1,4 +1,495 @@
-"""Registered queries and their SQL equivalents."""
+"""Registered queries over the test tables, each beside its SQL."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..config import CurationConfig
+from ..functions import lenient_json, scoring, text, vectors
+from ..operators import grouping, lookups, selection, tournament
+from ..operators.grouping import Limits
+from ..sources.albums import album_filter
+from . import stage1
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+C = CurationConfig()
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# -- scalar measures over lineitem rows as images
+
+METRICS_SQL = """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity * 5 AS lap, l_discount * 200 + 0.0 AS black, l_tax * 250 + 0.0 AS white, l_extendedprice / 5000 AS mp FROM lineitem"""
+
+
+def metrics(spark, d) -> DataFrame:
+    return table(spark, d, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", (F.col("l_quantity") * 5).alias("lap"), (F.col("l_discount") * 200 + F.lit(0.0)).alias("black"),
+        (F.col("l_tax") * 250 + F.lit(0.0)).alias("white"), (F.col("l_extendedprice") / 5000).alias("mp"),
+    )
+
+
+@query(f"""SELECT tier, count(*) AS n FROM (SELECT CASE WHEN mp >= 8 THEN 'above_8mp' WHEN mp >= 1 THEN 'between_1mp_and_8mp' ELSE 'below_1mp' END AS tier FROM ({METRICS_SQL})) GROUP BY tier""")
+def resolution_tier(spark, d):
+    return metrics(spark, d).groupBy(scoring.resolution_tier(F.col("mp"), C).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""SELECT l_linenumber, CASE WHEN lap < 25 THEN 'blur' WHEN black > 15 THEN 'underexposed' WHEN white > 15 THEN 'overexposed' ELSE '' END AS reason, count(*) AS n FROM ({METRICS_SQL}) GROUP BY ALL""")
+def first_fail_filter(spark, d):
+    reason = scoring.filter_code(F.col("lap"), F.col("black"), F.col("white"), C)
+    return metrics(spark, d).groupBy("l_linenumber", reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+QUALITY_SQL = """(CASE WHEN lap >= 25 AND black <= 15 AND white <= 15 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END + least(lap / 80.0::DOUBLE, 3.0::DOUBLE) + least(mp / 8.0::DOUBLE, 2.0::DOUBLE) + 0.0::DOUBLE
+  - (abs(black - 7.5::DOUBLE) / 15.0::DOUBLE + abs(white - 7.5::DOUBLE) / 15.0::DOUBLE) - 0.0::DOUBLE)"""
+
+
+@query(f"""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(floor({QUALITY_SQL} * 10000) AS BIGINT) AS quality_e4 FROM ({METRICS_SQL})""")
+def quality_score(spark, d):
+    passed = scoring.filter_code(F.col("lap"), F.col("black"), F.col("white"), C) == ""
+    q = scoring.quality_score(F.col("mp"), F.col("lap"), F.col("black"), F.col("white"), passed, F.lit(0.0), F.lit(False), F.lit(0.0), C)
+    return metrics(spark, d).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.floor(q * 10000).alias("quality_e4"))
+
+
+@query("""SELECT c_custkey, regexp_extract(c_name, '^(.*?)(\\d+)$', 1) AS prefix, CAST(regexp_extract(c_name, '^(.*?)(\\d+)$', 2) AS BIGINT) AS idx FROM customer""")
+def sequence_key(spark, d):
+    return table(spark, d, "customer").select("c_custkey", text.sequence_prefix(F.col("c_name")).alias("prefix"), text.sequence_index(F.col("c_name")).alias("idx"))
+
+
+@query("""WITH k AS (SELECT c_custkey, regexp_extract(c_name, '^(.*?)(\\d+)$', 1) AS p, CAST(regexp_extract(c_name, '^(.*?)(\\d+)$', 2) AS BIGINT) AS i FROM customer)
+SELECT a.c_custkey AS a, b.c_custkey AS b FROM k a JOIN k b ON a.p = b.p AND a.c_custkey < b.c_custkey AND abs(a.i - b.i) <= 20""")
+def band_pairs(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", text.sequence_prefix(F.col("c_name")).alias("prefix"), text.sequence_index(F.col("c_name")).alias("idx"))
+    return grouping.band_pairs(rows, ["prefix"], "c_custkey", "idx", 20).select(F.col("a_c_custkey").alias("a"), F.col("b_c_custkey").alias("b"))
+
+
+# -- embeddings as photos of one album
+
+PHOTO_SQL = """SELECT CAST(vec_id // 100 AS VARCHAR) AS folder, vec_id, 'DSCF' || lpad(CAST(vec_id AS VARCHAR), 6, '0') || '.JPG' AS filename, CAST(embedding AS DOUBLE[]) AS v,
+  CAST((vec_id * 37) % 140 AS DOUBLE) AS lap, CAST((vec_id * 13) % 18 AS DOUBLE) AS black, CAST((vec_id * 7) % 17 AS DOUBLE) AS white, ((vec_id * 11) % 120) / 8.0::DOUBLE AS mp, ((vec_id * 29) % 128) / 128.0::DOUBLE AS clip FROM embeddings"""
+#: Thresholds that the test vectors can reach.
+STRICT, FAMILY = Limits(20, 0.25), Limits(4, 0.2)
+
+
+def photos(spark, d) -> DataFrame:
+    v = F.col("vec_id")
+    num = lambda a, m: ((v * a) % m).cast("double")
+    return table(spark, d, "embeddings").select(
+        F.expr("CAST(vec_id div 100 AS STRING)").alias("folder"), "vec_id", F.format_string("DSCF%06d.JPG", v).alias("filename"), F.format_string("/album/DSCF%06d.JPG", v).alias("path"),
+        F.col("embedding").alias("img_vector"), num(37, 140).alias("laplacian_var"), num(13, 18).alias("black_clip_pct"), num(7, 17).alias("white_clip_pct"),
+        (num(11, 120) / 8.0).alias("mp_raw"), (num(29, 128) / 128.0).alias("clip_score"), "label",
+    )
+
+
+def pair_sql(limits: Limits, source: str = PHOTO_SQL, where: str = "true") -> str:
+    return f"""SELECT a.folder AS folder, a.vec_id AS a, b.vec_id AS b FROM (SELECT * FROM ({source}) WHERE {where}) a JOIN (SELECT * FROM ({source}) WHERE {where}) b
+  ON a.folder = b.folder AND a.vec_id < b.vec_id AND b.vec_id - a.vec_id <= {limits.window} AND list_dot_product(a.v, b.v) >= {limits.cosine}"""
+
+
+def edges_of(rows: DataFrame, limits: Limits) -> DataFrame:
+    return grouping.similarity_edges(grouping.with_sequence(rows), [limits]).where("edge_0")
+
+
+def with_ids(edges: DataFrame, rows: DataFrame) -> DataFrame:
+    ids = grouping.with_sequence(rows).select("folder", "ord", "vec_id")
+    a = ids.select("folder", F.col("ord").alias("a"), F.col("vec_id").alias("va"))
+    b = ids.select("folder", F.col("ord").alias("b"), F.col("vec_id").alias("vb"))
+    return edges.join(a, ["folder", "a"]).join(b, ["folder", "b"]).select("folder", F.col("va").alias("a"), F.col("vb").alias("b"))
+
+
+@query(pair_sql(STRICT))
+def similar_edges(spark, d):
+    rows = photos(spark, d)
+    return with_ids(edges_of(rows, STRICT), rows)
+
+
+@query(pair_sql(FAMILY))
+def family_edges(spark, d):
+    rows = photos(spark, d)
+    return with_ids(edges_of(rows, FAMILY), rows)
+
+
+@query("""WITH e AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) AS r FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_transform(list_zip(a.embedding, b.embedding), lambda x: abs(x[1]::DOUBLE - x[2]::DOUBLE)) AS g FROM e a JOIN e b ON a.vec_id + 1 = b.vec_id)
+SELECT a, b, CAST(floor(list_sum(g) / len(g) * 100000 + 0.5) AS BIGINT) AS distance_e5 FROM p""")
+def color_distance(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
+    gap = vectors.mean_abs_distance(F.col("x"), F.col("y"))
+    return a.join(b, F.col("a") + 1 == F.col("b")).select("a", "b", F.floor(gap * 100000 + 0.5).alias("distance_e5"))
+
+
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS h FROM embeddings)
+SELECT a.vec_id AS a, b.vec_id AS b, CAST(list_sum(list_transform(list_zip(a.h, b.h), lambda x: CASE WHEN x[1] <> x[2] THEN 1 ELSE 0 END)) AS BIGINT) AS distance FROM e a JOIN e b ON b.vec_id - a.vec_id BETWEEN 1 AND 3""")
+def hamming_hash(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", vectors.pack_bits(F.transform("embedding", lambda x: F.when(x > 0, 1).otherwise(0))).alias("h"), F.lit("").alias("k"))
+    pairs = grouping.band_pairs(e, ["k"], "vec_id", "vec_id", 3, ["h"])
+    return pairs.select(F.col("a_vec_id").alias("a"), F.col("b_vec_id").alias("b"), vectors.packed_hamming(F.col("a_h"), F.col("b_h")).cast("long").alias("distance"))
+
+
+def groups_sql(limits: Limits, source: str = PHOTO_SQL, where: str = "true") -> str:
+    """folder, vec_id, root, gid, gsize by recursive reachability."""
+    return f"""(WITH RECURSIVE base AS (SELECT * FROM ({source}) WHERE {where}), e AS ({pair_sql(limits, source, where)}), s AS (SELECT folder, a, b FROM e UNION SELECT folder, b, a FROM e),
+  reach AS (SELECT folder, vec_id AS a, vec_id AS b FROM base UNION SELECT r.folder, r.a, s.b FROM reach r JOIN s ON r.folder = s.folder AND r.b = s.a),
+  roots AS (SELECT folder, a AS vec_id, min(b) AS root FROM reach GROUP BY folder, a)
+  SELECT folder, vec_id, root, dense_rank() OVER (PARTITION BY folder ORDER BY root) AS gid, count(*) OVER (PARTITION BY folder, root) AS gsize FROM roots)"""
+
+
+def grouped(rows: DataFrame, limits: Limits, group: str, size: str) -> DataFrame:
+    seq = grouping.with_sequence(rows)
+    edges = grouping.similarity_edges(seq, [limits]).where("edge_0")
+    return grouping.numbered_groups(seq, grouping.components(edges), group, size)
+
+
+@query(f"SELECT folder, vec_id, CAST(gid AS BIGINT) AS group_id, CAST(gsize AS BIGINT) AS group_size FROM {groups_sql(STRICT)}")
+def strict_groups(spark, d):
+    return grouped(photos(spark, d), STRICT, "group_id", "group_size").select("folder", "vec_id", F.col("group_id").cast("long").alias("group_id"), "group_size")
+
+
+@query(f"SELECT folder, vec_id, CAST(gid AS BIGINT) AS scene_family_id, CAST(gsize AS BIGINT) AS scene_family_size FROM {groups_sql(FAMILY)}")
+def scene_families(spark, d):
+    return grouped(photos(spark, d), FAMILY, "scene_family_id", "scene_family_size").select("folder", "vec_id", F.col("scene_family_id").cast("long").alias("scene_family_id"), "scene_family_size")
+
+
+WINNER_SQL = f"""SELECT g.folder, g.vec_id, g.gid, g.gsize, p.lap, p.mp, row_number() OVER (PARTITION BY g.folder, g.gid ORDER BY (p.lap >= 25 AND p.black <= 15 AND p.white <= 15) DESC, p.clip >= 0.55 DESC, p.lap DESC, p.mp DESC, g.vec_id) = 1 AND (p.lap >= 25 AND p.black <= 15 AND p.white <= 15) AS win
+  FROM {groups_sql(STRICT)} g JOIN ({PHOTO_SQL}) p USING (vec_id)"""
+
+
+@query(f"SELECT folder, CAST(gid AS BIGINT) AS group_id, vec_id FROM ({WINNER_SQL}) WHERE win")
+def group_winner(spark, d):
+    rows = grouped(photos(spark, d), STRICT, "group_id", "group_size").withColumns({
+        "eligible": scoring.filter_code(F.col("laplacian_var"), F.col("black_clip_pct"), F.col("white_clip_pct"), C) == "", "passed_clip": F.col("clip_score") >= C.clip_threshold,
+        "quality": F.col("laplacian_var"), "megapixels": F.col("mp_raw"),
+    })
+    won = selection.winners(rows, ["folder", "group_id"], selection.winner_order())
+    return won.where("is_winner").select("folder", F.col("group_id").cast("long").alias("group_id"), "vec_id")
+
+
+@query("""WITH g AS (SELECT o_custkey, count(*) AS n, max(o_totalprice) / 3000 AS lap, max(o_totalprice) / 100000 AS q FROM orders GROUP BY o_custkey)
+SELECT o_custkey, CASE WHEN n > 1 THEN '' ELSE concat_ws('; ', CASE WHEN lap < 50 THEN 'singleton_blur' END, CASE WHEN q < 2.75 THEN 'singleton_low_quality' END) END AS reason FROM g""")
+def singleton_guard(spark, d):
+    g = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), (F.max("o_totalprice") / 3000).alias("lap"), (F.max("o_totalprice") / 100000).alias("q"))
+    full = selection.singleton_reason(F.col("lap"), F.col("q"), F.col("n"), C)
+    return g.select("o_custkey", F.regexp_replace(full, r" \([^)]*\)", "").alias("reason"))
+
+
+@query("""WITH r AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+SELECT o_custkey, o_orderkey FROM r WHERE k <= greatest(1, ceil(n * 0.3::DOUBLE))""")
+def keep_ratio_trim(spark, d):
+    rows = table(spark, d, "orders").withColumn("is_winner", F.lit(True))
+    cut = selection.trimmed(rows, 0.3, key="o_custkey", score="o_totalprice", tie="o_orderkey")
+    return cut.where(~F.col("trimmed")).select("o_custkey", "o_orderkey")
+
+
+FLAGSHIP = replace(C, keep_ratio=0.8, group_cosine=0.25, family_cosine=0.2)
+DECISION_SQL = f"""WITH p AS ({PHOTO_SQL}), s AS (
+  SELECT *, lap >= 25 AND black <= 15 AND white <= 15 AS passed, CASE WHEN mp >= 8 THEN 'above_8mp' WHEN mp >= 1 THEN 'between_1mp_and_8mp' ELSE 'below_1mp' END AS tier FROM p
+), c AS (
+  SELECT *, passed AND clip >= 0.55 AS pclip, (CASE WHEN passed THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END + least(lap / 80.0::DOUBLE, 3.0::DOUBLE) + least(mp / 8.0::DOUBLE, 2.0::DOUBLE)
+    + CASE WHEN passed AND clip >= 0.55 THEN clip ELSE 0.0::DOUBLE END - (abs(black - 7.5::DOUBLE) / 15.0::DOUBLE + abs(white - 7.5::DOUBLE) / 15.0::DOUBLE) - 0.0::DOUBLE) AS q FROM s
+), g AS (SELECT * FROM {groups_sql(STRICT, where="mp >= 1")}), f AS (SELECT * FROM {groups_sql(FAMILY, where="mp >= 1")}),
+w AS (
+  SELECT c.*, g.gid, g.gsize, f.gid AS fid, f.gsize AS fsize, row_number() OVER (PARTITION BY c.folder, g.gid ORDER BY passed DESC, pclip DESC, q DESC, mp DESC, c.vec_id) = 1 AND passed AS win,
+    bool_or(passed) OVER (PARTITION BY c.folder, g.gid) AS any_ok
+  FROM c JOIN g ON c.vec_id = g.vec_id JOIN f ON c.vec_id = f.vec_id
+), k AS (SELECT *, win AND NOT (gsize = 1 AND (lap < 50 OR q < 2.75)) AS stays FROM w
+), t AS (SELECT *, CASE WHEN stays AND gsize = 1 THEN q - 0.6::DOUBLE ELSE q END AS score FROM k
+), r AS (SELECT *, row_number() OVER (PARTITION BY folder, stays ORDER BY score DESC, gid) AS rk, count(*) OVER (PARTITION BY folder, stays) AS n FROM t
+), x AS (SELECT *, stays AND rk <= greatest(1, ceil(n * 0.8::DOUBLE)) AS selected FROM r
+), y AS (SELECT *, max(CASE WHEN selected THEN filename END) OVER (PARTITION BY folder, gid) AS winner FROM x)
+SELECT folder, filename, CASE WHEN selected THEN 'selected' WHEN NOT passed OR (win AND NOT selected) THEN 'rejected' ELSE 'eligible' END AS status, CAST(gid AS BIGINT) AS group_id, CAST(gsize AS BIGINT) AS group_size,
+  CAST(fid AS BIGINT) AS scene_family_id, CAST(fsize AS BIGINT) AS scene_family_size, coalesce(winner, '') AS selected_filename, tier AS resolution_tier FROM y
+UNION ALL SELECT folder, filename, 'rejected', 0, 0, 0, 0, '', tier FROM c WHERE mp < 1"""
+
+
+@query(DECISION_SQL)
+def decision_log(spark, d):
+    rows = photos(spark, d).withColumns({"color_thumb": F.array(F.lit(0.0)), "hash": F.lit(0).cast("long")})
+    log = stage1.curate(rows, FLAGSHIP)
+    ids = [F.col(c).cast("long").alias(c) for c in ("group_id", "group_size", "scene_family_id", "scene_family_size")]
+    return log.select("folder", "filename", "status", *ids, "selected_filename", "resolution_tier")
+
+
+@query("""SELECT count(*) AS total_listed, count(*) FILTER (WHERE d.n_chars = 0) AS decode_failures, count(*) FILTER (WHERE d.n_chars > 0 AND d.n_chars < 500) AS rejected_resolution,
+  count(*) FILTER (WHERE d.n_chars >= 500 AND coalesce(quality, 1) = 0) AS rejected_opencv, count(*) FILTER (WHERE d.n_chars >= 500 AND coalesce(quality, 1) = 1 AND coalesce(toxic, 0) = 1) AS below_clip,
+  count(*) FILTER (WHERE d.n_chars >= 500 AND coalesce(quality, 1) = 1 AND coalesce(toxic, 0) = 0) AS kept FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def run_stats(spark, d):
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    ok, res = F.col("n_chars") > 0, F.col("n_chars") >= 500
+    cv = res & (F.coalesce("quality", F.lit(1)) == 1)
+    clip = cv & (F.coalesce("toxic", F.lit(0)) == 0)
+    return selection.run_stats(rows.select(ok.alias("decode_ok"), res.alias("passed_resolution"), cv.alias("passed_opencv"), clip.alias("passed_clip"), F.when(clip, "selected").otherwise("rejected").alias("status")))
+
+
+# -- 8 by 8 pixels
+
+PIXEL_SQL = """SELECT vec_id, i // 8 AS y, i % 8 AS x, CAST(greatest(0, least(255, floor(127.5 + 640 * embedding[i + 1]::DOUBLE))) AS INT) AS v FROM (SELECT vec_id, embedding, unnest(range(64)) AS i FROM embeddings)"""
+
+
+def pixels(spark, d) -> DataFrame:
+    e = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "e"))
+    v = F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.lit(127.5) + 640 * F.col("e").cast("double")))).cast("int")
+    return e.select("vec_id", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).alias("x"), v.alias("v"))
+
+
+@query(f"""WITH p AS ({PIXEL_SQL}), n AS (SELECT c.vec_id, c.y, c.x, c.v,
+  (SELECT v FROM p q WHERE q.vec_id = c.vec_id AND q.x = c.x AND q.y = CASE WHEN c.y = 0 THEN 1 ELSE c.y - 1 END) AS u, (SELECT v FROM p q WHERE q.vec_id = c.vec_id AND q.x = c.x AND q.y = CASE WHEN c.y = 7 THEN 6 ELSE c.y + 1 END) AS d,
+  (SELECT v FROM p q WHERE q.vec_id = c.vec_id AND q.y = c.y AND q.x = CASE WHEN c.x = 0 THEN 1 ELSE c.x - 1 END) AS l, (SELECT v FROM p q WHERE q.vec_id = c.vec_id AND q.y = c.y AND q.x = CASE WHEN c.x = 7 THEN 6 ELSE c.x + 1 END) AS r FROM p c)
+SELECT vec_id, CAST(64 * sum(k * k) - sum(k) * sum(k) AS BIGINT) AS variance_x4096 FROM (SELECT vec_id, CAST(u + d + l + r - 4 * v AS BIGINT) AS k FROM n) GROUP BY vec_id""")
+def laplacian_var(spark, d):
+    up, across = W.partitionBy("vec_id", "x").orderBy("y"), W.partitionBy("vec_id", "y").orderBy("x")
+    around = [F.coalesce(F.lag("v").over(w), F.lead("v").over(w)) + F.coalesce(F.lead("v").over(w), F.lag("v").over(w)) for w in (up, across)]
+    k = pixels(spark, d).select("vec_id", (around[0] + around[1] - 4 * F.col("v")).cast("long").alias("k"))
+    return k.groupBy("vec_id").agg((64 * F.sum(F.col("k") * F.col("k")) - F.sum("k") * F.sum("k")).alias("variance_x4096"))
+
+
+@query(f"""SELECT vec_id, count(*) FILTER (WHERE v < 5) AS black, count(*) FILTER (WHERE v >= 251) AS white, 100.0::DOUBLE * count(*) FILTER (WHERE v < 5) / count(*) > 8 AS underexposed FROM ({PIXEL_SQL}) GROUP BY vec_id""")
+def exposure_clip(spark, d):
+    black, white = F.count_if(F.col("v") < 5), F.count_if(F.col("v") >= 251)
+    return pixels(spark, d).groupBy("vec_id").agg(black.alias("black"), white.alias("white"), (F.lit(100.0) * black / F.count(F.lit(1)) > 8).alias("underexposed"))
+
+
+@query("""SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CAST(floor(x::DOUBLE * 3 / sqrt(list_dot_product(list_transform(embedding, lambda y: y::DOUBLE * 3), list_transform(embedding, lambda y: y::DOUBLE * 3))) * 10000 + 0.5) AS BIGINT)), ',') AS unit_e4 FROM embeddings""")
+def unit_vector(spark, d):
+    tripled = F.transform("embedding", lambda x: x.cast("double") * 3)
+    return table(spark, d, "embeddings").select("vec_id", F.array_join(F.transform(vectors.unit(tripled), lambda x: F.floor(x * 10000 + 0.5).cast("string")), ",").alias("unit_e4"))
+
+
+@query("""WITH c AS (SELECT label, i, sum(CAST(floor(embedding[i] * 1048576) AS BIGINT)) / 1048576.0::DOUBLE / count(*) AS m FROM (SELECT label, embedding, unnest(range(1, 65)) AS i FROM embeddings WHERE label IN (0, 1)) GROUP BY label, i),
+p AS (SELECT list(m ORDER BY i) AS v FROM c WHERE label = 0), n AS (SELECT list(m ORDER BY i) AS v FROM c WHERE label = 1)
+SELECT vec_id, CAST(floor(s * 10000 + 0.5) AS BIGINT) AS score_e4, s >= 0.5 AS passed FROM (SELECT vec_id, exp(list_dot_product(embedding::DOUBLE[], p.v)) / (exp(list_dot_product(embedding::DOUBLE[], p.v)) + exp(list_dot_product(embedding::DOUBLE[], n.v))) AS s FROM embeddings, p, n)""")
+def clip_score(spark, d):
+    e = table(spark, d, "embeddings")
+    parts = e.where(F.col("label").isin(0, 1)).select("label", F.posexplode("embedding").alias("i", "x"))
+    mean = parts.groupBy("label", "i").agg((F.sum(F.floor(F.col("x") * F.lit(1048576.0).cast("float"))) / F.lit(1048576.0) / F.count(F.lit(1))).alias("m"))
+    prompts = mean.groupBy().agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("label") == k, F.struct("i", "m")))), lambda x: x["m"]).alias(n) for k, n in ((0, "pos"), (1, "neg"))])
+    s = vectors.preference(F.col("embedding"), F.col("pos"), F.col("neg"))
+    out = e.crossJoin(F.broadcast(prompts)).select("vec_id", s.alias("s"))  # one row of two prompts
+    return out.select("vec_id", F.floor(F.col("s") * 10000 + 0.5).alias("score_e4"), (F.col("s") >= 0.5).alias("passed"))
+
+
+FACE_SQL = """WITH a AS (SELECT l_orderkey, list(l_quantity * l_quantity ORDER BY l_quantity DESC) AS s FROM lineitem GROUP BY l_orderkey), b AS (
+  SELECT l_orderkey, len(s) AS face_count, s[1] / 20000 AS dom, CASE WHEN len(s) <= 1 THEN 0 ELSE len(list_filter(s[2:], lambda x: x / 20000 >= 0.015 AND x / s[1] <= 0.45)) END AS bg FROM a)
+SELECT l_orderkey, CAST(face_count AS INT) AS face_count, CAST(bg AS INT) AS background_face_count, face_count > 1 AND dom >= 0.05 AND bg > 0 AS flagged, CASE WHEN face_count > 1 AND dom >= 0.05 AND bg > 0 THEN 0.25::DOUBLE * bg ELSE 0.0::DOUBLE END AS penalty FROM b"""
+
+
+@query(FACE_SQL)
+def face_penalty(spark, d):
+    boxes = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_quantity") * F.col("l_quantity")).alias("areas"))
+    face = scoring.face_summary(F.col("areas"), F.lit(20000.0), C)
+    return boxes.select("l_orderkey", face.alias("f")).select("l_orderkey", "f.face_count", "f.background_face_count", "f.flagged", "f.penalty")
+
+
+# -- families and tournaments
+
+@query("""SELECT source, count(*) AS input_count, CAST(greatest(1, ceil(count(*) / 4.0::DOUBLE)) AS INT) AS keep_limit FROM documents GROUP BY source""")
+def family_quota(spark, d):
+    return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("input_count")).withColumn("keep_limit", tournament.quota(F.col("input_count"), 4))
+
+
+@query("""WITH r AS (SELECT o_custkey, o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders WHERE o_orderkey % 7 = 0)
+SELECT o_custkey, o_orderkey, k = 1 AS is_primary, n > 1 AS is_distinct FROM r WHERE n <= greatest(1, ceil(n / 4.0::DOUBLE))""")
+def auto_keep(spark, d):
+    rows = table(spark, d, "orders").where("o_orderkey % 7 = 0").select("o_custkey", "o_orderkey")
+    return tournament.auto_decisions(tournament.family_plan(rows, 4, "o_custkey", "o_orderkey"), "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey", "is_primary", "is_distinct")
+
+
+BATCH_SQL = """SELECT p_partkey, p_size, (row_number() OVER (ORDER BY p_name, p_partkey) - 1) AS place FROM part"""
+
+
+@query("""SELECT p_partkey, place // 12 + 1 AS batch, place % 12 AS slot FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS place FROM part)""")
+def batching(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", F.format_string("%09d.jpg", "p_partkey").alias("filename"))
+    return tournament.batches(rows, 12).select("p_partkey", F.col("batch").cast("long").alias("batch"), F.col("slot").cast("long").alias("slot"))
+
+
+TOP_SQL = """WITH b AS (SELECT p_partkey, p_size, (row_number() OVER (ORDER BY p_partkey) - 1) // 12 + 1 AS batch FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY p_size DESC, p_partkey) AS rk FROM b), f AS (SELECT * FROM r WHERE rk <= 3)"""
+
+
+def _ranked(spark, d) -> DataFrame:
+    rows = table(spark, d, "part").select("p_partkey", "p_size", F.format_string("%09d.jpg", "p_partkey").alias("filename"))
+    rows = tournament.batches(rows, 12)
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy("batch").orderBy(F.desc("p_size"), "p_partkey")))
+
+
+@query(TOP_SQL + " SELECT batch, rk AS rank, p_partkey FROM f")
+def batch_topk(spark, d):
+    top = tournament.per_batch_top(_ranked(spark, d), 12, 4)
+    return top.select(F.col("batch").cast("long").alias("batch"), F.col("rank").cast("long").alias("rank"), "p_partkey")
+
+
+@query(TOP_SQL + """, n AS (SELECT CAST(ceil(count(*) / 3.0::DOUBLE) AS BIGINT) AS n FROM b), fc AS (SELECT count(*) AS c FROM f),
+rest AS (SELECT p_partkey, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS k FROM b WHERE p_partkey NOT IN (SELECT p_partkey FROM f)),
+own AS (SELECT p_partkey, row_number() OVER (ORDER BY batch, rk) AS place FROM f)
+SELECT p_partkey, place FROM own UNION ALL SELECT p_partkey, k + c FROM rest, n, fc WHERE c < n.n AND k + c <= n.n""")
+def tournament_backfill(spark, d):
+    ranked = _ranked(spark, d)
+    total = ranked.count()
+    n = -(-total // 3)
+    finalists = tournament.per_batch_top(ranked, 12, 4).select("filename", "p_partkey", "batch", "rank")
+    finalists = finalists.withColumn("key_", F.format_string("%09d-%02d", "batch", "rank"))
+    placed = tournament.with_global_place(finalists, "key_", "p_").select("filename", (F.col("p_") + 1).alias("place"))
+    scores = ranked.select("filename", F.col("p_size").alias("printworthy_score"), F.col("p_partkey").alias("ord"))
+    out = tournament.back_filled(scores, placed, n, n)
+    return out.select(F.substring("filename", 1, 9).cast("long").alias("p_partkey"), F.col("final_place").alias("place"))
+
+
+@query("""WITH n AS (SELECT list(p_name || '-' || p_partkey ORDER BY p_partkey) AS names FROM part WHERE p_partkey <= 40),
+v AS (SELECT names, ['nobody', names[5], names[3], names[5], names[9]] AS asked, names[7] AS top FROM n),
+w AS (SELECT names, top, list_filter(asked, lambda x: list_contains(names, x)) AS ok FROM v)
+SELECT array_to_string([ok[1], ok[2], ok[4]], '|') AS ranked, top AS top_filename FROM w""")
+def final_rank_fallback(spark, d):
+    rows = table(spark, d, "part").where("p_partkey <= 40").select(F.concat("p_name", F.lit("-"), F.col("p_partkey").cast("string")).alias("filename"), F.col("p_partkey").alias("final_place"))
+    names = F.col("names")
+    answer = F.array(F.lit("nobody"), names[4], names[2], names[4], names[8])
+    return tournament.final_ranking(rows, answer, names[6], 10).select(F.array_join("ranked_filenames", "|").alias("ranked"), "top_filename")
+
+
+OVERRIDE_SQL = """WITH r AS (SELECT doc_id, lang AS base, CASE doc_id % 4 WHEN 0 THEN '{}' WHEN 1 THEN '{"image_type":null,"safe_edits":[]}' WHEN 2 THEN '{"image_type":"","safe_edits":["crop",""]}' ELSE '{"image_type":"new","safe_edits":null}' END AS j FROM documents)
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN base WHEN 1 THEN 'None' WHEN 2 THEN '' ELSE 'new' END AS image_type, CASE WHEN doc_id % 4 = 2 THEN 'crop' ELSE base END AS safe_edits FROM r"""
+
+
+@query(OVERRIDE_SQL)
+def reason_override(spark, d):
+    j = F.element_at(F.array(F.lit("{}"), F.lit('{"image_type":null,"safe_edits":[]}'), F.lit('{"image_type":"","safe_edits":["crop",""]}'), F.lit('{"image_type":"new","safe_edits":null}')), (F.col("doc_id") % 4 + 1).cast("int"))
+    v = F.parse_json(j)
+    return table(spark, d, "documents").select(
+        "doc_id", lenient_json.override_text(v, "image_type", F.col("lang")).alias("image_type"), F.array_join(lenient_json.override_list(v, "safe_edits", F.array("lang")), "|").alias("safe_edits")
+    )
+
+
+@query("""SELECT event_id, json_extract_string(props, '$.k') AS k, json_valid(props) AS valid FROM events""")
+def json_extract(spark, d):
+    wrapped = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Sure, here it is: "), "props", F.lit(" Enjoy."))).otherwise(F.col("props"))
+    v = lenient_json.from_free_text(wrapped)
+    return table(spark, d, "events").select("event_id", lenient_json.field(v, "$.k", "string").alias("k"), v.isNotNull().alias("valid"))
+
+
+ASPECT_SQL = "CASE i WHEN 0 THEN '1:1' WHEN 1 THEN '4:3' WHEN 2 THEN '3:4' WHEN 3 THEN '16:9' WHEN 4 THEN '9:16' WHEN 5 THEN '3:2' ELSE '2:3' END"
+
+
+@query(f"""WITH v AS (SELECT * FROM (VALUES (0, 1, 1), (1, 4, 3), (2, 3, 4), (3, 16, 9), (4, 9, 16), (5, 3, 2), (6, 2, 3)) t(i, a, b)),
+r AS (SELECT p_partkey, i, row_number() OVER (PARTITION BY p_partkey ORDER BY abs((p_size - 3)::DOUBLE / (p_partkey % 37 + 1) - a::DOUBLE / b), i) AS k, p_size FROM part, v)
+SELECT p_partkey, CASE WHEN p_size - 3 <= 0 THEN '1:1' ELSE {ASPECT_SQL} END AS aspect FROM r WHERE k = 1""")
+def aspect_ratio(spark, d):
+    return table(spark, d, "part").select("p_partkey", scoring.aspect_ratio(F.col("p_size") - 3, F.col("p_partkey") % 37 + 1).alias("aspect"))
+
+
+@query("""SELECT p_partkey, array_to_string(list_distinct_ordered, '; ') AS joined FROM (SELECT p_partkey, list_filter([p_brand, p_type, p_brand], lambda x, i: x <> '' AND list_position([p_brand, p_type, p_brand], x) = i) AS list_distinct_ordered FROM part)""")
+def joined_unique(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.joined_unique(F.array("p_brand", "p_type", F.lit(""), "p_brand"), "none").alias("joined"))
+
+
+@query("""SELECT doc_id, array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), '.'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '' AND NOT regexp_matches(lower(x), 'rotat|turn 90|flip|orient')), '|') AS kept FROM documents""")
+def rotation_filter(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(text.drop_rotation(F.split(F.coalesce("text", F.lit("")), r"\.")), "|").alias("kept"))
+
+
+@query("""SELECT p_partkey, lower(trim(regexp_replace(p_brand || ' / ' || p_type || '!', '[^a-zA-Z0-9]+', '_', 'g'), '_')) AS slug FROM part""")
+def slug(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.slug(F.concat("p_brand", F.lit(" / "), "p_type", F.lit("!"))).alias("slug"))
+
+
+LADDER = "[1600, 1360, 1156, 982, 834]"
+
+
+@query(f"""WITH s AS (SELECT o_orderkey, o_totalprice, unnest(range(25)) AS step FROM orders), z AS (SELECT o_orderkey, step, {LADDER}[step // 5 + 1] AS side, 84 - 6 * (step % 5) AS quality, CAST(floor(o_totalprice * {LADDER}[step // 5 + 1] * (84 - 6 * (step % 5)) / 20000) AS BIGINT) AS bytes FROM s),
+f AS (SELECT o_orderkey, min(CASE WHEN bytes <= 900000 THEN step END) AS first, max(step) AS last FROM z GROUP BY o_orderkey)
+SELECT z.o_orderkey, CAST(z.step AS INT) AS step, CAST(z.side AS INT) AS side, CAST(z.quality AS INT) AS quality, z.bytes FROM z JOIN f ON z.o_orderkey = f.o_orderkey AND z.step = coalesce(f.first, f.last)""")
+def review_ladder(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.lit(4000).alias("width"), F.lit(3000).alias("height"))
+    rungs = tournament.review_ladder(rows).withColumn("bytes", F.floor(F.col("o_totalprice") * F.col("side") * F.col("quality") / 20000))
+    return tournament.first_fit(rungs, ["o_orderkey"], "bytes", 900_000).select("o_orderkey", "step", "side", "quality", "bytes")
+
+
+@query("""SELECT o.o_orderkey, c.c_mktsegment AS detail FROM orders o LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c ON o.o_custkey = c.c_custkey""")
+def detail_lookup(spark, d):
+    ranked = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("07_"), F.col("o_custkey").cast("string")).alias("filename"))
+    details = table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").cast("string").alias("filename"), F.col("c_mktsegment").alias("detail"), F.col("c_custkey").alias("pos"))
+    return lookups.with_details(ranked, details).select("o_orderkey", "detail")
+
+
+@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+def skip_existing(spark, d):
+    images = table(spark, d, "customer").select("c_custkey", F.concat(F.col("c_custkey").cast("string"), F.lit(".jpg")).alias("filename"))
+    done = table(spark, d, "orders").select(F.concat(F.col("o_custkey").cast("string"), F.lit(".png")).alias("filename"))
+    return lookups.skip_existing(images, done).select("c_custkey")
+
+
+@query("""SELECT c_custkey, c_name FROM customer ORDER BY c_name LIMIT 20 OFFSET 9""")
+def rank_slice(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", "c_name", F.concat("c_name", F.lit(".jpg")).alias("filename"))
+    return lookups.rank_slice(rows, 10, 20).select("c_custkey", "c_name")
+
+
+@query("""WITH r AS (SELECT l_orderkey, min(CASE WHEN l_linenumber % 2 = 0 THEN '.RAF' ELSE '.raf' END) AS ext FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey)
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN r.ext IS NOT NULL THEN '/raw/' || o_orderkey || r.ext END AS raw_path FROM orders LEFT JOIN r ON o_orderkey = l_orderkey""")
+def raw_companion(spark, d):
+    o = table(spark, d, "orders")
+    winners = o.select("o_orderkey", F.lit("a").alias("folder"), F.concat(F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 5 == 0, ".tif").otherwise(".JPG")).alias("filename"))
+    name = F.concat(F.col("l_orderkey").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, ".RAF").otherwise(".raf"))
+    files = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.lit("a").alias("folder"), name.alias("name"), F.concat(F.lit("/raw/"), name).alias("path")).distinct()
+    return lookups.raw_companions(winners, files).select("o_orderkey", "raw_path")
+
+
+@query("""WITH f AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'DSC1.JPG' WHEN 1 THEN 'trip/_DSC.heic' WHEN 2 THEN 'Stage2_x/a.jpg' WHEN 3 THEN 'trip/deep/a.jpg' WHEN 4 THEN 'Curated_Best/a.png' ELSE regexp_extract(url, '//([^/]+)/', 1) || '/page.html' END AS rel FROM pages)
+SELECT page_id, rel FROM f WHERE page_id % 6 IN (0, 1)""")
+def album_files(spark, d):
+    host = F.concat(F.regexp_extract("url", "//([^/]+)/", 1), F.lit("/page.html"))
+    rel = F.coalesce(F.get(F.array(*map(F.lit, ("DSC1.JPG", "trip/_DSC.heic", "Stage2_x/a.jpg", "trip/deep/a.jpg", "Curated_Best/a.png"))), (F.col("page_id") % 6).cast("int")), host)
+    return album_filter(table(spark, d, "pages").select("page_id", rel.alias("rel"))).select("page_id", "rel")
+
+
+@query("""WITH e AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'edge_completion' WHEN 1 THEN 'crowd_cleanup' WHEN 2 THEN event_type ELSE 'edge_completion' END AS m, event_id % 5 AS k, CAST(floor(value) AS BIGINT) % 4 AS s FROM events)
+SELECT event_id, CASE WHEN k IN (1) THEN 'crowd_cleanup' WHEN k = 2 THEN 'tonal_only' WHEN k = 0 THEN 'square_and_level' WHEN s IN (0, 1) THEN 'edge_completion' ELSE 'square_and_level' END AS repair_mode,
+  CASE WHEN k IN (3, 4) AND s = 0 THEN 'left' WHEN k IN (3, 4) AND s = 1 THEN 'right' ELSE '' END AS pad_sides FROM e""")
+def analysis_validate(spark, d):
+    k = F.col("event_id") % 5
+    mode = F.when(k == 1, "crowd_cleanup").when(k == 2, F.col("event_type")).otherwise("edge_completion")
+    side = F.get(F.array(*map(F.lit, ("left", "right", "top", "bottom"))), F.floor("value").cast("int") % 4)
+    sides = F.when(k == 0, F.array(*map(F.lit, ("left", "right", "top", "bottom")))).otherwise(F.array(side, F.lit("middle")))
+    plan = lenient_json.validated_analysis(mode, sides)
+    return table(spark, d, "events").select("event_id", plan["repair_mode"].alias("repair_mode"), F.array_join(plan["pad_sides"], ",").alias("pad_sides"))
+
+
+@query("""WITH n AS (SELECT o_orderkey, o_custkey || '.jpg' AS name, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders)
+SELECT o_orderkey, CASE WHEN k = 1 THEN name ELSE replace(name, '.jpg', '') || '_' || (k - 1) || '.jpg' END AS out_name FROM n""")
+def download_names(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", F.concat(F.col("o_custkey").cast("string"), F.lit(".jpg")).alias("name"), F.col("o_orderkey").alias("ord"))
+    return lookups.collision_names(rows).select("o_orderkey", "out_name")
+
+
+@query("""SELECT conv_id, turn, length(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS n, text LIKE '%?%' AS asks FROM conversations""")
+def fenced_text(spark, d):
+    fenced = F.concat(F.lit("```json\n"), "text", F.lit("\n```"))
+    body = lenient_json.strip_fence(fenced)
+    return table(spark, d, "conversations").select("conv_id", "turn", F.length(body).cast("long").alias("n"), body.contains("?").alias("asks"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN '.png' WHEN p_size % 4 IN (1, 2) THEN '.jpg' ELSE '.tif' END AS suffix, CASE WHEN strpos(p_name, '_') > 0 THEN substr(p_name, strpos(p_name, '_') + 1) ELSE p_name END AS bare FROM part""")
+def mime_suffix(spark, d):
+    mime = F.get(F.array(*map(F.lit, ("IMAGE/png", "image/jpg", "image/JPEG", "image/tiff"))), F.col("p_size") % 4)
+    return table(spark, d, "part").select("p_partkey", text.suffix_for_mime(mime, F.lit(".tif")).alias("suffix"), text.strip_rank(F.col("p_name")).alias("bare"))
+
+
+@query("""SELECT CAST(s_nationkey AS BIGINT) AS scene_family_id, lower(trim(regexp_replace(m, '[^a-zA-Z0-9]+', '_', 'g'), '_')) AS model_slug, count(*) AS n FROM supplier, (VALUES ('gemma-4:31b'), ('Other/Model 2')) t(m) GROUP BY ALL""")
+def model_runs(spark, d):
+    rows = table(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("scene_family_id"), "s_suppkey")
+    return lookups.model_runs(rows, ["gemma-4:31b", "Other/Model 2"]).groupBy("scene_family_id", "model_slug").agg(F.count(F.lit(1)).alias("n"))
