@@ -78,6 +78,7 @@ class _Reader(DataSourceReader):
 
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RemoteImages)
 
 
