@@ -35,13 +35,19 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Memo(dict):
+    """Values by key, made when missing. Two generations of half the size: what
+    was used since the last turn outlives it."""
+
     def __init__(self, make, most: int):
         super().__init__()
-        self._make, self._most = make, most
+        self._make, self._half, self._old = make, max(1, most // 2), {}
 
     def __missing__(self, key):
-        value = self._make(key)
-        if len(self) >= self._most:
+        value = self._old.get(key)
+        if value is None:
+            value = self._make(key)
+        if len(self) >= self._half:
+            self._old = dict(self)
             self.clear()
         self[key] = value
         return value
@@ -50,14 +56,15 @@ class _Memo(dict):
 class Encoder:
     def __init__(self, path: str = VOCABULARY, memo: int = MEMO):
         self._tokenizer = Tokenizer.from_file(path)
+        self._model = self._tokenizer.model
         plain = type(self._tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self._tokenizer.normalizer is None
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        # chunks hold for byte-level pre-tokens and for special tokens without white space
         self._chunked = plain and not any(re.search(r"\s", s) for s in self._special)
         self._letters = _byte_letters()
-        self._first = _Memo(self._chunk, memo // 8)
-        self._later = _Memo(lambda w: self._chunk(" " + w), memo)
-        self._pre = _Memo(self._merge, memo)
+        self._first = _Memo(self._chunk, memo // 4)
+        self._later = _Memo(self._spaced, memo)
+        self._marks = {m: self._merge(m) for m in ".,"} if plain else {}
+        self._newline = self._merge(self._letters[10]) if plain else b""
 
     def _bytes(self, ids) -> bytes:
         out = array("I", ids)
@@ -66,32 +73,46 @@ class Encoder:
         return out.tobytes()
 
     def _merge(self, letters: str) -> bytes:
-        return self._bytes([t.id for t in self._tokenizer.model.tokenize(letters)])
+        return self._bytes([t.id for t in self._model.tokenize(letters)])
+
+    def _word(self, word: str) -> bytes:
+        """A space or none, then letters: one pre-token."""
+        return self._merge(word.encode().decode("latin-1").translate(self._letters))
 
     def _chunk(self, chunk: str) -> bytes:
-        if any(s in chunk for s in self._special):
-            return self._bytes(self._tokenizer.encode(chunk, add_special_tokens=False).ids)
-        word = chunk[1:] if chunk[:1] == " " else chunk
-        end = word[-1:] if word[-1:] in (".", ",") else ""
-        if word.isalpha() or (end and word[:-1].isalpha()):  # a word is one pre-token, and so is a mark after it
-            letters = (chunk[:-1] if end else chunk).encode().decode("latin-1").translate(self._letters)
-            return self._pre[letters] + (self._pre[end] if end else b"")
-        return b"".join([self._pre[letters] for letters, _ in self._tokenizer.pre_tokenizer.pre_tokenize_str(chunk)])
+        """Any chunk, as it stands."""
+        if chunk.isalpha():
+            return self._word(chunk)
+        mark = self._marks.get(chunk[-1:])
+        if mark and chunk[:-1].isalpha():
+            return self._word(chunk[:-1]) + mark
+        return b"".join([self._merge(letters) for letters, _ in self._tokenizer.pre_tokenizer.pre_tokenize_str(chunk)])
+
+    def _spaced(self, chunk: str) -> bytes:
+        """A chunk after a space; one that begins with a line feed stands for
+        that line feed, without the space, and what follows."""
+        if chunk.isalpha():
+            return self._word(" " + chunk)
+        if chunk[:1] == "\n":
+            return self._newline + self._first[chunk[1:]]
+        mark = self._marks.get(chunk[-1:])
+        if mark and chunk[:-1].isalpha():
+            return self._later[chunk[:-1]] + mark
+        return self._chunk(" " + chunk)
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers; none for null."""
         if not text:
             return b""
-        if not self._chunked:
+        if not self._chunked or any(s in text for s in self._special):
             return self._bytes(self._tokenizer.encode(text, add_special_tokens=False).ids)
-        if _TWO_SPACES.search(text):
-            chunks = _SAFE.split(text)
-        elif text[0] == " " or text[-1] == " ":  # a space at an end stays with its neighbour
-            chunks = _SAFE.split(text)
-        else:
-            chunks = text.split(" ")
-        rest = iter(chunks)
-        return self._first[next(rest)] + b"".join(map(self._later.__getitem__, rest))
+        if text[0] == " " or text[-1] == " " or _TWO_SPACES.search(text):
+            first, *rest = _SAFE.split(text)
+            return b"".join(map(self._first.__getitem__, [first, *(" " + w for w in rest)]))
+        # every white space stands between two other characters: a line feed is
+        # a pre-token of its own
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return self._first[first] + b"".join(map(self._later.__getitem__, rest))
 
 
 @lru_cache(maxsize=2)
