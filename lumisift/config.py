@@ -24,8 +24,12 @@ class CurationConfig:
     white_clip_pct: float = 15.0
     # aesthetic score
     clip_threshold: float = 0.55
-    clip_prompts: tuple[str, str] = ("a sharp, well composed photograph worth printing", "a blurry, badly composed snapshot")
+    clip_model: str = "ViT-B-32"
+    clip_pretrained: str = "openai"
+    positive_prompt: str = "A high quality, professional, beautiful, sharp photograph"
+    negative_prompt: str = "A blurry, ugly, amateur, poorly framed snapshot"
     # output
+    output_dir: str = "Curated_For_Print"
     output_name: str = "Curated_Best"
     high_dir: str = "Above_8MP"
     medium_dir: str = "Between_1MP_and_8MP"

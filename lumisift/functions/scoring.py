@@ -28,13 +28,10 @@ def quality_score(mp: Column, lap: Column, black: Column, white: Column, passed:
 
 def filter_reason(lap: Column, black: Column, white: Column, c: CurationConfig) -> Column:
     """The first failing test, or an empty text: blur, then dark, then bright."""
-    def said(kind: str, what: str, value: Column, sign: str, limit: float) -> Column:
-        return F.format_string(f"{kind} ({what}=%.1f {sign} {limit:.1f})", value)
-
     return (
-        F.when(lap < c.hard_blur_threshold, said("blur", "laplacian", lap, "<", c.hard_blur_threshold))
-        .when(black > c.black_clip_pct, said("underexposed", "black", black, ">", c.black_clip_pct))
-        .when(white > c.white_clip_pct, said("overexposed", "white", white, ">", c.white_clip_pct))
+        F.when(lap < c.hard_blur_threshold, F.format_string(f"blur (Laplacian var %.1f < {c.hard_blur_threshold})", lap))
+        .when(black > c.black_clip_pct, F.format_string(f"underexposed (black clip %.1f%% > {c.black_clip_pct}%%)", black))
+        .when(white > c.white_clip_pct, F.format_string(f"overexposed (white clip %.1f%% > {c.white_clip_pct}%%)", white))
         .otherwise("")
     )
 
@@ -73,6 +70,10 @@ def face_summary(areas: Column, image_area: Column, c: CurationConfig) -> Column
     )
 
 
+def scene_reason(flagged: Column, background: Column) -> Column:
+    return F.when(flagged, F.format_string("background_people_detected (%d smaller faces behind subject)", background)).otherwise("")
+
+
 def scene_passed(flagged: Column, c: CurationConfig) -> Column:
     return ~flagged if c.reject_background_people else F.lit(True)
 

@@ -25,8 +25,8 @@ def winner_order() -> list[Column]:
 
 def singleton_reason(lap: Column, quality: Column, size: Column, c: CurationConfig) -> Column:
     """Why a lone winner is dropped: either test, or both joined."""
-    soft = F.when(lap < c.singleton_blur, F.format_string(f"singleton_blur (laplacian=%.1f < {c.singleton_blur:.1f})", lap))
-    weak = F.when(quality < c.singleton_min_quality, F.format_string(f"singleton_low_quality (score=%.3f < {c.singleton_min_quality:.3f})", quality))
+    soft = F.when(lap < c.singleton_blur, F.format_string(f"singleton_blur (%.1f < {c.singleton_blur})", lap))
+    weak = F.when(quality < c.singleton_min_quality, F.format_string(f"singleton_quality (%.3f < {c.singleton_min_quality})", quality))
     return F.when(size == 1, F.concat_ws("; ", soft, weak)).otherwise("")
 
 

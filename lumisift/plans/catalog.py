@@ -182,7 +182,7 @@ def group_winner(spark, d):
 
 
 @query("""WITH g AS (SELECT o_custkey, count(*) AS n, max(o_totalprice) / 3000 AS lap, max(o_totalprice) / 100000 AS q FROM orders GROUP BY o_custkey)
-SELECT o_custkey, CASE WHEN n > 1 THEN '' ELSE concat_ws('; ', CASE WHEN lap < 50 THEN 'singleton_blur' END, CASE WHEN q < 2.75 THEN 'singleton_low_quality' END) END AS reason FROM g""")
+SELECT o_custkey, CASE WHEN n > 1 THEN '' ELSE concat_ws('; ', CASE WHEN lap < 50 THEN 'singleton_blur' END, CASE WHEN q < 2.75 THEN 'singleton_quality' END) END AS reason FROM g""")
 def singleton_guard(spark, d):
     g = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), (F.max("o_totalprice") / 3000).alias("lap"), (F.max("o_totalprice") / 100000).alias("q"))
     full = selection.singleton_reason(F.col("lap"), F.col("q"), F.col("n"), C)

@@ -37,7 +37,8 @@ def scored(photos: DataFrame, c: CurationConfig, hard_clip: bool = False, clip_a
     passed, scene_ok = F.col("filter_reason") == "", scoring.scene_passed(F.col("flagged"), c)
     clip_ok, still_in = scoring.clip_gate(F.col("clip"), passed, scene_ok, c, hard_clip, clip_available)
     rows = rows.withColumns({"filter_passed": passed, "passed_clip": clip_ok, "still_in": still_in, "scene_ok": scene_ok})
-    reason = F.when(F.col("gate") != "", F.col("gate")).when(~passed, F.col("filter_reason")).when(~F.col("scene_ok"), "background_people").when(~F.col("still_in"), "clip_below_threshold").otherwise("")
+    rows = rows.withColumns({"clip": F.when(passed & F.col("scene_ok"), F.col("clip")).otherwise(0.0), "scene_reason": scoring.scene_reason(F.col("flagged"), F.col("background_face_count"))})
+    reason = F.when(F.col("gate") != "", F.col("gate")).when(~passed, F.col("filter_reason")).when(~F.col("scene_ok"), F.col("scene_reason")).when(~F.col("still_in"), "clip_below_threshold").otherwise("")
     quality = scoring.quality_score(F.col("mp_raw"), lap, black, white, passed, F.col("clip"), F.col("passed_clip"), F.col("scene_penalty"), c)
     return rows.withColumns({"reason": reason, "status": F.when(reason == "", "eligible").otherwise("rejected"), "quality": quality, "megapixels": F.bround("mp_raw", 2)})
 
@@ -59,7 +60,7 @@ def curate(photos: DataFrame, c: CurationConfig) -> DataFrame:
         ((F.col("gate") == "") | ~F.col("gate").isin("decode_failed", "metadata_unavailable", "resolution_below_1mp")).alias("passed_resolution"),
         ((F.col("gate") == "") & F.col("filter_passed")).alias("passed_opencv"), ((F.col("gate") == "") & F.col("passed_clip")).alias("passed_clip"), "megapixels", "laplacian_var", "black_clip_pct", "white_clip_pct",
         "singleton_group", "singleton_penalty_applied", "face_count", "background_face_count", "dominant_face_ratio", F.col("scene_ok").alias("passed_scene_check"), F.col("flagged").alias("scene_flagged"),
-        "scene_penalty", F.col("clip").alias("clip_score"), F.col("quality").alias("quality_score"),
+        "scene_penalty", F.col("scene_reason").alias("scene_rejection_reason"), F.col("clip").alias("clip_score"), F.col("quality").alias("quality_score"),
     )
 
 

@@ -124,26 +124,37 @@ def read_summary(spark: SparkSession, folder: str) -> DataFrame | None:
     return spark.read.json(str(path), multiLine=True) if path.is_file() else None
 
 
-def resolve_portfolio(arg: str | None = None, env: dict | None = None, cwd: str | None = None, roots: list[str] = ()) -> str | None:
-    """A folder with a ``ranked`` subfolder: the argument, the environment, the
-    working folder, else the latest changed of what lies below the working
-    folder, its parent and ``roots``; the argument must be one."""
+#: Names of portfolio folders.
+PORTFOLIOS = ("Stage2_PortfolioTop*", "*Stage2*PortfolioTop*", "*printplans*")
+
+
+def resolve_portfolio(arg: str | None = None, env: dict | None = None, cwd: str | None = None, roots: list[str] = (), variable: str = "PORTFOLIO_DIR") -> str | None:
+    """A folder with a ``ranked`` subfolder: the argument (which must be one),
+    the environment, the working folder; else the latest changed of the first
+    of these that has any: folders with a portfolio's name in the working
+    folder and its parent, subfolders of the working folder, named folders in
+    the albums of ``roots``."""
     def is_one(p: Path) -> bool:
         return (p / "ranked").is_dir()
 
-    env, here = (os.environ if env is None else env), Path(cwd or os.getcwd())
+    env, here = (os.environ if env is None else env), Path(cwd or os.getcwd()).resolve()
     if arg:
         if not is_one(Path(arg)):
             raise FileNotFoundError(f"{arg} has no ranked folder")
         return str(Path(arg).resolve())
-    named = env.get("PORTFOLIO_DIR")
-    for p in [Path(named)] if named else []:
+    named = env.get(variable, "").strip()
+    for p in ([Path(named)] if named else []) + [here]:
         if is_one(p):
             return str(p.resolve())
-    if is_one(here):
-        return str(here.resolve())
-    seen = {p.resolve() for base in (here, here.parent, *map(Path, roots)) if base.is_dir() for p in (*base.glob("*"), *base.glob("*/*")) if p.is_dir() and is_one(p)}
-    return str(max(seen, key=lambda p: (p.stat().st_mtime, str(p)))) if seen else None
+    places = (
+        (p for base in (here, here.parent) for pattern in PORTFOLIOS for p in base.glob(pattern)),
+        here.iterdir(),
+        (p for root in map(Path, roots) if root.is_dir() for p in root.glob("*/" + PORTFOLIOS[0])),
+    )
+    for place in places:
+        if found := {p.resolve() for p in place if p.is_dir() and is_one(p)}:
+            return str(max(found, key=lambda p: (p.stat().st_mtime, str(p))))
+    return None
 
 
 def read_ranked(spark: SparkSession, portfolio: str) -> DataFrame:

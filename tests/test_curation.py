@@ -35,7 +35,7 @@ def test_filters_and_tiers(spark):
     got = values(spark, rows, "l double, b double, w double, m double", f=scoring.filter_code(F.col("l"), F.col("b"), F.col("w"), C), t=scoring.resolution_tier(F.col("m"), C))
     assert got == [("", "above_8mp"), ("blur", "between_1mp_and_8mp"), ("underexposed", "below_1mp"), ("overexposed", "between_1mp_and_8mp")]
     said = values(spark, rows, "l double, b double, w double, m double", f=scoring.filter_reason(F.col("l"), F.col("b"), F.col("w"), C))
-    assert said[1] == ("blur (laplacian=24.9 < 25.0)",)
+    assert said[1] == ("blur (Laplacian var 24.9 < 25.0)",)
 
 
 def test_vectors(spark):
