@@ -165,15 +165,16 @@ def learn_rules(
     if total > train_rows:
         known = known.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 31)) < int(train_rows / total * (1 << 31)))
     rows = cut(statistics.where(~F.col("base_failed")).join(known, F.col("doc_id") == F.col("label_id")).select("features", "bad", F.pmod(F.xxhash64("label_id", F.lit(7)), F.lit(3)).alias("fold")))
-    # candidate thresholds: quantiles among the low and among the good rows
+    # candidate thresholds: midway between quantiles of the low and the good rows
     share = [k / 24 for k in range(1, 24)] + [0.005, 0.01, 0.02, 0.98, 0.99, 0.995]
     quantiles = rows.groupBy("bad").agg(*[F.percentile_approx(F.col("features")[i], share, 2000).alias(f"q{i}") for i in range(len(FEATURES))]).collect()
     if len(quantiles) < 2:
         return DecisionList()
-    edges = [sorted({v for q in quantiles for v in q[f"q{i}"]}) for i in range(len(FEATURES))]
+    seen = [sorted({v for q in quantiles for v in q[f"q{i}"]}) for i in range(len(FEATURES))]
+    edges = [[(a + b) / 2 for a, b in zip(v, v[1:])] for v in seen]
 
     def binned(i: int) -> Column:
-        return F.size(F.filter(F.array(*map(F.lit, edges[i])), lambda v: v < F.col("features")[i]))
+        return F.size(F.filter(F.array(*map(F.lit, edges[i])), lambda v: v < F.col("features")[i])) if edges[i] else F.lit(0)
 
     bins = F.array(*[binned(i) for i in range(len(FEATURES))])
     rows = cut(rows.select(bins.alias("bins"), "bad", "fold"))
