@@ -3,9 +3,10 @@
 Document evidence and site evidence are fitted apart and added as log odds.
 
 * Evidence: words, word beginnings and binned text statistics are hashed; on
-  two thirds of a bounded labelled sample each bucket gets a shrunken log odds
-  ratio, and a document scores the sum of its few strongest. The remaining
-  third turns scores into likelihood ratios (pooled until they rise).
+  two thirds of a bounded labelled sample each bucket gets shrunken log odds,
+  and a document scores the sum of its few strongest. The remaining third turns
+  scores into likelihood ratios (pooled until they rise); the weights are then
+  fitted again on the whole sample.
 * Sites: grouped sums of all labels give a host's rate, shrunk toward the
   global rate, and a path's rate, shrunk toward its host's. How strongly is
   estimated from the spread between sites (method of moments), so a sparse
@@ -35,10 +36,10 @@ TRAIN_ROWS = 40_000
 BUCKETS = 1 << 22
 #: Most buckets that a model keeps, the most telling first.
 MODEL_BUCKETS = 20_000
-MIN_COUNT = 5
+MIN_COUNT = 3
 #: Pseudo-documents of a bucket's prior.
-SHRINK = 8.0
-MIN_WEIGHT = 1.0
+SHRINK = 4.0
+MIN_WEIGHT = 2.5
 STRONGEST = 3
 #: Score bins of the calibration, two to a nat.
 BINS = 64
@@ -147,21 +148,25 @@ def fit_evidence(rows: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROW
             part = used[at:at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *(pa.array(totals[i, part].astype(np.int64)) for i in range(3))], names=["bucket", "n", "low", "toxic"])
 
-    counts = sample.where("fold < 2").select("text", *HEADS, "fold").mapInArrow(count, schema).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("n", *HEADS)])
-    size = sample.where("fold < 2").agg(F.count(F.lit(1)).alias("n"), *[F.sum(h).alias(h) for h in HEADS]).first()
-    if not size["n"]:
+    def weighed(part: DataFrame) -> dict[int, tuple[float, ...]]:
+        """Log odds of the buckets against the whole, each shrunk by SHRINK
+        documents of the common rate; the most telling buckets."""
+        counts = part.select("text", *HEADS, "fold").mapInArrow(count, schema).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("n", *HEADS)])
+        size = part.agg(F.count(F.lit(1)).alias("n"), *[F.sum(h).alias(h) for h in HEADS]).first()
+        if not size["n"]:
+            return {}
+        weights = []
+        for h in HEADS:
+            rate = min(0.99, max(0.01, size[h] / size["n"]))
+            odds = F.log((F.col(h) + SHRINK * rate) / (F.col("n") - F.col(h) + SHRINK * (1 - rate))) - math.log(rate / (1 - rate))
+            weights.append(F.when(odds >= MIN_WEIGHT, odds).otherwise(0.0).alias("w_" + h))
+        telling = counts.where(F.col("n") >= MIN_COUNT).select("bucket", *weights).where(F.greatest("w_low", "w_toxic") > 0)
+        best = telling.orderBy(F.desc(F.greatest("w_low", "w_toxic")), "bucket").limit(MODEL_BUCKETS).collect()
+        return {r["bucket"]: (r["w_low"], r["w_toxic"]) for r in best}
+
+    model = Evidence(weighed(sample.where("fold < 2")))
+    if not model.weights:
         return Evidence()
-    weights = []
-    for h in HEADS:
-        n_bad = float(size[h] or 0)
-        n_good = size["n"] - n_bad
-        rate = F.col("n") / float(size["n"])
-        bad, good = F.col(h), F.col("n") - F.col(h)
-        ratio = F.log((bad + SHRINK * rate) / (n_bad + SHRINK)) - F.log((good + SHRINK * rate) / (n_good + SHRINK))
-        weights.append(F.when(ratio >= MIN_WEIGHT, ratio).otherwise(0.0).alias("w_" + h))
-    telling = counts.where(F.col("n") >= MIN_COUNT).select("bucket", *weights).where(F.greatest("w_low", "w_toxic") > 0)
-    best = telling.orderBy(F.desc(F.greatest("w_low", "w_toxic")), "bucket").limit(MODEL_BUCKETS).collect()
-    model = Evidence({r["bucket"]: (r["w_low"], r["w_toxic"]) for r in best})
     scored = _scored(sample.where("fold = 2"), model, [*HEADS])
     parts = []
     for h in HEADS:
@@ -170,6 +175,8 @@ def fit_evidence(rows: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROW
     table = parts[0].unionByName(parts[1]).collect()
     for h in HEADS:
         model.ratios.append(_rising({r["b"]: (r["bad"], r["good"]) for r in table if r["h"] == h}))
+    # ratios come from documents unseen by their weights; the final weights see all
+    model.weights = weighed(sample)
     return model
 
 
