@@ -1,7 +1,8 @@
 import corpus_pipeline
 
 
-def test_stages_take_effect(spark, small):
+def test_stages_take_effect(spark):
+    small = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{small}/documents.parquet")
     columns, n = docs.columns, [docs.count()]
     for name, stage in corpus_pipeline.STAGES[:-1]:
