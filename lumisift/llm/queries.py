@@ -88,6 +88,17 @@ QUERIES = {
     "op10_sharding": op10_sharding,
 }
 
+#: The main text of pages whose article is marked, by plain patterns.
+HTML_SQL = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(coalesce(regexp_extract(html, '(?s)<article>(.*)</article>', 1), ''), '</?p>|</?h1>|<br>', ' ', 'g'), '</?b>', '', 'g') AS body FROM pages
+), t AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g') AS decoded FROM a
+), s AS (SELECT page_id, url, trim(regexp_replace(decoded, '\s+', ' ', 'g')) AS text FROM t)
+SELECT page_id, url, text, length(text) AS n_chars FROM s
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op6_html": HTML_SQL,
     "op7_decontamination": DECONTAMINATION_SQL,
 }
