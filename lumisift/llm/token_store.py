@@ -48,23 +48,17 @@ def _selectors(width: np.ndarray) -> np.ndarray:
     rows, n = width.shape
     padded = np.full((rows, n + 64), 255, dtype=np.uint8)
     padded[:, :n] = width
-    longest = {1: padded}
-
-    def widest(count: int) -> np.ndarray:
-        """The greatest width among ``count`` ids from each place."""
-        if count not in longest:
-            half = 1 << (count - 1).bit_length() - 1
-            a, b = widest(half), widest(count - half)
-            out = padded.copy()
-            m = padded.shape[1] - half
-            np.maximum(a[:, :m], b[:, half:half + m], out=out[:, :m])
-            out[:, m:] = 255
-            longest[count] = out
-        return longest[count]
-
+    widest = {1: padded}  # greatest width among 1, 2, 4, ... ids from each place
+    for k in (1, 2, 4, 8, 16):
+        wider = np.full_like(padded, 255)
+        np.maximum(widest[k][:, :-k], widest[k][:, k:], out=wider[:, :-k])
+        widest[2 * k] = wider
     best = np.where(width <= 60, np.uint8(14), np.uint8(0))
     for s in range(13, 0, -1):
-        best[widest(COUNTS[s])[:, :n] <= BITS[s]] = s
+        count = COUNTS[s]
+        half = 1 << (count - 1).bit_length() - 1  # two overlapping spans make one of any length
+        fits = np.maximum(widest[half][:, :n], widest[half][:, count - half:count - half + n]) <= BITS[s]
+        best[fits] = s
     return best
 
 
