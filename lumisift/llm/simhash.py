@@ -6,6 +6,11 @@ half the radius; points are shuffled, and neighbours that met at a point are
 verified and linked. All that meet at a point lie within the radius of each
 other, so linking each to its predecessor loses no connection and a ball of
 copies never becomes all pairs of it. Components give the groups.
+
+Edited copies lie farther apart than fingerprints can tell. For them
+``near_copies_removed`` supplements the links: MinHash bands propose pairs, and
+a pair counts if its sets of five-word shingles have a Jaccard similarity of
+``JACCARD`` or more, compared whole.
 """
 
 from __future__ import annotations
@@ -19,10 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, cut
+from .common import bounded_batches, connected_components, cut, small_side
 
 RADIUS = 2
 SHINGLE = 3
+#: Words of a shingle and least Jaccard similarity (a ratio) of edited copies.
+WIDE = 5
+JACCARD = (4, 5)
+#: MinHash bands and rows of each: a pair at 0.8 shares a band with 0.9996.
+BANDS, ROWS = 20, 5
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLOCK = 1 << 16
 
@@ -107,6 +117,119 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id"
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: bytes | None) -> np.ndarray:
+    """Sorted distinct hashes of the five-word shingles of a text in UTF-8; a
+    shorter text is one shingle, a text without a word has none."""
+    words = (text or b"").translate(_LOWER).split()
+    if not words:
+        return np.empty(0, dtype=np.uint64)
+    width, digest = min(WIDE, len(words)), xxhash.xxh64_intdigest
+    known = {w: digest(w, 7) for w in set(words)}
+    h = np.fromiter((known[w] for w in words), dtype=np.uint64, count=len(words))
+    out = np.full(len(h) - width + 1, width, dtype=np.uint64)
+    for i in range(width):
+        out = (out ^ (out >> np.uint64(29))) * _MIX + h[i:len(h) - width + 1 + i]
+    out = (out ^ (out >> np.uint64(32))) * _MIX
+    return np.unique(out ^ (out >> np.uint64(29)))
+
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_rng = np.random.Generator(np.random.PCG64(11))
+_TIMES = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+
+
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """One signed key per MinHash band; none for an empty set."""
+    if not len(shingles):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(shingles), 4096):
+        np.minimum(least, (shingles[at:at + 4096, None] * _TIMES + _PLUS).min(axis=0), out=least)
+    rows = least.reshape(BANDS, ROWS)
+    return [xxhash.xxh64_intdigest(rows[b].tobytes(), b) - (1 << 63) for b in range(BANDS)]
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text_hash, fp, same, bands)`` per row; ``same`` is equal for
+    equal sets of five-word shingles."""
+    bounded_batches(docs.sparkSession)
+    schema = pa.schema([("fp", pa.int64()), ("same", pa.int64()), ("bands", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for batch in batches:
+            fps, same, bands = [], [], []
+            for x in batch.column(2):
+                text = x.as_py()
+                wide = shingle_set(text)
+                fps.append(fingerprint(text))
+                same.append(xxhash.xxh64_intdigest(wide.tobytes()) - (1 << 63))
+                bands.append(band_keys(wide))
+            new = [pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(same, pa.int64()), pa.array(bands, schema.field("bands").type)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new], names=["doc_id", "text_hash", *schema.names])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, same long, bands array<long>")
+
+
+def band_pairs(classes: DataFrame) -> DataFrame:
+    """Distinct pairs ``(a, b)`` of ``(text_hash, fp)`` that share a band.
+
+    Up to four that share a band are all paired; of more, each is paired with
+    the first and the two before it, in an order that differs from band to band.
+    """
+    w = W.partitionBy("band").orderBy(F.xxhash64("me", "band"), "me")
+    met = classes.select(F.struct("text_hash", "fp").alias("me"), F.explode("bands").alias("band"))
+    near = met.select("me", F.array(F.first("me").over(w), F.lag("me").over(w), F.lag("me", 2).over(w)).alias("others"))
+    pairs = near.select("me", F.explode("others").alias("other")).where("other.fp <> me.fp")  # equal ones are linked as they are
+    return pairs.select(F.least("me", "other").alias("a"), F.greatest("me", "other").alias("b")).distinct()
+
+
+def shingle_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(a, b)`` fingerprints of the pairs whose similarity is ``JACCARD`` or
+    more, by the whole sets of shingles."""
+    wanted = cut(pairs.select(F.explode(F.array("a.text_hash", "b.text_hash")).alias("text_hash")).distinct())
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    texts = texts.join(small_side(wanted, wanted.count()), "text_hash", "left_semi").dropDuplicates(["text_hash"])
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(x.as_py()).view(np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["text_hash", "shingles"])
+
+    sets = cut(texts.mapInArrow(run, "text_hash long, shingles array<long>"))
+    both = pairs.select("a", "b", F.col("a.text_hash").alias("text_hash")).join(sets, "text_hash").select("a", "b", F.col("shingles").alias("x"), F.col("b.text_hash").alias("text_hash"))
+    both = both.join(sets, "text_hash").select("a", "b", F.size("x").alias("m"), F.size("shingles").alias("n"), F.size(F.array_intersect("x", "shingles")).alias("common"))
+    times, of = JACCARD
+    return both.where(of * F.col("common") >= times * (F.col("m") + F.col("n") - F.col("common"))).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+
+
+def near_copy_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``(doc_id, text_hash, fp, label)`` per row: rows with equal labels are
+    joined by steps of ``radius`` bits or of a Jaccard similarity of 0.8 on
+    five-word shingles."""
+    rows = cut(sketches(docs))
+    classes = cut(rows.groupBy("same").agg(F.min(F.struct("text_hash", "fp", "bands")).alias("r")).select("same", "r.*"))
+    pairs = cut(band_pairs(classes))
+    equal = rows.select("same", F.col("fp").alias("b")).distinct().join(classes.select("same", F.col("fp").alias("a")), "same").where("a <> b").select("a", "b")
+    links = fingerprint_links(rows.select("fp").distinct(), radius).unionByName(equal).unionByName(shingle_links(docs, pairs))
+    labels = connected_components(links).select(F.col("node").alias("fp"), F.col("component").alias("label"))
+    return rows.select("doc_id", "text_hash", "fp").join(labels, "fp", "left").select("doc_id", "text_hash", "fp", F.coalesce("label", "fp").alias("label"))
+
+
+def near_copies_removed(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one row of each group of ``near_copy_groups``: the one
+    with the smallest id.
+
+    A null or wordless text is in the group of fingerprint zero. A null id
+    stays only where its whole group has none.
+    """
+    groups = near_copy_groups(docs, radius)
+    kept = groups.where(F.col("doc_id").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("_kept_id"))
+    keep = groups.join(kept, "label", "left").where(F.col("doc_id").eqNullSafe(F.col("_kept_id"))).select("doc_id").distinct().withColumnRenamed("doc_id", "_kept_id")
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi").select(*docs.columns)
+
+
 def near_duplicates_removed(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id.
 

@@ -4,7 +4,7 @@ import re
 import xxhash
 
 from lumisift.llm.queries import op9_simhash
-from lumisift.llm.simhash import fingerprint_links, near_duplicates_removed, simhash_groups
+from lumisift.llm.simhash import fingerprint_links, near_copies_removed, near_copy_groups, near_duplicates_removed, simhash_groups
 from lumisift.llm.common import connected_components
 
 
@@ -87,3 +87,39 @@ def test_components_of_chain_star_and_nothing(spark):
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 180)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def wide(text):
+    w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode().split()
+    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_edited_copies_go(spark):
+    rng = random.Random(3)
+    words = [[f"w{rng.randrange(5000)}" for _ in range(120)] for _ in range(40)]
+    rows = []
+    for i, w in enumerate(words):
+        rows.append((i, " ".join(w)))
+        rows.append((100 + i, " ".join(w[:60] + ["edited"] + w[61:])))  # Jaccard 111 / 121
+        rows.append((200 + i, " ".join(w[:60] + ["edited"] * (1 + i % 3) + w[61:])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in near_copies_removed(docs).collect()}
+    assert kept == set(range(40))
+    assert len(near_duplicates_removed(docs).collect()) > 60  # two bits do not find them
+
+
+def test_no_pair_at_the_similarity_stays(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    label = {r.doc_id: r.label for r in near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [(i, wide(t)) for i, t in rows]
+    index = {}
+    n = 0
+    for k, (i, s) in enumerate(sets):
+        for j in {j for x in s for j in index.get(x, ())}:
+            both = len(s & sets[j][1])
+            if 5 * both >= 4 * (len(s) + len(sets[j][1]) - both):
+                n += 1
+                assert label[i] == label[sets[j][0]]
+        for x in s:
+            index.setdefault(x, []).append(k)
+    assert n > 50
