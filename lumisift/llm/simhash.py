@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, cut, small_side
+from .common import bounded_batches, connected_components, cut, keep_rows, small_side
 
 RADIUS = 2
 SHINGLE = 3
@@ -204,37 +204,52 @@ def shingle_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.where(of * F.col("common") >= times * (F.col("m") + F.col("n") - F.col("common"))).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
-def near_copy_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def near_copy_groups(docs: DataFrame, radius: int = RADIUS, edited: bool = True) -> DataFrame:
     """``(doc_id, text_hash, fp, label)`` per row: rows with equal labels are
-    joined by steps of ``radius`` bits or of a Jaccard similarity of 0.8 on
-    five-word shingles."""
+    joined by steps of ``radius`` bits or, if ``edited``, of a Jaccard
+    similarity of 0.8 on five-word shingles."""
     rows = cut(sketches(docs))
-    classes = cut(rows.groupBy("same").agg(F.min(F.struct("text_hash", "fp", "bands")).alias("r")).select("same", "r.*"))
-    pairs = cut(band_pairs(classes))
-    equal = rows.select("same", F.col("fp").alias("b")).distinct().join(classes.select("same", F.col("fp").alias("a")), "same").where("a <> b").select("a", "b")
-    links = fingerprint_links(rows.select("fp").distinct(), radius).unionByName(equal).unionByName(shingle_links(docs, pairs))
+    links = fingerprint_links(rows.select("fp").distinct(), radius)
+    if edited:
+        classes = cut(rows.groupBy("same").agg(F.min(F.struct("text_hash", "fp", "bands")).alias("r")).select("same", "r.*"))
+        equal = rows.select("same", F.col("fp").alias("b")).distinct().join(classes.select("same", F.col("fp").alias("a")), "same").where("a <> b").select("a", "b")
+        links = links.unionByName(equal).unionByName(shingle_links(docs, cut(band_pairs(classes))))
     labels = connected_components(links).select(F.col("node").alias("fp"), F.col("component").alias("label"))
     return rows.select("doc_id", "text_hash", "fp").join(labels, "fp", "left").select("doc_id", "text_hash", "fp", F.coalesce("label", "fp").alias("label"))
 
 
+def _survivors(groups: DataFrame) -> DataFrame:
+    """``(doc_id, text_hash)`` of the one document that stays of each group."""
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    return groups.groupBy("label").agg(F.min(order).alias("r")).select("r.doc_id", "r.text_hash")
+
+
 def near_copies_removed(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each group of ``near_copy_groups``: the one
-    with the smallest id.
+    with the smallest id, of texts that share it the one with the least hash,
+    and of rows that share both one.
 
     A null or wordless text is in the group of fingerprint zero. A null id
     stays only where its whole group has none.
     """
-    groups = near_copy_groups(docs, radius)
-    kept = groups.where(F.col("doc_id").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("_kept_id"))
-    keep = groups.join(kept, "label", "left").where(F.col("doc_id").eqNullSafe(F.col("_kept_id"))).select("doc_id").distinct().withColumnRenamed("doc_id", "_kept_id")
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi").select(*docs.columns)
+    groups = cut(near_copy_groups(docs, radius))
+    kept = cut(_survivors(groups))
+    out = keep_rows(docs, kept)
+    again = cut(groups.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_again_id"), F.col("text_hash").alias("_again_hash")))
+    n = again.count()
+    if not n:
+        return out
+    same = F.col("doc_id").eqNullSafe(F.col("_again_id")) & (F.xxhash64("text") == F.col("_again_hash"))
+    marked = out.join(small_side(again, n), same, "left")
+    once = marked.where(F.col("_again_hash").isNotNull()).dropDuplicates(["_again_id", "_again_hash"])
+    return marked.where(F.col("_again_hash").isNull()).unionByName(once).select(*docs.columns)
 
 
 def near_duplicates_removed(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id.
 
-    Of rows that share that id all stay (they are one document); a null id
-    stays only where its whole group has none.
+    Of texts that share that id the one with the least hash stays, and rows
+    that share both all stay (they are one document); a null id stays only
+    where its whole group has none.
     """
-    keep = simhash_groups(docs, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi").select(*docs.columns)
+    return keep_rows(docs, _survivors(near_copy_groups(docs, radius, edited=False)))

@@ -123,3 +123,12 @@ def test_no_pair_at_the_similarity_stays(spark):
         for x in s:
             index.setdefault(x, []).append(k)
     assert n > 50
+
+
+def test_one_row_stays_whatever_the_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (1, a), (2, b), (3, a), (3, c), (2, c), (None, a), (None, d), (None, d), (None, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(1, a), (2, b), (2, c), (None, d)]
+    assert sorted(map(repr, map(tuple, near_copies_removed(docs).collect()))) == sorted(map(repr, want))
+    assert sorted(map(repr, map(tuple, near_duplicates_removed(docs).collect()))) == sorted(map(repr, want + [(1, a), (None, d)]))
