@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keep_rows, let, trimmed_split
+from .common import cut, keep_rows, let, small_side, trimmed_split
 
 BREAKS = r"[\x20\x09-\x0D]+"
 SHINGLE = 8
@@ -206,7 +206,13 @@ def learn_rules(
     return found
 
 
-def judge(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that have a label."""
+    known = cut(labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("label_id")).distinct())
+    return docs.join(small_side(known, known.count()), F.col("doc_id") == F.col("label_id"), "left_semi")
+
+
+def judge(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, whole: DataFrame | None = None) -> DataFrame:
     """Per row: doc_id, text_hash, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, and rule (the first that covers it).
 
@@ -214,9 +220,12 @@ def judge(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> D
     or wordless text has zeros and fails the base test. Repeated rows and null
     ids are judged like others. Other columns are not looked at. An empty table
     gives an empty result, and empty labels an empty list.
+
+    The list is learned from ``docs`` or, if given, from the labelled rows of
+    ``whole``, the table that ``docs`` was filtered from.
     """
     statistics = cut(text_statistics(docs))
-    rules = learn_rules(statistics, labels, train_rows)
+    rules = learn_rules(statistics if whole is None else text_statistics(labelled_rows(whole, labels)), labels, train_rows)
     rule = rules.rule()
     return statistics.withColumn("rule", F.when(~F.col("base_failed"), rule)).select(
         "doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -224,6 +233,7 @@ def judge(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> D
     )
 
 
-def rule_filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those that the base test or the rules reject."""
-    return keep_rows(docs, judge(docs, labels).where("kept"))
+def rule_filtered(docs: DataFrame, labels: DataFrame, whole: DataFrame | None = None) -> DataFrame:
+    """``docs`` without those that the base test or the rules reject; the rules
+    are learned from ``whole`` if given."""
+    return keep_rows(docs, judge(docs, labels, whole=whole).where("kept"))

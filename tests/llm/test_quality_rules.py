@@ -58,6 +58,15 @@ def test_rules_recover_planted_thresholds_and_generalise(spark):
     assert all(r.low == (r.doc_id % 5 == 0) for r in held)
 
 
+def test_rules_come_from_the_whole_table(spark):
+    rows = [(i, "word " * 5 + " ".join(f"w{i}x{j}" for j in range(60)) + (" $$" * (12 if i % 5 == 0 else i % 3))) for i in range(600)]
+    whole = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0 if i % 5 == 0 else 1) for i in range(400)], "doc_id long, quality int")
+    left = whole.where("doc_id >= 400 or doc_id % 5 <> 0")  # an earlier stage took the labelled low ones
+    assert qr.rule_filtered(left, labels).count() == left.count()
+    assert {r.doc_id for r in qr.rule_filtered(left, labels, whole).collect()} == {i for i in range(600) if i % 5}
+
+
 def test_only_builtin_functions(spark, small):
     plan = op1_quality_rules(spark, small)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
