@@ -10,8 +10,10 @@ again and removes branches of low importance throughout, besides elements whose
 or role says that they are not the article, which have importance zero.
 
 Inside an ``article`` or ``main`` element running text (headings, paragraphs,
-lists, tables) is never removed for being frequent: sites repeat passages, and
-copies of a page are not boilerplate.
+lists, tables) is never removed for being frequent, nor is what contains it:
+sites repeat passages, and copies of a page are not boilerplate. Pages of equal
+content count once where a host has enough different ones, and a page never
+loses all of its text.
 """
 
 from __future__ import annotations
@@ -150,33 +152,42 @@ class Page:
 
     def main_text(self, unimportant: frozenset) -> str:
         """Blocks of the article, without branches named in ``unimportant``."""
-        keep = []
-        for path, text, noise, inside in self.blocks:
-            if noise or (self.has_article and not inside):
-                continue
-            if unimportant and _removed(path, inside, unimportant):
-                continue
-            keep.append(text)
-        return " ".join(keep)
+        found = self.content()
+        holders = {p for path, _, inside in found if inside for p in _holders(path)} if unimportant else ()
+        keep = [text for path, text, inside in found if not (unimportant and _removed(path, inside, unimportant, holders))]
+        return " ".join(keep or [text for _, text, _ in found])
+
+    def content(self) -> list[tuple]:
+        """``(path, text, in_article)`` of the blocks that may be main text."""
+        return [(path, text, inside) for path, text, noise, inside in self.blocks if not noise and (inside or not self.has_article)]
+
+
+def _holders(path: str) -> list[str]:
+    """The elements that contain the running element a block is in, if any."""
+    parts = path.split("/")
+    last = max((i for i, p in enumerate(parts) if p.split(".")[0] in RUNNING), default=0)
+    return ["/".join(parts[:i]) for i in range(2, last + 1)]
 
 
-def _removed(path: str, inside: bool, unimportant: frozenset) -> bool:
+def _removed(path: str, inside: bool, unimportant: frozenset, holders: set[str]) -> bool:
     parts = path.split("/")
     for i in range(len(parts), 1, -1):
-        if "/".join(parts[:i]) in unimportant:
+        branch = "/".join(parts[:i])
+        if branch in unimportant:
             tag = parts[i - 1].split(".")[0]
-            if not inside:
-                return True
-            if tag not in RUNNING and tag not in ("article", "main", "body", "html"):
+            if tag in ("article", "main", "body", "html"):
+                continue
+            if not inside or (tag not in RUNNING and branch not in holders):
                 return True
     return False
 
 
 def style_nodes(pages: DataFrame) -> DataFrame:
-    """``(host, path, kind, digest, l)``: per page one row for the content and
-    one for the child sequence of each style node."""
+    """``(host, page, path, kind, digest, l)``: per page one row for the content
+    and one for the child sequence of each style node; ``page`` is a digest of
+    all that may be main text."""
     bounded_batches(pages.sparkSession)
-    schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("kind", pa.string()), ("digest", pa.int64()), ("l", pa.int64())])
+    schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("path", pa.string()), ("kind", pa.string()), ("digest", pa.int64()), ("l", pa.int64())])
 
     def run(batches):
         for batch in batches:
@@ -184,27 +195,36 @@ def style_nodes(pages: DataFrame) -> DataFrame:
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 page = Page(source or "")
                 contents: dict[str, object] = {}
+                whole = xxhash.xxh64_intdigest("\n".join(f"{path}\t{text}" for path, text, _ in page.content()).encode("utf-8", "surrogatepass")) >> 1
                 for path, text, _, _ in page.blocks:
                     contents.setdefault(path, xxhash.xxh64(seed=0)).update(text.encode("utf-8", "surrogatepass") + b"\n")
-                rows += [(host, path, "c", h.intdigest() >> 1, 0) for path, h in contents.items()]
-                rows += [(host, path, "p", xxhash.xxh64_intdigest("|".join(names).encode()) >> 1, len(names)) for path, names in page.children.items() if path]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows) if rows else [()] * 5, schema)], schema=schema)
+                rows += [(host, whole, path, "c", h.intdigest() >> 1, 0) for path, h in contents.items()]
+                rows += [(host, whole, path, "p", xxhash.xxh64_intdigest("|".join(names).encode()) >> 1, len(names)) for path, names in page.children.items() if path]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows) if rows else [()] * 6, schema)], schema=schema)
 
-    return pages.select("host", "html").mapInArrow(run, "host string, path string, kind string, digest long, l long")
+    return pages.select("host", "html").mapInArrow(run, "host string, page long, path string, kind string, digest long, l long")
 
 
-def style_importance(nodes: DataFrame) -> DataFrame:
+def style_importance(nodes: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """``(host, path, importance, best, pages)`` of every style node; ``best``
     is the greatest content importance at or below it.
 
     Entropy is taken to the base of the number of pages that show the node, so
     it is 0 if all agree and 1 if all differ. Content counts for all ancestors,
-    by how many pages show it. Both sums combine before their shuffles.
+    by how many pages show it. All sums combine before their shuffles.
+
+    Pages of equal content count once in a node's entropy if ``min_pages``
+    different ones show it, else each counts.
     """
-    counted = nodes.groupBy("host", "path", "kind", "digest").agg(F.count(F.lit(1)).alias("n"), F.sum("l").alias("l"))
-    entropy = counted.groupBy("host", "path", "kind").agg(
-        F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"), F.sum("l").alias("l")
-    ).select("host", "path", "kind", "m", (F.col("l") / F.col("m")).alias("l"), F.when(F.col("m") > 1, 1 - F.col("s") / (F.col("m") * F.log("m"))).otherwise(1.0).alias("e"))
+    pages = nodes.groupBy("host", "path", "kind", "digest", "page").agg(F.count(F.lit(1)).alias("n"), F.sum("l").alias("l"))
+    counted = pages.groupBy("host", "path", "kind", "digest").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d"), F.sum("l").alias("l"))
+    sums = [a for c, m, s in (("n", "m", "s"), ("d", "md", "sd")) for a in (F.sum(c).alias(m), F.sum(F.col(c) * F.log(c)).alias(s))]
+
+    def evenness(m: str, s: str):
+        return F.when(F.col(m) > 1, 1 - F.col(s) / (F.col(m) * F.log(m))).otherwise(1.0)
+
+    e = F.when(F.col("md") >= min_pages, evenness("md", "sd")).otherwise(evenness("m", "s"))
+    entropy = counted.groupBy("host", "path", "kind").agg(*sums, F.sum("l").alias("l")).select("host", "path", "kind", "m", (F.col("l") / F.col("m")).alias("l"), e.alias("e"))
     steps = F.split("path", "/")
     up = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))
     content = (
@@ -238,7 +258,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
         F.col(html_col).alias("html"),
     )
     low = cut(
-        style_importance(style_nodes(rows)).where((F.greatest("importance", "best") < threshold) & (F.col("pages") >= min_pages))
+        style_importance(style_nodes(rows), min_pages).where((F.greatest("importance", "best") < threshold) & (F.col("pages") >= min_pages))
         .groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low"))
     )
     n = low.agg(F.sum(F.size("low") + 1)).first()[0] or 0

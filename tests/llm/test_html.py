@@ -46,3 +46,16 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert (found[200], found[201], found[202]) == ("", "", "Call us today")
     assert extract_main_text(pages).count() == len(rows)
     assert extract_main_text(pages.limit(0)).count() == 0
+
+
+def test_copies_do_not_cost_the_text(spark):
+    def wrapped(i, text):
+        return (i, f"http://a.example/{i}", f"<article><div class=body><p>{text}</p>bare {text}</div></article>")
+
+    rows = [wrapped(i, "Copied") for i in range(20)]
+    rows += [(100 + i, f"http://b.example/{i}", f"<article><section><div>Text {i if i < 12 else 0}</div></section></article>") for i in range(120)]
+    rows += [(300 + i, f"http://c.example/{i}", "<html><body><div><p>Plain</p></div></body></html>") for i in range(20)]
+    found = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[i] == "Copied bare Copied" for i in range(20))
+    assert all(found[100 + i] == f"Text {i if i < 12 else 0}" for i in range(120))
+    assert all(found[300 + i] == "Plain" for i in range(20))
