@@ -310,6 +310,13 @@ def auto_keep(spark, d):
     return tournament.auto_decisions(tournament.family_plan(rows, 4, "o_custkey", "o_orderkey"), "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey", "is_primary", "is_distinct")
 
 
+@query("""WITH r AS (SELECT o_custkey || '/' || o_orderpriority AS family, o_orderkey, count(*) OVER (PARTITION BY o_custkey, o_orderpriority) AS n, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS k FROM orders)
+SELECT family, o_orderkey, k = 1 AS is_primary, n > 1 AS is_distinct FROM r WHERE n <= greatest(1, ceil(n / 4.0::DOUBLE))""")
+def auto_keep_whole(spark, d):
+    rows = table(spark, d, "orders").select(F.concat_ws("/", F.col("o_custkey").cast("string"), "o_orderpriority").alias("family"), "o_orderkey")
+    return tournament.auto_decisions(tournament.family_plan(rows, 4, "family", "o_orderkey"), "family", "o_orderkey").select("family", "o_orderkey", "is_primary", "is_distinct")
+
+
 BATCH_SQL = """SELECT p_partkey, p_size, (row_number() OVER (ORDER BY p_name, p_partkey) - 1) AS place FROM part"""
 
 
