@@ -118,8 +118,9 @@ def back_filled(scores: DataFrame, finalists: DataFrame, n: int, cap: int, name:
     return own.unionByName(rest.select(name, F.col("final_place").cast("long")))
 
 
-def final_ranking(finalists: DataFrame, ranked: list[str] | Column, top: str | Column, n: int) -> DataFrame:
-    """One row ``(ranked_filenames, top_filename)`` from a model's answer.
+def final_ranking(finalists: DataFrame, ranked: list[str] | Column, top: str | Column, n: int, key: list[str] = ()) -> DataFrame:
+    """One row ``(ranked_filenames, top_filename)`` from a model's answer, or
+    one for each value of ``key``, which then comes first.
 
     ``finalists`` has filename and final_place. Invented and repeated names go;
     if none is left the first ``n`` finalists stand. A top that is valid stays
@@ -128,12 +129,12 @@ def final_ranking(finalists: DataFrame, ranked: list[str] | Column, top: str | C
     def lit_list(x):
         return x if isinstance(x, Column) else F.array(*map(F.lit, x)).cast("array<string>")
 
-    known = finalists.agg(F.transform(F.array_sort(F.collect_list(F.struct("final_place", "filename"))), lambda x: x["filename"]).alias("names"))
+    known = finalists.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("final_place", "filename"))), lambda x: x["filename"]).alias("names"))
     valid = F.slice(F.filter(F.array_distinct(lit_list(ranked)), lambda x: F.array_contains(F.col("names"), x)), 1, n)
     chosen = F.when(F.size(valid) > 0, valid).otherwise(F.slice("names", 1, n))
     top_ = top if isinstance(top, Column) else F.lit(top).cast("string")
     return known.withColumn("ranked_filenames", chosen).select(
-        "ranked_filenames", F.when(F.array_contains("names", top_), top_).otherwise(F.get("ranked_filenames", F.lit(0))).alias("top_filename")
+        *key, "ranked_filenames", F.when(F.array_contains("names", top_), top_).otherwise(F.get("ranked_filenames", F.lit(0))).alias("top_filename")
     )
 
 

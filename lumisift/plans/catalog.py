@@ -369,6 +369,21 @@ def final_rank_fallback(spark, d):
     return tournament.final_ranking(rows, answer, names[6], 10).select(F.array_join("ranked_filenames", "|").alias("ranked"), "top_filename")
 
 
+@query("""WITH b AS (SELECT p_name || '-' || p_partkey AS filename, p_partkey, (row_number() OVER (ORDER BY p_partkey) - 1) // 12 + 1 AS batch FROM part),
+n AS (SELECT batch, list(filename ORDER BY p_partkey) AS names FROM b GROUP BY batch),
+v AS (SELECT batch, names, CASE batch % 4 WHEN 0 THEN ['nobody'] ELSE ['nobody', names[5], names[3], names[5], names[9]] END AS asked, CASE batch % 3 WHEN 0 THEN 'nobody' ELSE names[7] END AS top FROM n),
+w AS (SELECT batch, names, top, list_filter(asked, lambda x, i: list_contains(names, x) AND list_position(asked, x) = i) AS ok FROM v),
+r AS (SELECT batch, names, top, CASE WHEN len(ok) > 0 THEN ok ELSE names[1:10] END AS ranked FROM w)
+SELECT batch, array_to_string(ranked, '|') AS ranked, CASE WHEN list_contains(names, top) THEN top ELSE ranked[1] END AS top_filename FROM r""")
+def final_rank_whole(spark, d):
+    rows = table(spark, d, "part").select(F.format_string("%09d.jpg", "p_partkey").alias("place_name"), F.concat("p_name", F.lit("-"), F.col("p_partkey").cast("string")).alias("filename"), F.col("p_partkey").alias("final_place"))
+    rows = tournament.batches(rows, 12, name="place_name").withColumn("batch", F.col("batch").cast("long"))
+    name = lambda i: F.get("names", F.lit(i))
+    answer = F.when(F.col("batch") % 4 == 0, F.array(F.lit("nobody"))).otherwise(F.array(F.lit("nobody"), name(4), name(2), name(4), name(8)))
+    top = F.when(F.col("batch") % 3 == 0, "nobody").otherwise(name(6))
+    return tournament.final_ranking(rows, answer, top, 10, ["batch"]).select("batch", F.array_join("ranked_filenames", "|").alias("ranked"), "top_filename")
+
+
 OVERRIDE_SQL = """WITH r AS (SELECT doc_id, lang AS base, CASE doc_id % 4 WHEN 0 THEN '{}' WHEN 1 THEN '{"image_type":null,"safe_edits":[]}' WHEN 2 THEN '{"image_type":"","safe_edits":["crop",""]}' ELSE '{"image_type":"new","safe_edits":null}' END AS j FROM documents)
 SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN base WHEN 1 THEN 'None' WHEN 2 THEN '' ELSE 'new' END AS image_type, CASE WHEN doc_id % 4 = 2 THEN 'crop' ELSE base END AS safe_edits FROM r"""
 
