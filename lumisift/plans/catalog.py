@@ -448,6 +448,14 @@ def detail_lookup(spark, d):
     return lookups.with_details(ranked, details).select("o_orderkey", "detail")
 
 
+@query("""SELECT o.o_orderkey, c.c_mktsegment AS detail FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey AND o.o_orderpriority <> '1-URGENT'""")
+def detail_lookup_whole(spark, d):
+    name = F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("unknown"), F.col("o_custkey").cast("string"))).otherwise(F.col("o_custkey").cast("string"))
+    ranked = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("07_"), name).alias("filename"))
+    details = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("filename"), F.col("c_mktsegment").alias("detail"), F.col("c_custkey").alias("pos"))
+    return lookups.with_details(ranked, details).select("o_orderkey", "detail")
+
+
 @query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
 def skip_existing(spark, d):
     images = table(spark, d, "customer").select("c_custkey", F.concat(F.col("c_custkey").cast("string"), F.lit(".jpg")).alias("filename"))
