@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keep_rows, let, small_side, trimmed_split
+from .common import free_name, let, small_side, stored, trimmed_split
 
 BREAKS = r"[\x20\x09-\x0D]+"
 SHINGLE = 8
@@ -30,15 +30,9 @@ FEATURES = ("words", "mean_length", "symbol_rate", "dup_line_share", "repeat_sha
 def _repeated(words: Column) -> Column:
     """How many words lie in an 8-word window that the text has twice or more.
 
-    Windows are compared by 64-bit hashes, made by doubling from word hashes.
+    Windows are compared by 64-bit hashes; places are looked at only in texts
+    in which two hashes agree.
     """
-    def doubled(hashes: Column, k: int) -> Column:
-        return let(hashes, lambda h: F.when(F.size(h) > k, F.transform(F.sequence(F.lit(0), F.size(h) - k - 1), lambda i: F.xxhash64(h[i], h[i + k]))).otherwise(F.array().cast("array<bigint>")))
-
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    for k in (1, 2, 4):
-        hashes = doubled(hashes, k)
-
     def places(sorted_: Column) -> Column:
         twin = F.transform(sorted_, lambda x, i: F.when((F.get(sorted_, i - 1)["h"] == x["h"]) | (F.get(sorted_, i + 1)["h"] == x["h"]), x["i"]))
         return F.sort_array(F.filter(twin, lambda i: i.isNotNull()))
@@ -53,34 +47,54 @@ def _repeated(words: Column) -> Column:
         pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(F.aggregate(let(pairs, places), zero, covered, lambda a: a["n"]))
 
-    return let(hashes, count)
+    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - SHINGLE + 1), lambda i: F.xxhash64(F.slice(words, i, SHINGLE)))
+    return F.when(F.size(words) > SHINGLE, let(hashes, count)).otherwise(0)
+
+
+#: Names of the base statistics, in the order of the contract.
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def _statistics(text: Column) -> Column:
+    """A struct of BASE, base_failed and the learner's ``features``. Word and
+    line arrays live only while their row is evaluated."""
+    def rates(x: Column) -> Column:
+        n, chars, lines = (F.greatest(F.lit(1.0), x[c].cast("double")) for c in ("n_words", "word_chars", "n_lines"))
+        values = {
+            "words": x["n_words"], "mean_length": x["word_chars"] / n, "symbol_rate": x["n_symbols"] / n, "dup_line_share": x["n_dup_lines"] / lines,
+            "repeat_share": x["n_repeat_words"] / n, "upper_share": x["n_upper"] / chars, "digit_share": x["n_digits"] / chars,
+            "mark_rate": x["n_marks"] / n, "distinct_share": x["n_distinct"] / n,
+        }
+        failed = (x["n_words"] < 20) | (100 * x["n_repeat_words"] > 30 * x["n_words"])
+        return F.struct(*[x[c].alias(c) for c in BASE], failed.alias("base_failed"), F.array(*[values[f].cast("double") for f in FEATURES]).alias("features"))
+
+    def counts(w: Column, lines: Column) -> Column:
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+            F.size(lines).alias("n_lines"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+            _repeated(w).cast("long").alias("n_repeat_words"), F.size(F.array_distinct(w)).alias("n_distinct"),
+            F.regexp_count(text, F.lit(r"\p{Lu}")).alias("n_upper"), F.regexp_count(text, F.lit("[0-9]")).alias("n_digits"),
+            F.regexp_count(text, F.lit(r"\p{P}")).alias("n_marks"),
+        )
+
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return let(let(trimmed_split(text, BREAKS), lambda w: let(lines, lambda x: counts(w, x))), rates)
+
+
+def with_statistics(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with the struct column ``name`` of its texts' statistics. A
+    generator makes it, so that tests of its fields are never pushed below it
+    and evaluated anew."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select("*", F.explode(F.array(_statistics(text))).alias(name))
 
 
 def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, text_hash, n_words, word_chars, n_symbols, n_dup_lines,
+    """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed and the learner's statistics ``features``."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), text.alias("t"), trimmed_split(text, BREAKS).alias("w"), lines.alias("lines"))
-    rows = rows.select(
-        "doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        F.size("lines").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        _repeated(F.col("w")).cast("long").alias("n_repeat_words"), F.size(F.array_distinct("w")).alias("n_distinct"),
-        F.regexp_count("t", F.lit(r"\p{Lu}")).alias("n_upper"), F.regexp_count("t", F.lit("[0-9]")).alias("n_digits"),
-        F.regexp_count("t", F.lit(r"\p{P}")).alias("n_marks"),
-    )
-    n, chars, lines_ = (F.greatest(F.lit(1.0), F.col(c).cast("double")) for c in ("n_words", "word_chars", "n_lines"))
-    values = {
-        "words": F.col("n_words"), "mean_length": F.col("word_chars") / n, "symbol_rate": F.col("n_symbols") / n, "dup_line_share": F.col("n_dup_lines") / lines_,
-        "repeat_share": F.col("n_repeat_words") / n, "upper_share": F.col("n_upper") / chars, "digit_share": F.col("n_digits") / chars,
-        "mark_rate": F.col("n_marks") / n, "distinct_share": F.col("n_distinct") / n,
-    }
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return rows.select(
-        "doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        F.array(*[values[f].cast("double") for f in FEATURES]).alias("features"),
-    )
+    rows = with_statistics(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "s")
+    return rows.select("doc_id", "s.*")
 
 
 @dataclass(frozen=True)
@@ -94,8 +108,8 @@ class Condition:
         b = F.col("bins")[self.feature]
         return b > self.bin if self.above else b <= self.bin
 
-    def on_features(self) -> Column:
-        x = F.col("features")[self.feature]
+    def on_features(self, features: Column) -> Column:
+        x = features[self.feature]
         return x > self.edge if self.above else x <= self.edge
 
     def __str__(self) -> str:
@@ -117,9 +131,10 @@ class DecisionList:
             out = F.when(cond, i) if out is None else out.when(cond, i)
         return F.lit(None).cast("int") if out is None else out
 
-    def rule(self) -> Column:
+    def rule(self, features: Column | None = None) -> Column:
         """The number of the first rule that covers a row of statistics."""
-        return self._first(Condition.on_features)
+        values = F.col("features") if features is None else features
+        return self._first(lambda c: c.on_features(values))
 
     def covered_bins(self) -> Column:
         return self._first(Condition.on_bins).isNotNull()
@@ -132,7 +147,7 @@ def _gain(p: float, n: float, p0: float, n0: float) -> float:
     return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else 0.0
 
 
-def _best(counts: list, rule: list[Condition], edges: list[list[float]]) -> Condition | None:
+def _best(counts: list, edges: list[list[float]]) -> Condition | None:
     """The condition with the best gain, from counts per statistic and bin."""
     by: dict[int, dict[int, tuple[int, int]]] = {}
     for r in counts:
@@ -150,7 +165,7 @@ def _best(counts: list, rule: list[Condition], edges: list[list[float]]) -> Cond
 
 
 def learn_rules(
-    statistics: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, max_rules: int = 8, max_conditions: int = 3,
+    statistics: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS,
     precision: float = 0.95, min_cover: int = 5, id_col: str = "doc_id", label_col: str = "quality",
 ) -> DecisionList:
     """Learn from ``statistics`` joined with ``labels`` (1 good, 0 low); rows
@@ -158,13 +173,14 @@ def learn_rules(
 
     A rule joins the list if, on the pruning third, it covers at least
     ``min_cover`` low-quality rows and ``precision`` of what it covers is low.
-    Without labelled rows of both kinds the list is empty.
+    Without labelled rows of both kinds the list is empty. Growing ends when no
+    condition gains, covering when a rule is not worth adding.
     """
     known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("label_id"), (F.col(label_col) == 0).cast("int").alias("bad"))
     total = known.count()
     if total > train_rows:
         known = known.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 31)) < int(train_rows / total * (1 << 31)))
-    rows = cut(statistics.where(~F.col("base_failed")).join(known, F.col("doc_id") == F.col("label_id")).select("features", "bad", F.pmod(F.xxhash64("label_id", F.lit(7)), F.lit(3)).alias("fold")))
+    rows = stored(statistics.where(~F.col("base_failed")).join(known, F.col("doc_id") == F.col("label_id")).select("features", "bad", F.pmod(F.xxhash64("label_id", F.lit(7)), F.lit(3)).alias("fold")), "labelled")
     # candidate thresholds: midway between quantiles of the low and the good rows
     share = [k / 24 for k in range(1, 24)] + [0.005, 0.01, 0.02, 0.98, 0.99, 0.995]
     quantiles = rows.groupBy("bad").agg(*[F.percentile_approx(F.col("features")[i], share, 2000).alias(f"q{i}") for i in range(len(FEATURES))]).collect()
@@ -177,15 +193,15 @@ def learn_rules(
         return F.size(F.filter(F.array(*map(F.lit, edges[i])), lambda v: v < F.col("features")[i])) if edges[i] else F.lit(0)
 
     bins = F.array(*[binned(i) for i in range(len(FEATURES))])
-    rows = cut(rows.select(bins.alias("bins"), "bad", "fold"))
+    rows = stored(rows.select(bins.alias("bins"), "bad", "fold"), "binned")
     grow, prune = rows.where("fold < 2"), rows.where("fold = 2")
     found = DecisionList()
-    while len(found.rules) < max_rules:
+    while True:
         rule: list[Condition] = []
         left, check = grow.where(~found.covered_bins()), prune.where(~found.covered_bins())
-        while len(rule) < max_conditions:
+        while True:
             counts = left.select(F.posexplode("bins").alias("f", "b"), "bad").groupBy("f", "b").agg(F.sum("bad").alias("bad"), F.sum(1 - F.col("bad")).alias("good")).collect()
-            best = _best(counts, rule, edges)
+            best = _best(counts, edges)
             if best is None:
                 break
             rule.append(best)
@@ -208,32 +224,38 @@ def learn_rules(
 
 def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``docs`` that have a label."""
-    known = cut(labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("label_id")).distinct())
+    known = stored(labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("label_id")).distinct(), "labels")
     return docs.join(small_side(known, known.count()), F.col("doc_id") == F.col("label_id"), "left_semi")
 
 
-def judge(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, whole: DataFrame | None = None) -> DataFrame:
-    """Per row: doc_id, text_hash, n_words, word_chars, n_symbols, n_dup_lines,
+def judge(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, and rule (the first that covers it).
 
-    ``kept`` is false if the base test fails, else the list's verdict. A null
-    or wordless text has zeros and fails the base test. Repeated rows and null
-    ids are judged like others. Other columns are not looked at. An empty table
-    gives an empty result, and empty labels an empty list.
-
-    The list is learned from ``docs`` or, if given, from the labelled rows of
-    ``whole``, the table that ``docs`` was filtered from.
+    ``kept`` is false if the base test fails, else the list's verdict. A null,
+    empty or wordless text has zeros and fails the base test. A very long text
+    is judged whole: what a row needs grows with its own length alone.
+    Repeated rows and null ids are judged like others; ids that are labelled
+    twice count twice. Other columns are not looked at. An empty table gives
+    an empty result, and empty labels an empty list.
     """
-    statistics = cut(text_statistics(docs))
-    rules = learn_rules(statistics if whole is None else text_statistics(labelled_rows(whole, labels)), labels, train_rows)
-    rule = rules.rule()
+    statistics = stored(text_statistics(docs), "statistics")
+    rule = learn_rules(statistics, labels, train_rows).rule()
     return statistics.withColumn("rule", F.when(~F.col("base_failed"), rule)).select(
-        "doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"), "rule",
+        "doc_id", *BASE, "base_failed", (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"), "rule",
     )
 
 
 def rule_filtered(docs: DataFrame, labels: DataFrame, whole: DataFrame | None = None) -> DataFrame:
-    """``docs`` without those that the base test or the rules reject; the rules
-    are learned from ``whole`` if given."""
-    return keep_rows(docs, judge(docs, labels, whole=whole).where("kept"))
+    """``docs`` without those that the base test or the rules reject. The list
+    is learned from the labelled rows of ``whole``, the table that ``docs`` was
+    filtered from, or of ``docs``.
+
+    Texts are read once and stay in their rows. Nulls, ties, repeated rows,
+    very long texts and empty tables: as in ``judge``.
+    """
+    rules = learn_rules(text_statistics(labelled_rows(docs if whole is None else whole, labels)), labels)
+    s = free_name(docs, "statistics")
+    rows = with_statistics(docs, s)
+    covered = rules.rule(F.col(s)["features"]).isNotNull()
+    return rows.where(~F.col(s)["base_failed"] & ~covered).select(*docs.columns)

@@ -70,3 +70,24 @@ def test_rules_come_from_the_whole_table(spark):
 def test_only_builtin_functions(spark, small):
     plan = op1_quality_rules(spark, small)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_rules_join_conditions(spark):
+    """Low rows lie in a corner that no single threshold cuts out."""
+    rows = [(i, float(i % 10), float(i // 10 % 10)) for i in range(1500)]
+    features = [F.when(F.lit(k) == 2, F.col("a")).when(F.lit(k) == 5, F.col("b")).otherwise(0.0) for k in range(len(qr.FEATURES))]
+    statistics = spark.createDataFrame(rows, "doc_id long, a double, b double").select("doc_id", F.lit(False).alias("base_failed"), F.array(*features).alias("features"))
+    labels = spark.createDataFrame([(i, 0 if a > 5 and b > 6 else 1) for i, a, b in rows if i < 1000], "doc_id long, quality int")
+    rules = qr.learn_rules(statistics, labels)
+    assert any(len(rule) > 1 for rule in rules.rules)
+    low = {r.doc_id for r in statistics.where(rules.rule().isNotNull()).select("doc_id").collect()}
+    assert low == {i for i, a, b in rows if a > 5 and b > 6}
+
+
+def test_verdicts_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    out = qr.judge(docs, labels.where("doc_id % 2 = 0"))
+    held = out.where("NOT base_failed").join(labels.where("doc_id % 2 = 1"), "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("kept"), F.count(F.lit(1)).alias("n")).collect()
+    kept = {r.quality: r.kept for r in held}
+    assert kept[1] >= 0.99 and kept[0] <= 0.05
