@@ -52,6 +52,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def table_path(df: DataFrame) -> str:
+    """The folder of a table that ``stored`` returned."""
+    return df.inputFiles()[0].rsplit("/", 1)[0]
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` does not have, in any case."""
     taken = {c.lower() for c in df.columns}
@@ -69,6 +74,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """The size of ``df`` as the optimiser estimates it, without a job; 0 if it
+    has no idea."""
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if n < 1 << 60 else 0
+
+
 def small_side(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if its counted ``rows`` are within ``bound``."""
     return F.broadcast(df) if rows <= bound else df

@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, filesystem, fresh_path, shuffle_partitions
+from .common import bounded_batches, cut, filesystem, fresh_path, plan_bytes, shuffle_partitions
 from .tokens import END_ID, VOCABULARY, encoder
 
 MAGIC = b"LSS8B001"
 BLOCK = 1024
 #: Blocks coded or decoded at once.
 GROUP = 512
+#: Bytes of input, as the plan estimates them, that make one file at most.
+FILE_BYTES = 256 << 20
 # Ids per word and bits per id of the selectors; 0 is the escape.
 COUNTS = (1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BITS = (64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
@@ -134,38 +136,41 @@ class Writer:
 
     def __init__(self, out, block: int = BLOCK):
         self.out, self.block = out, block
-        self.held: list[bytes] = []
+        self.held: list[np.ndarray] = []
         self.n_held = self.n = self.words = 0
         self.offsets, self.ids, self.valid, self.lengths = [np.zeros(1, np.uint64)], [], [], []
         out.write(MAGIC)
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        """``ids``: little-endian unsigned 32-bit integers."""
-        self.ids.append(doc_id or 0)
-        self.valid.append(doc_id is not None)
-        self.lengths.append(len(ids) // 4)
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Documents in turn: the ids of all, and how many are whose."""
+        self.ids.append(np.array([i or 0 for i in doc_ids], dtype="<i8"))
+        self.valid.append(np.array([i is not None for i in doc_ids], dtype="u1"))
+        self.lengths.append(lengths.astype("<u8"))
         self.held.append(ids)
-        self.n_held += len(ids) // 4
+        self.n_held += len(ids)
         if self.n_held >= GROUP * self.block:
             self._flush(self.n_held // self.block * self.block)
 
     def _flush(self, n: int) -> None:
-        data = np.frombuffer(b"".join(self.held), dtype="<u4")
+        data = np.concatenate(self.held)
         for at in range(0, n, GROUP * self.block):
             words, counts = encode_blocks(data[at:min(n, at + GROUP * self.block)].astype(np.uint64), self.block)
             self.out.write(words.astype("<u8").tobytes())
             self.offsets.append(self.words + np.cumsum(counts).astype(np.uint64))
             self.words += len(words)
         self.n += n
-        self.held, self.n_held = [data[n:].tobytes()], self.n_held - n
+        self.held, self.n_held = [data[n:].copy()], self.n_held - n
 
     def close(self) -> tuple[int, int]:
         if self.n_held:
             self._flush(self.n_held)
         offsets = np.concatenate(self.offsets).astype("<u8")
-        self.out.write(offsets.tobytes() + np.array(self.ids, dtype="<i8").tobytes() + np.array(self.valid, dtype="u1").tobytes())
-        self.out.write(np.array(self.lengths, dtype="<u8").tobytes() + np.array([self.n, len(offsets) - 1, len(self.ids)], dtype="<u8").tobytes() + MAGIC)
-        return len(self.ids), self.n
+        docs = sum(map(len, self.lengths))
+        for column in ([offsets], self.ids, self.valid, self.lengths, [np.array([self.n, len(offsets) - 1, docs], dtype="<u8")]):
+            for part in column:
+                self.out.write(part.tobytes())
+        self.out.write(MAGIC)
+        return docs, self.n
 
 
 class Reader:
@@ -214,21 +219,24 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     over the files; returns ``(seq, part, docs, tokens)``, one row per file."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    end = END_ID.to_bytes(4, "little")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    # a hash parts rows that share an id, null ids among them
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    parts = max(shuffle_partitions(spark), plan_bytes(rows) // FILE_BYTES)
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
 
     def run(batches):
         fs, base = filesystem(folder)
-        task, encode, writer = TaskContext.get(), encoder(vocabulary).encode, None
+        task, tokens, writer = TaskContext.get(), encoder(vocabulary), None
         seq = task.partitionId()
         name, temp = f"{base}/part-{seq:06d}.s8b", f"{base}/_{seq:06d}-{task.taskAttemptId()}"
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            doc_ids = batch.column(0).to_pylist()
+            for at, ids, lengths in tokens.encode_column(batch.column(1), END_ID):
                 if writer is None:
                     fs.create_dir(base, recursive=True)
                     writer = Writer(fs.open_output_stream(temp, compression=None))
-                writer.add(doc_id, encode(text.as_py()) + end)
+                writer.add(doc_ids[at:at + len(lengths)], ids, lengths)
         if writer is not None:
             n_docs, n = writer.close()
             writer.out.close()
@@ -273,8 +281,10 @@ def store_documents(docs: DataFrame, folder: str | None = None, vocabulary: str
     document doc_id, start, n_tokens (with the end id) and ids_crc32.
 
     A null or empty text has its end id alone; null ids come first; rows with
-    equal ids follow each other in the order of their texts. Extra columns are
-    ignored. An empty table writes no file and gives an empty result.
+    equal ids follow each other in the order of their texts' hashes, equal rows
+    each by itself. A very long text is coded whole, block by block. Extra
+    columns are ignored. An empty table writes no file and gives an empty
+    result.
     """
     folder = folder or fresh_path(docs.sparkSession, "tokens")
     return read_tokens(write_tokens(docs, folder, vocabulary=vocabulary), folder)

@@ -2,28 +2,40 @@
 
 BPE merges never cross pre-tokens, and a single space between two characters
 that are not white space always begins a pre-token. Texts are therefore cut
-before such spaces, and each distinct chunk and pre-token is encoded once by
-the library and remembered, up to a fixed number of entries. The ids are those
-of ``Tokenizer.encode(text, add_special_tokens=False)``.
+before such spaces, a batch at a time: each distinct chunk is encoded once by
+the library and remembered, up to a fixed number of entries, and the ids of a
+batch are gathered from there as vectors. The ids are those of
+``Tokenizer.encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
 
 import re
-import sys
-from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import CharDelimiterSplit
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
-#: Remembered chunks and pre-tokens per worker; when full, a memo starts anew.
-MEMO = 500_000
+#: Remembered chunks per worker; when full, the memo starts anew.
+MEMO = 600_000
+#: Bytes of texts that are cut and gathered at once; a longer text goes alone.
+SPAN = 4 << 20
+#: Characters that the library encodes at once.
+JOINED = 1 << 16
 
-_TWO_SPACES = re.compile(r"\s\s")
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: White space of any notion, so that doubtful texts take the plain path.
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+_DOUBTFUL = f"^{_SPACE}|{_SPACE}$|{_SPACE}{_SPACE}|\\x1f"
+#: Marks between a letter and a space are a pre-token of their own.
+_MARK = r"(\pL)([^\s\x0b\x1c-\x1f\x{85}\pZ\pL\pN]+)( |$)"
+_JOINABLE = re.compile(r"\n?[^\s\x1c-\x1f]+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -34,85 +46,154 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class _Memo(dict):
-    """Values by key, made when missing. Two generations of half the size: what
-    was used since the last turn outlives it."""
+def _ids(tokenizer: Tokenizer, text: str) -> np.ndarray:
+    return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
 
-    def __init__(self, make, most: int):
-        super().__init__()
-        self._make, self._half, self._old = make, max(1, most // 2), {}
 
-    def __missing__(self, key):
-        value = self._old.get(key)
-        if value is None:
-            value = self._make(key)
-        if len(self) >= self._half:
-            self._old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
+def _groups(chunks: list[str]) -> Iterator[list[str]]:
+    """Runs of chunks of about JOINED characters."""
+    group, held = [], 0
+    for chunk in chunks:
+        group.append(chunk)
+        held += len(chunk) + 1
+        if held >= JOINED:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
 
 
 class Encoder:
     def __init__(self, path: str = VOCABULARY, memo: int = MEMO):
         self._tokenizer = Tokenizer.from_file(path)
-        self._model = self._tokenizer.model
-        plain = type(self._tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self._tokenizer.normalizer is None
+        self._most = memo
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._chunked = plain and not any(re.search(r"\s", s) for s in self._special)
+        byte_level = type(self._tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self._tokenizer.normalizer is None
+        self._chunked = byte_level and not any(re.search(r"\s", s) for s in self._special)
+        # a space is written as this letter, so a token that begins with it begins a chunk
+        vocabulary = self._tokenizer.get_vocab()
+        self._begins = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self._begins[[i for token, i in vocabulary.items() if token[0] == "Ġ"]] = True
+        # words of letters alone are one pre-token each: written in the model's
+        # alphabet they need no pre-tokenising but at spaces
         self._letters = _byte_letters()
-        self._first = _Memo(self._chunk, memo // 4)
-        self._later = _Memo(self._spaced, memo)
-        self._marks = {m: self._merge(m) for m in ".,"} if plain else {}
-        self._newline = self._merge(self._letters[10]) if plain else b""
-
-    def _bytes(self, ids) -> bytes:
-        out = array("I", ids)
-        if sys.byteorder == "big":
-            out.byteswap()
-        return out.tobytes()
-
-    def _merge(self, letters: str) -> bytes:
-        return self._bytes([t.id for t in self._model.tokenize(letters)])
-
-    def _word(self, word: str) -> bytes:
-        """A space or none, then letters: one pre-token."""
-        return self._merge(word.encode().decode("latin-1").translate(self._letters))
-
-    def _chunk(self, chunk: str) -> bytes:
-        """Any chunk, as it stands."""
-        if chunk.isalpha():
-            return self._word(chunk)
-        mark = self._marks.get(chunk[-1:])
-        if mark and chunk[:-1].isalpha():
-            return self._word(chunk[:-1]) + mark
-        return b"".join([self._merge(letters) for letters, _ in self._tokenizer.pre_tokenizer.pre_tokenize_str(chunk)])
-
-    def _spaced(self, chunk: str) -> bytes:
+        self._words = Tokenizer(self._tokenizer.model)
+        self._words.pre_tokenizer = CharDelimiterSplit(" ")
+        self._reset()
+
+    def _reset(self) -> None:
+        self._slots: dict[str, int] = {}  # chunk -> its place in _start and _size
+        self._start, self._size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self._pool, self._used, self._n = np.zeros(1 << 16, np.uint32), 0, 0
+
+    def _put(self, ids: np.ndarray, sizes: np.ndarray) -> int:
+        """Append entries to the pool; returns the place of the first."""
+        n, m = len(sizes), len(ids)
+        while self._used + m > len(self._pool):
+            self._pool = np.concatenate([self._pool, np.zeros_like(self._pool)])
+        while self._n + n > len(self._start):
+            self._start, self._size = (np.concatenate([x, np.zeros_like(x)]) for x in (self._start, self._size))
+        first = self._n
+        self._pool[self._used:self._used + m] = ids
+        self._size[first:first + n] = sizes
+        self._start[first:first + n] = self._used + np.cumsum(sizes) - sizes
+        self._used, self._n = self._used + m, first + n
+        return first
+
+    def _plain(self, text: str) -> np.ndarray:
+        return _ids(self._tokenizer, text)
+
+    def _spaced(self, chunk: str) -> np.ndarray:
         """A chunk after a space; one that begins with a line feed stands for
-        that line feed, without the space, and what follows."""
-        if chunk.isalpha():
-            return self._word(" " + chunk)
-        if chunk[:1] == "\n":
-            return self._newline + self._first[chunk[1:]]
-        mark = self._marks.get(chunk[-1:])
-        if mark and chunk[:-1].isalpha():
-            return self._later[chunk[:-1]] + mark
-        return self._chunk(" " + chunk)
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers; none for null."""
-        if not text:
-            return b""
-        if not self._chunked or any(s in text for s in self._special):
-            return self._bytes(self._tokenizer.encode(text, add_special_tokens=False).ids)
-        if text[0] == " " or text[-1] == " " or _TWO_SPACES.search(text):
-            first, *rest = _SAFE.split(text)
-            return b"".join(map(self._first.__getitem__, [first, *(" " + w for w in rest)]))
-        # every white space stands between two other characters: a line feed is
-        # a pre-token of its own
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return self._first[first] + b"".join(map(self._later.__getitem__, rest))
+        that line feed, without the space, and what follows, and one that
+        begins with a unit separator for what follows."""
+        return self._plain(chunk.removeprefix("\x1f") if chunk[:1] in "\n\x1f" else " " + chunk)
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Remember chunks that stand after a space, many encoded at once."""
+        alone, words, others = [], [], []
+        for chunk in chunks:
+            (words if chunk.isalpha() else others if _JOINABLE.fullmatch(chunk) else alone).append(chunk)
+        for group in _groups(words):
+            text = "\r " + "\r ".join(group)  # a return stands for the end of a chunk
+            letters = text.encode().decode("latin-1").translate(self._letters).replace(self._letters[13] + self._letters[32], " " + self._letters[32])
+            self._enter(group, _ids(self._words, letters[1:]), None, alone)
+        for group in _groups(others):
+            self._enter(group, self._plain(" " + " ".join(group)), np.array([c[0] == "\n" for c in group]), alone)
+        for chunk in alone:
+            ids = self._spaced(chunk)
+            self._slots[chunk] = self._put(ids, np.array([len(ids)]))
+
+    def _enter(self, group: list[str], ids: np.ndarray, lines: np.ndarray | None, alone: list[str]) -> None:
+        """Remember the chunks of ``group``, whose ids follow each other. Where
+        ``lines``, the space before a line feed is not the text's."""
+        at = np.flatnonzero(self._begins[ids])
+        if len(at) != len(group) or at[0]:
+            alone.extend(group)
+            return
+        sizes = np.diff(np.append(at, len(ids)))
+        if lines is not None:
+            ids, sizes = np.delete(ids, at[lines]), sizes - lines
+        first = self._put(ids, sizes)
+        self._slots.update(zip(group, range(first, first + len(group))))
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """The ids of one text as the library gives them; none for null."""
+        return self._plain(text or "")
+
+    def encode_column(self, texts: pa.Array, end: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """``(first row, ids, ids per text)`` for runs of rows of a string
+        array, each text followed by ``end`` if given. Null is empty."""
+        if not len(texts):
+            return
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        row = 0
+        while row < len(texts):
+            before = sizes[row - 1] if row else 0
+            stop = max(row + 1, int(np.searchsorted(sizes, before + SPAN, side="right")))
+            yield (row, *self._span(pc.fill_null(texts.slice(row, stop - row), ""), end))
+            row = stop
+
+    def _span(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        if self._n >= self._most:
+            self._reset()
+        if self._chunked:
+            odd = pc.match_substring_regex(texts, _DOUBTFUL)
+            for s in self._special:
+                odd = pc.or_(odd, pc.match_substring(texts, s))
+            odd = odd.to_numpy(zero_copy_only=False)
+        else:
+            odd = np.ones(len(texts), dtype=bool)
+        whole = {int(i): self._plain(texts[int(i)].as_py()) for i in np.flatnonzero(odd)}
+        if whole:
+            texts = pc.if_else(pa.array(odd), "", texts)
+        texts = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " \n"), _MARK, "\\1 \x1f\\2\\3")
+        lists = pc.split_pattern(texts, " ")
+        offsets = np.asarray(lists.offsets, dtype=np.int64)
+        offsets, chunks = offsets - offsets[0], lists.flatten()
+        coded = chunks.dictionary_encode()
+        kinds = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        firsts = offsets[:-1]
+        later = np.ones(len(index), dtype=bool)
+        later[firsts] = False
+        used = np.zeros(len(kinds), dtype=bool)
+        used[index[later]] = True
+        self._learn([kinds[k] for k in np.flatnonzero(used) if kinds[k] not in self._slots])
+        slot = np.fromiter((self._slots.get(k, 0) for k in kinds), dtype=np.int64, count=len(kinds))[index]
+        kept = self._n, self._used
+        # entries of this span alone: texts' first chunks, whole texts, the end id
+        own = [whole.get(i) if i in whole else self._plain(kinds[index[at]]) for i, at in enumerate(firsts)]
+        slot[firsts] = self._put(np.concatenate(own), np.array([len(x) for x in own])) + np.arange(len(own))
+        if end is not None:
+            slot = np.insert(slot, offsets[1:], self._put(np.array([end], np.uint32), np.array([1])))
+            offsets = offsets + np.arange(len(offsets))
+        size = self._size[slot]
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        place = np.repeat(self._start[slot] - bounds[:-1], size) + np.arange(bounds[-1])
+        ids = self._pool[place]
+        self._n, self._used = kept
+        return ids, np.diff(bounds[offsets])
 
 
 @lru_cache(maxsize=2)

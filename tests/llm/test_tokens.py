@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -25,21 +26,35 @@ def crc(values):
     return zlib.crc32(np.array(values, dtype="<u4").tobytes())
 
 
-def decoded(data):
-    return np.frombuffer(data, "<u4").tolist()
+def batched(texts, own=None):
+    """Ids of each text by the vectorised way, with the end id."""
+    out = []
+    for first, values, lengths in (own or encoder()).encode_column(pa.array(texts, pa.string()), 2):
+        assert first == len(out)
+        out += [x.tolist() for x in np.split(values, np.cumsum(lengths)[:-1])]
+    return out
+
+
+TEXT = st.one_of(st.text(), st.text(" \n\t\r\x0b\x1c\x85\xa0 abZé9.,'s<|endoftext|>中", max_size=40), st.lists(st.sampled_from(["<|endoftext|>", " ", "  ", "foo", "Été,", "don't", "\n", "x.", "12", "　", "Ġ", "\nĠx"]), max_size=9).map("".join))
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.one_of(st.text(), st.text(" \n\t\r\x0b\x1c\x85\xa0 abZé9.,'s<|endoftext|>中", max_size=40), st.lists(st.sampled_from(["<|endoftext|>", " ", "  ", "foo", "Été,", "don't", "\n", "x.", "12", "　"]), max_size=9).map("".join)))
-def test_memoised_ids_are_the_librarys(text):
-    text = text.encode("utf-8", "ignore").decode()
-    assert decoded(encoder().encode(text)) == ids(text)
+@given(st.lists(st.one_of(st.none(), TEXT, st.lists(TEXT.map(str.strip), max_size=6).map(" ".join)), max_size=8))
+def test_memoised_ids_are_the_librarys(texts):
+    texts = [x and x.encode("utf-8", "ignore").decode() for x in texts]
+    assert batched(texts) == [ids(x) + [2] for x in texts]
 
 
 def test_a_full_memo_starts_anew():
     small = Encoder(memo=16)
-    words = " ".join(f"word{i}, and thing{i % 7}." for i in range(300))
-    assert decoded(small.encode(words)) == ids(words)
+    for k in range(3):
+        words = [" ".join(f"word{i}, and\nthing{i % 7}." for i in range(k, 300)), None, "a\tb c"]
+        assert batched(words, small) == [ids(x) + [2] for x in words]
+
+
+def test_spans_and_very_long_texts():
+    texts = ["lone " * 30, "of many words, " * 400_000, "x" * 200_000, ""]
+    assert batched(texts) == [ids(x) + [2] for x in texts]
 
 
 @settings(max_examples=150, deadline=None)
@@ -65,7 +80,7 @@ def test_writer_reader_round_trip():
     sink = pa.BufferOutputStream()
     w = ts.Writer(sink, 64)
     for doc_id, values in docs:
-        w.add(doc_id, np.array(values, dtype="<u4").tobytes())
+        w.add([doc_id], np.array(values, dtype=np.uint32), np.array([len(values)]))
     assert w.close() == (60, sum(len(v) for _, v in docs))
     data = sink.getvalue()
     reader = ts.Reader(pa.BufferReader(data), data.size)
@@ -77,7 +92,11 @@ def test_writer_reader_round_trip():
 
 
 def stored(rows):
-    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    def place(row):
+        hashed = 42 if row[1] is None else xxhash.xxh64_intdigest(row[1].encode(), 42)
+        return (row[0] is not None, row[0] or 0, hashed - (1 << 64) * (hashed >> 63))
+
+    rows = sorted(rows, key=place)
     out, start = [], 0
     for doc_id, text in rows:
         x = ids(text) + [2]
