@@ -3,8 +3,9 @@
 Each packer keeps a fixed number of open bins in lists by free space, with a
 bitset of the free spaces in use: the tightest bin that fits is the lowest set
 bit at or above a piece's length. If all bins are open and none fits, the
-fullest closes. Pieces reach a packer from long to short, so a packer's result
-depends on its rows alone.
+fullest closes. A packer places its pieces one by one as they come, but they
+are sorted from long to short first, so its result depends on its rows alone
+and is a best-fit decreasing one as long as no bin has to close.
 """
 
 from __future__ import annotations
@@ -75,19 +76,21 @@ def token_pieces(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     """Pieces of at most ``length`` ids of every document with its end id; with
     ``with_ids`` also their ids as little-endian unsigned 32-bit integers."""
     bounded_batches(docs.sparkSession)
-    end = END_ID.to_bytes(4, "little")
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * with_ids)
 
     def run(batches):
-        encode = encoder(vocabulary).encode
+        tokens = encoder(vocabulary)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids, start = encode(text.as_py()) + end, 0
-                for i, n in enumerate(cut_lengths(len(ids) // 4, length)):
-                    part = ids[4 * start:4 * (start + n)]
-                    rows.append((doc_id, i, start, n, zlib.crc32(part), part)[: len(schema)])
-                    start += n
+            rows, doc_ids = [], batch.column(0).to_pylist()
+            for first, ids, lengths in tokens.encode_column(batch.column(1), END_ID):
+                data, at = memoryview(ids.astype("<u4").tobytes()), 0
+                for doc_id, size in zip(doc_ids[first:], lengths.tolist()):
+                    start = 0
+                    for i, n in enumerate(cut_lengths(size, length)):
+                        part = data[4 * (at + start):4 * (at + start + n)]
+                        rows.append((doc_id, i, start, n, zlib.crc32(part), bytes(part) if with_ids else None)[: len(schema)])
+                        start += n
+                    at += size
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows) if rows else [()] * len(schema), schema)], schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -114,7 +117,8 @@ def pack(pieces: DataFrame, packers: int, length: int = LENGTH, most: int = OPEN
 def pack_documents(docs: DataFrame, length: int = LENGTH, most: int = OPEN_BINS, packer_docs: int = PACKER_DOCS, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A null or empty text has its end id alone. Repeated rows and null ids are
+    A null or empty text has its end id alone. A very long text is cut whole,
+    into as many pieces as it takes. Repeated rows, ties and null ids are
     packed like others, each row by itself. Extra columns are ignored; an
     empty table gives an empty result. A sequence's pieces lie at gapless
     offsets from 0 and never exceed ``length`` ids.
