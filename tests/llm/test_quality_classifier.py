@@ -1,20 +1,29 @@
-import random
+import math
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lumisift.llm import quality_classifier as qc
 from lumisift.llm.queries import op3_quality_classifier
 
-SF = "/root/testdata/sf0.1"
+def shares(spark, sf, known, judged):
+    """Share rejected by (quality, toxic)."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    out = qc.classify(docs, labels.where(known)).join(labels.where(judged), "doc_id")
+    return {(r.quality, r.toxic): r.bad for r in out.groupBy("quality", "toxic").agg(F.avg((~F.col("kept")).cast("double")).alias("bad")).collect()}
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_labelled_rows(spark, sf):
+    got = shares(spark, sf, F.lit(True), F.lit(True))
+    assert got[1, 0] < 0.02 and got[0, 0] > 0.9 and got[1, 1] > 0.95
 
 
 def test_held_out_accuracy(spark):
-    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     held = F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(4)) == 0
-    out = qc.classify(docs, labels.where(~held)).join(labels.where(held), "doc_id")
-    n = {(r.quality, r.toxic, r.kept): r["count"] for r in out.groupBy("quality", "toxic", "kept").count().collect()}
-    share = lambda q, t: n.get((q, t, False), 0) / (n.get((q, t, False), 0) + n.get((q, t, True), 0))
-    assert share(1, 0) < 0.02 and share(0, 0) > 0.9 and share(1, 1) > 0.85
+    got = shares(spark, "sf0.1", ~held, held)
+    assert got[1, 0] < 0.02 and got[0, 0] > 0.9 and got[1, 1] > 0.95
 
 
 def test_query_covers_all(spark, small):
@@ -25,7 +34,10 @@ def test_query_covers_all(spark, small):
 
 def test_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1, 0), (4, 0, 0), (5, None, None), (None, 0, 1), (6, None, 1)], "doc_id long, quality int, toxic int")
-    assert qc.classify(odd, labels).count() == odd.count()
+    out = qc.classify(odd, labels)
+    assert out.columns == ["doc_id", "site_low", "p_low", "site_toxic", "p_toxic", "p_bad", "kept"]
+    assert sorted(map(str, (r.doc_id for r in out.collect()))) == sorted(map(str, (r.doc_id for r in odd.collect())))
+    assert all(0 <= r.p_bad <= 1 and r.kept == (r.p_bad < 0.5) for r in out.collect())
     assert qc.classify(odd, labels.limit(0)).where("kept").count() == odd.count()
     assert qc.classify(empty, labels).count() == 0
     assert qc.classifier_filtered(odd, labels).columns == odd.columns
@@ -41,8 +53,43 @@ def test_sites_shrink_toward_their_parents(spark):
     assert rate["h3", "p"] < 0.9 and rate["h1", "rare"] < 0.9  # one label moves little
 
 
-def test_ratios_rise():
-    rng = random.Random(2)
-    counts = {b: (rng.randrange(20), rng.randrange(20)) for b in range(0, 64, 3)}
-    got = qc._rising(counts)
-    assert len(got) == qc.BINS and got == sorted(got)
+def test_counts_and_weights_against_brute_force(spark):
+    sample = [("idiot one two", 0, 0, 1), ("idiot three", 1, 0, 1), ("one two three", 2, 0, 0), ("two four", 0, 1, 0), (None, 1, 0, 0), ("### ###", 2, 1, 1)] * 4
+    rows = spark.createDataFrame(sample, "text string, fold int, low int, toxic int")
+    counts = qc.bucket_counts(rows)
+    want = {}
+    for text, fold, *bad in sample:
+        words = (text or "").lower().split()
+        for b in {b for w in words for b in qc.word_buckets(w)} | set(qc.statistic_buckets(text or "", words, len(set(words)))):
+            row = want.setdefault(b, [0] * 6)
+            for k, hit in enumerate((1, *bad)):
+                row[k] += hit * (fold < 2)
+                row[k + 3] += hit
+    assert {r[0]: list(r[1:]) for r in counts.collect()} == want
+    sizes = {"n": 24, "low": 8, "toxic": 12, "n_a": 16, "low_a": 4, "toxic_a": 8}
+    got = {r.bucket: r for r in qc.bucket_weights(counts, sizes).collect()}
+    for column, at, h, rate in (("for_toxic", 3, 2, 12 / 24), ("against_low", 3, 1, 8 / 24), ("for_low_a", 0, 1, 4 / 16)):
+        def gain(n, k):
+            return sum(x * math.log(x / n / p) for x, p in ((k, rate), (n - k, 1 - rate)) if x) - math.log(n + 1) / 2
+
+        pairs, share = [(v[at], v[at + h]) for v in want.values() if v[at]], 0.01
+        for _ in range(qc.ROUNDS):
+            share = min(0.5, max(1e-5, sum(1 / (1 + (1 - share) / share * math.exp(-gain(n, k))) for n, k in pairs) / len(pairs)))
+        for b, v in want.items():
+            n, k = v[at], v[at + h]
+            value = 0.0
+            if n:
+                q = (k + qc.SHRINK * rate) / (n + qc.SHRINK)
+                odds = (math.log(q / (1 - q)) - math.log(rate / (1 - rate))) * (1 if column.startswith("for") else -1)
+                if odds > 0:
+                    value = (math.exp(min(9, odds)) - 1) / (1 + (1 - share) / share * math.exp(-gain(n, k)))
+            assert got[b][column] == pytest.approx(value, rel=1e-4, abs=1e-6)
+
+
+def test_regression_keeps_signs():
+    rng = np.random.default_rng(5)
+    x = np.column_stack([np.ones(400), rng.normal(size=(400, 3))])
+    y = (rng.random(400) < 1 / (1 + np.exp(-(x @ [-1, 2, 1.5, 0])))).astype(float)
+    b = qc.regression(x, y)
+    assert b[1] > 1 and b[2] == 0  # what speaks against may not speak for
+    assert qc.regression(x, np.zeros(400))[1] >= 0
