@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import CurationConfig
 from ..functions import text, vectors
+from .tables import shared_folder, stored
 
 
 @dataclass(frozen=True)
@@ -44,21 +45,42 @@ def band_pairs(rows: DataFrame, keys: list[str], order: str, index: str, window:
     """Pairs ``a_*``, ``b_*`` of rows with equal ``keys``, ``a.order <
     b.order`` and indexes at most ``window`` apart.
 
-    Indexes are cut into buckets of ``window`` + 1; one side is repeated for
-    both neighbouring buckets, so rows of a key meet only near each other and
-    the key itself need not spread: the bucket is part of the join key.
+    Indexes are cut into buckets of ``window`` + 1. Of a pair the row with the
+    higher index comes to the other's bucket or the next, so one side is
+    repeated once; rows of a key meet only near each other, and as the bucket
+    is part of the join key, the key itself need not spread.
     """
-    width = window + 1
     columns = list(dict.fromkeys([*keys, order, index, *carry]))
-    a = rows.where(F.col(index).isNotNull()).select(*[F.col(c).alias("a_" + c) for c in columns], F.floor(F.col(index) / width).alias("a_bucket"))
-    b = rows.where(F.col(index).isNotNull()).select(*[F.col(c).alias("b_" + c) for c in columns], F.floor(F.col(index) / width).alias("near"))
-    b = b.withColumn("b_bucket", F.explode(F.array(F.col("near") - 1, F.col("near"), F.col("near") + 1))).drop("near")
-    on = [F.col("a_" + k) == F.col("b_" + k) for k in keys] + [F.col("a_bucket") == F.col("b_bucket")]
-    near = (F.col("a_" + order) < F.col("b_" + order)) & (F.abs(F.col("a_" + index) - F.col("b_" + index)) <= window)
-    cond = near
-    for c in on:
-        cond = c & cond
-    return a.join(b, cond).drop("a_bucket", "b_bucket")
+    known = rows.where(F.col(index).isNotNull())
+    bucket = F.floor(F.col(index) / (window + 1))
+    low = known.select(*[F.col(c).alias("l_" + c) for c in columns], bucket.alias("l_bucket"))
+    high = known.select(*[F.col(c).alias("h_" + c) for c in columns], F.explode(F.array(bucket - 1, bucket)).alias("h_bucket"))
+    gap = F.col("h_" + index) - F.col("l_" + index)
+    cond = (F.col("l_bucket") == F.col("h_bucket")) & (gap <= window) & ((gap > 0) | ((gap == 0) & (F.col("l_" + order) < F.col("h_" + order))))
+    for k in keys:
+        cond = (F.col("l_" + k) == F.col("h_" + k)) & cond
+    pairs = low.join(high, cond)
+    first = F.col("l_" + order) < F.col("h_" + order)
+    sides = [(F.when(first, F.col("l_" + c)).otherwise(F.col("h_" + c)).alias("a_" + c), F.when(first, F.col("h_" + c)).otherwise(F.col("l_" + c)).alias("b_" + c)) for c in columns]
+    return pairs.where(F.col("l_" + order) != F.col("h_" + order)).select(*[x[0] for x in sides], *[x[1] for x in sides])
+
+
+#: Frames of one side of a tile, when all pairs of a folder are candidates.
+TILE = 256
+
+
+def tile_pairs(rows: DataFrame, key: str, order: str, carry: list[str] = ()) -> DataFrame:
+    """All pairs ``a_*``, ``b_*`` of rows with equal ``key`` and ``a.order <
+    b.order``, in tiles of ``TILE`` by ``TILE``: a large folder is dealt out
+    over as many tasks as it has tiles. ``order`` is dense from 1."""
+    columns = list(dict.fromkeys([key, order, *carry]))
+    tile = F.floor((F.col(order) - 1) / TILE)
+    tiles = rows.groupBy(key).agg(F.max(tile).alias("last_"))
+    rows = rows.join(tiles, key).withColumn("tile_", tile)
+    a = rows.select(*[F.col(c).alias("a_" + c) for c in columns], F.col("tile_").alias("a_row"), F.explode(F.sequence("tile_", "last_")).alias("a_col"))
+    b = rows.select(*[F.col(c).alias("b_" + c) for c in columns], F.explode(F.sequence(F.lit(0).cast("long"), F.col("tile_"))).alias("b_row"), F.col("tile_").alias("b_col"))
+    same = (F.col("a_" + key) == F.col("b_" + key)) & (F.col("a_row") == F.col("b_row")) & (F.col("a_col") == F.col("b_col"))
+    return a.join(b, same & (F.col("a_" + order) < F.col("b_" + order))).drop("a_row", "a_col", "b_row", "b_col")
 
 
 def similar(limits: Limits) -> Column:
@@ -87,7 +109,7 @@ def similarity_edges(candidates: DataFrame, limits: list[Limits], gate: bool = T
         pairs = band_pairs(candidates, ["folder", "prefix"], "ord", "idx", max(x.window for x in limits), carry)
     else:
         flat = candidates.withColumns({"prefix": F.lit(""), "idx": F.lit(0)})
-        pairs = band_pairs(flat, ["folder", "prefix"], "ord", "idx", 0, carry)
+        pairs = tile_pairs(flat, "folder", "ord", ["prefix", "idx", *carry])
     gap = F.abs(F.col("a_idx") - F.col("b_idx"))
     tests = [(similar(x) & (gap <= x.window) if gate else similar(x)).alias(f"edge_{i}") for i, x in enumerate(limits)]
     return pairs.select(F.col("a_folder").alias("folder"), F.col("a_prefix").alias("prefix"), F.col("a_ord").alias("a"), F.col("b_ord").alias("b"), *tests)
@@ -119,8 +141,9 @@ def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     the smallest frame that can be reached.
 
     With the gate on no edge leaves its folder and prefix, so a task per such
-    key is exact; keys with more edges than a task should hold go through
-    repeated minimum-label rounds instead.
+    key is exact and needs one exchange; keys with more edges than a task
+    should hold go through repeated minimum-label rounds instead. ``edges`` is
+    read twice, so it had better be stored.
     """
     e = edges.select("folder", "prefix", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     sized = e.groupBy("folder", "prefix").agg(F.count(F.lit(1)).alias("n"))
@@ -135,11 +158,7 @@ def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
 def label_rounds(edges: DataFrame) -> DataFrame:
     """Components by rounds of minimum labels with pointer jumping; every round
     is cut with a reliable checkpoint."""
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lumisift-"))
+    shared_folder(edges.sparkSession)
     key = ["folder", "prefix"]
     both = edges.unionByName(edges.select(*key, F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.groupBy(*key, "a").agg(F.min("b").alias("m")).select(*key, F.col("a").alias("ord"), F.least("a", "m").alias("root")).checkpoint()
@@ -164,9 +183,17 @@ def numbered_groups(frames: DataFrame, roots: DataFrame, group: str, size: str)
     }).drop("root")
 
 
+def linked(candidates: DataFrame, limits: list[Limits], gate: bool = True) -> DataFrame:
+    """``similarity_edges`` that hold under any of the limits, made once and
+    stored: frame numbers and flags, no vectors."""
+    edges = similarity_edges(candidates, limits, gate)
+    any_ = F.greatest(*[F.col(f"edge_{i}") for i in range(len(limits))]) if len(limits) > 1 else F.col("edge_0")
+    return stored(edges.where(any_), "edges")
+
+
 def grouped(candidates: DataFrame, c: CurationConfig) -> DataFrame:
     """Strict groups and scene families of all candidates, rejected ones
     included: they are vertices too and may link two good frames."""
-    edges = similarity_edges(candidates, [strict_limits(c), family_limits(c)], c.sequence_gate)
+    edges = linked(candidates, [strict_limits(c), family_limits(c)], c.sequence_gate)
     out = numbered_groups(candidates, components(edges.where("edge_0")), "group_id", "group_size")
     return numbered_groups(out, components(edges.where("edge_1")), "scene_family_id", "scene_family_size")

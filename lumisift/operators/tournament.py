@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import lenient_json
+from .tables import dense_place
+
 
 def quota(n: Column, divisor: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(n / F.lit(float(divisor))).cast("int"))
@@ -77,24 +80,51 @@ def batches(photos: DataFrame, size: int, key: list[str] = (), name: str = "file
     if key:
         place = photos.withColumn("place_", F.row_number().over(W.partitionBy(*key).orderBy(name)) - 1)
     else:
-        place = with_global_place(photos, name, "place_")
+        place = dense_place(photos, [name], "place_")
     return place.withColumns({"batch": F.expr(f"place_ div {size} + 1"), "slot": F.expr(f"place_ % {size}")}).drop("place_")
 
 
-def with_global_place(rows: DataFrame, by: str, out: str) -> DataFrame:
-    """Adds a dense place (from 0) by column ``by`` without one global task:
-    counts of buckets of first characters give offsets, windows the rest."""
-    bucket = F.coalesce(F.substring(F.col(by).cast("string"), 1, 12), F.lit(""))
-    marked = rows.withColumn("bucket_", bucket)
-    counts = marked.groupBy("bucket_").agg(F.count(F.lit(1)).alias("n_"))
-    coarse = counts.withColumn("top_", F.substring("bucket_", 1, 4))
-    tops = coarse.groupBy("top_").agg(F.sum("n_").alias("n_top_"))
-    # distinct beginnings of four characters: a small table
-    tops = tops.select("top_", (F.sum("n_top_").over(W.orderBy("top_")) - F.col("n_top_")).alias("before_top_"))
-    inner = F.sum("n_").over(W.partitionBy("top_").orderBy("bucket_")) - F.col("n_")
-    offsets = coarse.withColumn("inner_", inner).join(tops, "top_").select("bucket_", (F.col("inner_") + F.col("before_top_")).alias("off_"))
-    local = F.row_number().over(W.partitionBy("bucket_").orderBy(by)) - 1
-    return marked.join(offsets, "bucket_").withColumn(out, F.col("off_") + local).drop("bucket_", "off_")
+#: Fields of a photo's score besides its name and path, and what an answer that
+#: lacks them gives.
+SCORE_TEXTS = ("category", "reason", "image_type", "enhancement_goal")
+SCORE_LISTS = ("strengths", "safe_edits", "conditional_edits", "avoid_edits", "risk_flags")
+SCORE_FLAGS = ("keepable", "printworthy", "worth_enhancing")
+LOWEST, HIGHEST = 1, 10
+
+
+def photo_scores(batched: DataFrame, answers: DataFrame, name: str = "filename") -> DataFrame:
+    """One score per photo of a batch, from the batch's answer ``(batch,
+    response)``: printworthy_score, the texts, lists and flags of the entry that
+    bears its name (the last of several), and top_place, its place (from 1)
+    among the names that the answer calls best, invented and repeated ones
+    apart.
+
+    A photo without an entry, and all photos of an answer that cannot be read,
+    have the lowest score and empty fields; scores are kept within 1 to 10.
+    """
+    v = lenient_json.from_free_text(F.col("response"))
+    field, items = lenient_json.field, "array<variant>"
+    read = answers.select("batch", field(v, "$.photos", items).alias("entries_"), field(v, "$.top_batch_filenames", "array<string>").alias("best_"))
+    rows = batched.join(read, "batch", "left")
+    members = F.collect_set(name).over(W.partitionBy("batch"))  # a batch is a few photos
+    rows = rows.withColumn("members_", members)
+    entry = F.try_element_at(F.filter("entries_", lambda e: field(e, "$.filename", "string") == F.col(name)), F.lit(-1))
+    rows = rows.withColumn("entry_", entry)
+    best = F.filter(F.array_distinct(F.coalesce("best_", F.array().cast("array<string>"))), lambda x: F.array_contains(F.col("members_"), x))
+    place = F.nullif(F.array_position(best, F.col(name)), F.lit(0))
+    score = F.coalesce(field(F.col("entry_"), "$.printworthy_score", "double"), F.lit(float(LOWEST)))
+    texts = [F.coalesce(F.trim(field(F.col("entry_"), f"$.{c}", "string")), F.lit("")).alias(c) for c in SCORE_TEXTS]
+    lists = [lenient_json.normalize_list(field(F.col("entry_"), f"$.{c}", "array<string>")).alias(c) for c in SCORE_LISTS]
+    flags = [F.coalesce(lenient_json.coerce_bool(field(F.col("entry_"), f"$.{c}", "string"), F.lit(False)), F.lit(False)).alias(c) for c in SCORE_FLAGS]
+    return rows.select(
+        *batched.columns, F.least(F.lit(float(HIGHEST)), F.greatest(F.lit(float(LOWEST)), score)).alias("printworthy_score"), *texts, *lists, *flags, place.cast("int").alias("top_place")
+    )
+
+
+def batch_finalists(scores: DataFrame, batch_size: int, divisor: int) -> DataFrame:
+    """The photos that their batches' answers call best, the first
+    ``max(1, ceil(batch_size / divisor))`` of each, with rank."""
+    return per_batch_top(scores.where(F.col("top_place").isNotNull()).withColumnRenamed("top_place", "rank"), batch_size, divisor)
 
 
 def per_batch_top(ranked: DataFrame, batch_size: int, divisor: int, rank: str = "rank") -> DataFrame:

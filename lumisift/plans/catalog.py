@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..config import CurationConfig
 from ..functions import lenient_json, scoring, text, vectors
+from ..functions.pixels import measure
 from ..operators import grouping, lookups, selection, tournament
 from ..operators.grouping import Limits
+from ..operators.tables import dense_place
 from ..sources.albums import album_filter
 from . import stage1
 
@@ -83,7 +85,9 @@ def band_pairs(spark, d):
 # -- embeddings as photos of one album
 
 PHOTO_SQL = """SELECT CAST(vec_id // 100 AS VARCHAR) AS folder, vec_id, 'DSCF' || lpad(CAST(vec_id AS VARCHAR), 6, '0') || '.JPG' AS filename, CAST(embedding AS DOUBLE[]) AS v,
-  CAST((vec_id * 37) % 140 AS DOUBLE) AS lap, CAST((vec_id * 13) % 18 AS DOUBLE) AS black, CAST((vec_id * 7) % 17 AS DOUBLE) AS white, ((vec_id * 11) % 120) / 8.0::DOUBLE AS mp, ((vec_id * 29) % 128) / 128.0::DOUBLE AS clip FROM embeddings"""
+  CAST((vec_id * 37) % 140 AS DOUBLE) AS lap, CAST((vec_id * 13) % 18 AS DOUBLE) AS black, CAST((vec_id * 7) % 17 AS DOUBLE) AS white, ((vec_id * 11) % 120) / 8.0::DOUBLE AS mp, ((vec_id * 29) % 128) / 128.0::DOUBLE AS clip,
+  CAST(embedding[1:8] AS DOUBLE[]) AS color, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits, vec_id % 41 <> 0 AS decoded,
+  list_sort([600 + (vec_id * 31) % 4000, (vec_id * 17) % 900, (vec_id * 23) % 700][1 : vec_id % 4], 'DESC') AS areas FROM embeddings"""
 #: Thresholds that the test vectors can reach.
 STRICT, FAMILY = Limits(20, 0.25), Limits(4, 0.2)
 
@@ -95,12 +99,19 @@ def photos(spark, d) -> DataFrame:
         F.expr("CAST(vec_id div 100 AS STRING)").alias("folder"), "vec_id", F.format_string("DSCF%06d.JPG", v).alias("filename"), F.format_string("/album/DSCF%06d.JPG", v).alias("path"),
         F.col("embedding").alias("img_vector"), num(37, 140).alias("laplacian_var"), num(13, 18).alias("black_clip_pct"), num(7, 17).alias("white_clip_pct"),
         (num(11, 120) / 8.0).alias("mp_raw"), (num(29, 128) / 128.0).alias("clip_score"), "label",
+        F.slice("embedding", 1, 8).alias("color_thumb"), vectors.pack_bits(F.transform("embedding", lambda x: F.when(x > 0, 1).otherwise(0))).alias("hash"), (v % 41 != 0).alias("decode_ok"),
+        F.slice(F.array(F.lit(600) + num(31, 4000), num(17, 900), num(23, 700)), 1, (v % 4).cast("int")).alias("areas"), F.lit(20000.0).alias("image_area"),
     )
 
 
 def pair_sql(limits: Limits, source: str = PHOTO_SQL, where: str = "true") -> str:
+    look = f"AND list_dot_product(a.v, b.v) >= {limits.cosine}"
+    if limits.color is not None:
+        look += f" AND list_sum(list_transform(list_zip(a.color, b.color), lambda x: abs(x[1] - x[2]))) / 8 <= {limits.color}"
+    if limits.hash is not None:
+        look += f" AND list_sum(list_transform(list_zip(a.bits, b.bits), lambda x: CASE WHEN x[1] <> x[2] THEN 1 ELSE 0 END)) <= {limits.hash}"
     return f"""SELECT a.folder AS folder, a.vec_id AS a, b.vec_id AS b FROM (SELECT * FROM ({source}) WHERE {where}) a JOIN (SELECT * FROM ({source}) WHERE {where}) b
-  ON a.folder = b.folder AND a.vec_id < b.vec_id AND b.vec_id - a.vec_id <= {limits.window} AND list_dot_product(a.v, b.v) >= {limits.cosine}"""
+  ON a.folder = b.folder AND a.vec_id < b.vec_id AND b.vec_id - a.vec_id <= {limits.window} {look}"""
 
 
 def edges_of(rows: DataFrame, limits: Limits) -> DataFrame:
@@ -153,8 +164,7 @@ def groups_sql(limits: Limits, source: str = PHOTO_SQL, where: str = "true") ->
 
 def grouped(rows: DataFrame, limits: Limits, group: str, size: str) -> DataFrame:
     seq = grouping.with_sequence(rows)
-    edges = grouping.similarity_edges(seq, [limits]).where("edge_0")
-    return grouping.numbered_groups(seq, grouping.components(edges), group, size)
+    return grouping.numbered_groups(seq, grouping.components(grouping.linked(seq, [limits])), group, size)
 
 
 @query(f"SELECT folder, vec_id, CAST(gid AS BIGINT) AS group_id, CAST(gsize AS BIGINT) AS group_size FROM {groups_sql(STRICT)}")
@@ -197,33 +207,65 @@ def keep_ratio_trim(spark, d):
     return cut.where(~F.col("trimmed")).select("o_custkey", "o_orderkey")
 
 
-FLAGSHIP = replace(C, keep_ratio=0.8, group_cosine=0.25, family_cosine=0.2)
+FLAGSHIP = replace(C, keep_ratio=0.8, group_cosine=0.25, family_cosine=0.2, group_hash=26, family_hash=28, check_background_people=True)
+CANDIDATE = "decoded AND mp >= 1"
+#: Numbers of reasons are compared to one decimal.
+CUT = r"([0-9]+\.[0-9])[0-9]*"
 DECISION_SQL = f"""WITH p AS ({PHOTO_SQL}), s AS (
-  SELECT *, lap >= 25 AND black <= 15 AND white <= 15 AS passed, CASE WHEN mp >= 8 THEN 'above_8mp' WHEN mp >= 1 THEN 'between_1mp_and_8mp' ELSE 'below_1mp' END AS tier FROM p
+  SELECT *, lap >= 25 AND black <= 15 AND white <= 15 AS passed, CASE WHEN mp >= 8 THEN 'above_8mp' WHEN mp >= 1 THEN 'between_1mp_and_8mp' ELSE 'below_1mp' END AS tier,
+    CASE WHEN NOT decoded THEN 'decode_failed' WHEN mp < 1 THEN 'resolution_below_1mp' ELSE '' END AS gate,
+    CASE WHEN lap < 25 THEN printf('blur (Laplacian var %.1f < 25.0)', lap) WHEN black > 15 THEN printf('underexposed (black clip %.1f%% > 15.0%%)', black)
+      WHEN white > 15 THEN printf('overexposed (white clip %.1f%% > 15.0%%)', white) ELSE '' END AS base,
+    len(areas) AS faces, coalesce(areas[1] / 20000, 0.0::DOUBLE) AS dominant, CASE WHEN len(areas) <= 1 THEN 0 ELSE len(list_filter(areas[2:], lambda x: x / 20000 >= 0.015 AND x / areas[1] <= 0.45)) END AS behind FROM p
+), n AS (SELECT *, faces > 1 AND dominant >= 0.05 AND behind > 0 AS flagged FROM s
 ), c AS (
-  SELECT *, passed AND clip >= 0.55 AS pclip, (CASE WHEN passed THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END + least(lap / 80.0::DOUBLE, 3.0::DOUBLE) + least(mp / 8.0::DOUBLE, 2.0::DOUBLE)
-    + CASE WHEN passed AND clip >= 0.55 THEN clip ELSE 0.0::DOUBLE END - (abs(black - 7.5::DOUBLE) / 15.0::DOUBLE + abs(white - 7.5::DOUBLE) / 15.0::DOUBLE) - 0.0::DOUBLE) AS q FROM s
-), g AS (SELECT * FROM {groups_sql(STRICT, where="mp >= 1")}), f AS (SELECT * FROM {groups_sql(FAMILY, where="mp >= 1")}),
+  SELECT *, passed AND clip >= 0.55 AS pclip, CASE WHEN flagged THEN 0.25::DOUBLE * behind ELSE 0.0::DOUBLE END AS penalty,
+    (CASE WHEN passed THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END + least(lap / 80.0::DOUBLE, 3.0::DOUBLE) + least(mp / 8.0::DOUBLE, 2.0::DOUBLE)
+    + CASE WHEN passed AND clip >= 0.55 THEN clip ELSE 0.0::DOUBLE END - (abs(black - 7.5::DOUBLE) / 15.0::DOUBLE + abs(white - 7.5::DOUBLE) / 15.0::DOUBLE) - CASE WHEN flagged THEN 0.25::DOUBLE * behind ELSE 0.0::DOUBLE END) AS q FROM n
+), g AS (SELECT * FROM {groups_sql(grouping.strict_limits(FLAGSHIP), where=CANDIDATE)}), f AS (SELECT * FROM {groups_sql(grouping.family_limits(FLAGSHIP), where=CANDIDATE)}),
 w AS (
   SELECT c.*, g.gid, g.gsize, f.gid AS fid, f.gsize AS fsize, row_number() OVER (PARTITION BY c.folder, g.gid ORDER BY passed DESC, pclip DESC, q DESC, mp DESC, c.vec_id) = 1 AND passed AS win,
     bool_or(passed) OVER (PARTITION BY c.folder, g.gid) AS any_ok
   FROM c JOIN g ON c.vec_id = g.vec_id JOIN f ON c.vec_id = f.vec_id
-), k AS (SELECT *, win AND NOT (gsize = 1 AND (lap < 50 OR q < 2.75)) AS stays FROM w
-), t AS (SELECT *, CASE WHEN stays AND gsize = 1 THEN q - 0.6::DOUBLE ELSE q END AS score FROM k
-), r AS (SELECT *, row_number() OVER (PARTITION BY folder, stays ORDER BY score DESC, gid) AS rk, count(*) OVER (PARTITION BY folder, stays) AS n FROM t
-), x AS (SELECT *, stays AND rk <= greatest(1, ceil(n * 0.8::DOUBLE)) AS selected FROM r
-), y AS (SELECT *, max(CASE WHEN selected THEN filename END) OVER (PARTITION BY folder, gid) AS winner FROM x)
-SELECT folder, filename, CASE WHEN selected THEN 'selected' WHEN NOT passed OR (win AND NOT selected) THEN 'rejected' ELSE 'eligible' END AS status, CAST(gid AS BIGINT) AS group_id, CAST(gsize AS BIGINT) AS group_size,
-  CAST(fid AS BIGINT) AS scene_family_id, CAST(fsize AS BIGINT) AS scene_family_size, coalesce(winner, '') AS selected_filename, tier AS resolution_tier FROM y
-UNION ALL SELECT folder, filename, 'rejected', 0, 0, 0, 0, '', tier FROM c WHERE mp < 1"""
+), k AS (SELECT *, CASE WHEN win AND gsize = 1 THEN concat_ws('; ', CASE WHEN lap < 50 THEN printf('singleton_blur (%.1f < 50.0)', lap) END, CASE WHEN q < 2.75 THEN printf('singleton_quality (%.3f < 2.75)', q) END) ELSE '' END AS guard FROM w
+), t AS (SELECT *, win AND guard = '' AS stays, CASE WHEN win AND guard = '' AND gsize = 1 THEN q - 0.6::DOUBLE ELSE q END AS score FROM k
+), r AS (SELECT *, row_number() OVER (PARTITION BY folder, stays ORDER BY score DESC, gid) AS rk, greatest(1, ceil(count(*) OVER (PARTITION BY folder, stays) * 0.8::DOUBLE)) AS keep FROM t
+), x AS (SELECT *, stays AND rk <= keep AS selected, max(CASE WHEN rk = keep THEN score END) OVER (PARTITION BY folder, stays) AS cutoff FROM r
+), y AS (SELECT *, max(CASE WHEN selected THEN filename END) OVER (PARTITION BY folder, gid) AS winner, max(CASE WHEN selected THEN tier END) OVER (PARTITION BY folder, gid) AS wtier FROM x
+), z AS (
+  SELECT folder, filename, tier, decoded, gate, passed, pclip, mp, lap, black, white, faces, behind, dominant, flagged, penalty, CASE WHEN passed THEN clip ELSE 0.0::DOUBLE END AS clip, CASE WHEN selected THEN score ELSE q END AS quality,
+    CASE WHEN selected THEN 'selected' WHEN NOT any_ok OR guard <> '' OR (stays AND NOT selected) OR base <> '' THEN 'rejected' ELSE 'eligible' END AS status,
+    CASE WHEN selected THEN '' WHEN NOT any_ok THEN CASE WHEN base = '' THEN 'no_eligible_image_in_group' ELSE base END WHEN guard <> '' THEN guard WHEN stays THEN printf('keep_ratio_trim (score=%.3f, cutoff=%.3f)', score, cutoff)
+      WHEN winner IS NOT NULL THEN CASE WHEN base = '' THEN 'similar_to_selected:' || winner ELSE base || '; replaced by ' || winner END ELSE base END AS reason,
+    gid, gsize, fid, fsize, selected, coalesce(winner, '') AS winner, coalesce(wtier, '') AS wtier, gsize = 1 AS single, CASE WHEN stays AND gsize = 1 THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END AS lone FROM y
+  UNION ALL SELECT folder, filename, tier, decoded, gate, passed, pclip, mp, lap, black, white, faces, behind, dominant, flagged, penalty, CASE WHEN passed THEN clip ELSE 0.0::DOUBLE END, q, 'rejected', gate, 0, 0, 0, 0, false, '', '', false, 0.0::DOUBLE FROM c WHERE gate <> ''
+)
+SELECT folder, filename, '/album/' || filename AS source_path, '.jpg' AS extension, tier AS resolution_tier, status, regexp_replace(reason, '{CUT}', '\\1', 'g') AS rejection_reason,
+  CAST(gid AS BIGINT) AS group_id, CAST(gsize AS BIGINT) AS group_size, CAST(fid AS BIGINT) AS scene_family_id, CAST(fsize AS BIGINT) AS scene_family_size, selected AS selected_in_group, winner AS selected_filename, wtier AS selected_tier,
+  decoded AS decode_ok, gate = '' AS passed_resolution, gate = '' AND passed AS passed_opencv, gate = '' AND pclip AS passed_clip, round_even(mp, 2) AS megapixels, lap AS laplacian_var, black AS black_clip_pct, white AS white_clip_pct,
+  single AS singleton_group, lone AS singleton_penalty_applied, CAST(faces AS INT) AS face_count, CAST(behind AS INT) AS background_face_count, dominant AS dominant_face_ratio, true AS passed_scene_check, flagged AS scene_flagged,
+  penalty AS scene_penalty, CASE WHEN flagged THEN printf('background_people_detected (%d smaller faces behind subject)', behind) ELSE '' END AS scene_rejection_reason, clip AS clip_score, CAST(floor(quality * 10000) AS BIGINT) AS quality_e4 FROM z"""
 
 
 @query(DECISION_SQL)
 def decision_log(spark, d):
-    rows = photos(spark, d).withColumns({"color_thumb": F.array(F.lit(0.0)), "hash": F.lit(0).cast("long")})
-    log = stage1.curate(rows, FLAGSHIP)
-    ids = [F.col(c).cast("long").alias(c) for c in ("group_id", "group_size", "scene_family_id", "scene_family_size")]
-    return log.select("folder", "filename", "status", *ids, "selected_filename", "resolution_tier")
+    log = stage1.curate(photos(spark, d), FLAGSHIP)
+    return log.withColumns({c: F.col(c).cast("long") for c in ("group_id", "group_size", "scene_family_id", "scene_family_size")}).withColumns({
+        "rejection_reason": F.regexp_replace("rejection_reason", CUT, "$1"), "quality_e4": F.floor(F.col("quality_score") * 10000),
+    }).drop("quality_score")
+
+
+@query(f"""SELECT CASE WHEN flagged THEN 'people' ELSE '' END AS kind, count(*) AS n FROM (SELECT len(areas) > 1 AND areas[1] / 20000 >= 0.05 AND len(list_filter(areas[2:], lambda x: x / 20000 >= 0.015 AND x / areas[1] <= 0.45)) > 0 AS flagged
+FROM ({PHOTO_SQL}) WHERE {CANDIDATE} AND lap >= 25 AND black <= 15 AND white <= 15) GROUP BY ALL""")
+def scene_gate(spark, d):
+    rows = stage1.scored(photos(spark, d), replace(FLAGSHIP, reject_background_people=True)).where("gate = '' AND filter_passed")
+    kind = F.when(F.col("reason").startswith("background_people_detected") & (F.col("status") == "rejected"), "people").otherwise(F.col("reason"))
+    return rows.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""SELECT folder, filename FROM ({PHOTO_SQL}) WHERE decoded AND mp >= 8 AND lap >= 25 AND black <= 15 AND white <= 15 AND clip >= 0.55""")
+def remote_gate(spark, d):
+    return stage1.remote(photos(spark, d), C).select("folder", "filename")
 
 
 @query("""SELECT count(*) AS total_listed, count(*) FILTER (WHERE d.n_chars = 0) AS decode_failures, count(*) FILTER (WHERE d.n_chars > 0 AND d.n_chars < 500) AS rejected_resolution,
@@ -242,10 +284,12 @@ def run_stats(spark, d):
 PIXEL_SQL = """SELECT vec_id, i // 8 AS y, i % 8 AS x, CAST(greatest(0, least(255, floor(127.5 + 640 * embedding[i + 1]::DOUBLE))) AS INT) AS v FROM (SELECT vec_id, embedding, unnest(range(64)) AS i FROM embeddings)"""
 
 
-def pixels(spark, d) -> DataFrame:
-    e = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "e"))
-    v = F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.lit(127.5) + 640 * F.col("e").cast("double")))).cast("int")
-    return e.select("vec_id", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).alias("x"), v.alias("v"))
+def pixel_measures(spark, d) -> DataFrame:
+    """The kernels' measures of 8 by 8 grey pictures made from embeddings."""
+    v = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.lit(127.5) + 640 * x.cast("double")))).cast("int"))
+    data = F.unhex(F.array_join(F.transform(v, lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")), ""))
+    image = F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), data.alias("data"))
+    return table(spark, d, "embeddings").select("vec_id", image.alias("image")).select("vec_id", measure(F.col("image")).alias("m"))
 
 
 @query(f"""WITH p AS ({PIXEL_SQL}), n AS (SELECT c.vec_id, c.y, c.x, c.v,
@@ -253,16 +297,14 @@ def pixels(spark, d) -> DataFrame:
   (SELECT v FROM p q WHERE q.vec_id = c.vec_id AND q.y = c.y AND q.x = CASE WHEN c.x = 0 THEN 1 ELSE c.x - 1 END) AS l, (SELECT v FROM p q WHERE q.vec_id = c.vec_id AND q.y = c.y AND q.x = CASE WHEN c.x = 7 THEN 6 ELSE c.x + 1 END) AS r FROM p c)
 SELECT vec_id, CAST(64 * sum(k * k) - sum(k) * sum(k) AS BIGINT) AS variance_x4096 FROM (SELECT vec_id, CAST(u + d + l + r - 4 * v AS BIGINT) AS k FROM n) GROUP BY vec_id""")
 def laplacian_var(spark, d):
-    up, across = W.partitionBy("vec_id", "x").orderBy("y"), W.partitionBy("vec_id", "y").orderBy("x")
-    around = [F.coalesce(F.lag("v").over(w), F.lead("v").over(w)) + F.coalesce(F.lead("v").over(w), F.lag("v").over(w)) for w in (up, across)]
-    k = pixels(spark, d).select("vec_id", (around[0] + around[1] - 4 * F.col("v")).cast("long").alias("k"))
-    return k.groupBy("vec_id").agg((64 * F.sum(F.col("k") * F.col("k")) - F.sum("k") * F.sum("k")).alias("variance_x4096"))
+    return pixel_measures(spark, d).select("vec_id", F.round(F.col("m.laplacian_var") * 4096).cast("long").alias("variance_x4096"))
 
 
 @query(f"""SELECT vec_id, count(*) FILTER (WHERE v < 5) AS black, count(*) FILTER (WHERE v >= 251) AS white, 100.0::DOUBLE * count(*) FILTER (WHERE v < 5) / count(*) > 8 AS underexposed FROM ({PIXEL_SQL}) GROUP BY vec_id""")
 def exposure_clip(spark, d):
-    black, white = F.count_if(F.col("v") < 5), F.count_if(F.col("v") >= 251)
-    return pixels(spark, d).groupBy("vec_id").agg(black.alias("black"), white.alias("white"), (F.lit(100.0) * black / F.count(F.lit(1)) > 8).alias("underexposed"))
+    m = pixel_measures(spark, d)
+    black, white = (F.round(F.col(f"m.{c}_clip_pct") * 64 / 100).cast("long") for c in ("black", "white"))
+    return m.select("vec_id", black.alias("black"), white.alias("white"), (F.col("m.black_clip_pct") > 8).alias("underexposed"))
 
 
 @query("""SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CAST(floor(x::DOUBLE * 3 / sqrt(list_dot_product(list_transform(embedding, lambda y: y::DOUBLE * 3), list_transform(embedding, lambda y: y::DOUBLE * 3))) * 10000 + 0.5) AS BIGINT)), ',') AS unit_e4 FROM embeddings""")
@@ -303,11 +345,11 @@ def family_quota(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("input_count")).withColumn("keep_limit", tournament.quota(F.col("input_count"), 4))
 
 
-@query("""WITH r AS (SELECT o_custkey, o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders WHERE o_orderkey % 7 = 0)
-SELECT o_custkey, o_orderkey, k = 1 AS is_primary, n > 1 AS is_distinct FROM r WHERE n <= greatest(1, ceil(n / 4.0::DOUBLE))""")
+@query("""WITH r AS (SELECT o_custkey, o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders)
+SELECT o_custkey, o_orderkey, k = 1 AS is_primary, n > 1 AS is_distinct FROM r WHERE n <= greatest(1, ceil(n / 1.0::DOUBLE))""")
 def auto_keep(spark, d):
-    rows = table(spark, d, "orders").where("o_orderkey % 7 = 0").select("o_custkey", "o_orderkey")
-    return tournament.auto_decisions(tournament.family_plan(rows, 4, "o_custkey", "o_orderkey"), "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey", "is_primary", "is_distinct")
+    rows = table(spark, d, "orders").select("o_custkey", "o_orderkey")
+    return tournament.auto_decisions(tournament.family_plan(rows, 1, "o_custkey", "o_orderkey"), "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey", "is_primary", "is_distinct")
 
 
 @query("""WITH r AS (SELECT o_custkey || '/' || o_orderpriority AS family, o_orderkey, count(*) OVER (PARTITION BY o_custkey, o_orderpriority) AS n, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS k FROM orders)
@@ -351,22 +393,23 @@ def tournament_backfill(spark, d):
     total = ranked.count()
     n = -(-total // 3)
     finalists = tournament.per_batch_top(ranked, 12, 4).select("filename", "p_partkey", "batch", "rank")
-    finalists = finalists.withColumn("key_", F.format_string("%09d-%02d", "batch", "rank"))
-    placed = tournament.with_global_place(finalists, "key_", "p_").select("filename", (F.col("p_") + 1).alias("place"))
+    placed = dense_place(finalists, ["batch", "rank"], "p_").select("filename", (F.col("p_") + 1).alias("place"))
     scores = ranked.select("filename", F.col("p_size").alias("printworthy_score"), F.col("p_partkey").alias("ord"))
     out = tournament.back_filled(scores, placed, n, n)
     return out.select(F.substring("filename", 1, 9).cast("long").alias("p_partkey"), F.col("final_place").alias("place"))
 
 
-@query("""WITH n AS (SELECT list(p_name || '-' || p_partkey ORDER BY p_partkey) AS names FROM part WHERE p_partkey <= 40),
-v AS (SELECT names, ['nobody', names[5], names[3], names[5], names[9]] AS asked, names[7] AS top FROM n),
-w AS (SELECT names, top, list_filter(asked, lambda x: list_contains(names, x)) AS ok FROM v)
-SELECT array_to_string([ok[1], ok[2], ok[4]], '|') AS ranked, top AS top_filename FROM w""")
+@query("""WITH n AS (SELECT p_brand, p_brand LIKE '%1' AS lost, list(p_name || '-' || p_partkey ORDER BY p_partkey) AS names FROM part GROUP BY p_brand),
+v AS (SELECT p_brand, names, CASE WHEN lost THEN ['nobody'] ELSE list_concat(['nobody', names[5]], list_reverse(names)) END AS asked, CASE WHEN lost THEN 'nobody' ELSE names[7] END AS top FROM n),
+w AS (SELECT p_brand, names, top, list_filter(asked, lambda x, i: list_contains(names, x) AND list_position(asked, x) = i) AS ok FROM v),
+r AS (SELECT p_brand, names, top, CASE WHEN len(ok) > 0 THEN ok[1:4] ELSE names[1:4] END AS ranked FROM w)
+SELECT p_brand, array_to_string(ranked, '|') AS ranked, CASE WHEN list_contains(names, top) THEN top ELSE ranked[1] END AS top_filename FROM r""")
 def final_rank_fallback(spark, d):
-    rows = table(spark, d, "part").where("p_partkey <= 40").select(F.concat("p_name", F.lit("-"), F.col("p_partkey").cast("string")).alias("filename"), F.col("p_partkey").alias("final_place"))
-    names = F.col("names")
-    answer = F.array(F.lit("nobody"), names[4], names[2], names[4], names[8])
-    return tournament.final_ranking(rows, answer, names[6], 10).select(F.array_join("ranked_filenames", "|").alias("ranked"), "top_filename")
+    rows = table(spark, d, "part").select("p_brand", F.concat("p_name", F.lit("-"), F.col("p_partkey").cast("string")).alias("filename"), F.col("p_partkey").alias("final_place"))
+    lost, names = F.col("p_brand").endswith("1"), F.col("names")
+    answer = F.when(lost, F.array(F.lit("nobody"))).otherwise(F.concat(F.array(F.lit("nobody"), F.get(names, F.lit(4))), F.reverse(names)))
+    top = F.when(lost, "nobody").otherwise(F.get(names, F.lit(6)))
+    return tournament.final_ranking(rows, answer, top, 4, ["p_brand"]).select("p_brand", F.array_join("ranked_filenames", "|").alias("ranked"), "top_filename")
 
 
 @query("""WITH b AS (SELECT p_name || '-' || p_partkey AS filename, p_partkey, (row_number() OVER (ORDER BY p_partkey) - 1) // 12 + 1 AS batch FROM part),
@@ -441,26 +484,19 @@ def review_ladder(spark, d):
     return tournament.first_fit(rungs, ["o_orderkey"], "bytes", 900_000).select("o_orderkey", "step", "side", "quality", "bytes")
 
 
-@query("""SELECT o.o_orderkey, c.c_mktsegment AS detail FROM orders o LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c ON o.o_custkey = c.c_custkey""")
-def detail_lookup(spark, d):
-    ranked = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("07_"), F.col("o_custkey").cast("string")).alias("filename"))
-    details = table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").cast("string").alias("filename"), F.col("c_mktsegment").alias("detail"), F.col("c_custkey").alias("pos"))
-    return lookups.with_details(ranked, details).select("o_orderkey", "detail")
-
-
 @query("""SELECT o.o_orderkey, c.c_mktsegment AS detail FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey AND o.o_orderpriority <> '1-URGENT'""")
-def detail_lookup_whole(spark, d):
+def detail_lookup(spark, d):
     name = F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("unknown"), F.col("o_custkey").cast("string"))).otherwise(F.col("o_custkey").cast("string"))
     ranked = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("07_"), name).alias("filename"))
     details = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("filename"), F.col("c_mktsegment").alias("detail"), F.col("c_custkey").alias("pos"))
     return lookups.with_details(ranked, details).select("o_orderkey", "detail")
 
 
-@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+@query("""SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""")
 def skip_existing(spark, d):
-    images = table(spark, d, "customer").select("c_custkey", F.concat(F.col("c_custkey").cast("string"), F.lit(".jpg")).alias("filename"))
-    done = table(spark, d, "orders").select(F.concat(F.col("o_custkey").cast("string"), F.lit(".png")).alias("filename"))
-    return lookups.skip_existing(images, done).select("c_custkey")
+    images = table(spark, d, "orders").select("o_orderkey", F.concat(F.col("o_custkey").cast("string"), F.lit(".jpg")).alias("filename"))
+    done = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.col("c_custkey").cast("string"), F.lit(".png")).alias("filename"))
+    return lookups.skip_existing(images, done).select("o_orderkey")
 
 
 @query("""SELECT c_custkey, c_name FROM customer ORDER BY c_name LIMIT 20 OFFSET 9""")
@@ -469,13 +505,14 @@ def rank_slice(spark, d):
     return lookups.rank_slice(rows, 10, 20).select("c_custkey", "c_name")
 
 
-@query("""WITH r AS (SELECT l_orderkey, min(CASE WHEN l_linenumber % 2 = 0 THEN '.RAF' ELSE '.raf' END) AS ext FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey)
+@query("""WITH r AS (SELECT l_orderkey, min(CASE WHEN l_linenumber % 2 = 0 THEN '.RAF' ELSE '.raf' END) FILTER (WHERE l_returnflag = 'R') AS ext FROM lineitem GROUP BY l_orderkey)
 SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN r.ext IS NOT NULL THEN '/raw/' || o_orderkey || r.ext END AS raw_path FROM orders LEFT JOIN r ON o_orderkey = l_orderkey""")
 def raw_companion(spark, d):
     o = table(spark, d, "orders")
     winners = o.select("o_orderkey", F.lit("a").alias("folder"), F.concat(F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 5 == 0, ".tif").otherwise(".JPG")).alias("filename"))
-    name = F.concat(F.col("l_orderkey").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, ".RAF").otherwise(".raf"))
-    files = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.lit("a").alias("folder"), name.alias("name"), F.concat(F.lit("/raw/"), name).alias("path")).distinct()
+    raw = F.when(F.col("l_linenumber") % 2 == 0, ".RAF").otherwise(".raf")
+    name = F.concat(F.col("l_orderkey").cast("string"), F.when(F.col("l_returnflag") == "R", raw).otherwise(".xmp"))
+    files = table(spark, d, "lineitem").select(F.lit("a").alias("folder"), name.alias("name"), F.concat(F.lit("/raw/"), name).alias("path")).distinct()
     return lookups.raw_companions(winners, files).select("o_orderkey", "raw_path")
 
 
@@ -523,3 +560,110 @@ def mime_suffix(spark, d):
 def model_runs(spark, d):
     rows = table(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("scene_family_id"), "s_suppkey")
     return lookups.model_runs(rows, ["gemma-4:31b", "Other/Model 2"]).groupBy("scene_family_id", "model_slug").agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- families, answers and responses
+
+ANSWER_SQL = """WITH r AS (SELECT o_custkey, lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS name, count(*) OVER (PARTITION BY o_custkey) AS n, list(lpad(CAST(o_orderkey AS VARCHAR), 9, '0')) OVER (PARTITION BY o_custkey) AS members FROM orders),
+m AS (SELECT o_custkey, name, n, CAST(greatest(1, ceil(n / 4.0::DOUBLE)) AS INT) AS quota, list_sort(members) AS names FROM r),
+v AS (SELECT *, CASE WHEN o_custkey % 3 = 0 THEN ['ghost'] ELSE list_filter(['ghost', names[3], names[2], names[3], names[5]], lambda x: x IS NOT NULL) END AS asked, CASE WHEN o_custkey % 2 = 0 THEN names[2] ELSE 'ghost' END AS first FROM m WHERE n > quota),
+w AS (SELECT *, list_filter(asked, lambda x, i: list_contains(names, x) AND list_position(asked, x) = i) AS ok FROM v),
+k AS (SELECT *, CASE WHEN len(ok) > 0 THEN ok[1:quota] ELSE names[1:1] END AS kept FROM w)"""
+
+
+@query(ANSWER_SQL + """ SELECT o_custkey, name, list_contains(kept, name) AS kept, name = CASE WHEN list_contains(kept, first) THEN first ELSE kept[1] END AS is_primary, len(kept) > 1 AS is_distinct,
+  CASE WHEN o_custkey % 3 <> 0 AND name = names[3] THEN 'later' ELSE '' END AS reason FROM k""")
+def model_keep(spark, d):
+    rows = table(spark, d, "orders").select("o_custkey", F.format_string("%09d", "o_orderkey").alias("name"))
+    names = rows.groupBy("o_custkey").agg(F.sort_array(F.collect_list("name")).alias("names"))
+    at = lambda i: F.get("names", F.lit(i))
+    lost = F.col("o_custkey") % 3 == 0
+    entry = lambda n, why: F.struct(n.alias("filename"), F.lit(why).alias("reason"))
+    answers = names.select(
+        "o_custkey", F.when(lost, F.array(F.lit("ghost"))).otherwise(F.filter(F.array(F.lit("ghost"), at(2), at(1), at(2), at(4)), lambda x: x.isNotNull())).alias("keep"),
+        F.when(F.col("o_custkey") % 2 == 0, at(1)).otherwise("ghost").alias("primary"),
+        F.when(~lost, F.array(entry(at(2), "first"), entry(F.lit("ghost"), "none"), entry(at(2), "later"))).alias("photos"),
+    )
+    plan = tournament.family_plan(rows, 4, "o_custkey", "name")
+    return tournament.model_decisions(plan, answers, "o_custkey", "name")
+
+
+@query("""SELECT CAST(o_orderdate AS VARCHAR) AS filename, max(o_custkey) AS scene_family_id FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_orderdate""")
+def survivor_names(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderdate").cast("string").alias("filename"), F.col("o_custkey").alias("scene_family_id"), (F.col("o_orderstatus") != "F").alias("kept"))
+    return tournament.survivors(rows).select("filename", "scene_family_id")
+
+
+@query("""WITH f AS (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_nationkey IN (3, 5, 8, 9, 14, 21) ORDER BY k LIMIT 4) SELECT s_suppkey, s_nationkey FROM supplier WHERE s_nationkey IN (SELECT k FROM f)""")
+def first_families(spark, d):
+    rows = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    return tournament.first_families(rows, [3, 5, 8, 9, 14, 21], 4, "s_nationkey")
+
+
+@query("""SELECT o_custkey, count(*) AS n, max(o_orderpriority) AS best_filename FROM orders GROUP BY o_custkey""")
+def checked_pick(spark, d):
+    answers = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.max("o_orderpriority").alias("best_filename"), F.collect_set("o_orderpriority").alias("names"))
+    return lookups.check_answer(answers).drop("names")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN NULL ELSE coalesce(nullif(text || coalesce(nullif(role, ''), ''), ''), NULL) END AS said, CASE WHEN turn % 2 = 0 THEN 'image/jpeg' ELSE 'image/png' END AS mime, length(coalesce(text, '')) AS n, CAST(turn AS VARCHAR) AS tokens FROM conversations""")
+def model_response(spark, d):
+    """Text, last inline image and usage of responses in both spellings."""
+    c = table(spark, d, "conversations")
+    body = F.base64(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    old = F.struct(F.struct(F.lit("image/gif").alias("mimeType"), F.base64(F.lit(b"old")).alias("data")).alias("inlineData"))
+    last = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct(F.struct(F.lit("image/jpeg").alias("mime_type"), F.concat(body, F.base64(F.lit(b""))).alias("data")).alias("inline_data")))).otherwise(F.to_json(F.struct(F.struct(body.alias("data")).alias("inlineData"))))
+    texts = F.when(F.col("turn") % 3 == 0, F.lit('{"text":""}')).otherwise(F.concat(F.to_json(F.struct("text")), F.lit(","), F.to_json(F.struct(F.col("role").alias("text")))))
+    response = F.concat(F.lit('{"candidates":[{"content":{"parts":['), texts, F.lit(","), F.to_json(old), F.lit(","), last, F.lit("]}}],\"usageMetadata\":{\"totalTokenCount\":"), F.col("turn").cast("string"), F.lit("}}"))
+    image = lenient_json.response_image(response)
+    return c.select("conv_id", "turn", lenient_json.response_text(response).alias("said"), image["mime"].alias("mime"), F.length(F.decode(image["data"], "UTF-8")).cast("long").alias("n"), lenient_json.usage(response)["totalTokenCount"].alias("tokens"))
+
+
+@query("""WITH e AS (SELECT event_id, [' Yes', 'no', '1', 'maybe', '', 'TRUE '][CAST(event_id % 6 AS INT) + 1] AS t FROM events)
+SELECT event_id, CASE WHEN event_id % 6 IN (0, 2, 5) THEN true WHEN event_id % 6 IN (1, 4) THEN false ELSE event_id % 2 = 0 END AS flag, CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'a|b' ELSE event_type END AS items FROM events""")
+def coerced_fields(spark, d):
+    e = table(spark, d, "events")
+    said = F.get(F.array(*map(F.lit, (" Yes", "no", "1", "maybe", "", "TRUE "))), (F.col("event_id") % 6).cast("int"))
+    items = F.when(F.col("event_id") % 3 == 0, F.lit(None).cast("array<string>")).when(F.col("event_id") % 3 == 1, F.array(F.lit(" a"), F.lit(" "), F.lit("b "))).otherwise(F.array("event_type"))
+    return e.select("event_id", lenient_json.coerce_bool(said, F.col("event_id") % 2 == 0).alias("flag"), F.array_join(lenient_json.normalize_list(items), "|").alias("items"))
+
+
+SCORE_SQL = """WITH b AS (SELECT p_partkey, p_brand, p_size, p_type, (row_number() OVER (ORDER BY p_partkey) - 1) // 12 + 1 AS batch FROM part),
+e AS (SELECT *, batch % 5 <> 0 AS readable, p_size % 7 <> 0 AS named FROM b),
+s AS (SELECT *, CASE WHEN readable AND named THEN greatest(1.0::DOUBLE, least(10.0::DOUBLE, p_size / 4.0::DOUBLE)) ELSE 1.0::DOUBLE END AS score, readable AND p_size % 3 = 0 AS best FROM e),
+r AS (SELECT *, CASE WHEN best THEN row_number() OVER (PARTITION BY batch, best ORDER BY p_size DESC, p_partkey) END AS place FROM s)"""
+
+
+@query(SCORE_SQL + """ SELECT p_partkey, batch, score AS printworthy_score, CASE WHEN readable AND named THEN p_brand ELSE '' END AS category, CASE WHEN readable AND named THEN p_type || '; calm' ELSE '' END AS strengths,
+  readable AND named AND p_size % 2 = 0 AS worth_enhancing, CAST(place AS INT) AS top_place, coalesce(place <= 3, false) AS finalist FROM r""")
+def photo_scores(spark, d):
+    """Scores of photos and finalists from batches' answers as text, some of
+    which cannot be read or leave photos out."""
+    rows = tournament.batches(table(spark, d, "part").select("p_partkey", "p_size", "p_brand", "p_type", F.format_string("%09d.jpg", "p_partkey").alias("filename")), 12)
+    rows = rows.withColumn("batch", F.col("batch").cast("long"))
+    entry = F.struct(
+        "filename", (F.col("p_size") / 4.0).alias("printworthy_score"), F.concat(F.lit(" "), "p_brand").alias("category"), F.array(F.col("p_type"), F.lit(""), F.lit("calm")).alias("strengths"),
+        F.when(F.col("p_size") % 2 == 0, "yes").otherwise("no").alias("worth_enhancing"),
+    )
+    best = F.transform(F.array_sort(F.collect_list(F.when(F.col("p_size") % 3 == 0, F.struct((-F.col("p_size")).alias("s"), F.col("p_partkey").alias("k"), "filename")))), lambda x: x["filename"])
+    answers = rows.groupBy("batch").agg(F.collect_list(F.when(F.col("p_size") % 7 != 0, entry)).alias("photos"), F.concat(F.array(F.lit("ghost.jpg")), best, F.slice(best, 1, 1)).alias("top_batch_filenames"))
+    said = F.concat(F.lit("Here: "), F.to_json(F.struct("photos", "top_batch_filenames")), F.lit(" done"))
+    answers = answers.select("batch", F.when(F.col("batch") % 5 == 0, "sorry, no").otherwise(said).alias("response"))
+    scores = tournament.photo_scores(rows, answers)
+    chosen = tournament.batch_finalists(scores, 12, 4).select("p_partkey", F.lit(True).alias("finalist"))
+    return scores.join(chosen, "p_partkey", "left").select("p_partkey", "batch", "printworthy_score", "category", F.array_join("strengths", "; ").alias("strengths"), "worth_enhancing", "top_place", F.coalesce("finalist", F.lit(False)).alias("finalist"))
+
+
+@query("""WITH n AS (SELECT p_brand, list(p_partkey ORDER BY p_size DESC, p_partkey)[1:5] AS ks FROM part GROUP BY p_brand), r AS (SELECT p_brand, unnest(ks) AS k, generate_subscripts(ks, 1) AS rank FROM n)
+SELECT CAST(rank AS INT) AS rank, p_partkey, p_size AS score, CASE WHEN p_partkey % 2 = 0 THEN p_type END AS final_reason FROM r JOIN part ON k = p_partkey""")
+def ranked_details(spark, d):
+    part = table(spark, d, "part").withColumn("filename", F.format_string("%09d.jpg", "p_partkey"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("p_size")).alias("s"), F.col("p_partkey").alias("k"), "filename")))
+    ranking = part.groupBy("p_brand").agg(F.slice(F.transform(order, lambda x: x["filename"]), 1, 5).alias("ranked_filenames"))
+    reasons = part.where("p_partkey % 2 = 0").select("filename", F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.lit("early").alias("reason")), F.struct(F.lit(1).alias("pos"), F.col("p_type").alias("reason")))).alias("e")).select("filename", "e.*")
+    return tournament.ranked_details(ranking, part.select("filename", "p_partkey", F.col("p_size").alias("score")), reasons).select("rank", "p_partkey", "score", "final_reason")
+
+
+@query("""SELECT p_partkey, (1000 + p_size * 37) * (800.0::DOUBLE + p_partkey % 900) / 1e6::DOUBLE AS mp FROM part""")
+def megapixels(spark, d):
+    return table(spark, d, "part").select("p_partkey", scoring.megapixels(F.lit(1000) + F.col("p_size") * 37, F.lit(800) + F.col("p_partkey") % 900).alias("mp"))
