@@ -85,6 +85,20 @@ class FakeJsonModel:
         })
 
 
+class OrdinalModel:
+    """Answers from the numbers in the listed names: keeps the last names,
+    scores by the last digit, ranks by score and name."""
+
+    def __call__(self, prompt: str, images: list[bytes], schema: dict | None = None) -> str:
+        names = sorted(x.strip() for x in prompt.rpartition(": ")[2].split(",") if x.strip())
+        score = {n: 1 + int("0" + "".join(c for c in n if c.isdigit())) % 10 for n in names}
+        best = sorted(names, key=lambda n: (-score[n], n))
+        return "Answer: " + json.dumps({
+            "keep_filenames": names[::-1], "primary_filename": names[-1] if names else None, "top_batch_filenames": best, "ranked_filenames": best, "top_filename": best[0] if best else None,
+            "photos": [{"filename": n, "printworthy_score": score[n], "category": "c" + n[-5:-4], "reason": "by number"} for n in names], "reasons": [{"filename": n, "reason": "last " + n[-5:-4]} for n in best[::2]],
+        })
+
+
 class FakeImageModel:
     def __call__(self, prompt: str, image: bytes, aspect: str) -> tuple[str, bytes]:
         return "image/png", image

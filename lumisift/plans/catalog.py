@@ -14,8 +14,9 @@ from ..functions.pixels import measure
 from ..operators import grouping, lookups, selection, tournament
 from ..operators.grouping import Limits
 from ..operators.tables import dense_place
+from ..models import OrdinalModel
 from ..sources.albums import album_filter
-from . import stage1
+from . import stage1, stage2
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -667,3 +668,38 @@ def ranked_details(spark, d):
 @query("""SELECT p_partkey, (1000 + p_size * 37) * (800.0::DOUBLE + p_partkey % 900) / 1e6::DOUBLE AS mp FROM part""")
 def megapixels(spark, d):
     return table(spark, d, "part").select("p_partkey", scoring.megapixels(F.lit(1000) + F.col("p_size") * 37, F.lit(800) + F.col("p_partkey") % 900).alias("mp"))
+
+
+# -- stage 2 from end to end, with a stand-in model
+
+STAGE2_SQL = """WITH r AS (SELECT o_custkey, lpad(CAST(o_orderkey AS VARCHAR), 9, '0') || '.jpg' AS filename, 1 + o_orderkey % 10 AS score, count(*) OVER (PARTITION BY o_custkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS last FROM orders),
+d AS (SELECT *, n <= quota OR last <= quota AS kept FROM (SELECT *, greatest(1, ceil(n / 4.0::DOUBLE)) AS quota FROM r)),
+b AS (SELECT filename, score, row_number() OVER (ORDER BY filename) - 1 AS ord, (row_number() OVER (ORDER BY filename) - 1) // 12 + 1 AS batch, count(*) OVER () AS total FROM d WHERE kept),
+p AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY score DESC, filename) <= 3 AS best, ceil(total / 4.0::DOUBLE) AS top_n, 3 * ceil(total / 12.0::DOUBLE) AS cap FROM b),
+f AS (SELECT *, count(*) FILTER (WHERE best) OVER () AS found, row_number() OVER (PARTITION BY best ORDER BY score DESC, ord) AS fill FROM p),
+g AS (SELECT *, row_number() OVER (ORDER BY score DESC, filename) AS rank FROM f WHERE best OR (found < top_n AND fill + found <= greatest(top_n, cap)))"""
+
+
+@query(STAGE2_SQL + """ SELECT o_custkey AS scene_family_id, filename, kept, CASE WHEN n <= quota THEN last = n ELSE last = 1 END AS is_primary, CASE WHEN n <= quota THEN n > 1 ELSE quota > 1 END AS is_distinct,
+  CASE WHEN n <= quota THEN 'auto_keep_family_size_within_limit' ELSE 'by number' END AS reason FROM d""")
+def stage2_families(spark, d):
+    return stage2.reduce_families(stage2_photos(spark, d), OrdinalModel, stage2.Stage2Config())
+
+
+def stage2_photos(spark, d) -> DataFrame:
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("scene_family_id"), F.format_string("%09d.jpg", "o_orderkey").alias("filename"))
+
+
+@query(STAGE2_SQL + """ SELECT CAST(rank AS INT) AS rank, filename, CAST(score AS DOUBLE) AS printworthy_score, 'c' || substr(filename, 9, 1) AS category, 'by number' AS reason, CASE WHEN rank % 2 = 1 THEN 'last ' || substr(filename, 9, 1) END AS final_reason,
+  first_value(filename) OVER (ORDER BY rank) AS top_filename FROM g WHERE rank <= top_n""")
+def stage2_portfolio(spark, d):
+    _, ranked = stage2.run(stage2_photos(spark, d), OrdinalModel)
+    return ranked.select("rank", "filename", "printworthy_score", "category", "reason", "final_reason", "top_filename")
+
+
+@query(STAGE2_SQL + """ SELECT (SELECT count(*) FROM orders) AS input_selected_count, (SELECT count(DISTINCT o_custkey) FROM orders) AS family_count, (SELECT count(DISTINCT o_custkey) FROM d) AS processed_family_count,
+  (SELECT count(DISTINCT o_custkey) FROM d WHERE n > quota) AS model_family_count, max(total) AS input_survivor_count, CAST(max(top_n) AS BIGINT) AS target_top_n, 3 AS top_per_batch, CAST(ceil(max(total) / 12.0::DOUBLE) AS BIGINT) AS batch_count FROM p""")
+def stage2_dry_run(spark, d):
+    photos, c = stage2_photos(spark, d), stage2.Stage2Config()
+    kept = tournament.survivors(stage2.reduce_families(photos, OrdinalModel, c))
+    return stage2.reduce_families(photos, OrdinalModel, c, dry_run=True).crossJoin(stage2.rank_portfolio(kept, OrdinalModel, c, dry_run=True))
