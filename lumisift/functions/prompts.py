@@ -2,46 +2,65 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lenient_json import SIDES
 from .text import drop_rotation, joined_unique, strip, stripped
 
-FALLBACKS = {
-    "goal": "Make this photo cleaner and ready for print without changing the scene.",
-    "safe": "balance exposure and white balance, local contrast, less noise, sharpen for print",
-    "conditional": "bring back a blown sky only in natural tones; extend a border a little only where the subject is cut off; level a tilted horizon only if the tilt is plain",
-    "avoid": "do not change poses, faces, layout, lettering, buildings or artwork",
-    "risks": "stay authentic; do not over-process",
-}
 
-MODE_BLOCKS = {
-    "edge_completion": "## Main task: complete the edge\nThe blurred margin is empty canvas. Continue only what the edge cuts off, after the pattern of the intact side, and add nothing else.",
-    "square_and_level": "## Main task: square and level\nMake borders, uprights and repeated lines true and parallel. Keep the framing and invent nothing.",
-    "crowd_cleanup": "## Main task: thin the crowd\nThe place is the subject. Remove the most distracting figures in front and rebuild only what they hid; leave far figures for scale.",
-    "subject_deblur": "## Main task: sharpen the subject\nRecover local clarity of the person in front. Keep identity, pose, expression and number of people.",
-    "tonal_only": "",
+@dataclass(frozen=True)
+class Repair:
+    """A repair mode: when it applies, what may change and what may not. A mode
+    without ``change`` adds nothing to a prompt."""
+
+    when: str
+    change: str = ""
+    leave: str = ""
+
+
+#: The modes' names are fixed values; pass another table for other wording.
+REPAIRS = {
+    "edge_completion": Repair("the subject runs out of the frame", "the soft margin, which is still to be painted", "all inside the sharp frame"),
+    "square_and_level": Repair("lines that ought to be level or parallel are not", "the tilt and the angles", "the crop and what it shows"),
+    "crowd_cleanup": Repair("bystanders hide what the picture is about", "the bystanders nearest to the camera", "companions, far figures and the place"),
+    "subject_deblur": Repair("the person meant is less sharp than the rest", "the softness of that person", "who they are, how they stand and look"),
+    "tonal_only": Repair("nothing of the above"),
 }
 
 
-def improvement_prompt(name: Column, goal: Column, safe: Column, conditional: Column, avoid: Column, risks: Column, mode: Column, sides: Column) -> Column:
-    """The prompt of one image: hard rules, one mode block, and its hints with
-    fallbacks. Requests to rotate never reach it."""
-    padded = F.array_join(sides, ", ")
-    note = F.when(F.size(sides) > 0, F.concat(F.lit("\nSoft margins were added on: "), padded, F.lit(". The sharp centre is the photograph; do not repeat parts of it.\n"))).otherwise("")
-    block = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in MODE_BLOCKS.items() for x in kv]), F.when(mode.isin(*MODE_BLOCKS), mode).otherwise("tonal_only")), F.lit(""))
-    return F.concat(
-        F.lit("Restore this photograph for print; do not make a new one.\n\nFile: "), name, F.lit("\n"), note,
-        F.lit("\n## Hard rules\nKeep subjects, their number, geometry, lettering, faces, poses and the moment. What the picture shows outweighs every hint below.\n\n"),
-        block, F.lit("\n\n## Hints of an earlier pass\nGoal: "), F.coalesce(F.nullif(strip(goal), F.lit("")), F.lit(FALLBACKS["goal"])),
-        F.lit("\nIf plainly useful: "), joined_unique(drop_rotation(safe), FALLBACKS["safe"]),
-        F.lit("\nOnly if it clearly helps: "), joined_unique(drop_rotation(conditional), FALLBACKS["conditional"]),
-        F.lit("\nNever: "), joined_unique(stripped(avoid), FALLBACKS["avoid"]), F.lit("\nRisks: "), joined_unique(stripped(risks), FALLBACKS["risks"]),
-        F.lit("\n\n## Output\nOne print-ready picture, faithful to the original."),
-        F.when(F.size(sides) > 0, F.lit(" The margins must read as the same scene, without seams.")).otherwise(""),
+def _line(head: str, items: Column) -> Column:
+    """A line of what remains of ``items``, or null if nothing does."""
+    kept = joined_unique(items, "")
+    return F.when(kept != "", F.concat(F.lit(head), kept))
+
+
+def improvement_prompt(name: Column, goal: Column, safe: Column, conditional: Column, avoid: Column, risks: Column, mode: Column, sides: Column, repairs: dict[str, Repair] | None = None) -> Column:
+    """The prompt of one image: what its mode may change, and its hints, each
+    only if there is one. Requests to rotate never reach it. An unknown mode
+    counts as ``tonal_only``."""
+    repairs = REPAIRS if repairs is None else repairs
+    tasks = {k: f"Change {r.change}. Leave {r.leave} as it is." if r.change else "" for k, r in repairs.items()}
+    known = F.when(mode.isin(*repairs), mode).otherwise("tonal_only")
+    task = F.nullif(F.element_at(F.create_map(*[F.lit(x) for kv in tasks.items() for x in kv]), known), F.lit(""))
+    margins = F.when(F.size(sides) > 0, F.concat(F.lit("Margins were added on these sides and must read as the same scene: "), F.array_join(sides, ", "), F.lit(".")))
+    asked = F.nullif(strip(goal), F.lit(""))
+    return F.concat_ws(
+        "\n", F.concat(F.lit("Prepare "), name, F.lit(" for print. It stays the same photograph: people, buildings, lettering and light are given.")),
+        margins, task, F.when(asked.isNotNull(), F.concat(F.lit("Goal: "), asked)), _line("Welcome: ", drop_rotation(safe)), _line("If needed: ", drop_rotation(conditional)),
+        _line("Never: ", stripped(avoid)), _line("Beware: ", stripped(risks)),
     )
 
 
+def analysis_prompt(repairs: dict[str, Repair] | None = None, sides: tuple[str, ...] = SIDES) -> str:
+    """The instruction of the model that picks a repair mode."""
+    repairs = REPAIRS if repairs is None else repairs
+    modes = "; ".join(f"{k} if {r.when}" for k, r in repairs.items())
+    return f"Reply in JSON: repair_mode, the first that applies of {modes}; pad_sides, for the first mode alone, of {', '.join(sides)}; reason, a sentence."
+
+
 def family_prompt(names: Column, limit: Column) -> Column:
     return F.concat(F.lit("These photographs show one scene. Keep at most "), limit.cast("string"), F.lit(" and answer in JSON with keep_filenames, primary_filename and photos: "), F.array_join(names, ", "))
 
@@ -55,11 +74,21 @@ def final_prompt(names: Column, n: Column) -> Column:
 
 
 def print_prompt(goal: Column, safe: Column, conditional: Column, avoid: Column, risks: Column) -> Column:
-    return F.concat_ws(
-        " ", F.coalesce(F.nullif(goal, F.lit("")), F.lit(FALLBACKS["goal"])), F.concat(F.lit("Do: "), joined_unique(safe, FALLBACKS["safe"]), F.lit(".")),
-        F.concat(F.lit("Perhaps: "), joined_unique(conditional, FALLBACKS["conditional"]), F.lit(".")), F.concat(F.lit("Avoid: "), joined_unique(avoid, FALLBACKS["avoid"]), F.lit(".")),
-        F.concat(F.lit("Mind: "), joined_unique(risks, FALLBACKS["risks"]), F.lit(".")),
-    )
+    """One line for a printer from a photo's score; null if it says nothing."""
+    said = F.concat_ws("; ", F.nullif(strip(goal), F.lit("")), _line("do ", safe), _line("perhaps ", conditional), _line("avoid ", avoid), _line("mind ", risks))
+    return F.nullif(said, F.lit(""))
+
+
+def writer_prompt(analysis: Column, custom: Column) -> Column:
+    """The request to a chat model that writes an edit prompt from an analysis
+    and a user's wish; null without both."""
+    parts = F.concat_ws("\n", F.concat(F.lit("Wish: "), F.nullif(F.trim(custom), F.lit(""))), F.concat(F.lit("Analysis: "), F.nullif(F.trim(analysis), F.lit(""))))
+    return F.when(parts != "", F.concat(F.lit("Write one prompt for an image editor, at most five sentences, from this.\n"), parts))
+
+
+def written_or(response: Column, local: Column) -> Column:
+    """What the chat model wrote, or the local prompt if it wrote nothing."""
+    return F.coalesce(F.nullif(strip(response), F.lit("")), local)
 
 
 EDIT_MODES = {

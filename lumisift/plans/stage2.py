@@ -16,8 +16,6 @@ from ..models import JsonModel, ask
 from ..operators import tournament
 from ..operators.tables import dense_place, stored
 
-NO_IMAGES = F.lit(None).cast("array<binary>")
-
 
 @dataclass(frozen=True)
 class Stage2Config:
@@ -30,7 +28,7 @@ class Stage2Config:
 
 def _asked(requests: DataFrame, factory: Callable[[], JsonModel], label: str) -> DataFrame:
     """``requests`` (with prompt) and their responses."""
-    rows = requests if "images" in requests.columns else requests.withColumn("images", NO_IMAGES)
+    rows = requests if "images" in requests.columns else requests.withColumn("images", F.lit(None).cast("array<binary>"))
     return stored(ask(rows, factory).drop("images"), label)
 
 
@@ -57,7 +55,7 @@ def reduce_families(selected: DataFrame, factory: Callable[[], JsonModel], c: St
 
 def rank_portfolio(survivors: DataFrame, factory: Callable[[], JsonModel], c: Stage2Config, dry_run: bool = False) -> DataFrame:
     """Ranked survivors with their scores and reasons: ``rank, filename``, the
-    fields of ``photo_scores``, final_reason and top_filename.
+    fields of ``photo_scores``, final_reason, print_prompt and top_filename.
 
     A survivor's batch scores it; the best of the batches, filled up by score
     if they are too few, are ranked by one last answer. Raises ValueError if
@@ -91,7 +89,8 @@ def rank_portfolio(survivors: DataFrame, factory: Callable[[], JsonModel], c: St
     ranking = tournament.final_ranking(rows, F.coalesce(F.col("asked_"), F.array().cast("array<string>")), F.col("top_"), top_n, ["asked_", "top_"]).drop("asked_", "top_")
     reasons = said.select(F.posexplode("reasons_").alias("pos", "r")).select("pos", "r.*")
     details = tournament.ranked_details(ranking, scores.drop("batch", "slot", "top_place"), reasons)
-    return details.crossJoin(F.broadcast(ranking.select("top_filename")))
+    prompt = prompts.print_prompt(*[F.col(c) for c in ("enhancement_goal", "safe_edits", "conditional_edits", "avoid_edits", "risk_flags")])
+    return details.withColumn("print_prompt", prompt).crossJoin(F.broadcast(ranking.select("top_filename")))
 
 
 def run(selected: DataFrame, factory: Callable[[], JsonModel], c: Stage2Config = Stage2Config()) -> tuple[DataFrame, DataFrame]:

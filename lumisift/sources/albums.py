@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import image_files, text
 
 # Accepted suffixes and names of generated folders.
 SUFFIXES = (".jpg", ".jpeg", ".png", ".tif", ".tiff", ".bmp", ".webp", ".heic", ".heif")
@@ -67,7 +67,10 @@ def _staged(spark: SparkSession, files: DataFrame, staging: str | None) -> tuple
     """Links with neutral names, as Spark's sources hide ``_`` and ``.`` names,
     and the map from links to files. The listing came from the driver, so its
     size is that of one listing."""
-    staging = staging or tempfile.mkdtemp(prefix="lumisift-stage-")
+    if staging is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("give a staging folder that all executors share")
+        staging = tempfile.mkdtemp(prefix="lumisift-stage-")
     rows = []
     for i, r in enumerate(files.collect()):
         link = f"f{i:09d}{r.suffix}"
@@ -94,9 +97,9 @@ def read_bytes(spark: SparkSession, files: DataFrame, staging: str | None = None
     return links.join(found.select(F.element_at(F.split("path", "/"), -1).alias("link"), "content", "length"), "link", "left").drop("link")
 
 
-def decode_bytes(rows: DataFrame, decoder, keep: list[str]) -> DataFrame:
-    """``keep`` plus an image struct from ``content`` by a pluggable decoder
-    (bytes -> BGR array or None), for formats the JVM lacks."""
+def decode_bytes(rows: DataFrame, decoder=image_files.decode, keep: list[str] = ("path",)) -> DataFrame:
+    """``keep`` plus an image struct from ``content`` by a decoder (bytes -> BGR
+    array or None), for formats the JVM lacks."""
     import pandas as pd
 
     types = dict(rows.dtypes)
@@ -106,7 +109,7 @@ def decode_bytes(rows: DataFrame, decoder, keep: list[str]) -> DataFrame:
         for frame in frames:
             got = [decoder(c) if c is not None else None for c in frame["content"]]
             shape = [(-1, -1, -1, b"") if g is None else (*g.shape[:2], g.shape[2], g.tobytes()) for g in got]
-            yield pd.concat([frame[keep].reset_index(drop=True), pd.DataFrame(shape, columns=["height", "width", "nChannels", "data"])], axis=1)
+            yield pd.concat([frame[list(keep)].reset_index(drop=True), pd.DataFrame(shape, columns=["height", "width", "nChannels", "data"])], axis=1)
 
     out = rows.select(*keep, "content").mapInPandas(run, fields)
     return out.select(*keep, F.struct("height", "width", "nChannels", "data").alias("image"))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -10,10 +11,13 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumisift.config import CurationConfig
-from lumisift.functions import lenient_json, pixels, prompts, scoring, text, vectors
+from lumisift.functions import image_files, lenient_json, pixels, prompts, scoring, text, vectors
 from lumisift.operators import grouping, lookups, selection, tournament
+from lumisift.models import OrdinalModel
 from lumisift.operators.grouping import Limits
-from lumisift.plans import stage1
+from lumisift.operators.tables import dense_place
+from lumisift.plans import stage1, stage2
+from lumisift.sources import albums
 
 C = CurationConfig()
 
@@ -167,8 +171,13 @@ def test_prompts(spark):
     rows = [("a.jpg", "", ["rotate it", " crop ", "crop"], [], [""], ["r"], "edge_completion", ["left"]), ("b.jpg", "goal", [], [], [], [], "odd", [])]
     schema = "n string, g string, s array<string>, c array<string>, a array<string>, r array<string>, m string, p array<string>"
     a, b = (g[0] for g in values(spark, rows, schema, p=prompts.improvement_prompt(*[F.col(x) for x in "ngscarmp"])))
-    assert "rotate" not in a and "If plainly useful: crop\n" in a and "margins" in a and prompts.FALLBACKS["goal"] in a
-    assert "Goal: goal" in b and "Main task" not in b
+    assert "rotate" not in a and "Welcome: crop\n" in a and "Margins" in a and prompts.REPAIRS["edge_completion"].change in a and "Goal" not in a and "Never" not in a
+    assert "Goal: goal" in b and "Change" not in b and "Margins" not in b
+    assert all(m in prompts.analysis_prompt() for m in lenient_json.MODES)
+    wishes = values(spark, [(" w ", "a"), (None, ""), ("x", None)], "c string, a string", p=prompts.writer_prompt(F.col("a"), F.col("c")), q=prompts.written_or(F.col("a"), F.col("c")))
+    assert "Wish: w" in wishes[0][0] and "Analysis: a" in wishes[0][0] and wishes[1] == (None, None) and [w[1] for w in wishes] == ["a", None, "x"]
+    line = values(spark, [("g", ["s", "s"], [], None, ["r"]), ("", [], [], [], [])], "g string, s array<string>, c array<string>, a array<string>, r array<string>", p=prompts.print_prompt(*[F.col(x) for x in "gscar"]))
+    assert [x[0] for x in line] == ["g; do s; mind r", None]
     fixed = values(spark, [("look", "do"), (None, "do"), ("look", None), (None, None)], "a string, c string", p=prompts.quick_fix_prompt(F.col("a"), F.col("c"), "selective"))
     assert fixed[0][0].index("do") < fixed[0][0].index("look") and fixed[1][0] and fixed[2][0].startswith("look") and fixed[3][0] is None
 
@@ -201,3 +210,59 @@ def test_pixels():
     assert pixels.pad_all_sides(flat, 10).shape == (48, 72, 3) and pixels.pad_blur_fade(flat, [], 10) is flat
     tall = np.zeros((2, 3, 3), np.uint8)
     assert [pixels.exif_oriented(tall, o).shape[:2] for o in (1, 3, 6, 8)] == [(2, 3), (2, 3), (3, 2), (3, 2)]
+
+
+def test_image_files(spark):
+    rng = np.random.default_rng(4)
+    img = rng.integers(0, 256, (30, 47, 3), dtype=np.uint8)
+    data = image_files.encode_png(img)
+    assert image_files.image_size(data) == (47, 30) and (image_files.decode(data) == img).all()
+    assert image_files.decode(b"") is None and image_files.decode(b"nonsense") is None and image_files.image_size(b"\xff\xd8\xff") is None
+    # every line filter, against a plain writer
+    lines = img[..., ::-1].reshape(30, -1).astype(int)
+    packed = b""
+    for y, line in enumerate(lines):
+        up, left = lines[y - 1] if y else line * 0, np.concatenate([[0] * 3, line[:-3]])
+        corner = np.concatenate([[0] * 3, up[:-3]])
+        p = left + up - corner
+        near = np.where((abs(p - left) <= abs(p - up)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - up) <= abs(p - corner), up, corner))
+        packed += bytes([y % 5]) + bytes(((line - (line * 0, left, up, (left + up) // 2, near)[y % 5]) % 256).astype(np.uint8))
+    at = data.index(b"IDAT")
+    body = zlib.compress(packed)
+    filtered = data[:at - 4] + len(body).to_bytes(4, "big") + b"IDAT" + body + b"\0" * 4 + data[-12:]
+    assert (image_files._png_pixels(filtered) == img).all()
+    exif = b"\xff\xd8\xff\xe1\x00\x22Exif\0\0MM\0*\0\0\0\x08\0\x01\x01\x12\0\x03\0\0\0\x01\0\x06\0\0\0\0\0\0\xff\xda\0\x02"
+    assert image_files.exif_orientation(exif) == 6 and image_files.exif_orientation(data) == 1
+    mime, small, w, h, _ = image_files.review_copy(np.zeros((900, 2000, 3), np.uint8))
+    assert (w, h) == (1600, 720) and image_files.image_size(small) == (1600, 720) and mime.startswith("image/")
+    tight = image_files.review_copy(img, max_bytes=10)
+    assert tight[2:4] == (47, 30)
+    rows = spark.createDataFrame([("a", data), ("b", b"x"), ("c", None)], "path string, content binary")
+    got = {r.path: r.image for r in albums.decode_bytes(rows).collect()}
+    assert bytes(got["a"].data) == img.tobytes() and got["b"].height == -1
+    sizes = [tuple(r.s) for r in rows.select(image_files.dimensions(F.col("content")).alias("s")).collect()]
+    review = [r.r.width for r in rows.select(image_files.for_review(F.col("content")).alias("r")).collect()]
+    assert sizes == [(47, 30), (None, None), (None, None)] and review == [47, None, None]
+
+
+def test_stage_2_needs_survivors(spark):
+    none = spark.createDataFrame([], "filename string")
+    with pytest.raises(ValueError, match="survived"):
+        stage2.rank_portfolio(none, OrdinalModel, stage2.Stage2Config())
+
+
+def test_places_of_names_with_a_long_common_beginning(spark):
+    names = [f"{'x' * 30}{i:03d}" for i in range(300)]
+    rows = spark.createDataFrame([(n,) for n in random.Random(1).sample(names, 300)], "filename string")
+    placed = dense_place(rows, ["filename"], "p")
+    assert sorted((r.p, r.filename) for r in placed.collect()) == list(enumerate(names))
+    used = {r.n for r in placed.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert max(used) < 300
+
+
+def test_tiles_give_all_pairs(spark):
+    n = 2 * grouping.TILE + 40
+    rows = spark.createDataFrame([("f", i) for i in range(1, n + 1)] + [("g", 1), ("g", 2), ("h", 1)], "folder string, ord long")
+    got = grouping.tile_pairs(rows, "folder", "ord")
+    assert got.count() == n * (n - 1) // 2 + 1 == got.distinct().count()
+    assert got.where("a_ord >= b_ord OR a_folder <> b_folder").count() == 0
