@@ -15,6 +15,7 @@ from ..operators import grouping, lookups, selection, tournament
 from ..operators.grouping import Limits
 from ..operators.tables import dense_place
 from ..models import OrdinalModel
+from ..sinks import outputs
 from ..sources.albums import album_filter
 from . import stage1, stage2
 
@@ -718,3 +719,52 @@ def image_dimensions(spark, d):
     data = F.unhex(F.get(F.array(F.lit("68656C6C6F"), png, gif, jpeg, heic), (F.col("p_size") % 5).cast("int")))
     size = image_files.dimensions(data)
     return table(spark, d, "part").select("p_partkey", size.alias("s")).select("p_partkey", "s.width", "s.height")
+
+
+# -- what the sinks write
+
+COPY_SQL = "SELECT o_orderkey, CASE WHEN o_totalprice >= 100000 THEN 'Above_8MP' ELSE 'Between_1MP_and_8MP' END AS dir, o_orderkey % 3 = 0 AS raw FROM orders"
+
+
+@query(f"""SELECT '/album/' || o_orderkey || '.JPG' AS src, '/out/' || dir || '/' || o_orderkey || '.JPG' AS dst FROM ({COPY_SQL}) UNION ALL SELECT '/raw/' || o_orderkey || '.RAF', '/out/' || dir || '/' || o_orderkey || '.RAF' FROM ({COPY_SQL}) WHERE raw""")
+def copy_targets(spark, d):
+    o, key = table(spark, d, "orders"), F.col("o_orderkey").cast("string")
+    winners = o.select(
+        F.concat(F.lit("/album/"), key, F.lit(".JPG")).alias("path"), F.concat(key, F.lit(".JPG")).alias("filename"), F.when(F.col("o_totalprice") >= 100000, "above_8mp").otherwise("between_1mp_and_8mp").alias("tier"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("/raw/"), key, F.lit(".RAF"))).alias("raw_path"),
+    )
+    return outputs.copy_manifest(winners, "/out/", C)
+
+
+@query("""SELECT '/in/' || p_name AS src, '/ranked/' || lpad(CAST(p_size AS VARCHAR), 3, '0') || '_' || p_name AS dst FROM part""")
+def ranked_targets(spark, d):
+    rows = table(spark, d, "part").select(F.concat(F.lit("/in/"), "p_name").alias("path"), F.col("p_size").alias("rank"), F.col("p_name").alias("filename"))
+    return outputs.ranked_manifest(rows, "/ranked", 3)
+
+
+@query("""SELECT event_type, count(*) FILTER (WHERE event_id % 7 <> 0) AS completed_count, count(*) FILTER (WHERE event_id % 7 = 0) AS failure_count FROM events GROUP BY event_type""")
+def improvement_outcome(spark, d):
+    rows = table(spark, d, "events").select("event_type", F.when(F.col("event_id") % 7 == 0, "failed").alias("error"))
+    kinds = [r[0] for r in rows.select("event_type").distinct().orderBy("event_type").collect()]  # a few kinds of events
+    out = [outputs.improvement_summary(rows.where(F.col("event_type") == k)).select(F.lit(k).alias("event_type"), "*") for k in kinds]
+    first = out[0]
+    for df in out[1:]:
+        first = first.unionByName(df)
+    return first
+
+
+@query("""SELECT format('family_{:04d}.json', s_suppkey) AS name, to_json({'scene_family_id': s_suppkey, 'primary': s_name, 'mode': CASE WHEN s_suppkey % 2 = 0 THEN 'model' END}) AS json FROM supplier""")
+def family_json(spark, d):
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("scene_family_id"), F.col("s_name").alias("primary"), F.when(F.col("s_suppkey") % 2 == 0, "model").alias("mode"))
+    return outputs.family_documents(rows)
+
+
+@query("""WITH p AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'O') AS kept, list_sort(list(DISTINCT o_orderkey % 5)) AS groups FROM orders GROUP BY o_custkey)
+SELECT count(*) AS family_count, CAST(sum(n) AS BIGINT) AS input_count, CAST(sum(kept) AS BIGINT) AS survivor_count, CAST(sum(len(groups)) AS BIGINT) AS group_ids, array_to_string(list(groups[1] ORDER BY o_custkey), '') AS first_ids FROM p""")
+def family_totals(spark, d):
+    rows = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("scene_family_id"), F.col("o_orderkey").cast("string").alias("filename"), (F.col("o_orderstatus") == "O").alias("kept"), F.lit(False).alias("is_primary"), F.lit("").alias("reason"), (F.col("o_orderkey") % 5).alias("strict_group_id"),
+    )
+    doc = outputs.family_summary(rows).select(F.parse_json("json").alias("v"))
+    ids = F.variant_get("v", "$.families", "array<struct<strict_group_ids:array<int>>>")
+    return doc.select(*[F.variant_get("v", f"$.{c}", "bigint").alias(c) for c in ("family_count", "input_count", "survivor_count")], F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + F.size(x["strict_group_ids"])).alias("group_ids"), F.array_join(F.transform(ids, lambda x: x["strict_group_ids"][0].cast("string")), "").alias("first_ids"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import shutil
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -89,7 +90,7 @@ def copy_files(manifest: DataFrame) -> None:
     def run(rows) -> None:
         for r in rows:
             Path(r.dst).parent.mkdir(parents=True, exist_ok=True)
-            temp = f"{r.dst}.part"
+            temp = f"{r.dst}.{uuid.uuid4().hex}.part"  # two attempts never write one file
             shutil.copy2(r.src, temp)
             Path(temp).replace(r.dst)
 
@@ -101,7 +102,7 @@ def write_bytes(rows: DataFrame, folder: str, name: str = "out_name", content: s
     def run(part) -> None:
         Path(folder).mkdir(parents=True, exist_ok=True)
         for r in part:
-            temp = Path(folder) / f".{r[name]}.part"
+            temp = Path(folder) / f".{r[name]}.{uuid.uuid4().hex}.part"
             temp.write_bytes(r[content])
             temp.replace(Path(folder) / r[name])
 
@@ -151,14 +152,16 @@ def suite_summary(runs: DataFrame, settings: dict) -> DataFrame:
 
 def improvement_summary(images: DataFrame) -> DataFrame:
     """Counts of a run; skipped images count as completed."""
-    return images.agg(F.count_if("error IS NULL").alias("completed_count"), F.count_if("error IS NOT NULL").alias("failure_count"))
+    return images.agg(F.count_if(F.col("error").isNull()).alias("completed_count"), F.count_if(F.col("error").isNotNull()).alias("failure_count"))
 
 
 def write_documents(docs: DataFrame, folder: str) -> None:
     def run(part) -> None:
         Path(folder).mkdir(parents=True, exist_ok=True)
         for r in part:
-            (Path(folder) / r.name).write_text(r.json)
+            temp = Path(folder) / f".{r.name}.{uuid.uuid4().hex}.part"
+            temp.write_text(r.json)
+            temp.replace(Path(folder) / r.name)
 
     docs.foreachPartition(run)
 

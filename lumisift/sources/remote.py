@@ -2,7 +2,8 @@
 
 Options: ``folder_id``, ``client`` (``module:function`` that returns an object
 with ``page(folder_id, token, size) -> (list of dicts, next token)`` and
-``content(file_id) -> bytes``), ``page_size``, ``min_pixels`` and ``content``.
+``content(file_id) -> bytes``), ``page_size``, ``min_pixels``, ``content`` and
+``max_bytes`` (longer content is null).
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition
 
+from ..config import CurationConfig
+
+MAX_BYTES = CurationConfig.max_download_bytes
 # Accepted kinds of files.
 MIME_TYPES = frozenset({"image/jpeg", "image/png", "image/tiff", "image/bmp", "image/webp"})
 SCHEMA = "file_id string, name string, mime_type string, width int, height int, megapixels double"
@@ -48,7 +52,7 @@ class _Reader(DataSourceReader):
 
     def pushFilters(self, filters: list[Filter]):
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("mime_type",):
+            if isinstance(f, EqualTo) and f.attribute == ("mime_type",) and self.mime in (None, f.value):
                 self.mime = f.value
             elif isinstance(f, GreaterThanOrEqual) and f.attribute == ("megapixels",):
                 self.pixels = max(self.pixels, float(f.value))
@@ -71,10 +75,15 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         with_content = self.options.get("content", "false") == "true"
-        client = _client(self.options["client"]) if with_content else None
+        client, most = _client(self.options["client"]) if with_content else None, int(self.options.get("max_bytes", MAX_BYTES))
+
+        def content(file_id: str) -> bytes | None:
+            data = client.content(file_id)
+            return data if len(data) <= most else None
+
         for f in partition.value:
             row = (f["file_id"], f["name"], f["mime_type"], int(f["width"]), int(f["height"]), round(f["width"] * f["height"] / 1e6, 2))
-            yield (*row, client.content(f["file_id"])) if with_content else row
+            yield (*row, content(f["file_id"])) if with_content else row
 
 
 def register(spark: SparkSession) -> None:

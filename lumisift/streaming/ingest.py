@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructType
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -33,7 +34,8 @@ def curate_stream(measured: DataFrame, store: str, log: str, checkpoint: str, cu
         spark = batch.sparkSession
         batch.withColumn("batch_id", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "folder").parquet(store)
         touched = batch.select("folder").distinct()
-        albums = spark.read.option("basePath", store).parquet(store).drop("batch_id").join(touched, "folder", "left_semi")
+        schema = StructType(list(batch.schema.fields)).add("batch_id", LongType())  # a folder named in digits stays text
+        albums = spark.read.schema(schema).option("basePath", store).parquet(store).drop("batch_id").join(touched, "folder", "left_semi")
         curate(albums).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder").parquet(log)
 
     return measured.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
