@@ -9,13 +9,29 @@ import uuid
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampType
 
 #: Largest side, in rows, that an operator may broadcast after counting it.
 BROADCAST_ROWS = 200_000
+#: Largest side, in measured bytes.
+BROADCAST_BYTES = 64 << 20
 #: Bytes of one Arrow batch handed to a Python worker.
 ARROW_BATCH_BYTES = 8 << 20
 
 
+_held: dict = {}
+
+
+def held(kind: str, key, make):
+    """``make()``, kept in a worker process for the same ``kind`` and ``key``.
+    A worker keeps the large things of one kind only: the next kind of work
+    frees what the last one held."""
+    if (kind, key) not in _held:
+        _held.clear()
+        _held[kind, key] = make()
+    return _held[kind, key]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
@@ -27,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not base and ctx.getCheckpointDir():
         base = ctx.getCheckpointDir()
     if not base:
+        if not ctx.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lumisift-")
         ctx.setCheckpointDir(base)
     return base
@@ -81,9 +99,19 @@ def plan_bytes(df: DataFrame) -> int:
     return n if n < 1 << 60 else 0
 
 
-def small_side(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its counted ``rows`` are within ``bound``."""
-    return F.broadcast(df) if rows <= bound else df
+def small_side(df: DataFrame, rows: int | None = None, bound: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its ``rows`` (counted here, if not given)
+    are within ``bound`` and its measured bytes within ``most``."""
+    if rows is not None and rows > bound:
+        return df
+    wide = [f.name for f in df.schema.fields if not isinstance(f.dataType, (NumericType, BooleanType, DateType, TimestampType))]
+    if rows is None or wide:
+        held = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in wide]
+        size = sum(held, F.lit(8 * (len(df.columns) + 1)))
+        rows, n = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    else:
+        n = rows * 8 * (len(df.columns) + 1)
+    return F.broadcast(df) if rows <= bound and n <= most else df
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -162,10 +190,3 @@ def trimmed_split(text, breaks: str):
 
     return let(F.split(F.coalesce(text, F.lit("")), breaks), inner)
 
-
-def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose id and text ``kept`` names as ``doc_id`` and
-    ``text_hash`` (xxhash64 of the text); null ids match null ids."""
-    right = kept.select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.xxhash64(F.col(text_col)) == F.col("_kept_hash"))
-    return docs.join(right, same, "left_semi").select(*docs.columns)

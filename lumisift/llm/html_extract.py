@@ -5,20 +5,23 @@ pages of a host: per style node it counts the distinct contents and the
 distinct child sequences seen in that place. Their normalised entropies give
 the importance of content and of presentation, combined as
 ``(1 - g**l) * presentation + g**l * content`` for a node with ``l`` children:
-what is the same on every page of a host tells nothing. Pass 2 parses each page
-again and removes branches of low importance throughout, besides elements whose tag, class
-or role says that they are not the article, which have importance zero.
-
-Inside an ``article`` or ``main`` element running text (headings, paragraphs,
-lists, tables) is never removed for being frequent, nor is what contains it:
-sites repeat passages, and copies of a page are not boilerplate. Pages of equal
-content count once where a host has enough different ones, and a page never
-loses all of its text.
+what is the same on every page of a host tells nothing. Pages of equal content
+count once, so copies of a page are not boilerplate.
+
+Pass 2 parses each page again and weighs every block of text: the prior of its
+style path (what kind of element holds it, whether it stands in an ``article``,
+whether an element around it is a landmark such as ``nav``, or carries a name
+that marks what is not the article) plus what the tree knows of its path. The
+tree's word counts by how many different pages back it, up to ``TREE``, which
+is more than what speaks for a bare block of an article and less than for its
+paragraphs: a box that a site repeats goes, a paragraph that it repeats stays.
+Blocks whose weights do not add up to more than zero are removed.
 """
 
 from __future__ import annotations
 
 import html as htmllib
+import math
 import re
 from functools import lru_cache
 
@@ -27,64 +30,82 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, small_side
+from .common import bounded_batches, small_side, stored
 
 #: Share of a node's presentation in its importance falls with g per child.
 DECAY = 0.9
-#: A branch below this importance is removed.
-THRESHOLD = 0.25
-#: Pages of a host that must show a style node before it is judged.
-MIN_PAGES = 8
+#: Greatest weight of the tree against a branch, at importance 0, and for one.
+TREE, FOR = 4.0, 1.0
+#: Different pages that give the tree half of its weight less one step: the
+#: weight grows with their logarithm and is full from here on.
+FULL = 8
+#: Weights of the prior.
+ARTICLE, PAGE, OUTSIDE = 3.0, 0.5, -3.0
+RUN, LANDMARK, NAMED, PARTLY = 1.5, -8.0, -6.0, -2.5
 
 # Element classes of HTML and names that mark noise.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title iframe noembed noframes xmp template noscript svg math object".split())
+RAW = frozenset("script style textarea title iframe noembed noframes template noscript".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption option select head".split())
 CLOSES_P = BLOCK - {"body", "html", "head", "td", "th", "tr", "option", "caption", "tbody", "thead", "tfoot"}
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",), "p": ("article", "aside", "div", "section", "td", "th", "li", "blockquote", "body", "main")}
-NOISE_TAGS = frozenset("nav footer aside form button select dialog menu head".split())
-RUNNING = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote ul ol li dl dt dd table tbody thead tr td th figure figcaption b i em strong a span".split())
-NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar sidemenu footer header masthead topbar cookie cookies consent gdpr notice notices notification popup modal overlay comment comments commentlist disqus respond reply replies share sharing social related recommended newsletter subscribe subscription login signup search pagination pager toolbar widget skip".split())
-NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert".split())
+LANDMARKS = frozenset("nav footer aside form button select dialog menu head".split())
+RUNNING = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote ul ol li dl dt dd table caption tbody thead tr td th figure figcaption".split())
+MARKED = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar footer header masthead cookie cookies consent notice notices popup modal overlay comment comments disqus reply replies share sharing related newsletter subscribe pagination pager toolbar".split())
+ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert".split())
 
+_PARTS = re.compile(r"[-_]+")
 _TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_NAME = re.compile(r"[a-z]+")
-
-
 @lru_cache(maxsize=20_000)
-def _style(tag: str, attrs: str) -> tuple[str, bool]:
-    """The style name of an element, and whether its names mark noise."""
+def _style(tag: str, attrs: str) -> tuple[str, float]:
+    """The style name of an element, and what its kind and names weigh: a
+    landmark most, a class or id that is a marked name less, and one that
+    begins or ends with it (``ad-slot``, ``site-footer``) least."""
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTR.finditer(attrs)} if attrs else {}
-    words = {w for k in ("class", "id") for w in _NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", found.get(k, "")))}
-    noise = tag in NOISE_TAGS or not NOISE_WORDS.isdisjoint(words) or found.get("role") in NOISE_ROLES
-    name = tag + "".join("." + c for c in sorted(found.get("class", "").split())[:4])
-    return name, noise and tag not in ("html", "body", "main", "article")
+    names = found.get("class", "").split() + found.get("id", "").split()
+    weight = 0.0
+    if tag in LANDMARKS or found.get("role") in ROLES:
+        weight = LANDMARK
+    elif not MARKED.isdisjoint(names):
+        weight = NAMED
+    elif any(not MARKED.isdisjoint((parts[0], parts[-1])) for parts in map(_PARTS.split, names)):
+        weight = PARTLY
+    return tag + "".join("." + c for c in sorted(found.get("class", "").split())), weight if tag not in ("html", "body") else 0.0
+
+
+@lru_cache(maxsize=1)
+def _raw_ends():
+    """Patterns of the ends of raw elements, in any case."""
+    return {tag: re.compile(rf"</{tag}[^>]*(?:>|$)", re.I) for tag in RAW}
 
 
 class Page:
     """Text blocks and style nodes of a page, in page order.
 
-    ``blocks``: ``[path, text, noise, in_article]``; ``children``: the child
-    style names seen below each path.
+    ``blocks``: ``(path, text, weight, in_article)``, the weight being that of
+    the elements around the text; ``children``: the child style names seen
+    below each path.
     """
 
     def __init__(self, source: str):
-        self.blocks: list[list] = []
+        self.blocks: list[tuple[str, str, float, bool]] = []
         self.children: dict[str, list[str]] = {}
         self.has_article = False
-        stack: list[tuple[str, str, bool, bool]] = []  # tag, path, noise, in article
+        stack: list[tuple[str, str, float, bool, str]] = []  # tag, path, least weight, in article, nearest block
+        root = ("", "", 0.0, False, "")
         text: list[str] = []
-        at, low = 0, None
+        at = 0
 
         def flush() -> None:
             if text:
                 joined = " ".join(htmllib.unescape("".join(text)).split())
                 text.clear()
                 if joined:
-                    _, path, noise, inside = stack[-1] if stack else ("", "", False, False)
-                    self.blocks.append([path, joined, noise, inside])
+                    _, path, weight, inside, holder = stack[-1] if stack else root
+                    self.blocks.append((path, joined, weight + RUN * (holder in RUNNING), inside))
+                    self.has_article |= inside and weight > PARTLY
 
         def pop_to(i: int) -> None:
             if any(s[0] in BLOCK for s in stack[i:]):
@@ -127,10 +148,8 @@ class Page:
                 continue
             if tag in RAW:
                 if not attrs.endswith("/"):
-                    low = source.lower() if low is None else low
-                    end = low.find(f"</{tag}", at)
-                    end = low.find(">", end) if end >= 0 else -1
-                    at = end + 1 if end >= 0 else len(source)
+                    end = _raw_ends()[tag].search(source, at)
+                    at = end.end() if end else len(source)
                 continue
             if tag in BLOCK:
                 flush()
@@ -138,48 +157,38 @@ class Page:
                     close(("p",), SCOPE["p"])
                 if tag in CLOSES:
                     close(CLOSES[tag], SCOPE[tag])
-            name, noise = _style(tag, attrs)
-            _, path, dirty, inside = stack[-1] if stack else ("", "", False, False)
+            name, own = _style(tag, attrs)
+            _, path, weight, inside, holder = stack[-1] if stack else root
             if tag == "header" and not inside:
-                noise = True
+                own = LANDMARK
             self.children.setdefault(path, []).append(name)
-            inside = inside or (tag in ("article", "main") and not dirty)
-            self.has_article |= inside and not (dirty or noise)
-            stack.append((tag, f"{path}/{name}", dirty or noise, inside))
+            weight = min(weight, own)
+            inside = inside or (tag in ("article", "main") and weight > NAMED)
+            stack.append((tag, f"{path}/{name}", weight, inside, tag if tag in BLOCK else holder))
         if at < len(source):
             text.append(source[at:])
         flush()
 
-    def main_text(self, unimportant: frozenset) -> str:
-        """Blocks of the article, without branches named in ``unimportant``."""
-        found = self.content()
-        holders = {p for path, _, inside in found if inside for p in _holders(path)} if unimportant else ()
-        keep = [text for path, text, inside in found if not (unimportant and _removed(path, inside, unimportant, holders))]
-        return " ".join(keep or [text for _, text, _ in found])
+    def prior(self) -> list[tuple[str, str, float]]:
+        """``(path, text, weight)`` of every block before the tree is asked."""
+        around = {True: ARTICLE, False: OUTSIDE if self.has_article else PAGE}
+        return [(path, text, weight + around[inside]) for path, text, weight, inside in self.blocks]
 
-    def content(self) -> list[tuple]:
-        """``(path, text, in_article)`` of the blocks that may be main text."""
-        return [(path, text, inside) for path, text, noise, inside in self.blocks if not noise and (inside or not self.has_article)]
-
-
-def _holders(path: str) -> list[str]:
-    """The elements that contain the running element a block is in, if any."""
-    parts = path.split("/")
-    last = max((i for i, p in enumerate(parts) if p.split(".")[0] in RUNNING), default=0)
-    return ["/".join(parts[:i]) for i in range(2, last + 1)]
+    def main_text(self, tree: dict[str, float]) -> str:
+        """Blocks whose prior and the tree's weights of their branches (by
+        path) come to more than zero; a page whose every block the tree speaks
+        against keeps those that the prior keeps."""
+        blocks = self.prior()
+        keep = [text for path, text, weight in blocks if weight + _branch(path, tree) > 0]
+        return " ".join(keep or [text for _, text, weight in blocks if weight > 0])
 
 
-def _removed(path: str, inside: bool, unimportant: frozenset, holders: set[str]) -> bool:
+def _branch(path: str, tree: dict[str, float]) -> float:
+    """The least weight of the branches that hold a path."""
+    if not tree:
+        return 0.0
     parts = path.split("/")
-    for i in range(len(parts), 1, -1):
-        branch = "/".join(parts[:i])
-        if branch in unimportant:
-            tag = parts[i - 1].split(".")[0]
-            if tag in ("article", "main", "body", "html"):
-                continue
-            if not inside or (tag not in RUNNING and branch not in holders):
-                return True
-    return False
+    return min((tree.get("/".join(parts[:i]), 0.0) for i in range(2, len(parts) + 1)), default=0.0)
 
 
 def style_nodes(pages: DataFrame) -> DataFrame:
@@ -195,7 +204,7 @@ def style_nodes(pages: DataFrame) -> DataFrame:
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 page = Page(source or "")
                 contents: dict[str, object] = {}
-                whole = xxhash.xxh64_intdigest("\n".join(f"{path}\t{text}" for path, text, _ in page.content()).encode("utf-8", "surrogatepass")) >> 1
+                whole = xxhash.xxh64_intdigest("\n".join(f"{path}\t{text}" for path, text, weight in page.prior() if weight > 0).encode("utf-8", "surrogatepass")) >> 1
                 for path, text, _, _ in page.blocks:
                     contents.setdefault(path, xxhash.xxh64(seed=0)).update(text.encode("utf-8", "surrogatepass") + b"\n")
                 rows += [(host, whole, path, "c", h.intdigest() >> 1, 0) for path, h in contents.items()]
@@ -205,26 +214,21 @@ def style_nodes(pages: DataFrame) -> DataFrame:
     return pages.select("host", "html").mapInArrow(run, "host string, page long, path string, kind string, digest long, l long")
 
 
-def style_importance(nodes: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+def style_importance(nodes: DataFrame) -> DataFrame:
     """``(host, path, importance, best, pages)`` of every style node; ``best``
-    is the greatest content importance at or below it.
-
-    Entropy is taken to the base of the number of pages that show the node, so
-    it is 0 if all agree and 1 if all differ. Content counts for all ancestors,
-    by how many pages show it. All sums combine before their shuffles.
+    is the greatest content importance at or below it, ``pages`` how many
+    different pages show it.
 
-    Pages of equal content count once in a node's entropy if ``min_pages``
-    different ones show it, else each counts.
+    Entropy is taken over the different pages, to the base of their number, so
+    it is 0 if all agree and 1 if all differ, or if there is but one. Content
+    counts for all ancestors, by how many pages show it. All sums combine
+    before their shuffles.
     """
-    pages = nodes.groupBy("host", "path", "kind", "digest", "page").agg(F.count(F.lit(1)).alias("n"), F.sum("l").alias("l"))
-    counted = pages.groupBy("host", "path", "kind", "digest").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d"), F.sum("l").alias("l"))
-    sums = [a for c, m, s in (("n", "m", "s"), ("d", "md", "sd")) for a in (F.sum(c).alias(m), F.sum(F.col(c) * F.log(c)).alias(s))]
-
-    def evenness(m: str, s: str):
-        return F.when(F.col(m) > 1, 1 - F.col(s) / (F.col(m) * F.log(m))).otherwise(1.0)
-
-    e = F.when(F.col("md") >= min_pages, evenness("md", "sd")).otherwise(evenness("m", "s"))
-    entropy = counted.groupBy("host", "path", "kind").agg(*sums, F.sum("l").alias("l")).select("host", "path", "kind", "m", (F.col("l") / F.col("m")).alias("l"), e.alias("e"))
+    pages = nodes.groupBy("host", "path", "kind", "digest", "page").agg(F.max("l").alias("l"))
+    counted = pages.groupBy("host", "path", "kind", "digest").agg(F.count(F.lit(1)).alias("d"), F.sum("l").alias("l"))
+    sums = counted.groupBy("host", "path", "kind").agg(F.sum("d").alias("m"), F.sum(F.col("d") * F.log("d")).alias("s"), F.sum("l").alias("l"))
+    even = F.when(F.col("m") > 1, 1 - F.col("s") / (F.col("m") * F.log("m"))).otherwise(1.0)
+    entropy = sums.select("host", "path", "kind", "m", (F.col("l") / F.col("m")).alias("l"), even.alias("e"))
     steps = F.split("path", "/")
     up = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))
     content = (
@@ -238,17 +242,24 @@ def style_importance(nodes: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     )
 
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> DataFrame:
+def branch_weights(importance: DataFrame) -> DataFrame:
+    """``(host, path, weight)``: what the tree says for or against a branch."""
+    x = 2 * F.greatest("importance", "best") - 1
+    backed = F.least(F.lit(1.0), F.log2(F.col("pages").cast("double")) / math.log2(FULL))
+    return importance.select("host", "path", (backed * F.when(x < 0, x * TREE).otherwise(x * FOR)).alias("weight"))
+
+
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", tree: bool = True) -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points of text).
 
-    A null or empty html gives an empty text; a null url has the empty host.
-    Ties and repeated rows are kept. Other columns are not looked at. An empty
-    table gives an empty result. Pages without ``article`` or ``main`` give all
-    blocks that are neither marked as noise nor of low importance.
+    A null or empty html gives an empty text, a very long or deeply nested one
+    is parsed whole; a null url has the empty host. Ties and repeated rows are
+    kept. Other columns are not looked at. An empty table gives an empty
+    result. ``tree=False`` leaves all to the prior.
 
-    The low-importance paths of a host travel with its pages: broadcast if
-    their counted number is small, else by a join on host, whose page side
-    skew handling may split.
+    The branch weights of a host travel with its pages: broadcast if their
+    size is small, else by a join on host, whose page side skew handling may
+    split.
     """
     spark = pages.sparkSession
     bounded_batches(spark)
@@ -257,17 +268,17 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
         F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host"),
         F.col(html_col).alias("html"),
     )
-    low = cut(
-        style_importance(style_nodes(rows), min_pages).where((F.greatest("importance", "best") < threshold) & (F.col("pages") >= min_pages))
-        .groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low"))
-    )
-    n = low.agg(F.sum(F.size("low") + 1)).first()[0] or 0
-    joined = rows.join(small_side(low, n, 50_000), "host", "left").select("page_id", "url", "html", "low")
+    if tree:
+        entry = F.struct("path", F.col("weight").cast("float").alias("weight"))
+        weights = stored(branch_weights(style_importance(style_nodes(rows))).where("abs(weight) > 0").groupBy("host").agg(F.sort_array(F.collect_list(entry)).alias("tree")), "tree")
+        joined = rows.join(small_side(weights), "host", "left").select("page_id", "url", "html", "tree")
+    else:
+        joined = rows.select("page_id", "url", "html", F.lit(None).cast("array<struct<path:string,weight:float>>").alias("tree"))
     kind = dict(pages.select(F.col(id_col).alias("i")).dtypes)["i"]
 
     def run(batches):
         for batch in batches:
-            texts = [Page(s or "").main_text(frozenset(x or ())) for s, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = [Page(s or "").main_text({e["path"]: e["weight"] for e in t or ()}) for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )

@@ -1,13 +1,16 @@
 import html as htmllib
+import math
 import re
+from collections import Counter
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
 
-from lumisift.llm.html_extract import Page, extract_main_text
+from lumisift.llm.html_extract import Page, extract_main_text, style_importance, style_nodes
 from lumisift.llm.queries import op6_html
 
-NONE = frozenset()
+NONE = {}
 
 
 def test_query_matches_brute_force(spark, small):
@@ -30,6 +33,13 @@ def test_query_matches_brute_force(spark, small):
     ("<article><header><h1>Head</h1></header><p>a</p></article><header>site</header>", "Head a"),
     ("<p title=\"a>b\">q</p>", "q"), ("<table><tr><td>1<td>2<tr><td>3</table>", "1 2 3"), ("<div role=navigation>n</div><p>v</p>", "v"),
     ("<p>in <span class='headline'>head</span> line</p>", "in head line"),
+    ("İ" * 12 + "<script>x</script>abcdefghij rest", "İ" * 12 + "abcdefghij rest"), ("<ScRiPt>x</sCript >y", "y"),
+    ("<article><div class='entry-header'><h1>Title</h1></div><p class='share-price'>up 3</p></article>", "Title up 3"),
+    ("<article><p>x <math><mi>y</mi></math> <object>o</object></p><svg><text>s</text></svg></article>", "x y o s"),
+    ("<article><p>a</p></article><article class='comment'><p>reader</p></article>", "a"),
+    ("<div><article class='comment'><p>reader</p></article></div><p>own</p>", "own"),
+    ("<article><footer><p>by x</p></footer><nav><p>n</p></nav><p>z</p></article>", "z"),
+    ("<p>" + "<b>" * 5000 + "deep" + "<i>" * 5000 + " down", "deep down"),
 ])
 def test_single_pages(source, want):
     assert Page(source).main_text(NONE) == want
@@ -37,15 +47,64 @@ def test_single_pages(source, want):
 
 def test_style_tree_removes_what_a_site_repeats(spark):
     rows = [(i, f"http://s.example/{i}", f"<body><div class=box>Call us today</div><div class=text><p>Story number {i} of many</p></div><div class=end>All the same</div></body>") for i in range(30)]
-    rows += [(100 + i, f"http://t.example/{i}", "<article><h1>One</h1><p>Copied article</p><div class=tip>Same tip</div></article>") for i in range(30)]
+    rows += [(100 + i, f"http://t.example/{i}", f"<article><h1>One</h1><p>Article {i}</p><div class=tip>Same tip</div><div><p>Same words</p></div></article>") for i in range(30)]
     rows += [(200, None, None), (201, "nonsense", ""), (202, "http://u.example", "<div class=box>Call us today</div>"), (202, "http://u.example", "<div class=box>Call us today</div>")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("host", "text", "low", "path")})
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("host", "text", "tree", "path")})
     found = {r.page_id: r.text for r in extract_main_text(pages).collect()}
     assert all(found[i] == f"Story number {i} of many" for i in range(30))
-    assert all(found[100 + i] == "One Copied article" for i in range(30))
+    assert all(found[100 + i] == f"One Article {i} Same words" for i in range(30))  # paragraphs of an article stay
     assert (found[200], found[201], found[202]) == ("", "", "Call us today")
     assert extract_main_text(pages).count() == len(rows)
     assert extract_main_text(pages.limit(0)).count() == 0
+    without = {r.page_id: r.text for r in extract_main_text(pages, tree=False).collect()}
+    assert without[3] == "Call us today Story number 3 of many All the same" and without[103] == "One Article 3 Same tip Same words"
+
+
+def test_importance_against_brute_force(spark):
+    """An independent tree of the same pages, from the standard library's parser."""
+    def page(i):
+        extra = "<p>More</p>" * (i % 3)
+        return f"<html><body><div class=top>Menu {i % 2}</div><div class=main><p>Text {i}</p>{extra}</div><div class=end>End</div></body></html>"
+
+    class Tree(HTMLParser):
+        def __init__(self, source):
+            super().__init__()
+            self.stack, self.text, self.below = [], {}, {}
+            self.feed(source)
+
+        def handle_starttag(self, tag, attrs):
+            name = tag + "".join("." + c for c in dict(attrs).get("class", "").split())
+            self.below.setdefault("/".join(["", *self.stack]), []).append(name)
+            self.stack.append(name)
+
+        def handle_endtag(self, tag):
+            self.stack.pop()
+
+        def handle_data(self, data):
+            self.text.setdefault("/".join(["", *self.stack]), []).append(data)
+
+    sources = [page(i % 20) for i in range(40)]  # twenty pages, each twice
+    trees = [Tree(x) for x in dict.fromkeys(sources)]
+
+    def entropy(seen):
+        m = len(seen)
+        return -sum(n / m * math.log(n / m, m) for n in Counter(seen).values()) if m > 1 else 1.0
+
+    paths = {p for t in trees for p in [*t.text, *t.below] if p}
+    texts = {p: [tuple(t.text[p]) for t in trees if p in t.text] for p in paths}
+    content = {p: (entropy(v), len(v)) for p, v in texts.items() if v}
+    want = {}
+    for p in paths:
+        under = [v for q, v in content.items() if q == p or q.startswith(p + "/")]
+        shown = [tuple(t.below[p]) for t in trees if p in t.below]
+        w = 0.9 ** (sum(map(len, shown)) / len(shown) if shown else 0)
+        mean = sum(e * m for e, m in under) / sum(m for _, m in under)
+        want[p] = ((1 - w) * (entropy(shown) if shown else 0) + w * mean, max(e for e, _ in under), max(m for _, m in under))
+    nodes = style_nodes(spark.createDataFrame([("h", x) for x in sources], "host string, html string"))
+    got = {r.path: (r.importance, r.best, r.pages) for r in style_importance(nodes).collect()}
+    assert got.keys() == want.keys()
+    for p, v in want.items():
+        assert got[p] == pytest.approx(v), p
 
 
 def test_copies_do_not_cost_the_text(spark):
