@@ -19,7 +19,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path, keep_rows, let, shuffle_partitions, small_side, trimmed_split
+from .common import cut, free_name, fresh_path, let, shuffle_partitions, small_side, stored, trimmed_split
 
 WINDOW = 13
 #: What separates words, before A-Z are lowered.
@@ -141,15 +141,9 @@ def prepare(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tupl
     return build_index(docs, terms, terms.count(), window - 1), pairs, items, n_pairs
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document: doc_id, text_hash, n_words, n_hit, n_items, items_sha256
-    and contaminated (at least a twentieth of its words is hit).
-
-    A null or wordless text has no words and is clean. Items without a word
-    are skipped, equal items count each, an item without id hits but is not
-    counted in n_items. Repeated rows give repeated rows; null ids are kept.
-    Other columns are not looked at. Empty tables give no rows or no hits.
-    """
+def document_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``(hit_id, hit_hash, hit, items)`` of documents with hits: how many of
+    their words are hit, and the ids of the items that hit them."""
     index, pairs, items, n_pairs = prepare(docs, benchmark, window)
     found = phrase_matches(index, pairs, items, n_pairs, window).groupBy("doc_id", "text_hash").agg(
         F.sort_array(F.collect_set(F.struct("start", "len"))).alias("spans"),
@@ -161,20 +155,42 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         end = x["start"] + x["len"]
         return F.struct(F.greatest(acc["end"], end).alias("end"), (acc["n"] + F.greatest(F.lit(0), end - F.greatest(acc["end"], x["start"]))).alias("n"))
 
-    found = found.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), F.aggregate("spans", zero, step, lambda a: a["n"]).alias("hit"), "items")
+    return found.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), F.aggregate("spans", zero, step, lambda a: a["n"]).alias("hit"), "items")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256 and
+    contaminated (at least a twentieth of its words is hit).
+
+    A null, empty or wordless text has no words and is clean; a very long one
+    is searched whole. Items without a word are skipped, equal items count
+    each, an item without id hits but is not counted in n_items. Repeated rows
+    give repeated rows; null ids are kept. Other columns are not looked at.
+    Empty tables give no rows or no hits.
+    """
+    found = stored(document_hits(docs, benchmark, window), "hits")
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash"))
     items_of = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("hit", F.lit(0)).cast("long")
-    return rows.join(found, same, "left").select(
-        "doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.size(items_of).cast("long").alias("n_items"),
+    return rows.join(small_side(found), same, "left").select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items_of).cast("long").alias("n_items"),
         F.sha2(F.array_join(items_of, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without contaminated documents."""
-    return keep_rows(docs, contamination(docs, benchmark).where(~F.col("contaminated")))
+    """``docs`` without contaminated documents; odd rows as in
+    ``contamination``. Only documents with hits have their words counted, and
+    what joins is the table of hits: texts move only if it is too large to be
+    broadcast."""
+    hits = stored(document_hits(docs, benchmark).select("hit_id", "hit_hash", F.col("hit").cast("long").alias("hit")), "hits")
+    named = {c: free_name(docs, c) for c in hits.columns}
+    hits = hits.withColumnsRenamed(named)
+    n_hit = F.col(named["hit"])
+    same = F.col("doc_id").eqNullSafe(F.col(named["hit_id"])) & (F.xxhash64("text") == F.col(named["hit_hash"]))
+    dirty = n_hit.isNotNull() & F.when(n_hit.isNotNull(), 20 * n_hit >= F.size(words_of(F.col("text")))).otherwise(False)
+    return docs.join(small_side(hits), same, "left").where(~dirty).select(*[F.col(c) for c in docs.columns])
 
 
 ORACLE = r"""

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, cut, keep_rows, small_side
+from .common import BROADCAST_ROWS, bounded_batches, connected_components, cut, free_name, small_side, stored
 
 RADIUS = 2
 SHINGLE = 3
@@ -218,38 +218,39 @@ def near_copy_groups(docs: DataFrame, radius: int = RADIUS, edited: bool = True)
     return rows.select("doc_id", "text_hash", "fp").join(labels, "fp", "left").select("doc_id", "text_hash", "fp", F.coalesce("label", "fp").alias("label"))
 
 
-def _survivors(groups: DataFrame) -> DataFrame:
-    """``(doc_id, text_hash)`` of the one document that stays of each group."""
+def _removals(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, text_hash)`` of rows that go, and of those that stay but are
+    repeated: of each group one document stays."""
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
-    return groups.groupBy("label").agg(F.min(order).alias("r")).select("r.doc_id", "r.text_hash")
+    kept = groups.groupBy("label").agg(F.min(order).alias("r")).select("label", F.col("r.doc_id").alias("kept_id"), F.col("r.text_hash").alias("kept_hash"))
+    rows = groups.groupBy("label", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).join(kept, "label")
+    stays = F.col("doc_id").eqNullSafe(F.col("kept_id")) & F.col("text_hash").eqNullSafe(F.col("kept_hash"))
+    rows = rows.where(~stays | (F.col("n") > 1)).select("doc_id", "text_hash", stays.alias("stays"))
+    return rows.where(~F.col("stays")).drop("stays"), rows.where("stays").drop("stays")
 
 
-def near_copies_removed(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` but rows that ``gone`` names. It is broadcast if small; texts
+    are shuffled only if it is not."""
+    a, b = free_name(docs, "gone_id"), free_name(docs, "gone_hash")
+    side = gone.select(F.col("doc_id").alias(a), F.col("text_hash").alias(b))
+    same = F.col("doc_id").eqNullSafe(F.col(a)) & (F.xxhash64("text") == F.col(b))
+    return docs.join(small_side(side, bound=4 * BROADCAST_ROWS), same, "left_anti")
+
+
+def near_copies_removed(docs: DataFrame, radius: int = RADIUS, edited: bool = True) -> DataFrame:
     """``docs`` with one row of each group of ``near_copy_groups``: the one
     with the smallest id, of texts that share it the one with the least hash,
     and of rows that share both one.
 
-    A null or wordless text is in the group of fingerprint zero. A null id
-    stays only where its whole group has none.
+    A null, empty or wordless text is in the group of fingerprint zero; a very
+    long one is compared whole. A null id stays only where its whole group has
+    none. Extra columns stay as they are. An empty table stays empty.
     """
-    groups = cut(near_copy_groups(docs, radius))
-    kept = cut(_survivors(groups))
-    out = keep_rows(docs, kept)
-    again = cut(groups.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_again_id"), F.col("text_hash").alias("_again_hash")))
-    n = again.count()
-    if not n:
+    gone, again = _removals(cut(near_copy_groups(docs, radius, edited)))
+    gone, again = stored(gone, "gone"), stored(again, "again")
+    out = _without(docs, gone)
+    if again.isEmpty():
         return out
-    same = F.col("doc_id").eqNullSafe(F.col("_again_id")) & (F.xxhash64("text") == F.col("_again_hash"))
-    marked = out.join(small_side(again, n), same, "left")
-    once = marked.where(F.col("_again_hash").isNotNull()).dropDuplicates(["_again_id", "_again_hash"])
-    return marked.where(F.col("_again_hash").isNull()).unionByName(once).select(*docs.columns)
-
-
-def near_duplicates_removed(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id.
-
-    Of texts that share that id the one with the least hash stays, and rows
-    that share both all stay (they are one document); a null id stays only
-    where its whole group has none.
-    """
-    return keep_rows(docs, _survivors(near_copy_groups(docs, radius, edited=False)))
+    once = docs.join(small_side(again.select(F.col("doc_id").alias("again_id"), F.col("text_hash").alias("again_hash"))), F.col("doc_id").eqNullSafe(F.col("again_id")) & (F.xxhash64("text") == F.col("again_hash")), "left_semi")
+    return _without(out, again).unionByName(once.dropDuplicates(["doc_id", "text"]))

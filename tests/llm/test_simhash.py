@@ -4,7 +4,7 @@ import re
 import xxhash
 
 from lumisift.llm.queries import op9_simhash
-from lumisift.llm.simhash import fingerprint_links, near_copies_removed, near_copy_groups, near_duplicates_removed, simhash_groups
+from lumisift.llm.simhash import fingerprint_links, near_copies_removed, near_copy_groups, simhash_groups
 from lumisift.llm.common import connected_components
 
 
@@ -77,9 +77,9 @@ def test_links_connect_all_within_radius(spark):
 
 
 def test_one_of_each_group_stays(spark, odd):
-    kept = near_duplicates_removed(odd)
+    kept = near_copies_removed(odd, edited=False)
     assert kept.columns == odd.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 4, 5, 5, 7, 8, 9, 10]
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 4, 5, 7, 8, 9, 10]
 
 
 def test_components_of_chain_star_and_nothing(spark):
@@ -105,7 +105,7 @@ def test_edited_copies_go(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {r.doc_id for r in near_copies_removed(docs).collect()}
     assert kept == set(range(40))
-    assert len(near_duplicates_removed(docs).collect()) > 60  # two bits do not find them
+    assert len(near_copies_removed(docs, edited=False).collect()) > 60  # two bits do not find them
 
 
 def test_no_pair_at_the_similarity_stays(spark):
@@ -131,4 +131,4 @@ def test_one_row_stays_whatever_the_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = [(1, a), (2, b), (2, c), (None, d)]
     assert sorted(map(repr, map(tuple, near_copies_removed(docs).collect()))) == sorted(map(repr, want))
-    assert sorted(map(repr, map(tuple, near_duplicates_removed(docs).collect()))) == sorted(map(repr, want + [(1, a), (None, d)]))
+    assert sorted(map(repr, map(tuple, near_copies_removed(docs, edited=False).collect()))) == sorted(map(repr, want))
