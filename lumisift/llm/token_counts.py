@@ -2,128 +2,220 @@
 
 A pre-token's best segmentation maximises the sum of its pieces' log
 probabilities. The forward score of a position depends on the prefix alone, so
-distinct pre-tokens are inserted in a trie whose nodes hold the forward score
-and the number of pieces of their prefix: what two pre-tokens share is computed
-once, and a pre-token's count is read at its terminal node.
-
-Vocabulary: the pieces of a public byte-level file; log probabilities follow a
-shifted Zipf law over ranks, ``-log(rank + 256)``.
+what two pre-tokens share is computed once: each *distinct* pre-token of the
+corpus is inserted in a trie in sorted order, so that only the path to the last
+one has to be kept, whose nodes hold the forward score, the number of pieces,
+the last piece, and the state of an automaton that knows all pieces ending
+there. A pre-token's count is read at its terminal node.
+
+1. One grouped count gives the corpus's distinct pre-tokens and how often each
+   occurs.
+2. The pieces are those of a public byte-level vocabulary. Their probabilities
+   are estimated from the whole corpus: every distinct pre-token is segmented
+   with a prior that falls with a piece's rank, and its pieces are counted as
+   often as it occurs (a step of hard expectation maximisation).
+3. Every distinct pre-token is segmented with those probabilities; documents
+   sum the counts of their words. Common words' counts are broadcast, the rest
+   meet theirs in a join.
 """
 
 from __future__ import annotations
 
 import base64
 import math
-from array import array
+from collections import deque
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, held, stored, trimmed_split
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BREAKS = r"[\x20\x09-\x0D]+"
 SHIFT = 256
-#: Trie nodes and remembered pre-tokens of a worker; when full both start anew.
-NODES = 600_000
-MEMO = 300_000
-#: Longer pre-tokens are segmented without being inserted.
-LONGEST = 64
+#: Pseudo-count of a piece.
+SMOOTH = 0.1
+#: What a byte that is no piece costs below the least probable piece.
+UNKNOWN = 10.0
+#: Words whose counts are broadcast, the most frequent first, of at most
+#: ``COMMON_BYTES`` each: about 40 MB in all.
+COMMON, COMMON_BYTES = 1_000_000, 24
 
 
 @lru_cache(maxsize=2)
-def unigram_scores(path: str = VOCABULARY) -> dict[bytes, float]:
+def pieces_of(path: str = VOCABULARY) -> list[bytes]:
+    """The vocabulary's pieces by rank."""
     with open(path, "rb") as lines:
-        return {base64.b64decode(a): -math.log(int(b) + SHIFT) for a, b in map(bytes.split, lines)}
-
-
-class Trie:
-    """Forward scores of prefixes. The best segmentation has the greatest
-    score, of equal ones the fewest pieces."""
-
-    def __init__(self, scores: dict[bytes, float], nodes: int = NODES, memo: int = MEMO):
-        self.scores, self.most_nodes, self.most_memo = scores, nodes, memo
-        self.reach = max(map(len, scores))
-        self._reset()
-
-    def _reset(self) -> None:
-        self.child: dict[int, int] = {}  # node * 256 + byte -> node
-        self.score, self.count = array("d", [0.0]), array("l", [0])
-        self.terminal: dict[str, int] = {}
-
-    def _forward(self, text: bytes, i: int, score: list[float], count: list[int]) -> tuple[float, int]:
-        best, pieces, get = -math.inf, 0, self.scores.get
-        for j in range(max(0, i - self.reach), i):
-            own = get(text[j:i])
-            if own is not None:
-                total = score[j] + own
-                if total > best or (total == best and count[j] + 1 < pieces):
-                    best, pieces = total, count[j] + 1
-        return best, pieces
-
-    def _insert(self, text: bytes) -> int:
-        node, score, count = 0, [0.0], [0]
-        for i, byte in enumerate(text, 1):
-            key = node * 256 + byte
-            node = self.child.get(key)
-            if node is None:
-                got = self._forward(text, i, score, count)
-                node = self.child[key] = len(self.score)
-                self.score.append(got[0])
-                self.count.append(got[1])
-            score.append(self.score[node])
-            count.append(self.count[node])
-        return count[-1]
-
-    def pieces(self, word: str) -> int:
-        """Pieces of the pre-token: a space and ``word``."""
-        got = self.terminal.get(word)
-        if got is None:
-            if len(self.score) >= self.most_nodes or len(self.terminal) >= self.most_memo:
-                self._reset()
-            text = b" " + word.encode("utf-8", "surrogatepass")
-            if len(text) <= LONGEST:
-                got = self._insert(text)
-            else:
-                score, count = [0.0], [0]
-                for i in range(1, len(text) + 1):
-                    s, c = self._forward(text, i, score, count)
-                    score.append(s)
-                    count.append(c)
-                got = count[-1]
-            self.terminal[word] = got
-        return got
+        return [p for _, p in sorted((int(b), base64.b64decode(a)) for a, b in map(bytes.split, lines))]
+
+
+def prior_scores(pieces: list[bytes]) -> np.ndarray:
+    return -np.log(np.arange(len(pieces)) + SHIFT)
+
+
+def fitted_scores(counts: np.ndarray) -> np.ndarray:
+    return np.log(counts + SMOOTH) - math.log(counts.sum() + SMOOTH * len(counts))
+
+
+class Automaton:
+    """All pieces that end at a place of a text, by one step a byte."""
+
+    def __init__(self, pieces: list[bytes]):
+        have = set(pieces)
+        self.n = len(pieces)
+        listed = [*pieces, *(bytes([b]) for b in range(256) if bytes([b]) not in have)]
+        child: list[dict[int, int]] = [{}]
+        own: list[tuple[int, int] | None] = [None]
+        for i, piece in enumerate(listed):
+            at = 0
+            for byte in piece:
+                to = child[at].get(byte)
+                if to is None:
+                    to = child[at][byte] = len(child)
+                    child.append({})
+                    own.append(None)
+                at = to
+            own[at] = (len(piece), i)
+        self.child, self.fail = child, [0] * len(child)
+        #: (length, number) of the pieces that end in a state, the longest first
+        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(child)
+        queue = deque([0])
+        while queue:
+            at = queue.popleft()
+            if at:
+                self.ends[at] = ((own[at],) if own[at] else ()) + self.ends[self.fail[at]]
+            for byte, to in child[at].items():
+                back = self.fail[at]
+                while back and byte not in child[back]:
+                    back = self.fail[back]
+                self.fail[to] = child[back].get(byte, 0) if at else 0
+                queue.append(to)
+
+    def step(self, at: int, byte: int) -> int:
+        while at and byte not in self.child[at]:
+            at = self.fail[at]
+        return self.child[at].get(byte, 0)
+
+
+def automaton(path: str) -> Automaton:
+    """One automaton per worker process and vocabulary."""
+    return held("automaton", path, lambda: Automaton(pieces_of(path)))
+
+
+def segmented(words: Iterable[str], machine: Automaton, scores: np.ndarray, times: Iterable[int] | None = None, counts: np.ndarray | None = None) -> Iterator[int]:
+    """The number of pieces of each pre-token (a space and the word). Of equally
+    good segmentations the one with fewest pieces counts, of these the one with
+    the longest last piece. ``counts`` gets each piece's number as often as
+    ``times`` says. Words need not be sorted, but sharing is best if they are."""
+    value = [*scores.tolist(), *[float(scores.min()) - UNKNOWN if len(scores) else -UNKNOWN] * 256]
+    ends, step, n_known = machine.ends, machine.step, machine.n
+    last = b""
+    state, best, pieces, back = [0], [0.0], [0], [(0, 0)]  # of the path to the last pre-token
+    weights = iter(times) if times is not None else None
+    for word in words:
+        text = b" " + word.encode("utf-8", "surrogatepass")
+        same = 0
+        for a, b in zip(text, last):
+            if a != b:
+                break
+            same += 1
+        del state[same + 1:], best[same + 1:], pieces[same + 1:], back[same + 1:]
+        for i in range(same, len(text)):
+            at = step(state[i], text[i])
+            top, fewest, how = -math.inf, 0, (0, 0)
+            for end in ends[at]:
+                j = i + 1 - end[0]
+                total = best[j] + value[end[1]]
+                if total > top or (total == top and pieces[j] + 1 < fewest):
+                    top, fewest, how = total, pieces[j] + 1, end
+            state.append(at)
+            best.append(top)
+            pieces.append(fewest)
+            back.append(how)
+        last = text
+        if counts is not None:
+            weight, i = next(weights), len(text)
+            while i:
+                size, piece = back[i]
+                if piece < n_known:
+                    counts[piece] += weight
+                i -= size
+        yield pieces[-1]
+
+
+def distinct_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(word, n)`` of the whole corpus, each partition's words in order."""
+    words = docs.select(F.explode(trimmed_split(F.col(text_col), BREAKS)).alias("word"))
+    return stored(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).sortWithinPartitions("word"), "words")
+
+
+def fit_scores(words: DataFrame, vocabulary: str = VOCABULARY) -> np.ndarray:
+    """Log probabilities of the vocabulary's pieces over the corpus."""
+    n = len(pieces_of(vocabulary))
+
+    def run(batches):
+        machine, prior, counts = automaton(vocabulary), prior_scores(pieces_of(vocabulary)), np.zeros(n, dtype=np.int64)
+        for batch in batches:
+            for _ in segmented(batch.column(0).to_pylist(), machine, prior, batch.column(1).to_pylist(), counts):
+                pass
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used])], names=["piece", "n"])
 
+    totals = np.zeros(n)
+    # a row per piece of the vocabulary, at most
+    for r in words.select("word", "n").mapInArrow(run, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect():
+        totals[r["piece"]] = r["n"]
+    return fitted_scores(totals)
 
-@lru_cache(maxsize=2)
-def trie(path: str) -> Trie:
-    """One trie per worker process and vocabulary."""
-    return Trie(unigram_scores(path))
+
+def word_counts(words: DataFrame, scores: np.ndarray, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``words`` with the number of pieces of each."""
+    def run(batches):
+        machine = automaton(vocabulary)
+        for batch in batches:
+            found = list(segmented(batch.column(0).to_pylist(), machine, scores))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], names=["word", "n", "pieces"])
+
+    return stored(words.select("word", "n").mapInArrow(run, "word string, n long, pieces int"), "counted")
 
 
-def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, common: int = COMMON) -> DataFrame:
     """Per row: doc_id, n_pretokens (words between white space) and n_tokens.
 
-    A null or wordless text has zeros. Repeated rows and null ids are counted
-    like others; extra columns are ignored; an empty table gives an empty
-    result. Every worker keeps a trie of bounded size for its own texts, so
-    nothing is shuffled.
+    A null, empty or wordless text has zeros; a very long one is counted whole.
+    Repeated rows and null ids are counted like others; extra columns are
+    ignored; an empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
-
-    def run(batches):
-        own = trie(vocabulary)
-        for batch in batches:
-            words, tokens = [], []
-            for text in batch.column(1):
-                found = (text.as_py() or "").split()
-                known = own.terminal.get
-                words.append(len(found))
-                tokens.append(sum(known(w) or own.pieces(w) for w in found))
-                # a reset replaces the memo, so it is looked up for every text
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")
+    words = distinct_words(docs, text_col)
+    counted = word_counts(words, fit_scores(words, vocabulary), vocabulary)
+    short = counted.where(F.octet_length("word") <= COMMON_BYTES)
+    # how often a word must occur to be among the most frequent ``common``
+    rows = short.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect()  # a row per frequency: far fewer than words
+    least, held = math.inf, 0
+    for r in rows:
+        held += r["words"]
+        if held > common:
+            break
+        least = r["n"]
+    is_common = (F.octet_length("word") <= COMMON_BYTES) & (F.col("n") >= (least if least < math.inf else 1 << 62))
+    known = F.broadcast(counted.where(is_common).select("word", F.col("pieces").alias("known")))
+    rare = counted.where(~is_common).select("word", "pieces")
+    # a text's hash with its id names a row; repeated rows are counted together and parted at the end
+    exploded = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode_outer(trimmed_split(F.col(text_col), BREAKS)).alias("pos", "word")
+    ).join(known, "word", "left")
+    key = ["doc_id", "text_hash"]
+    first = exploded.groupBy(*key).agg(
+        F.count("word").alias("words"), F.coalesce(F.sum("known"), F.lit(0)).alias("tokens"), F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("rows")
+    )
+    second = exploded.where("known IS NULL AND word IS NOT NULL").select(*key, "word").join(rare, "word").groupBy(*key).agg(F.sum("pieces").alias("tokens"))
+    zero = F.lit(0).cast("long")
+    both = first.unionByName(second.select(*key, zero.alias("words"), "tokens", zero.alias("rows"))).groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("words", "tokens", "rows")])
+    each = both.select("doc_id", F.expr("words div rows").alias("n_pretokens"), F.expr("tokens div rows").alias("n_tokens"), "rows")
+    return each.withColumn("again", F.explode(F.expr("sequence(1, rows)"))).select("doc_id", "n_pretokens", "n_tokens")

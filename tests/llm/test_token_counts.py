@@ -1,50 +1,91 @@
 import math
+import re
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lumisift.llm import token_counts as tc
 from lumisift.llm.queries import op2_token_counts
 
-SCORES = tc.unigram_scores()
+PIECES = tc.pieces_of()
+NUMBERS = {p: i for i, p in enumerate(PIECES)}
+MACHINE = tc.automaton(tc.VOCABULARY)
 
 
-def plain(word, scores, reach=200):
+def plain(word, numbers, scores, reach=200):
+    """Pieces of the best segmentation by a table over all substrings."""
+    low = float(scores.min()) - tc.UNKNOWN
     text = b" " + word.encode("utf-8", "surrogatepass")
-    best = [(0.0, 0)] + [None] * len(text)
+    best = [(0.0, 0, None)] + [None] * len(text)
     for i in range(1, len(text) + 1):
-        found = [(-(best[j][0] + scores[text[j:i]]), best[j][1] + 1) for j in range(max(0, i - reach), i) if text[j:i] in scores]
-        s, n = min(found)
-        best[i] = (-s, n)
-    return best[-1][1]
+        found = []
+        for j in range(max(0, i - reach), i):
+            number = numbers.get(text[j:i])
+            if number is not None or i - j == 1:
+                found.append((-(best[j][0] + (low if number is None else scores[number])), best[j][1] + 1, j, number))
+        s, n, j, number = min(found, key=lambda f: f[:3])
+        best[i] = (-s, n, (j, number))
+    out, i = [], len(text)
+    while i:
+        i, number = best[i][2]
+        out.append(number)
+    return out
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(st.characters(codec="utf-8"), min_size=1, max_size=12), max_size=12))
-def test_trie_against_plain_viterbi(words):
-    trie = tc.Trie(SCORES, nodes=40, memo=6)
-    assert [trie.pieces(w) for w in words] == [plain(w, SCORES) for w in words]
+def test_shared_scores_against_plain_viterbi(found):
+    scores = tc.prior_scores(PIECES)
+    want = [len(plain(w, NUMBERS, scores)) for w in found]
+    assert list(tc.segmented(found, MACHINE, scores)) == want
+    order = sorted(range(len(found)), key=found.__getitem__)
+    assert list(tc.segmented([found[i] for i in order], MACHINE, scores)) == [want[i] for i in order]
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.text("ab", min_size=1, max_size=9), max_size=30))
-def test_shared_prefixes(words):
-    scores = {p.encode(): -math.log(3 + i) for i, p in enumerate([" ", "a", "b", "ab", "ba", " a", "aab", "bb"])}
-    trie = tc.Trie(scores)
-    assert [trie.pieces(w) for w in words] == [plain(w, scores) for w in words]
-    prefixes = {(" " + w)[:i] for w in words for i in range(len(w) + 2)}
-    assert len(trie.score) == max(1, len(prefixes))
+@given(st.lists(st.text("abc", min_size=1, max_size=9), max_size=30))
+def test_pieces_are_counted(found):
+    """A vocabulary that lacks bytes, and equal scores."""
+    pieces = [p.encode() for p in (" ", "a", "b", "ab", "ba", " a", "aab", "bb")]
+    scores, counts, want = np.log(np.array([0.2, 0.1, 0.1, 0.1, 0.1, 0.1, 0.2, 0.1])), np.zeros(8, np.int64), np.zeros(8, np.int64)
+    got = list(tc.segmented(found, tc.Automaton(pieces), scores, range(len(found)), counts))
+    for i, w in enumerate(found):
+        used = plain(w, {p: i for i, p in enumerate(pieces)}, scores)
+        assert got[i] == len(used)
+        for number in used:
+            if number is not None:
+                want[number] += i
+    # of equally good segmentations with as many pieces either may be counted
+    assert sum(counts * [len(p) for p in pieces]) == sum(want * [len(p) for p in pieces])
+
+
+def brute(rows):
+    totals = {}
+    for _, text in rows:
+        for w in words(text):
+            totals[w] = totals.get(w, 0) + 1
+    counts, prior = np.zeros(len(PIECES)), tc.prior_scores(PIECES)
+    for w, n in totals.items():
+        for number in plain(w, NUMBERS, prior):
+            counts[number] += n
+    scores = np.log(counts + tc.SMOOTH) - math.log(counts.sum() + tc.SMOOTH * len(counts))
+    size = {w: len(plain(w, NUMBERS, scores)) for w in totals}
+    return sorted(repr((i, len(words(t)), sum(size[w] for w in words(t)))) for i, t in rows)
 
 
 def test_query_matches_brute_force(spark, small):
-    memo = {}
-    count = lambda w: memo[w] if w in memo else memo.setdefault(w, plain(w, SCORES))
-    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
-    want = sorted((r.doc_id, len((r.text or "").split()), sum(map(count, (r.text or "").split()))) for r in docs)
-    assert sorted(map(tuple, op2_token_counts(spark, small).collect())) == want
+    rows = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
+    assert sorted(repr(tuple(r)) for r in op2_token_counts(spark, small).collect()) == brute(rows)
 
 
 def test_odd_rows(spark, odd, empty):
-    got = {(r.doc_id, r.n_pretokens) for r in tc.token_counts(odd).collect()}
-    assert {(1, 0), (2, 0), (3, 0), (4, 1), (10, 1)} <= got and tc.token_counts(odd).count() == odd.count()
+    rows = [tuple(r) for r in odd.select("doc_id", "text").collect()]
+    want = brute(rows)
+    for common in (0, 3, 10**6):  # all words, some and none meet their counts in the join
+        assert sorted(repr(tuple(r)) for r in tc.token_counts(odd, common=common).collect()) == want
     assert tc.token_counts(empty).count() == 0
