@@ -27,7 +27,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
-from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, filesystem, free_name, small_side, stored, table_path
+from .common import bounded_batches, filesystem, free_name, held, small_side, stored, table_path
 
 #: Most labelled documents that evidence is fitted on, by a hash of the id.
 TRAIN_ROWS = 40_000
@@ -48,23 +48,27 @@ SHRINK = 0.5
 ROUNDS = 6
 HEADS = ("low", "toxic")
 _EDGE = re.compile(r"^\W+|\W+$")
-_MEMO = 300_000
+_MEMO = 200_000
 
 
-def _bucket(name: str) -> int:
-    return xxhash.xxh64_intdigest(name.encode("utf-8", "surrogatepass")) % BUCKETS
+def _bucket(name: str, kind: int) -> int:
+    return xxhash.xxh64_intdigest(name.encode("utf-8", "surrogatepass"), kind) % BUCKETS
 
 
 def word_buckets(word: str) -> tuple[int, ...]:
     """Buckets of a lowered word: itself without marks, how it begins, and its
     marks if it has any."""
-    core = _EDGE.sub("", word)
-    out = [_bucket("w:" + core)] if core else []
+    core = word if word.isalnum() else _EDGE.sub("", word)
+    out = (_bucket(core, 1),) if core else ()
     if len(core) > 5:
-        out += [_bucket("b:" + core[:n]) for n in (4, 5, 6)]
+        out += (_bucket(core[:4], 2), _bucket(core[:5], 2), _bucket(core[:6], 2))
     if len(word) - len(core) > 1 or not core:
-        out.append(_bucket("m:" + word.replace(core, "_") if core else "m:" + word))
-    return tuple(out)
+        out += (_bucket(word.replace(core, "_") if core else word, 3),)
+    return out
+
+
+#: Most buckets of a word.
+WIDEST = 5
 
 
 def statistic_buckets(text: str, words: list[str], distinct: int) -> list[int]:
@@ -78,7 +82,7 @@ def statistic_buckets(text: str, words: list[str], distinct: int) -> list[int]:
         "lines": 10 * (len(lines) - len(set(lines))) / max(1, len(lines)), "size": math.log2(n),
     }
     found = [f"{k}:{min(40, int(v))}" for k, v in values.items()]
-    return [_bucket("s:" + x) for x in found] + [_bucket(f"s:{found[2]},{int(math.log2(n))}")]
+    return [_bucket(x, 4) for x in (*found, f"{found[2]},{int(math.log2(n))}")]
 
 
 class _Buckets(dict):
@@ -91,13 +95,13 @@ class _Buckets(dict):
         return got
 
 
-def document_buckets(text: str | None, known: _Buckets) -> tuple[np.ndarray, int]:
-    """The distinct buckets of a text, and how many words it has."""
+def document_buckets(text: str | None, known: _Buckets) -> np.ndarray:
+    """The distinct buckets of a text."""
     text = text or ""
     words = text.lower().split()
     kinds = set(words)
     found = set(statistic_buckets(text, words, len(kinds))).union(*map(known.__getitem__, kinds))
-    return np.fromiter(found, dtype=np.int64, count=len(found)), len(words)
+    return np.fromiter(found, dtype=np.int64, count=len(found))
 
 
 #: What a bucket says: for and against each label.
@@ -114,21 +118,18 @@ class Evidence:
 
     def scorer(self):
         """A function from a text to a log likelihood ratio per head."""
-        weights, known = _weights(self.path, self.suffix), _Buckets()
-        by = np.array(self.regressions)
-
-        def score(text: str | None) -> np.ndarray:
-            x = features(weights, text, known)
-            return (by * x).sum(axis=1)
+        said, by = Said(_weights(self.path, self.suffix)), np.array(self.regressions)
+        return lambda text: (by * said.features(text)).sum(axis=1)
 
-        return score
 
-
-@lru_cache(maxsize=2)
 def _weights(path: str, suffix: str) -> np.ndarray:
     """The table of weights as a dense array, once per worker."""
+    return held("weights", (path, suffix), lambda: _read_weights(path, suffix))
+
+
+def _read_weights(path: str, suffix: str) -> np.ndarray:
     fs, base = filesystem(path)
-    out = np.zeros((BUCKETS, len(SAYS)), dtype=np.float16)
+    out = np.zeros((BUCKETS + 1, len(SAYS)), dtype=np.float16)  # the last row stands for no bucket
     for file in fs.get_file_info(pafs.FileSelector(base)):
         if file.base_name.endswith(".parquet"):
             with fs.open_input_file(file.path) as source:
@@ -137,12 +138,46 @@ def _weights(path: str, suffix: str) -> np.ndarray:
     return out
 
 
-def features(weights: np.ndarray, text: str | None, known: _Buckets) -> np.ndarray:
-    """Per head: one, the logs of all that is said for and against it, and the
-    log of the number of words."""
-    buckets, n = document_buckets(text, known)
-    said = np.log(weights[buckets].sum(axis=0, dtype=np.float64) + 1e-3).reshape(len(HEADS), 2)
-    return np.column_stack([np.ones(len(HEADS)), said, np.full(len(HEADS), math.log1p(n))])
+class Said(dict):
+    """What a text's distinct words and its statistics say: places of words in
+    a table of what they say. Full, it starts anew."""
+
+    def __init__(self, weights: np.ndarray):
+        super().__init__()
+        self.weights = weights
+        self.table = np.zeros((_MEMO, len(SAYS)), dtype=np.float32)
+
+    def learn(self, words: list[str]) -> None:
+        first = len(self)
+        buckets = np.full((len(words), WIDEST), BUCKETS, dtype=np.int64)
+        for i, word in enumerate(words):
+            got = word_buckets(word)
+            buckets[i, :len(got)] = got
+        self.table[first:first + len(words)] = self.weights[buckets].sum(axis=1, dtype=np.float32)
+        self.update(zip(words, range(first, first + len(words))))
+
+    def features(self, text: str | None) -> np.ndarray:
+        """Per head: one, the logs of all that is said for and against it, and
+        the log of the number of words."""
+        text = text or ""
+        words = text.lower().split()
+        kinds = set(words)
+        total = self.weights[statistic_buckets(text, words, len(kinds))].sum(axis=0, dtype=np.float64)
+        # words go in turns, each of which the table can hold
+        for some in [kinds] if len(kinds) <= _MEMO // 2 else _turns(kinds, _MEMO // 2):
+            if len(self) + len(some) > _MEMO:
+                self.clear()
+            if new := [w for w in some if w not in self]:
+                self.learn(new)
+            total += self.table[np.fromiter(map(self.__getitem__, some), dtype=np.int64, count=len(some))].sum(axis=0, dtype=np.float64)
+        said = np.log(total + 1e-3).reshape(len(HEADS), 2)
+        return np.column_stack([np.ones(len(HEADS)), said, np.full(len(HEADS), math.log1p(len(words)))])
+
+
+def _turns(words: set[str], most: int):
+    rest = iter(words)
+    while some := list(islice(rest, most)):
+        yield some
 
 
 def _newton(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
@@ -189,23 +224,24 @@ def known_labels(labels: DataFrame) -> DataFrame:
     return labels.where(F.col("doc_id").isNotNull() & (F.col("quality").isNotNull() | F.col("toxic").isNotNull())).groupBy(F.col("doc_id").alias("label_id")).agg(*bad)
 
 
-def bucket_counts(sample: DataFrame) -> DataFrame:
+def bucket_counts(sample: DataFrame, small: bool = False) -> DataFrame:
     """Per bucket the documents that have it (``n``), those of each head, and
-    the same of folds 0 and 1 alone (``n_a`` and so on)."""
+    the same of folds 0 and 1 alone (``n_a`` and so on). ``small``: there are
+    fewer than 65,536 documents."""
     names = ["bucket", *(c + a for a in ("_a", "_b") for c in ("n", *HEADS))]
 
     def count(batches):
-        totals, known = np.zeros((6, BUCKETS), dtype=np.int32), _Buckets()
+        totals, known = np.zeros((6, BUCKETS), dtype=np.uint16 if small else np.int32), held("words", 0, _Buckets)
         for batch in batches:
             for text, fold, *bad in zip(*(c.to_pylist() for c in batch.columns)):
-                seen, _ = document_buckets(text, known)
+                seen = document_buckets(text, known)
                 for k, counts in enumerate((True, *bad)):
                     if counts:
                         totals[k + 3 * (fold == 2), seen] += 1
         used = np.flatnonzero(totals[0] + totals[3])
         for at in range(0, len(used), 100_000):
             part = used[at:at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *(pa.array(t[part]) for t in totals)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *(pa.array(t[part].astype(np.int32)) for t in totals)], names=names)
 
     rows = sample.select("text", "fold", *HEADS).mapInArrow(count, ", ".join(c + " int" for c in names))
     sums = rows.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names[1:]])
@@ -264,13 +300,13 @@ def fit_evidence(rows: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROW
     sizes = {k: v or 0 for k, v in every.first().asDict().items()}
     if not sizes["n_a"] or sizes["n_a"] == sizes["n"]:
         return Evidence()
-    weights = stored(bucket_weights(stored(bucket_counts(sample), "buckets"), sizes), "weights")
+    weights = stored(bucket_weights(stored(bucket_counts(sample, sizes["n"] < 1 << 16), "buckets"), sizes), "weights")
     path = table_path(weights)
 
     def sums(batches):
-        held, known = _weights(path, "_a"), _Buckets()
+        said = Said(_weights(path, "_a"))
         for batch in batches:
-            got = [features(held, x, known).ravel().tolist() for x in batch.column(0).to_pylist()]
+            got = [said.features(x.as_py()).ravel().tolist() for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.float64())), *batch.columns[1:]], names=["x", *HEADS])
 
     bounded_batches(rows.sparkSession)

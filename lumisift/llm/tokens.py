@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -21,12 +20,14 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import CharDelimiterSplit
 
+from .common import held
+
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 #: Remembered chunks per worker; when full, the memo starts anew.
-MEMO = 600_000
+MEMO = 400_000
 #: Bytes of texts that are cut and gathered at once; a longer text goes alone.
-SPAN = 4 << 20
+SPAN = 2 << 20
 #: Characters that the library encodes at once.
 JOINED = 1 << 16
 
@@ -196,7 +197,6 @@ class Encoder:
         return ids, np.diff(bounds[offsets])
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str = VOCABULARY) -> Encoder:
     """One encoder, and so one memo, per worker process and vocabulary."""
-    return Encoder(path)
+    return held("encoder", path, lambda: Encoder(path))
