@@ -13,7 +13,9 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import json
 import zlib
+from datetime import datetime, timezone
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, filesystem, fresh_path
+from .common import bounded_batches, filesystem, fresh_path, small_side, stored
 
 CHUNK = 1 << 20
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -32,67 +34,88 @@ CHUNK_SCHEMA = (
 )
 
 
-def record_rows(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """Each page with its payload, digest and record type.
+def record_rows(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+    """``(page_id, url, payload, sha1, payload_bytes)`` of each page."""
+    payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
+    return rows.select("*", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("payload_bytes"))
 
-    Of pages with equal payloads of at least ``min_bytes`` bytes the one with
-    the smallest id is the response, the others revisit it. Digests are
-    grouped without the payloads.
-    """
-    rows = pages.select(
-        F.col(id_col).cast("long").alias("page_id"),
-        F.col(url_col).cast("string").alias("url"),
-        F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"),
-    )
-    rows = rows.select("*", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("payload_bytes"))
-    first = (
-        rows.where(F.col("payload_bytes") >= min_bytes)
-        .groupBy(F.col("sha1").alias("sha1_"))
-        .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-        .where("copies > 1").select("sha1_", "first_id")
+
+def repeated_payloads(records: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """``(sha1_, first_id)`` of payloads of ``min_bytes`` or more that several
+    pages have, with the smallest id; grouped without the payloads."""
+    sizes = records.select("page_id", "sha1", "payload_bytes").where(F.col("payload_bytes") >= min_bytes)
+    return stored(
+        sizes.groupBy(F.col("sha1").alias("sha1_")).agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("sha1_", "first_id"),
+        "repeated",
     )
+
+
+HEAD = ("page_id", "url", "sha1", "payload_bytes")
+
+
+def chunk_rows(records: DataFrame, repeated: DataFrame, chunk: int = CHUNK, broadcast: bool | None = None) -> DataFrame:
+    """The chunked record table: the rows of a record follow each other. Of
+    pages with equal payloads the one with the smallest id is the response, the
+    others revisit it and store no chunk.
+
+    If the repeated payloads' digests are small they are broadcast, and nothing
+    is exchanged. Else chunks, never whole records, are: to meet the digests,
+    where skew handling may split a payload that many pages have, and again to
+    follow each other.
+    """
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return rows.join(first, F.col("sha1") == F.col("sha1_"), "left").select(
-        "page_id", "url", "payload", "sha1", "payload_bytes", F.when(revisit, F.col("first_id")).alias("refers_to"), revisit.alias("revisit")
+    parts = F.greatest(F.lit(1), F.ceil(F.octet_length("payload") / chunk)).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.substring(F.col("payload"), i * chunk + 1, F.lit(chunk)))
+    side = small_side(repeated) if broadcast is None else F.broadcast(repeated) if broadcast else repeated
+    same = F.col("sha1") == F.col("sha1_")
+    if side is not repeated:
+        rows = records.join(side, same, "left").withColumn("revisit", revisit)
+        rows = rows.select(*HEAD, "first_id", "revisit", F.posexplode(F.when(F.col("revisit"), F.array(F.lit(b""))).otherwise(pieces)).alias("chunk_no", "chunk"))
+    else:
+        rows = records.select(*HEAD, F.monotonically_increasing_id().alias("row"), F.posexplode(pieces).alias("chunk_no", "chunk"))
+        rows = rows.join(side, same, "left").withColumn("revisit", revisit).where(~F.col("revisit") | (F.col("chunk_no") == 0))
+        rows = rows.repartition("row").sortWithinPartitions("row", "chunk_no")
+    last = F.when(F.col("revisit"), 0).otherwise(F.greatest(F.lit(0), F.ceil(F.col("payload_bytes") / chunk) - 1)).cast("int")
+    return rows.select(
+        *HEAD, "revisit", F.when(F.col("revisit"), F.col("first_id")).alias("refers_to"), "chunk_no", last.alias("last_chunk"),
+        F.when(~F.col("revisit"), F.col("chunk")).alias("chunk"),
     )
 
 
-def chunk_rows(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """The chunked record table: the rows of a record follow each other."""
-    stored = F.when(F.col("revisit"), 0).otherwise(F.col("payload_bytes"))
-    last = F.greatest(F.lit(0), F.ceil(stored / chunk) - 1).cast("int")
-    return records.select(
-        "page_id", "url", "sha1", "payload_bytes", "refers_to", "revisit", last.alias("last_chunk"),
-        F.when(~F.col("revisit"), F.col("payload")).alias("stored"),
-        F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"),
-    ).select(
-        "page_id", "url", "sha1", "payload_bytes", "refers_to", "revisit", "chunk_no", "last_chunk",
-        F.substring(F.col("stored"), F.col("chunk_no") * chunk + 1, F.lit(chunk)).alias("chunk"),
-    )
+def _name(page_id: int | None, sha1: str) -> str:
+    """The record id of a page's response, which its revisits refer to."""
+    return f"urn:x-page:{'null' if page_id is None else page_id}:{sha1}"
 
 
-def _header(row: dict, block: int, record: str) -> bytes:
-    name = "null" if row["page_id"] is None else str(row["page_id"])
+def _header(row: dict, block: int, place: str, date: str) -> bytes:
+    """Repeated rows of a response are one record, written as often."""
+    own = _name(row["page_id"], row["sha1"])
     lines = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if row['revisit'] else 'response'}", f"WARC-Record-ID: <urn:x-record:{record}>",
-        "WARC-Date: 1970-01-01T00:00:00Z", f"X-Page-Id: {name}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if row['revisit'] else 'response'}", f"WARC-Record-ID: <{own}{':revisit:' + place if row['revisit'] else ''}>",
+        f"WARC-Date: {date}", f"X-Page-Id: {'null' if row['page_id'] is None else row['page_id']}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(row['sha1'])).decode()}", f"X-Payload-Bytes: {row['payload_bytes']}",
         "Content-Type: application/http; msgtype=response",
     ]
     if row["url"] is not None:
-        lines.append("WARC-Target-URI: " + quote(row["url"], safe="!#$%&'()*+,/:;=?@[]~-._"))
+        plain = quote(row["url"], safe="!#$%&'()*+,/:;=?@[]~-._")
+        lines.append("WARC-Target-URI: " + plain)
+        if plain != row["url"]:
+            lines.append("X-Page-Url: " + json.dumps(row["url"]))
     if row["revisit"]:
-        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <urn:x-page:{row['refers_to']}>"]
+        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <{_name(row['refers_to'], row['sha1'])}>"]
     return ("\r\n".join(lines) + f"\r\nContent-Length: {block}\r\n\r\n").encode()
 
 
-def write_archives(records: DataFrame, folder: str, chunk: int = CHUNK) -> DataFrame:
-    """Write one archive per partition; returns ``(part, records)``.
+def write_archives(chunks: DataFrame, folder: str, date: str | None = None) -> DataFrame:
+    """Write a table of ``chunk_rows`` as one archive per partition, dated
+    ``date`` or now; returns ``(part, records)``.
 
     A part is written under a name of its attempt and then moved to its final
     name, so a repeated or speculative task leaves one whole file.
     """
-    bounded_batches(records.sparkSession)
+    bounded_batches(chunks.sparkSession)
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches):
         fs, base = filesystem(folder)
@@ -108,7 +131,7 @@ def write_archives(records: DataFrame, folder: str, chunk: int = CHUNK) -> DataF
                 if row["chunk_no"] == 0:
                     packer, sha = zlib.compressobj(1, zlib.DEFLATED, 31), hashlib.sha1()
                     block = len(HTTP_HEAD) + (0 if row["revisit"] else row["payload_bytes"])
-                    out.write(packer.compress(_header(row, block, f"{task.partitionId()}-{n}") + HTTP_HEAD))
+                    out.write(packer.compress(_header(row, block, f"{task.partitionId()}-{n}", date) + HTTP_HEAD))
                 if not row["revisit"]:
                     sha.update(row["chunk"])
                     out.write(packer.compress(row["chunk"]))
@@ -122,7 +145,7 @@ def write_archives(records: DataFrame, folder: str, chunk: int = CHUNK) -> DataF
             fs.move(temp, name)
             yield pa.RecordBatch.from_pydict({"part": [name], "records": [n]}, schema=pa.schema([("part", pa.string()), ("records", pa.int64())]))
 
-    return cut(chunk_rows(records, chunk).mapInArrow(run, "part string, records long"))
+    return stored(chunks.mapInArrow(run, "part string, records long"), "parts")
 
 
 def _b32(sha) -> str:
@@ -147,7 +170,7 @@ def read_records(stream, part: str, chunk: int, with_payload: bool):
                 break
         kind, sha, no = head["WARC-Type"], hashlib.sha1(), 0
         stated = head["WARC-Payload-Digest"].removeprefix("sha1:")
-        refers = head.get("WARC-Refers-To", "").removeprefix("<urn:x-page:").rstrip(">")
+        refers = head.get("WARC-Refers-To", "").removeprefix("<urn:x-page:").partition(":")[0]
         size, page = int(head["X-Payload-Bytes"]), head["X-Page-Id"]
         while True:
             data = reader.read(min(chunk, left))
@@ -159,7 +182,7 @@ def read_records(stream, part: str, chunk: int, with_payload: bool):
                 raise ValueError(f"{part}: record {record} has another digest than stated")
             yield {
                 "part": part, "record": record, "chunk_no": no, "last": not left, "page_id": None if page == "null" else int(page),
-                "url": head.get("WARC-Target-URI"), "record_type": kind, "refers_to": int(refers) if refers else None, "payload_bytes": size,
+                "url": json.loads(head["X-Page-Url"]) if "X-Page-Url" in head else head.get("WARC-Target-URI"), "record_type": kind, "refers_to": int(refers) if refers else None, "payload_bytes": size,
                 "sha1_so_far": sha.hexdigest(), "payload_digest": stated, "chunk": data if with_payload else None,
             }
             no += 1
@@ -201,11 +224,13 @@ def archive_pages(pages: DataFrame, folder: str | None = None, min_bytes: int =
     A null payload counts as empty; equal payloads include empty ones. Repeated
     rows of the smallest id are responses each, repeated rows of others revisit
     it. A page with a null id revisits any with an id; if none has, each is a
-    response. A null url gives no target header. Extra columns are ignored.
-    An empty table gives no file and an empty result.
+    response. A null url gives no target header. A very long payload passes in
+    chunks. Extra columns are ignored. An empty table gives no file and an
+    empty result.
     """
     folder = folder or fresh_path(pages.sparkSession, "warc")
-    parts = write_archives(record_rows(pages, min_bytes=min_bytes), folder, chunk)
+    records = record_rows(pages)
+    parts = write_archives(chunk_rows(records, repeated_payloads(records, min_bytes), chunk), folder)
     return read_archives(parts, folder, chunk, with_payload=False).where("last").select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"
     )

@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import re
 
 from pyspark.sql import functions as F
 
@@ -46,7 +47,8 @@ def test_odd_rows_in_small_chunks(spark):
 
 def test_chunk_table_carries_incremental_digests(spark):
     folder = fresh_path(spark, "warc-test")
-    parts = warc.write_archives(warc.record_rows(spark.createDataFrame(ROWS, PAGES).repartition(1)), folder, chunk=100)
+    records = warc.record_rows(spark.createDataFrame(ROWS, PAGES).repartition(1))
+    parts = warc.write_archives(warc.chunk_rows(records, warc.repeated_payloads(records), chunk=100), folder)
     rows = warc.read_archives(parts, folder, chunk=64).collect()
     want = {(i, (h or "").encode()) for i, _, h in ROWS}
     seen = {}
@@ -56,6 +58,28 @@ def test_chunk_table_carries_incremental_digests(spark):
         seen[r.part, r.record] = so_far
         if r.last and r.record_type == "response":
             assert (r.page_id, so_far) in want
+    assert {r.url for r in rows} == {u for _, u, _ in ROWS}
+    whole = b"".join(gzip.open(part).read() for part in {r.part for r in rows})
+    named = set(re.findall(rb"WARC-Record-ID: (<[^>]*>)", whole))
+    assert {x for x in re.findall(rb"WARC-Refers-To: (<[^>]*>)", whole)} <= named and b"WARC-Refers-To" in whole
     for part in {r.part for r in rows}:
         whole = gzip.open(part).read()
         assert whole.startswith(b"WARC/1.1\r\n") and b"\r\nX: 1" not in whole
+
+
+def test_shuffled_chunks_give_the_same(spark):
+    records = warc.record_rows(spark.createDataFrame(ROWS, PAGES).repartition(3))
+    out = []
+    for broadcast in (True, False):
+        folder = fresh_path(spark, "warc-test")
+        chunks = warc.chunk_rows(records, warc.repeated_payloads(records), 16, broadcast)
+        assert ("Exchange" in chunks._jdf.queryExecution().toString().split("Physical Plan")[1]) or broadcast
+        rows = warc.read_archives(warc.write_archives(chunks, folder), folder, 16).where("last")
+        out.append(got(rows))
+    assert out[0] == out[1] == brute([(i, h) for i, _, h in ROWS])
+
+
+def test_broadcast_way_exchanges_no_payload(spark, small):
+    records = warc.record_rows(spark.read.parquet(f"{small}/pages.parquet"))
+    plan = warc.chunk_rows(records, warc.repeated_payloads(records))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("BroadcastExchange") == 1
