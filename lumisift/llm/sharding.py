@@ -83,9 +83,10 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, seed: int = 20240501, i
 
     Returns doc_id, size (UTF-8 bytes plus 16), text_crc32, row_number, law
     (``rows``), shard, slot and grown_shard (null: this law promises nothing
-    for one more shard). A null text counts as no bytes; null ids come first;
-    repeated rows are placed one by one; other columns are not looked at. An
-    empty table gives an empty result.
+    for one more shard). A null or empty text counts as no bytes, a very long one
+    as all of its bytes; null ids come first; ties go by the text's checksum
+    and size, and repeated rows are placed one by one; other columns are not
+    looked at. An empty table gives an empty result.
     """
     rows = docs.select(
         F.col(id_col).alias("doc_id"),

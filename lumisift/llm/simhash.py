@@ -104,7 +104,8 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id"
     component_id is the smallest doc_id among all documents that can be
     reached over links of ``radius`` or fewer differing bits, the document
     itself included. A null or empty text, or one without a word, has
-    fingerprint zero and is linked like any other. Repeated rows give repeated
+    fingerprint zero and is linked like any other; a very long text is hashed
+    whole. Repeated rows give repeated
     rows. A null id is never a component's name unless all ids in it are null.
     Other columns are not looked at. An empty table gives an empty result.
     """

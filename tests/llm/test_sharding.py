@@ -1,3 +1,4 @@
+import re
 import struct
 import zlib
 from collections import Counter
@@ -73,3 +74,8 @@ def test_odd_rows(spark, odd, shards):
 def test_empty_and_single(spark, empty, odd):
     assert shard_documents(empty).count() == 0
     assert got(shard_documents(odd.limit(1), 5)) == brute([tuple(odd.select("doc_id", "text").first())], 5)
+
+
+def test_only_builtin_functions(spark, small):
+    plan = op10_sharding(spark, small)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
