@@ -65,7 +65,8 @@ def test_counts_and_weights_against_brute_force(spark):
             for k, hit in enumerate((1, *bad)):
                 row[k] += hit * (fold < 2)
                 row[k + 3] += hit
-    assert {r[0]: list(r[1:]) for r in counts.collect()} == want
+    for some in (counts, qc.bucket_counts(rows, small=True)):
+        assert {r[0]: list(r[1:]) for r in some.collect()} == want
     sizes = {"n": 24, "low": 8, "toxic": 12, "n_a": 16, "low_a": 4, "toxic_a": 8}
     got = {r.bucket: r for r in qc.bucket_weights(counts, sizes).collect()}
     for column, at, h, rate in (("for_toxic", 3, 2, 12 / 24), ("against_low", 3, 1, 8 / 24), ("for_low_a", 0, 1, 4 / 16)):
