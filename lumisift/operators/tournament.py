@@ -40,17 +40,21 @@ def model_decisions(plan: DataFrame, answers: DataFrame, family: str = "scene_fa
     primary is the model's if kept, else the first kept. Of entries for one
     name the last gives the reason.
     """
-    rows = plan.where("mode = 'model'").join(answers, family, "left")
-    members = F.collect_set(name).over(W.partitionBy(family))
-    valid = F.filter(F.array_distinct(F.coalesce("keep", F.array().cast("array<string>"))), lambda x: F.array_contains(F.col("members"), x))
-    rows = rows.withColumn("members", members)
-    first = F.array(F.array_min("members"))
-    rows = rows.withColumn("kept_names", F.when(F.size(valid) > 0, F.slice(valid, 1, F.col("keep_limit"))).otherwise(first))
-    primary = F.when(F.array_contains("kept_names", F.col("primary")), F.col("primary")).otherwise(F.col("kept_names")[0])
-    entry = F.try_element_at(F.filter("photos", lambda p: p["filename"] == F.col(name)), F.lit(-1))
-    return rows.select(
-        family, name, F.array_contains("kept_names", F.col(name)).alias("kept"), F.coalesce(F.col(name) == primary, F.lit(False)).alias("is_primary"),
-        (F.size("kept_names") > 1).alias("is_distinct"), F.coalesce(entry["reason"], F.lit("")).alias("reason"),
+    rows = plan.where("mode = 'model'")
+    said = answers.select(family, F.posexplode("keep").alias("pos_", name)).groupBy(family, name).agg(F.min("pos_").alias("pos_"))
+    named = said.join(rows.select(family, name, "keep_limit"), [family, name])
+    order = W.partitionBy(family).orderBy("pos_")  # as long as an answer
+    named = named.withColumn("nth_", F.row_number().over(order)).where(F.col("nth_") <= F.col("keep_limit")).select(family, name, "nth_")
+    alone = rows.where("place = 1").join(named.select(family).distinct(), family, "left_anti").select(family, name, F.lit(1).alias("nth_"))
+    kept = named.unionByName(alone)
+    primary = answers.select(family, F.col("primary").alias(name), F.lit(True).alias("asked_")).where(F.col(name).isNotNull()).distinct()
+    best = F.min(F.struct(F.when(F.col("asked_"), 0).otherwise(1).alias("k"), "nth_", F.col(name).alias("n")))["n"]
+    ends = kept.join(primary, [family, name], "left").groupBy(family).agg(F.count(F.lit(1)).alias("kept_n_"), best.alias("first_"))
+    entries = answers.select(family, F.posexplode("photos").alias("pos_", "e_")).groupBy(family, F.col("e_.filename").alias(name)).agg(F.max_by("e_.reason", "pos_").alias("why_"))
+    found = rows.join(kept, [family, name], "left").join(entries, [family, name], "left").join(ends, family, "left")
+    return found.select(
+        family, name, F.col("nth_").isNotNull().alias("kept"), F.coalesce(F.col(name) == F.col("first_"), F.lit(False)).alias("is_primary"),
+        (F.col("kept_n_") > 1).alias("is_distinct"), F.coalesce("why_", F.lit("")).alias("reason"),
     )
 
 
@@ -143,9 +147,9 @@ def back_filled(scores: DataFrame, finalists: DataFrame, n: int, cap: int, name:
     own = finalists.select(name, F.col("place").cast("long").alias("final_place"))
     if count >= n:
         return own
-    rest = scores.join(finalists.select(name), name, "left_anti").orderBy(F.desc("printworthy_score"), "ord").limit(max(0, cap - count))
-    rest = rest.withColumn("final_place", F.row_number().over(W.orderBy(F.desc("printworthy_score"), "ord")) + count)  # at most cap rows
-    return own.unionByName(rest.select(name, F.col("final_place").cast("long")))
+    rest = scores.join(finalists.select(name), name, "left_anti").withColumn("low_", -F.col("printworthy_score"))
+    placed = dense_place(rest.select(name, "low_", "ord"), ["low_", "ord"], "nth_").where(F.col("nth_") < max(0, cap - count))
+    return own.unionByName(placed.select(name, (F.col("nth_") + 1 + count).cast("long").alias("final_place")))
 
 
 def final_ranking(finalists: DataFrame, ranked: list[str] | Column, top: str | Column, n: int, key: list[str] = ()) -> DataFrame:
@@ -168,8 +172,32 @@ def final_ranking(finalists: DataFrame, ranked: list[str] | Column, top: str | C
     )
 
 
+def group_ranks(entrants: DataFrame, answers: DataFrame, limit: int) -> DataFrame:
+    """Ranks (from 1) of ``entrants`` (group, filename, place) in their groups'
+    answers ``(group, ranked array<string>)``.
+
+    Invented and repeated names go, and names that an answer leaves out; a group
+    of which no name is left stands in the order of its places. Of each group
+    the first ``limit`` stay. No row holds more than one name.
+    """
+    said = answers.select("group", F.posexplode("ranked").alias("pos_", "filename")).groupBy("group", "filename").agg(F.min("pos_").alias("pos_"))
+    w = W.partitionBy("group")  # as many names as a prompt holds
+    found = entrants.join(said, ["group", "filename"], "left").withColumns({
+        "rank": F.row_number().over(w.orderBy(F.col("pos_").asc_nulls_last(), "place")), "any_": F.max(F.col("pos_").isNotNull()).over(w),
+    })
+    return found.where((F.col("pos_").isNotNull() | ~F.col("any_")) & (F.col("rank") <= limit)).drop("pos_", "any_")
+
+
+def group_tops(entrants: DataFrame, ranked: DataFrame, answers: DataFrame) -> DataFrame:
+    """``(group, top_filename)``: the answer's ``top`` if it is in the group,
+    ranked or not, else the first ranked."""
+    first = ranked.where("rank = 1").select("group", F.col("filename").alias("first_"))
+    asked = entrants.join(answers.select("group", F.col("top").alias("filename")), ["group", "filename"], "left_semi").select("group", F.col("filename").alias("asked_"))
+    return first.join(asked, "group", "left").select("group", F.coalesce("asked_", "first_").alias("top_filename"))
+
+
 def ranked_details(ranking: DataFrame, scores: DataFrame, reasons: DataFrame, name: str = "filename") -> DataFrame:
-    """Ranked names with their scores (inner) and final reasons (left; the last
+    """Ranked names of one list with their scores (inner) and final reasons (left; the last
     of repeated ones, by ``pos``)."""
     names = ranking.select(F.posexplode("ranked_filenames").alias("pos", name)).select((F.col("pos") + 1).alias("rank"), name)
     last = reasons.groupBy(name).agg(F.max_by("reason", "pos").alias("final_reason"))

@@ -678,7 +678,7 @@ d AS (SELECT *, n <= quota OR last <= quota AS kept FROM (SELECT *, greatest(1,
 b AS (SELECT filename, score, row_number() OVER (ORDER BY filename) - 1 AS ord, (row_number() OVER (ORDER BY filename) - 1) // 12 + 1 AS batch, count(*) OVER () AS total FROM d WHERE kept),
 p AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY score DESC, filename) <= 3 AS best, ceil(total / 4.0::DOUBLE) AS top_n, 3 * ceil(total / 12.0::DOUBLE) AS cap FROM b),
 f AS (SELECT *, count(*) FILTER (WHERE best) OVER () AS found, row_number() OVER (PARTITION BY best ORDER BY score DESC, ord) AS fill FROM p),
-g AS (SELECT *, row_number() OVER (ORDER BY score DESC, filename) AS rank FROM f WHERE best OR (found < top_n AND fill + found <= greatest(top_n, cap)))"""
+g AS (SELECT * FROM f WHERE best OR (found < top_n AND fill + found <= greatest(top_n, cap)))"""
 
 
 @query(STAGE2_SQL + """ SELECT o_custkey AS scene_family_id, filename, kept, CASE WHEN n <= quota THEN last = n ELSE last = 1 END AS is_primary, CASE WHEN n <= quota THEN n > 1 ELSE quota > 1 END AS is_distinct,
@@ -691,8 +691,20 @@ def stage2_photos(spark, d) -> DataFrame:
     return table(spark, d, "orders").select(F.col("o_custkey").alias("scene_family_id"), F.format_string("%09d.jpg", "o_orderkey").alias("filename"))
 
 
-@query(STAGE2_SQL + """ SELECT CAST(rank AS INT) AS rank, filename, CAST(score AS DOUBLE) AS printworthy_score, 'c' || substr(filename, 9, 1) AS category, 'by number' AS reason, CASE WHEN rank % 2 = 1 THEN 'last ' || substr(filename, 9, 1) END AS final_reason,
-  first_value(filename) OVER (ORDER BY rank) AS top_filename FROM g WHERE rank <= top_n""")
+#: Finalists by place, ranked in groups of 48 of which 12 go on, until one is left.
+ROUNDS_SQL = STAGE2_SQL.replace("WITH r AS", "WITH RECURSIVE r AS", 1) + """,
+s AS (SELECT filename, score, top_n, CASE WHEN best THEN row_number() OVER (PARTITION BY best ORDER BY batch, score DESC, filename) ELSE found + fill END - 1 AS place FROM g),
+t AS (
+  SELECT 0 AS round, filename, score, top_n, place, place // 48 AS grp, row_number() OVER (PARTITION BY place // 48 ORDER BY score DESC, filename) AS rk, count(*) OVER () AS m FROM s
+  UNION ALL
+  SELECT round + 1, filename, score, top_n, place, place // 48, row_number() OVER (PARTITION BY place // 48 ORDER BY score DESC, filename), count(*) OVER ()
+  FROM (SELECT round, filename, score, top_n, row_number() OVER (ORDER BY grp, rk) - 1 AS place FROM t WHERE m > 48 AND rk <= 12)
+), l AS (SELECT filename, score, top_n, round, grp, rk FROM t QUALIFY row_number() OVER (PARTITION BY filename ORDER BY round DESC) = 1),
+n AS (SELECT *, row_number() OVER (ORDER BY round DESC, rk, grp) AS nth FROM l)"""
+
+
+@query(ROUNDS_SQL + """ SELECT CAST(nth AS INT) AS rank, filename, CAST(score AS DOUBLE) AS printworthy_score, 'c' || substr(filename, 9, 1) AS category, 'by number' AS reason, CASE WHEN rk % 2 = 1 THEN 'last ' || substr(filename, 9, 1) END AS final_reason,
+  first_value(filename) OVER (ORDER BY nth) AS top_filename FROM n WHERE nth <= top_n""")
 def stage2_portfolio(spark, d):
     _, ranked = stage2.run(stage2_photos(spark, d), OrdinalModel)
     return ranked.select("rank", "filename", "printworthy_score", "category", "reason", "final_reason", "top_filename")
