@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import CurationConfig
 from ..functions import text, vectors
+from .metric import metric_pairs
 from .tables import shared_folder, stored
 
 
@@ -101,15 +102,17 @@ def similarity_edges(candidates: DataFrame, limits: list[Limits], gate: bool = T
     """``folder, prefix, a, b`` and ``edge_0``, ``edge_1``, ... per limits: pairs
     are made once, at the widest window, and tested for all limits together.
 
-    Without the sequence gate every pair of a folder is a candidate, as the
-    task is then defined over all pairs of an album.
+    Without the sequence gate every pair of a folder is a candidate. Those that
+    the least cosine rules out by angle are not made (``metric_pairs``); only if
+    a limit admits any angle of 90 degrees or more are all made, in tiles.
     """
     carry = ["img_vector"] + (["color_thumb", "hash"] if any(x.color is not None or x.hash is not None for x in limits) else [])
     if gate:
         pairs = band_pairs(candidates, ["folder", "prefix"], "ord", "idx", max(x.window for x in limits), carry)
     else:
         flat = candidates.withColumns({"prefix": F.lit(""), "idx": F.lit(0)})
-        pairs = tile_pairs(flat, "folder", "ord", ["prefix", "idx", *carry])
+        least = min(x.cosine for x in limits)
+        pairs = metric_pairs(flat, "folder", "ord", "img_vector", least, ["prefix", "idx", *carry]) if least > 0 else tile_pairs(flat, "folder", "ord", ["prefix", "idx", *carry])
     gap = F.abs(F.col("a_idx") - F.col("b_idx"))
     tests = [(similar(x) & (gap <= x.window) if gate else similar(x)).alias(f"edge_{i}") for i, x in enumerate(limits)]
     return pairs.select(F.col("a_folder").alias("folder"), F.col("a_prefix").alias("prefix"), F.col("a_ord").alias("a"), F.col("b_ord").alias("b"), *tests)

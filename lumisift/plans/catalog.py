@@ -156,6 +156,16 @@ def hamming_hash(spark, d):
     return pairs.select(F.col("a_vec_id").alias("a"), F.col("b_vec_id").alias("b"), vectors.packed_hamming(F.col("a_h"), F.col("b_h")).cast("long").alias("distance"))
 
 
+FLAT_SQL = """SELECT 'all' AS folder, vec_id, list_transform(embedding[1:4], lambda x: x::DOUBLE / sqrt(list_dot_product(embedding[1:4]::DOUBLE[], embedding[1:4]::DOUBLE[]))) AS v FROM embeddings"""
+
+
+@query(f"""SELECT a.vec_id AS a, b.vec_id AS b FROM ({FLAT_SQL}) a JOIN ({FLAT_SQL}) b ON a.vec_id < b.vec_id AND list_dot_product(a.v, b.v) >= 0.97""")
+def metric_edges(spark, d):
+    """Without the sequence gate: one album, frames of four numbers."""
+    rows = table(spark, d, "embeddings").select(F.lit("all").alias("folder"), F.format_string("/%09d", "vec_id").alias("path"), F.lit("x.jpg").alias("filename"), "vec_id", vectors.unit(F.slice("embedding", 1, 4)).alias("img_vector"))
+    return with_ids(grouping.similarity_edges(grouping.with_sequence(rows), [Limits(0, 0.97)], gate=False).where("edge_0"), rows).select("a", "b")
+
+
 def groups_sql(limits: Limits, source: str = PHOTO_SQL, where: str = "true") -> str:
     """folder, vec_id, root, gid, gsize by recursive reachability."""
     return f"""(WITH RECURSIVE base AS (SELECT * FROM ({source}) WHERE {where}), e AS ({pair_sql(limits, source, where)}), s AS (SELECT folder, a, b FROM e UNION SELECT folder, b, a FROM e),
