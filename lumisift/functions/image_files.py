@@ -183,8 +183,7 @@ def decode(data: bytes | None) -> np.ndarray | None:
         if Image is not None:
             with Image.open(io.BytesIO(data)) as image:
                 return np.ascontiguousarray(np.asarray(ImageOps.exif_transpose(image).convert("RGB"))[..., ::-1])
-        img = _png_pixels(data) if data[:8] == PNG else None
-        return None if img is None else exif_oriented(img, exif_orientation(data))
+        return _png_pixels(data) if data[:8] == PNG else None
     except Exception:  # a decoder fails in its own ways on a broken file
         return None
 
@@ -252,3 +251,25 @@ def for_review(content: Column, max_side: int = 1600, quality: int = 84, max_byt
         return rows.astype({"width": "Int64", "height": "Int64", "quality": "Int64"})
 
     return F.pandas_udf(run, "mime string, data binary, width long, height long, quality long")(content)
+
+
+def orientation(content: Column) -> Column:
+    """The EXIF orientation (1 to 8) of files' first bytes."""
+    return F.pandas_udf(lambda data: data.map(exif_orientation).astype("int32"), "int")(content)
+
+
+def upright(image: Column, turn: Column) -> Column:
+    """A decoded image struct turned by its orientation; others are as they
+    were. Height and width change places at a quarter turn."""
+    names = ["origin", "height", "width", "nChannels", "mode", "data"]
+
+    def run(origin: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series, mode: pd.Series, data: pd.Series, turn: pd.Series) -> pd.DataFrame:
+        rows = []
+        for o, h, w, c, m, d, t in zip(origin, height, width, channels, mode, data, turn):
+            if d is not None and h is not None and h > 0 and t is not None and t > 1:
+                img = exif_oriented(np.frombuffer(d, np.uint8).reshape(int(h), int(w), int(c)), int(t))
+                h, w, d = img.shape[0], img.shape[1], img.tobytes()
+            rows.append((o, h, w, c, m, d))
+        return pd.DataFrame(rows, columns=names).astype({k: "Int32" for k in names[1:5]})
+
+    return F.pandas_udf(run, "origin string, height int, width int, nChannels int, mode int, data binary")(*[image[n] for n in names], turn)

@@ -767,12 +767,7 @@ def ranked_targets(spark, d):
 @query("""SELECT event_type, count(*) FILTER (WHERE event_id % 7 <> 0) AS completed_count, count(*) FILTER (WHERE event_id % 7 = 0) AS failure_count FROM events GROUP BY event_type""")
 def improvement_outcome(spark, d):
     rows = table(spark, d, "events").select("event_type", F.when(F.col("event_id") % 7 == 0, "failed").alias("error"))
-    kinds = [r[0] for r in rows.select("event_type").distinct().orderBy("event_type").collect()]  # a few kinds of events
-    out = [outputs.improvement_summary(rows.where(F.col("event_type") == k)).select(F.lit(k).alias("event_type"), "*") for k in kinds]
-    first = out[0]
-    for df in out[1:]:
-        first = first.unionByName(df)
-    return first
+    return outputs.improvement_summary(rows, ["event_type"])
 
 
 @query("""SELECT format('family_{:04d}.json', s_suppkey) AS name, to_json({'scene_family_id': s_suppkey, 'primary': s_name, 'mode': CASE WHEN s_suppkey % 2 = 0 THEN 'model' END}) AS json FROM supplier""")

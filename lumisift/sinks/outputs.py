@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import json
-import shutil
-import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import CurationConfig
 from ..functions import text
 from ..sources.albums import LOG_COLUMNS
+from . import files
 
 REMOTE_COLUMNS = ("file_id", "filename", "megapixels", "laplacian_var", "black_clip_pct", "white_clip_pct", "clip_score", "saved_path")
 FAMILY_COLUMNS = ("scene_family_id", "filename", "kept_after_family_reduction", "primary_in_family", "family_input_count", "family_keep_limit", "strict_group_id", "strict_group_size", "stage1_path", "reason")
@@ -85,28 +83,16 @@ def ranked_manifest(ranked: DataFrame, out_root: str, width: int = 2) -> DataFra
     return ranked.select(F.col("path").alias("src"), F.concat(F.lit(out_root.rstrip("/") + "/"), F.lpad(F.col("rank").cast("string"), width, "0"), F.lit("_"), "filename").alias("dst"))
 
 
-def copy_files(manifest: DataFrame) -> None:
-    """Copy on the executors, overwriting; repeating a task does no harm."""
-    def run(rows) -> None:
-        for r in rows:
-            Path(r.dst).parent.mkdir(parents=True, exist_ok=True)
-            temp = f"{r.dst}.{uuid.uuid4().hex}.part"  # two attempts never write one file
-            shutil.copy2(r.src, temp)
-            Path(temp).replace(r.dst)
-
-    manifest.foreachPartition(run)
+def copy_files(manifest: DataFrame, out_root: str) -> None:
+    """Copy ``src`` to ``dst`` below ``out_root``, all files or none, replacing
+    what is there."""
+    files.write_files(manifest, out_root, files.below(out_root, F.col("dst")), source=F.col("src"))
 
 
 def write_bytes(rows: DataFrame, folder: str, name: str = "out_name", content: str = "content") -> None:
-    """Downloaded or generated files under their names."""
-    def run(part) -> None:
-        Path(folder).mkdir(parents=True, exist_ok=True)
-        for r in part:
-            temp = Path(folder) / f".{r[name]}.{uuid.uuid4().hex}.part"
-            temp.write_bytes(r[content])
-            temp.replace(Path(folder) / r[name])
-
-    rows.select(name, content).foreachPartition(run)
+    """Downloaded or generated files under their names; rows without content
+    have no file."""
+    files.write_files(rows, folder, F.col(name), content=F.col(content))
 
 
 def json_rows(rows: DataFrame, key: Column) -> DataFrame:
@@ -150,20 +136,15 @@ def suite_summary(runs: DataFrame, settings: dict) -> DataFrame:
     return doc.select(F.to_json(F.struct(F.lit(json.dumps(settings)).alias("settings"), F.current_timestamp().cast("string").alias("generated_at"), "runs"), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def improvement_summary(images: DataFrame) -> DataFrame:
-    """Counts of a run; skipped images count as completed."""
-    return images.agg(F.count_if(F.col("error").isNull()).alias("completed_count"), F.count_if(F.col("error").isNotNull()).alias("failure_count"))
+def improvement_summary(images: DataFrame, key: list[str] = ()) -> DataFrame:
+    """Counts of a run, or of each value of ``key``; skipped images count as
+    completed."""
+    return images.groupBy(*key).agg(F.count_if(F.col("error").isNull()).alias("completed_count"), F.count_if(F.col("error").isNotNull()).alias("failure_count"))
 
 
 def write_documents(docs: DataFrame, folder: str) -> None:
-    def run(part) -> None:
-        Path(folder).mkdir(parents=True, exist_ok=True)
-        for r in part:
-            temp = Path(folder) / f".{r.name}.{uuid.uuid4().hex}.part"
-            temp.write_text(r.json)
-            temp.replace(Path(folder) / r.name)
-
-    docs.foreachPartition(run)
+    """Documents ``(name, json)`` as files, all or none."""
+    files.write_files(docs, folder, F.col("name"), content=F.encode("json", "UTF-8"))
 
 
 def exit_status(records: int, failures: int = 0) -> int:

@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..functions import image_files, text
+from ..operators.tables import shared_folder, stored
+from ..sinks.files import write_files
+from .listing import list_folders
+from .paths import filesystem, same_path
 
 # Accepted suffixes and names of generated folders.
 SUFFIXES = (".jpg", ".jpeg", ".png", ".tif", ".tiff", ".bmp", ".webp", ".heic", ".heif")
 JVM_SUFFIXES = (".jpg", ".jpeg", ".png", ".tif", ".tiff", ".bmp")
 GENERATED = ("Curated_Best", "Gemma_", "Stage2_")
-FILES = "folder string, path string, name string, suffix string"
 LOG_COLUMNS = (
     "filename string, source_path string, extension string, resolution_tier string, status string, rejection_reason string, group_id int, group_size int, "
     "scene_family_id int, scene_family_size int, selected_in_group boolean, selected_filename string, selected_tier string, selected_saved_path string, decode_ok boolean, "
@@ -29,27 +34,26 @@ def is_generated(name: str, output_name: str) -> bool:
     return name == output_name or name.startswith(GENERATED)
 
 
-def list_albums(root: str, output_name: str = "Curated_Best") -> list[str]:
+def album_files(spark: SparkSession, root: str, output_name: str = "Curated_Best", images_only: bool = True) -> DataFrame:
+    """``folder, path, name, suffix, length, modified`` of the files of the
+    root and its direct subfolders, without generated ones."""
+    files = list_folders(spark, root=root, skip=GENERATED)
+    named = files.where((F.col("folder") == same_path(root)) | (F.element_at(F.split("folder", "/"), -1) != output_name))
+    return named.where(F.col("suffix").isin(*SUFFIXES)) if images_only else named
+
+
+def list_albums(spark: SparkSession, root: str, output_name: str = "Curated_Best") -> list[str]:
     """The root if it holds images, then its direct subfolders with images, by
     name, without generated ones."""
-    def has_images(d: Path) -> bool:
-        return any(p.is_file() and p.suffix.lower() in SUFFIXES for p in d.iterdir())
-
-    top = Path(root)
-    out = [top] if has_images(top) else []
-    out += [d for d in sorted(top.iterdir()) if d.is_dir() and not is_generated(d.name, output_name) and has_images(d)]
-    return [str(d) for d in out]
+    found = album_files(spark, root, output_name).select("folder").distinct().orderBy("folder").collect()  # a row per album
+    return [r.folder for r in found]
 
 
 def list_files(spark: SparkSession, folders: list[str], images_only: bool = True) -> DataFrame:
-    """``folder, path, name, suffix`` of the files of albums. Names that begin
-    with ``_`` or ``.`` are files like others."""
-    rows = []
-    for folder in folders:
-        for p in sorted(Path(folder).iterdir()):
-            if p.is_file() and (not images_only or p.suffix.lower() in SUFFIXES):
-                rows.append((folder, str(p), p.name, p.suffix.lower()))
-    return spark.createDataFrame(rows, FILES)
+    """The same listing of the files of given albums. Names that begin with
+    ``_`` or ``.`` are files like others."""
+    files = list_folders(spark, folders=folders)
+    return files.where(F.col("suffix").isin(*SUFFIXES)) if images_only else files
 
 
 def album_filter(files: DataFrame, output_name: str = "Curated_Best", depth: int = 1) -> DataFrame:
@@ -63,38 +67,84 @@ def album_filter(files: DataFrame, output_name: str = "Curated_Best", depth: int
     return files.where(text.suffix(F.col("rel")).isin(*SUFFIXES) & ~made & (deep <= depth))
 
 
-def _staged(spark: SparkSession, files: DataFrame, staging: str | None) -> tuple[str, DataFrame]:
-    """Links with neutral names, as Spark's sources hide ``_`` and ``.`` names,
-    and the map from links to files. The listing came from the driver, so its
-    size is that of one listing."""
-    if staging is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("give a staging folder that all executors share")
-        staging = tempfile.mkdtemp(prefix="lumisift-stage-")
-    rows = []
-    for i, r in enumerate(files.collect()):
-        link = f"f{i:09d}{r.suffix}"
-        os.symlink(os.path.abspath(r.path), os.path.join(staging, link))
-        rows.append((link, r.folder, r.path, r.name, r.suffix))
-    return staging, spark.createDataFrame(rows, "link string, folder string, path string, name string, suffix string")
-
-
-def read_images(spark: SparkSession, files: DataFrame, staging: str | None = None) -> DataFrame:
-    """``files`` with the decoded ``image`` struct (BGR); width is -1 if a file
-    cannot be decoded, null for suffixes that the JVM has no reader for, which
-    need a decoder of one's own over ``read_bytes``."""
-    staging, links = _staged(spark, files, staging)
-    found = spark.read.format("image").load(staging).select(F.element_at(F.split("image.origin", "/"), -1).alias("link"), "image")
-    return links.join(found, "link", "left").drop("link")
-
-
-def read_bytes(spark: SparkSession, files: DataFrame, staging: str | None = None, most: int | None = None) -> DataFrame:
-    """``files`` with content and length; ``most`` bounds the length read."""
-    staging, links = _staged(spark, files, staging)
-    found = spark.read.format("binaryFile").load(staging)
-    if most is not None:
-        found = found.where(F.col("length") <= most)
-    return links.join(found.select(F.element_at(F.split("path", "/"), -1).alias("link"), "content", "length"), "link", "left").drop("link")
+def _hidden(name: Column) -> Column:
+    return name.startswith("_") | name.startswith(".")
+
+
+def _content(files: DataFrame, most: int | None, head: int | None = None) -> DataFrame:
+    """``files`` with the bytes of each, or its first ``head``, read where the
+    row is; null for what is longer than ``most`` or cannot be read."""
+    at = files.columns.index("path")
+
+    def run(batches):
+        for batch in batches:
+            for i, path in enumerate(batch.column(at).to_pylist()):  # one file at a time is held
+                fs, inner, _ = filesystem(path)
+                try:
+                    with fs.open_input_file(inner) as file:
+                        data = None if most is not None and file.size() > most else file.read(head)
+                except OSError:
+                    data = None
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, pa.array([data], pa.binary())], names=[*batch.schema.names, "content"])
+
+    return files.mapInArrow(run, StructType([*files.schema.fields, StructField("content", BinaryType())]))
+
+
+def read_images(spark: SparkSession, files: DataFrame, upright: bool = True) -> DataFrame:
+    """``files`` with the decoded ``image`` struct (BGR), turned upright by the
+    orientation in a JPEG's header; width is -1 if a file cannot be decoded,
+    null for suffixes that the JVM has no reader for, which need a decoder of
+    one's own over ``read_bytes``.
+
+    Spark reads albums as folders. It hides names that begin with ``_`` or
+    ``.``; tasks copy such files to the shared folder under other names first.
+    """
+    files = stored(files, "files")
+    known = files.where(F.col("suffix").isin(*JVM_SUFFIXES))
+    folders = [r.folder for r in known.where(~_hidden(F.col("name"))).select("folder").distinct().collect()]  # a row per album
+    kinds = ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s) for s in JVM_SUFFIXES)
+    found = None
+    if folders:
+        local = F.concat(F.lit("/"), F.regexp_replace("image.origin", "^file:/+", ""))
+        origin = F.when(F.col("image.origin").startswith("file:"), local).otherwise(F.col("image.origin"))
+        found = spark.read.format("image").option("pathGlobFilter", f"*{{{kinds}}}").load([_plain(f) for f in folders]).select(origin.alias("path"), "image")
+    hidden = known.where(_hidden(F.col("name")))
+    if not hidden.isEmpty():
+        staging = f"{shared_folder(spark).rstrip('/')}/hidden-{uuid.uuid4().hex}"
+        other = F.concat(F.sha2("path", 256), "suffix")
+        write_files(hidden, staging, other, source=F.col("path"))
+        images = spark.read.format("image").load(staging).select(F.element_at(F.split("image.origin", "/"), -1).alias("link"), "image")
+        copied = hidden.select("path", other.alias("link")).join(images, "link").select("path", "image")
+        found = copied if found is None else found.unionByName(copied)
+    if found is None:
+        found = spark.createDataFrame([], "path string, image " + IMAGE)
+    out = files.join(found, "path", "left")
+    if not upright:
+        return out
+    turned = _orientations(files.where(F.col("suffix").isin(".jpg", ".jpeg")).select("path")).where("orientation > 1")
+    return out.join(turned, "path", "left").withColumn("image", F.when(F.col("orientation").isNull(), F.col("image")).otherwise(image_files.upright(F.col("image"), F.col("orientation")))).drop("orientation")
+
+
+IMAGE = "struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+#: Bytes of a file in which the blocks before its picture are looked for.
+HEAD = 256 << 10
+
+
+def _plain(path: str) -> str:
+    """A folder as a pattern that names it alone."""
+    return "".join("\\" + c if c in "{}[]*?\\" else c for c in path)
+
+
+def _orientations(files: DataFrame) -> DataFrame:
+    """``(path, orientation)`` from the headers of JPEG files."""
+    return _content(files, None, HEAD).select("path", image_files.orientation(F.col("content")).alias("orientation"))
+
+
+def read_bytes(spark: SparkSession, files: DataFrame, most: int | None = None) -> DataFrame:
+    """``files`` with content and length; of files longer than ``most`` both
+    are null."""
+    kept = files.select(*[c for c in files.columns if c not in ("content", "length")])
+    return _content(kept, most).withColumn("length", F.octet_length("content").cast("long"))
 
 
 def decode_bytes(rows: DataFrame, decoder=image_files.decode, keep: list[str] = ("path",)) -> DataFrame:
@@ -162,5 +212,4 @@ def resolve_portfolio(arg: str | None = None, env: dict | None = None, cwd: str
 
 def read_ranked(spark: SparkSession, portfolio: str) -> DataFrame:
     """``filename, path`` of a portfolio's ranked images."""
-    rows = [(p.name, str(p)) for p in sorted((Path(portfolio) / "ranked").iterdir()) if p.is_file()]
-    return spark.createDataFrame(rows, "filename string, path string")
+    return list_files(spark, [f"{portfolio.rstrip('/')}/ranked"], images_only=False).select(F.col("name").alias("filename"), "path")

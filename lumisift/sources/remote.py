@@ -2,8 +2,8 @@
 
 Options: ``folder_id``, ``client`` (``module:function`` that returns an object
 with ``page(folder_id, token, size) -> (list of dicts, next token)`` and
-``content(file_id) -> bytes``), ``page_size``, ``min_pixels``, ``content`` and
-``max_bytes`` (longer content is null).
+``content(file_id) -> bytes``), ``page_size``, ``min_pixels``, ``content``,
+``max_bytes`` (longer content is null) and, for streams, ``pages_per_batch``.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import importlib
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition
 
 from ..config import CurationConfig
 
@@ -38,6 +38,9 @@ class RemoteImages(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _StreamReader(self.options)
+
 
 class _Reader(DataSourceReader):
     """Pages are listed once for the plan; each becomes a partition, so bytes
@@ -86,6 +89,62 @@ class _Reader(DataSourceReader):
             yield (*row, content(f["file_id"])) if with_content else row
 
 
+class _StreamReader(DataSourceStreamReader):
+    """A listing that grows at its end, as a stream. An offset is a page's token
+    and how many of its files were read, so any range can be read again; each
+    page of a batch is a partition, listed and fetched by its task.
+
+    The first file of a page keeps its place, as tokens do; files that are
+    inserted or removed before an offset are not noticed.
+    """
+
+    def __init__(self, options: dict):
+        self.batch = _Reader(options)
+        self.most = int(options.get("pages_per_batch", 100))
+        self.client = None
+        self.at: dict | None = None
+
+    def _page(self, token: str) -> tuple[list, str | None]:
+        self.client = self.client or _client(self.batch.options["client"])
+        return self.client.page(self.batch.options["folder_id"], token or None, int(self.batch.options.get("page_size", 100)))
+
+    def initialOffset(self) -> dict:
+        return {"token": "", "read": 0}
+
+    def latestOffset(self) -> dict:
+        """Up to ``pages_per_batch`` pages from where the last call came to."""
+        at = self.at or self.initialOffset()
+        for n in range(self.most):
+            files, after = self._page(at["token"])
+            at = {"token": at["token"], "read": max(at["read"], len(files))}
+            if not after:
+                break
+            at = {"token": after, "read": 0}
+        self.at = at
+        return at
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        if self.at is None:  # after a restart Spark plans the last batch first
+            self.at = end
+        out, token, skip = [], start["token"], start["read"]
+        while True:
+            last = token == end["token"]
+            if not last or end["read"] > skip:
+                out.append(InputPartition((token, skip, end["read"] if last else None)))
+            if last:
+                return out
+            after = self._page(token)[1]
+            if not after:
+                raise ValueError(f"the listing ends before the page {end['token']!r}")
+            token, skip = after, 0
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        token, skip, stop = partition.value
+        self.client = None
+        files = self._page(token)[0][skip:stop]
+        yield from self.batch.read(InputPartition([f for f in files if self.batch._wanted(f)]))
+
+
 def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RemoteImages)

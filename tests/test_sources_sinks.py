@@ -46,7 +46,7 @@ def root(tmp_path_factory):
 
 
 def test_albums_and_hidden_names(spark, root):
-    found = albums.list_albums(root)
+    found = albums.list_albums(spark, root)
     assert [Path(f).name for f in found] == [Path(root).name, "trip"]
     files = albums.list_files(spark, found)
     assert files.count() == 6
@@ -96,7 +96,7 @@ def test_csv_numbers(spark):
 
 def test_copies_and_documents(spark, root, tmp_path):
     won = spark.createDataFrame([(f"{root}/top.png", "top.png", "above_8mp", None), (f"{root}/trip/UP4.PNG", "UP4.PNG", "x", f"{root}/trip/note.txt")], "path string, filename string, tier string, raw_path string")
-    outputs.copy_files(outputs.copy_manifest(won, str(tmp_path / "out"), CurationConfig()))
+    outputs.copy_files(outputs.copy_manifest(won, str(tmp_path / "out"), CurationConfig()), str(tmp_path / "out"))
     assert sorted(p.name for p in (tmp_path / "out").glob("*/*")) == ["UP4.PNG", "note.txt", "top.png"]
     ranked = outputs.ranked_manifest(won.withColumn("rank", F.lit(3)), str(tmp_path / "r"))
     assert {Path(r.dst).name for r in ranked.collect()} == {"03_top.png", "03_UP4.PNG"}
