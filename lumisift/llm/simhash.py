@@ -10,7 +10,11 @@ copies never becomes all pairs of it. Components give the groups.
 Edited copies lie farther apart than fingerprints can tell. For them
 ``near_copies_removed`` supplements the links: MinHash bands propose pairs, and
 a pair counts if its sets of five-word shingles have a Jaccard similarity of
-``JACCARD`` or more, compared whole.
+``JACCARD`` or more, compared whole. Those that share a band are first compared
+with one of them and with neighbours, which joins copies of one text without
+pairing them all; then, in the bands that still hold texts of several groups,
+every pair of two groups is compared, in tiles dealt to as many tasks. No pair
+that shares a band and is not joined already is left out.
 """
 
 from __future__ import annotations
@@ -33,6 +37,9 @@ WIDE = 5
 JACCARD = (4, 5)
 #: MinHash bands and rows of each: a pair at 0.8 shares a band with 0.9996.
 BANDS, ROWS = 20, 5
+#: Texts of a band whose neighbours are sought together, texts of one side of a
+#: tile, and members of their sets that are multiplied at a time.
+RUN, TILE, PIECE = 1000, 256, 8192
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLOCK = 1 << 16
 
@@ -173,23 +180,34 @@ def sketches(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, same long, bands array<long>")
 
 
-def band_pairs(classes: DataFrame) -> DataFrame:
-    """Distinct pairs ``(a, b)`` of ``(text_hash, fp)`` that share a band.
-
-    Up to four that share a band are all paired; of more, each is paired with
-    the first and the two before it, in an order that differs from band to band.
-    """
-    w = W.partitionBy("band").orderBy(F.xxhash64("me", "band"), "me")
-    met = classes.select(F.struct("text_hash", "fp").alias("me"), F.explode("bands").alias("band"))
-    near = met.select("me", F.array(F.first("me").over(w), F.lag("me").over(w), F.lag("me", 2).over(w)).alias("others"))
-    pairs = near.select("me", F.explode("others").alias("other")).where("other.fp <> me.fp")  # equal ones are linked as they are
+def band_members(classes: DataFrame) -> DataFrame:
+    """``(band, n, text_hash, fp)`` of the texts that share a band with another;
+    ``n`` is how many share it."""
+    met = stored(classes.select(F.explode("bands").alias("band"), "text_hash", "fp"), "bands")
+    sizes = met.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return stored(met.join(sizes, "band"), "met")
+
+
+def star_pairs(members: DataFrame) -> DataFrame:
+    """Distinct pairs ``(a, b)`` of ``(text_hash, fp)``: each text of a band with
+    the first of them and with the two before it, in an order that differs from
+    band to band. Crowded bands are cut into runs of about ``RUN`` texts for the
+    neighbours, so that none is sorted whole."""
+    me = F.struct("text_hash", "fp")
+    firsts = members.groupBy("band").agg(F.min(F.struct(F.xxhash64("text_hash", "band").alias("h"), me.alias("me")))["me"].alias("other"))
+    with_first = members.join(firsts, "band").select(me.alias("me"), "other")
+    order = F.xxhash64("text_hash", "band")
+    w = W.partitionBy("band", "run").orderBy(order, "text_hash", "fp")
+    runs = members.withColumn("run", F.pmod(F.shiftright(order, 20), F.ceil(F.col("n") / RUN).cast("long")))
+    near = runs.select(me.alias("me"), F.array(F.lag(me).over(w), F.lag(me, 2).over(w)).alias("others")).select("me", F.explode("others").alias("other"))
+    pairs = with_first.unionByName(near).where("other.fp <> me.fp")  # equal ones are linked as they are
     return pairs.select(F.least("me", "other").alias("a"), F.greatest("me", "other").alias("b")).distinct()
 
 
-def shingle_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``(a, b)`` fingerprints of the pairs whose similarity is ``JACCARD`` or
-    more, by the whole sets of shingles."""
-    wanted = cut(pairs.select(F.explode(F.array("a.text_hash", "b.text_hash")).alias("text_hash")).distinct())
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(text_hash, shingles)`` of the distinct texts that ``wanted`` names,
+    stored."""
+    wanted = cut(wanted.distinct())
     texts = docs.select(F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
     texts = texts.join(small_side(wanted, wanted.count()), "text_hash", "left_semi").dropDuplicates(["text_hash"])
 
@@ -198,13 +216,96 @@ def shingle_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             sets = [shingle_set(x.as_py()).view(np.int64) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["text_hash", "shingles"])
 
-    sets = cut(texts.mapInArrow(run, "text_hash long, shingles array<long>"))
+    return cut(texts.mapInArrow(run, "text_hash long, shingles array<long>"))
+
+
+def shingle_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(a, b)`` fingerprints of the pairs whose similarity is ``JACCARD`` or
+    more, by the whole sets of shingles."""
+    sets = shingle_sets(docs, pairs.select(F.explode(F.array("a.text_hash", "b.text_hash")).alias("text_hash")))
     both = pairs.select("a", "b", F.col("a.text_hash").alias("text_hash")).join(sets, "text_hash").select("a", "b", F.col("shingles").alias("x"), F.col("b.text_hash").alias("text_hash"))
     both = both.join(sets, "text_hash").select("a", "b", F.size("x").alias("m"), F.size("shingles").alias("n"), F.size(F.array_intersect("x", "shingles")).alias("common"))
     times, of = JACCARD
     return both.where(of * F.col("common") >= times * (F.col("m") + F.col("n") - F.col("common"))).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
+def overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many members each set of ``xs`` shares with each of ``ys``: a product
+    of incidence matrices, a piece of the common members at a time."""
+    flat = [np.concatenate(s) if s else np.empty(0, np.int64) for s in (xs, ys)]
+    common = np.intersect1d(*flat)
+    places = []
+    for sets, values in zip((xs, ys), flat):
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.searchsorted(common, values)
+        known = at < len(common)
+        known[known] = common[at[known]] == values[known]
+        order = np.argsort(at[known], kind="stable")
+        places.append((at[known][order], owner[known][order]))
+    out = np.zeros((len(xs), len(ys)), dtype=np.float32)
+    for first in range(0, len(common), PIECE):
+        parts = []
+        for (at, owner), sets in zip(places, (xs, ys)):
+            lo, hi = np.searchsorted(at, (first, first + PIECE))
+            part = np.zeros((len(sets), min(PIECE, len(common) - first)), dtype=np.float32)
+            part[owner[lo:hi], at[lo:hi] - first] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
+def crowd_links(docs: DataFrame, members: DataFrame, tile: int = TILE) -> DataFrame:
+    """``(a, b)`` labels of groups that belong together though the stars left
+    them apart: of texts that share a band and are of different groups
+    (``members``: band, text_hash, label), every pair is compared.
+
+    A band of one group needs nothing. Others are cut into tiles of ``tile`` by
+    ``tile`` texts; a tile gives no more links than it has texts, enough to join
+    all that it found alike.
+    """
+    mixed = members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("band", "n")
+    crowd = stored(members.join(mixed, "band"), "crowd")
+    schema = "a long, b long"
+    if crowd.isEmpty():
+        return docs.sparkSession.createDataFrame([], schema)
+    cuts = F.ceil(F.col("n") / tile).cast("int")
+    mine = F.pmod(F.xxhash64("text_hash", "band"), cuts).cast("int")
+    dealt = crowd.select("band", "text_hash", "label", mine.alias("mine"), F.explode(F.sequence(F.lit(0), cuts - 1)).alias("other"))
+    dealt = dealt.select("band", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "text_hash", "label", "mine")
+    rows = dealt.join(shingle_sets(docs, crowd.select("text_hash")), "text_hash")
+    times, of = JACCARD
+
+    def run(group: pa.Table) -> pa.Table:
+        labels, side = (group.column(c).to_numpy() for c in ("label", "mine"))
+        lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+        shingles = group.column("shingles").combine_chunks()
+        ends, values = shingles.offsets.to_numpy(), shingles.values.to_numpy()
+        sets = [values[ends[i]:ends[i + 1]] for i in range(group.num_rows)]
+        x, y = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+        a, b = [], []
+        if len(x) and len(y) and len(np.unique(labels)) > 1:
+            common = overlaps([sets[i] for i in x], [sets[i] for i in y])
+            sizes = np.array([len(s) for s in sets], dtype=np.int64)
+            alike = of * common >= times * (sizes[x][:, None] + sizes[y][None] - common)
+            alike &= labels[x][:, None] != labels[y][None]
+            root = {v: v for v in labels.tolist()}
+
+            def find(v):
+                while root[v] != v:
+                    root[v] = v = root[root[v]]
+                return v
+
+            for i, j in zip(*np.nonzero(alike)):
+                u, v = find(int(labels[x[i]])), find(int(labels[y[j]]))
+                if u != v:
+                    root[u] = v
+                    a.append(u)
+                    b.append(v)
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.groupBy("band", "lo", "hi").applyInArrow(run, schema)
+
+
 def near_copy_groups(docs: DataFrame, radius: int = RADIUS, edited: bool = True) -> DataFrame:
     """``(doc_id, text_hash, fp, label)`` per row: rows with equal labels are
     joined by steps of ``radius`` bits or, if ``edited``, of a Jaccard
@@ -214,9 +315,22 @@ def near_copy_groups(docs: DataFrame, radius: int = RADIUS, edited: bool = True)
     if edited:
         classes = cut(rows.groupBy("same").agg(F.min(F.struct("text_hash", "fp", "bands")).alias("r")).select("same", "r.*"))
         equal = rows.select("same", F.col("fp").alias("b")).distinct().join(classes.select("same", F.col("fp").alias("a")), "same").where("a <> b").select("a", "b")
-        links = links.unionByName(equal).unionByName(shingle_links(docs, cut(band_pairs(classes))))
-    labels = connected_components(links).select(F.col("node").alias("fp"), F.col("component").alias("label"))
-    return rows.select("doc_id", "text_hash", "fp").join(labels, "fp", "left").select("doc_id", "text_hash", "fp", F.coalesce("label", "fp").alias("label"))
+        members = band_members(classes)
+        links = links.unionByName(equal).unionByName(shingle_links(docs, cut(star_pairs(members))))
+    labelled = with_labels(rows.select("doc_id", "text_hash", "fp"), "fp", connected_components(links))
+    if not edited:
+        return labelled
+    labelled = stored(labelled, "labelled")
+    groups = labelled.select("fp", "label").distinct()
+    crowded = members.where("n > 4").join(groups, "fp").select("band", "text_hash", "label")  # stars pair up to four whole
+    joined = connected_components(crowd_links(docs, crowded))
+    return with_labels(labelled.withColumnRenamed("label", "first_"), "first_", joined).drop("first_")
+
+
+def with_labels(rows: DataFrame, node: str, components: DataFrame) -> DataFrame:
+    """``rows`` with the label of their ``node``; one without links is its own."""
+    labels = components.select(F.col("node").alias(node), F.col("component").alias("label"))
+    return rows.join(labels, node, "left").select(*rows.columns, F.coalesce("label", F.col(node)).alias("label"))
 
 
 def _removals(groups: DataFrame) -> tuple[DataFrame, DataFrame]:

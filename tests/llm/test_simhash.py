@@ -1,8 +1,11 @@
 import random
 import re
 
+import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
+from lumisift.llm import simhash
 from lumisift.llm.queries import op9_simhash
 from lumisift.llm.simhash import fingerprint_links, near_copies_removed, near_copy_groups, simhash_groups
 from lumisift.llm.common import connected_components
@@ -132,3 +135,72 @@ def test_one_row_stays_whatever_the_ids(spark):
     want = [(1, a), (2, b), (2, c), (None, d)]
     assert sorted(map(repr, map(tuple, near_copies_removed(docs).collect()))) == sorted(map(repr, want))
     assert sorted(map(repr, map(tuple, near_copies_removed(docs, edited=False).collect()))) == sorted(map(repr, want))
+
+
+def crowd(pairs, seed=7, length=300):
+    """Pairs of texts at a similarity over 0.8 that share one template, by which
+    texts of different pairs come to about 0.7."""
+    rng = random.Random(seed)
+    template = [f"w{i}" for i in range(length)]
+
+    def edited(words, n, tag):
+        out = list(words)
+        for k in rng.sample(range(length), n):
+            out[k] = f"{tag}x{k}"
+        return out
+
+    rows = []
+    for p in range(pairs):
+        base = edited(template, 3, f"p{p}")
+        rows += [(2 * p + k, " ".join(edited(base, 2, f"p{p}s{k}"))) for k in range(2)]
+    return rows
+
+
+def test_no_pair_of_a_crowd_is_lost(spark):
+    rows = crowd(1500)
+    sets = [wide(t) for _, t in rows]
+    close = [len(sets[2 * p] & sets[2 * p + 1]) / len(sets[2 * p] | sets[2 * p + 1]) for p in range(1500)]
+    apart = [len(sets[2 * p] & sets[2 * p + 2]) / len(sets[2 * p] | sets[2 * p + 2]) for p in range(0, 1400, 50)]
+    assert sum(c >= 0.8 for c in close) > 1400 and 0.6 < sum(apart) / len(apart) < 0.8
+    label = {r.doc_id: r.label for r in near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lost = sum(c >= 0.8 and label[2 * p] != label[2 * p + 1] for p, c in enumerate(close))
+    assert lost <= 0.001 * len(close)  # a pair at 0.8 shares no band with 0.0004
+    assert len(set(label.values())) > 100  # and what is apart is not all joined
+
+
+def test_groups_of_a_crowd_equal_all_pairs(spark, monkeypatch):
+    rows = crowd(120, seed=9) + [(1000 + i, " ".join(f"w{k}" for k in range(i, 300))) for i in range(60)]
+    sets = [(i, wide(t)) for i, t in rows]
+    parent = {i: i for i, _ in rows}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for k, (i, x) in enumerate(sets):
+        for j, y in sets[:k]:
+            if 5 * len(x & y) >= 4 * len(x | y):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    for tile in (5, 256):
+        monkeypatch.setattr(simhash.crowd_links, "__defaults__", (tile,))
+        label = {r.doc_id: r.label for r in near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert all((label[i] == label[j]) == (root(i) == root(j)) for i in parent for j in parent)
+
+
+def test_overlaps_count_common_members(monkeypatch):
+    monkeypatch.setattr(simhash, "PIECE", 7)
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(-50, 50, n)) for n in (0, 1, 30, 60, 200)]
+    assert (simhash.overlaps(sets, sets[1:]) == [[len(np.intersect1d(x, y)) for y in sets[1:]] for x in sets]).all()
+
+
+def test_a_large_group_of_near_copies_makes_few_pairs(spark):
+    """All share bands and one group: stars join them, no tile compares them."""
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(words[:40 + i % 100] + [f"e{i}"] + words[40 + i % 100:])) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = simhash.sketches(docs).groupBy("same").agg(F.min(F.struct("text_hash", "fp", "bands")).alias("r")).select("r.*")
+    members = simhash.band_members(classes)
+    assert simhash.star_pairs(members).count() < 3 * simhash.BANDS * 3000
+    assert near_copies_removed(docs).count() == 1
