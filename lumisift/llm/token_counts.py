@@ -2,11 +2,12 @@
 
 A pre-token's best segmentation maximises the sum of its pieces' log
 probabilities. The forward score of a position depends on the prefix alone, so
-what two pre-tokens share is computed once: each *distinct* pre-token of the
-corpus is inserted in a trie in sorted order, so that only the path to the last
-one has to be kept, whose nodes hold the forward score, the number of pieces,
-the last piece, and the state of an automaton that knows all pieces ending
-there. A pre-token's count is read at its terminal node.
+what two pre-tokens share is computed once: the *distinct* pre-tokens of the
+corpus are dealt out by range and inserted in a trie in sorted order, so that
+only the path to the last one has to be kept, whose nodes hold the forward
+score, the number of pieces, the last piece, and the state of an automaton that
+knows all pieces ending there. The path is kept from batch to batch of a task. A
+pre-token's count is read at its terminal node.
 
 1. One grouped count gives the corpus's distinct pre-tokens and how often each
    occurs.
@@ -15,8 +16,9 @@ there. A pre-token's count is read at its terminal node.
    with a prior that falls with a piece's rank, and its pieces are counted as
    often as it occurs (a step of hard expectation maximisation).
 3. Every distinct pre-token is segmented with those probabilities; documents
-   sum the counts of their words. Common words' counts are broadcast, the rest
-   meet theirs in a join.
+   sum the counts of their words, which are split once more for it. Common
+   words' counts are broadcast; of the rest each document's distinct ones, with
+   their number, meet theirs in a join.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held, stored, trimmed_split
+from .common import BROADCAST_BYTES, bounded_batches, held, shuffle_partitions, small_side, stored, trimmed_split
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BREAKS = r"[\x20\x09-\x0D]+"
@@ -43,8 +45,9 @@ SMOOTH = 0.1
 #: What a byte that is no piece costs below the least probable piece.
 UNKNOWN = 10.0
 #: Words whose counts are broadcast, the most frequent first, of at most
-#: ``COMMON_BYTES`` each: the tool measured 92 MB.
+#: ``COMMON_BYTES`` each: 48 MB with their counts, under ``BROADCAST_BYTES``.
 COMMON, COMMON_BYTES = 1_000_000, 24
+assert COMMON * (COMMON_BYTES + 24) <= BROADCAST_BYTES
 
 
 @lru_cache(maxsize=2)
@@ -107,24 +110,37 @@ def automaton(path: str) -> Automaton:
     return held("automaton", path, lambda: Automaton(pieces_of(path)))
 
 
-def segmented(words: Iterable[str], machine: Automaton, scores: np.ndarray, times: Iterable[int] | None = None, counts: np.ndarray | None = None) -> Iterator[int]:
+class Path:
+    """The trie's path to the last pre-token: the automaton's state, forward
+    score, number of pieces and last piece of each node; ``scored`` counts the
+    nodes that were made."""
+
+    def __init__(self):
+        self.last = b""
+        self.state, self.best, self.pieces, self.back = [0], [0.0], [0], [(0, 0)]
+        self.scored = 0
+
+
+def segmented(words: Iterable[str], machine: Automaton, scores: np.ndarray, times: Iterable[int] | None = None, counts: np.ndarray | None = None, path: Path | None = None) -> Iterator[int]:
     """The number of pieces of each pre-token (a space and the word). Of equally
     good segmentations the one with fewest pieces counts, of these the one with
     the longest last piece. ``counts`` gets each piece's number as often as
-    ``times`` says. Words need not be sorted, but sharing is best if they are."""
+    ``times`` says. Words need not be sorted, but sharing is best if they are;
+    ``path`` goes on from what was segmented before."""
     value = [*scores.tolist(), *[float(scores.min()) - UNKNOWN if len(scores) else -UNKNOWN] * 256]
     ends, step, n_known = machine.ends, machine.step, machine.n
-    last = b""
-    state, best, pieces, back = [0], [0.0], [0], [(0, 0)]  # of the path to the last pre-token
+    path = path or Path()
+    state, best, pieces, back = path.state, path.best, path.pieces, path.back
     weights = iter(times) if times is not None else None
     for word in words:
         text = b" " + word.encode("utf-8", "surrogatepass")
         same = 0
-        for a, b in zip(text, last):
+        for a, b in zip(text, path.last):
             if a != b:
                 break
             same += 1
         del state[same + 1:], best[same + 1:], pieces[same + 1:], back[same + 1:]
+        path.scored += len(text) - same
         for i in range(same, len(text)):
             at = step(state[i], text[i])
             top, fewest, how = -math.inf, 0, (0, 0)
@@ -137,7 +153,7 @@ def segmented(words: Iterable[str], machine: Automaton, scores: np.ndarray, time
             best.append(top)
             pieces.append(fewest)
             back.append(how)
-        last = text
+        path.last = text
         if counts is not None:
             weight, i = next(weights), len(text)
             while i:
@@ -149,9 +165,11 @@ def segmented(words: Iterable[str], machine: Automaton, scores: np.ndarray, time
 
 
 def distinct_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(word, n)`` of the whole corpus, each partition's words in order."""
+    """``(word, n)`` of the whole corpus: each file holds a range of words, in
+    order, so a prefix lies in one file or begins or ends a few."""
     words = docs.select(F.explode(trimmed_split(F.col(text_col), BREAKS)).alias("word"))
-    return stored(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).sortWithinPartitions("word"), "words")
+    counted = stored(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "counted")
+    return stored(counted.repartitionByRange(shuffle_partitions(docs.sparkSession), "word").sortWithinPartitions("word"), "words")
 
 
 def fit_scores(words: DataFrame, vocabulary: str = VOCABULARY) -> np.ndarray:
@@ -159,9 +177,9 @@ def fit_scores(words: DataFrame, vocabulary: str = VOCABULARY) -> np.ndarray:
     n = len(pieces_of(vocabulary))
 
     def run(batches):
-        machine, prior, counts = automaton(vocabulary), prior_scores(pieces_of(vocabulary)), np.zeros(n, dtype=np.int64)
+        machine, prior, counts, path = automaton(vocabulary), prior_scores(pieces_of(vocabulary)), np.zeros(n, dtype=np.int64), Path()
         for batch in batches:
-            for _ in segmented(batch.column(0).to_pylist(), machine, prior, batch.column(1).to_pylist(), counts):
+            for _ in segmented(batch.column(0).to_pylist(), machine, prior, batch.column(1).to_pylist(), counts, path):
                 pass
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used])], names=["piece", "n"])
@@ -176,9 +194,9 @@ def fit_scores(words: DataFrame, vocabulary: str = VOCABULARY) -> np.ndarray:
 def word_counts(words: DataFrame, scores: np.ndarray, vocabulary: str = VOCABULARY) -> DataFrame:
     """``words`` with the number of pieces of each."""
     def run(batches):
-        machine = automaton(vocabulary)
+        machine, path = automaton(vocabulary), Path()
         for batch in batches:
-            found = list(segmented(batch.column(0).to_pylist(), machine, scores))
+            found = list(segmented(batch.column(0).to_pylist(), machine, scores, path=path))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], names=["word", "n", "pieces"])
 
     return stored(words.select("word", "n").mapInArrow(run, "word string, n long, pieces int"), "counted")
@@ -204,18 +222,20 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             break
         least = r["n"]
     is_common = (F.octet_length("word") <= COMMON_BYTES) & (F.col("n") >= (least if least < math.inf else 1 << 62))
-    known = F.broadcast(counted.where(is_common).select("word", F.col("pieces").alias("known")))
+    known = counted.where(is_common).select(F.col("word").alias("known_word"), F.col("pieces").alias("known"))
     rare = counted.where(~is_common).select("word", "pieces")
     # a text's hash with its id names a row; repeated rows are counted together and parted at the end
     # hashed before it is split, so that no word carries its text along
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), trimmed_split(F.col(text_col), BREAKS).alias("split"))
-    exploded = rows.select("doc_id", "text_hash", F.posexplode_outer("split").alias("pos", "word")).join(known, "word", "left")
+    exploded = rows.select("doc_id", "text_hash", F.posexplode_outer("split").alias("pos", "said")).join(small_side(known, bound=max(1, common)), F.col("said") == F.col("known_word"), "left")
     key = ["doc_id", "text_hash"]
-    first = exploded.groupBy(*key).agg(
-        F.count("word").alias("words"), F.coalesce(F.sum("known"), F.lit(0)).alias("tokens"), F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("rows")
-    )
-    second = exploded.where("known IS NULL AND word IS NOT NULL").select(*key, "word").join(rare, "word").groupBy(*key).agg(F.sum("pieces").alias("tokens"))
+    # one row for all common words of a document, and one for each rare one
+    unknown = F.when(F.col("known").isNull(), F.col("said")).alias("word")
+    found = stored(exploded.groupBy(*key, unknown).agg(
+        F.count("said").alias("words"), F.coalesce(F.sum("known"), F.lit(0)).alias("tokens"), F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("rows")
+    ), "found")
+    met = found.where("word IS NOT NULL").join(rare, "word").select(*key, (F.col("words") * F.col("pieces")).alias("tokens"))
     zero = F.lit(0).cast("long")
-    both = first.unionByName(second.select(*key, zero.alias("words"), "tokens", zero.alias("rows"))).groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("words", "tokens", "rows")])
+    both = found.select(*key, "words", "tokens", "rows").unionByName(met.select(*key, zero.alias("words"), "tokens", zero.alias("rows"))).groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("words", "tokens", "rows")])
     each = both.select("doc_id", F.expr("words div rows").alias("n_pretokens"), F.expr("tokens div rows").alias("n_tokens"), "rows")
     return each.withColumn("again", F.explode(F.expr("sequence(1, rows)"))).select("doc_id", "n_pretokens", "n_tokens")

@@ -1,7 +1,9 @@
 """WARC archives written from, and read back as, a chunked record table.
 
-A page becomes rows ``(record, chunk_no, chunk)`` before it leaves the JVM, so
-neither writer nor reader ever holds a payload that is longer than one chunk.
+A page becomes rows ``(record, chunk_no, chunk)`` before it leaves the JVM: the
+numbers of its chunks are exploded and each chunk is cut out as it is handed on,
+so the JVM holds a record once, as it read it, and neither writer nor reader
+ever holds a payload that is longer than one chunk.
 The writer streams the rows of a partition into one ``.warc.gz`` (a gzip member
 per record) while an incremental SHA-1 runs along; the reader streams members
 back into chunk rows that carry the digest of the payload so far. Payloads
@@ -66,14 +68,14 @@ def chunk_rows(records: DataFrame, repeated: DataFrame, chunk: int = CHUNK, broa
     """
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     parts = F.greatest(F.lit(1), F.ceil(F.octet_length("payload") / chunk)).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.substring(F.col("payload"), i * chunk + 1, F.lit(chunk)))
+    piece = F.substring(F.col("payload"), F.col("chunk_no") * chunk + 1, F.lit(chunk)).alias("chunk")
     side = small_side(repeated) if broadcast is None else F.broadcast(repeated) if broadcast else repeated
     same = F.col("sha1") == F.col("sha1_")
     if side is not repeated:
         rows = records.join(side, same, "left").withColumn("revisit", revisit)
-        rows = rows.select(*HEAD, "first_id", "revisit", F.posexplode(F.when(F.col("revisit"), F.array(F.lit(b""))).otherwise(pieces)).alias("chunk_no", "chunk"))
+        rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.when(F.col("revisit"), 0).otherwise(parts - 1))).alias("chunk_no")).select(*HEAD, "first_id", "revisit", "chunk_no", piece)
     else:
-        rows = records.select(*HEAD, F.monotonically_increasing_id().alias("row"), F.posexplode(pieces).alias("chunk_no", "chunk"))
+        rows = records.select("*", F.monotonically_increasing_id().alias("row"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("chunk_no")).select(*HEAD, "row", "chunk_no", piece)
         rows = rows.join(side, same, "left").withColumn("revisit", revisit).where(~F.col("revisit") | (F.col("chunk_no") == 0))
         rows = rows.repartition("row").sortWithinPartitions("row", "chunk_no")
     last = F.when(F.col("revisit"), 0).otherwise(F.greatest(F.lit(0), F.ceil(F.col("payload_bytes") / chunk) - 1)).cast("int")

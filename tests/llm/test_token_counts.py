@@ -2,8 +2,10 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lumisift.llm import token_counts as tc
 from lumisift.llm.queries import op2_token_counts
@@ -89,3 +91,31 @@ def test_odd_rows(spark, odd, empty):
     for common in (0, 3, 10**6):  # all words, some and none meet their counts in the join
         assert sorted(repr(tuple(r)) for r in tc.token_counts(odd, common=common).collect()) == want
     assert tc.token_counts(empty).count() == 0
+
+
+def test_a_shared_prefix_is_scored_once_a_range(spark, small, monkeypatch):
+    """Batches of a few words: the nodes that are made are those of one trie per
+    file of words."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    found = tc.distinct_words(docs)
+    files = {}
+    for r in found.select("word", F.input_file_name().alias("file")).collect():
+        files.setdefault(r.file, []).append(b" " + r.word.encode())
+    assert len(files) > 1 and all(f == sorted(f) for f in files.values())
+    ranges = sorted((f[0], f[-1]) for f in files.values())
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+    nodes = sum(len({w[:i] for w in f for i in range(1, len(w) + 1)}) for f in files.values())
+
+    def run(batches):
+        path = tc.Path()
+        for batch in batches:
+            for _ in tc.segmented(batch.column(0).to_pylist(), MACHINE, tc.prior_scores(PIECES), path=path):
+                pass
+        yield pa.RecordBatch.from_pydict({"scored": [path.scored]})
+
+    scored = sum(run_one([pa.RecordBatch.from_pydict({"w": [w[1:].decode() for w in f[i:i + 7]]}) for i in range(0, len(f), 7)], run) for f in files.values())
+    assert scored == nodes < sum(len(w) for f in files.values() for w in f)
+
+
+def run_one(batches, run):
+    return next(run(batches)).column(0)[0].as_py()

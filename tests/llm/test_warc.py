@@ -1,7 +1,10 @@
 import base64
 import gzip
 import hashlib
+import os
 import re
+import subprocess
+import sys
 
 from pyspark.sql import functions as F
 
@@ -83,3 +86,25 @@ def test_broadcast_way_exchanges_no_payload(spark, small):
     records = warc.record_rows(spark.read.parquet(f"{small}/pages.parquet"))
     plan = warc.chunk_rows(records, warc.repeated_payloads(records))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == plan.count("BroadcastExchange") == 1
+
+
+LARGE = """
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession, functions as F
+from lumisift.llm import warc
+spark = (SparkSession.builder.master("local[1]").config("spark.driver.memory", "1g").config("spark.ui.enabled", "false").config("spark.sql.warehouse.dir", {tmp!r})
+    .config("spark.checkpoint.dir", "file://" + {tmp!r}).getOrCreate())
+pages = spark.range(2).select(F.col("id").alias("page_id"), F.lit("http://x").alias("url"), F.repeat(F.lit("0123456789"), F.when(F.col("id") == 0, {n}).otherwise(1)).alias("html"))
+print("FOUND", sorted((r.page_id, r.payload_bytes, r.payload_digest) for r in warc.archive_pages(pages).collect()))
+"""
+
+
+def test_a_payload_of_300_mb_in_a_heap_of_one_gb(tmp_path):
+    n = 30 << 20
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", LARGE.format(repo=repo, tmp=str(tmp_path), n=n)], capture_output=True, text=True, timeout=600, cwd=repo)
+    sha = hashlib.sha1()
+    for _ in range(30):
+        sha.update(b"0123456789" * (1 << 20))
+    assert f"(0, {10 * n}, '{base64.b32encode(sha.digest()).decode()}')" in done.stdout, done.stderr[-2000:]
