@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .pixels import area_resize, exif_oriented
+from .pixels import area_resize, exif_oriented, pad_blur_fade
 
 try:
     from PIL import Image, ImageOps
@@ -156,13 +156,13 @@ def _png_pixels(data: bytes) -> np.ndarray | None:
     above = np.zeros(w * n, np.int32)
     for y in range(h):
         how, line = lines[y, 0], lines[y, 1:].astype(np.int32)
-        if how in (1, 3, 4):  # these depend on the pixel to the left
+        if how == 1:  # each channel is a running sum
+            line = (np.cumsum(line.reshape(w, n), axis=0) & 255).reshape(-1)
+        elif how in (3, 4):  # these depend on the pixel to the left in other ways
             for x in range(w * n):
                 left = line[x - n] if x >= n else 0
                 up, corner = above[x], above[x - n] if x >= n else 0
-                if how == 1:
-                    guess = left
-                elif how == 3:
+                if how == 3:
                     guess = (left + up) // 2
                 else:
                     guess = min((left, up, corner), key=lambda v: abs(left + up - corner - v))
@@ -219,7 +219,7 @@ def review_copy(img: np.ndarray, max_side: int = 1600, quality: int = 84, max_by
         if Image is not None:
             small = Image.fromarray(img[..., ::-1]).resize(size, Image.Resampling.LANCZOS)
         else:
-            small = img if k == 1 else np.clip(np.rint(area_resize(img, size[1], size[0])), 0, 255).astype(np.uint8)
+            small = img if k == 1 else np.clip(np.rint(area_resize(img, size[1], size[0], True)), 0, 255).astype(np.uint8)
         for q in qualities:
             if Image is not None:
                 buffer = io.BytesIO()
@@ -240,17 +240,24 @@ def dimensions(content: Column) -> Column:
     return F.pandas_udf(run, "width long, height long")(content)
 
 
-def for_review(content: Column, max_side: int = 1600, quality: int = 84, max_bytes: int = 900_000) -> Column:
+def for_review(content: Column, max_side: int = 1600, quality: int = 84, max_bytes: int = 900_000, pad_sides: Column | None = None, pad_percent: int = 0) -> Column:
     """``struct<mime, data, width, height, quality>`` of files' bytes; null
-    fields if a file cannot be decoded."""
+    fields if a file cannot be decoded. Listed sides (``pad_sides``, an array)
+    are padded by ``pad_percent`` before the copy is shrunk and encoded."""
     names = ["mime", "data", "width", "height", "quality"]
 
-    def run(data: pd.Series) -> pd.DataFrame:
-        images = map(decode, data)
-        rows = pd.DataFrame([(None,) * 5 if x is None else review_copy(x, max_side, quality, max_bytes) for x in images], columns=names)
+    def copied(data: bytes | None, sides) -> tuple:
+        img = decode(data)
+        if img is None:
+            return (None,) * 5
+        return review_copy(pad_blur_fade(img, [] if sides is None else list(sides), pad_percent), max_side, quality, max_bytes)
+
+    def run(data: pd.Series, sides: pd.Series) -> pd.DataFrame:
+        rows = pd.DataFrame(list(map(copied, data, sides)), columns=names)
         return rows.astype({"width": "Int64", "height": "Int64", "quality": "Int64"})
 
-    return F.pandas_udf(run, "mime string, data binary, width long, height long, quality long")(content)
+    sides = F.array().cast("array<string>") if pad_sides is None else pad_sides
+    return F.pandas_udf(run, "mime string, data binary, width long, height long, quality long")(content, sides)
 
 
 def orientation(content: Column) -> Column:

@@ -1,4 +1,5 @@
-"""Pixel kernels in numpy, hosted by Arrow-batched UDFs. Images are BGR."""
+"""Pixel kernels in numpy, hosted by Arrow-batched UDFs. Images are BGR; a
+kernel takes one picture or a stack of pictures of equal size."""
 
 from __future__ import annotations
 
@@ -10,17 +11,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def area_resize(img: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Area-weighted mean resampling, as a product with two band matrices."""
-    def bands(n: int, m: int) -> np.ndarray:
-        edges = np.linspace(0, n, m + 1)
-        left = np.maximum(edges[:-1, None], np.arange(n)[None])
-        right = np.minimum(edges[1:, None], np.arange(1, n + 1)[None])
-        return np.clip(right - left, 0, None) * (m / n)
+def _bands(n: int, m: int) -> np.ndarray:
+    edges = np.linspace(0, n, m + 1)
+    left = np.maximum(edges[:-1, None], np.arange(n)[None])
+    right = np.minimum(edges[1:, None], np.arange(1, n + 1)[None])
+    return np.clip(right - left, 0, None) * (m / n)
 
-    h, w = img.shape[:2]
-    out = np.tensordot(bands(h, height), img.astype(np.float64), axes=(1, 0))
-    return np.moveaxis(np.tensordot(bands(w, width), out, axes=(1, 1)), 0, 1)
+
+def area_resize(img: np.ndarray, height: int, width: int, channels: bool | None = None) -> np.ndarray:
+    """Area-weighted mean resampling, as a product with two band matrices.
+    ``channels`` says whether the last axis is one; by default three axes have
+    it."""
+    channels = img.ndim == 3 if channels is None else channels
+    x = img.astype(np.float64) if channels else img[..., None].astype(np.float64)
+    h, w, c = x.shape[-3:]
+    out = (_bands(h, height) @ x.reshape(*x.shape[:-3], h, w * c)).reshape(*x.shape[:-3], height, w, c)
+    out = _bands(w, width) @ out
+    return out if channels else out[..., 0]
 
 
 def fit_side(img: np.ndarray, side: int) -> np.ndarray:
@@ -37,24 +44,30 @@ def gray(img: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(0.114 * b + 0.587 * g + 0.299 * r), 0, 255).astype(np.uint8)
 
 
-def laplacian_variance(g: np.ndarray) -> float:
+def laplacian_variance(g: np.ndarray):
     """Population variance of the 4-neighbour Laplacian, mirrored borders."""
-    p = np.pad(g.astype(np.float64), 1, mode="reflect" if min(g.shape) > 1 else "edge")
-    return float((p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * p[1:-1, 1:-1]).var())
+    edge = [(0, 0)] * (g.ndim - 2) + [(1, 1), (1, 1)]
+    p = np.pad(g.astype(np.float64), edge, mode="reflect" if min(g.shape[-2:]) > 1 else "edge")
+    inner = p[..., 1:-1, 1:-1]
+    return (p[..., :-2, 1:-1] + p[..., 2:, 1:-1] + p[..., 1:-1, :-2] + p[..., 1:-1, 2:] - 4 * inner).var(axis=(-2, -1))
+
+
+def clip_percentages(g: np.ndarray) -> tuple:
+    return 100 * (g < 5).mean(axis=(-2, -1)), 100 * (g >= 251).mean(axis=(-2, -1))
 
 
-def clip_percentages(g: np.ndarray) -> tuple[float, float]:
-    return float(100 * (g < 5).mean()), float(100 * (g >= 251).mean())
+def _flat(x: np.ndarray, axes: int) -> np.ndarray:
+    return x.reshape(*x.shape[: x.ndim - axes], -1)
 
 
 def image_vector(img: np.ndarray) -> np.ndarray:
-    v = np.rint(area_resize(gray(img), 32, 32)).astype(np.float32).ravel()
-    n = float(np.linalg.norm(v))
-    return v / n if n else v
+    v = _flat(np.rint(area_resize(gray(img), 32, 32, False)), 2).astype(np.float32)
+    n = np.linalg.norm(v, axis=-1, keepdims=True)
+    return np.divide(v, n, out=v, where=n > 0)
 
 
 def color_thumb(img: np.ndarray) -> np.ndarray:
-    return (np.rint(area_resize(img, 32, 32)) / 255).astype(np.float32).ravel()
+    return _flat(np.rint(area_resize(img, 32, 32, True)) / 255, 3).astype(np.float32)
 
 
 _DCT = np.array([[math.sqrt((1 if u == 0 else 2) / 32) * math.cos((2 * x + 1) * u * math.pi / 64) for x in range(32)] for u in range(32)])
@@ -62,9 +75,10 @@ _DCT = np.array([[math.sqrt((1 if u == 0 else 2) / 32) * math.cos((2 * x + 1) *
 
 def perceptual_hash(img: np.ndarray) -> np.ndarray:
     """64 bits of the lowest frequencies against the median of rows 1 to 7."""
-    x = np.rint(area_resize(gray(img), 32, 32))
-    low = (_DCT @ x @ _DCT.T)[:8, :8]
-    return (low > np.median(low[1:])).astype(np.int8).ravel()
+    x = np.rint(area_resize(gray(img), 32, 32, False))
+    low = _DCT[:8] @ x @ _DCT[:8].T
+    middle = np.median(_flat(low[..., 1:, :], 2), axis=-1)
+    return _flat(low > middle[..., None, None], 2).astype(np.int8)
 
 
 def _blur(img: np.ndarray, sigma: float) -> np.ndarray:
@@ -111,23 +125,48 @@ def exif_oriented(img: np.ndarray, orientation: int) -> np.ndarray:
     return np.ascontiguousarray(turns.get(orientation, lambda a: a)(img))
 
 
-METRICS = "laplacian_var double, black_clip_pct double, white_clip_pct double, img_vector array<float>, color_thumb array<float>, phash array<tinyint>"
-
-
-def _measure(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series) -> pd.DataFrame:
-    rows = []
-    for h, w, c, d in zip(height, width, channels, data):
-        if d is None or h is None or not h > 0:
-            rows.append((None,) * 6)
-            continue
-        img = np.frombuffer(d, np.uint8).reshape(int(h), int(w), int(c))
-        img = np.repeat(img, 3, axis=2) if c == 1 else img[..., :3]
-        g = gray(fit_side(img, 1500))
-        rows.append((laplacian_variance(g), *clip_percentages(g), image_vector(img).tolist(), color_thumb(img).tolist(), perceptual_hash(img).tolist()))
-    return pd.DataFrame(rows, columns=[f.split()[0] for f in METRICS.split(", ")])
-
-
-def measure(image: Column) -> Column:
-    """All pixel measures of a decoded image struct (Spark's image source), in
-    one pass; nulls if it could not be decoded."""
-    return F.pandas_udf(_measure, METRICS)(image["height"], image["width"], image["nChannels"], image["data"])
+#: Measures and their types.
+METRICS = {"laplacian_var": "double", "black_clip_pct": "double", "white_clip_pct": "double", "img_vector": "array<float>", "color_thumb": "array<float>", "phash": "array<tinyint>"}
+#: Bytes of pictures that are measured together.
+STACK = 32 << 20
+
+
+def _measures(stack: np.ndarray, names: tuple) -> dict:
+    """The named measures of pictures of equal size."""
+    out = {}
+    if not {"laplacian_var", "black_clip_pct", "white_clip_pct"}.isdisjoint(names):
+        g = gray(stack if max(stack.shape[1:3]) <= 1500 else np.stack([fit_side(x, 1500) for x in stack]))
+        out["black_clip_pct"], out["white_clip_pct"] = clip_percentages(g)
+        if "laplacian_var" in names:
+            out["laplacian_var"] = laplacian_variance(g)
+    for name, kernel in (("img_vector", image_vector), ("color_thumb", color_thumb), ("phash", perceptual_hash)):
+        if name in names:
+            out[name] = kernel(stack)
+    return {k: out[k] for k in names}
+
+
+def measure(image: Column, names=tuple(METRICS)) -> Column:
+    """A struct of the named measures of a decoded image struct (Spark's image
+    source), in one pass; nulls if it could not be decoded. Pictures of equal
+    size that lie in a batch are measured as one stack."""
+    names = tuple(names)
+
+    def run(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series) -> pd.DataFrame:
+        rows: dict[str, list] = {n: [None] * len(data) for n in names}
+        sizes: dict[tuple, list[int]] = {}
+        for i, (h, w, c, d) in enumerate(zip(height, width, channels, data)):
+            if d is not None and h is not None and h > 0:
+                sizes.setdefault((int(h), int(w), int(c)), []).append(i)
+        for (h, w, c), members in sizes.items():
+            step = max(1, STACK // (h * w * c))
+            for at in range(0, len(members), step):
+                some = members[at:at + step]
+                stack = np.frombuffer(b"".join(data.iloc[i] for i in some), np.uint8).reshape(len(some), h, w, c)
+                stack = np.repeat(stack, 3, axis=3) if c == 1 else stack[..., :3]
+                for name, values in _measures(stack, names).items():
+                    for i, v in zip(some, values):
+                        rows[name][i] = v
+        return pd.DataFrame(rows, columns=list(names))
+
+    schema = ", ".join(f"{n} {METRICS[n]}" for n in names)
+    return F.pandas_udf(run, schema)(image["height"], image["width"], image["nChannels"], image["data"])

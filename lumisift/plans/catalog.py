@@ -296,12 +296,12 @@ def run_stats(spark, d):
 PIXEL_SQL = """SELECT vec_id, i // 8 AS y, i % 8 AS x, CAST(greatest(0, least(255, floor(127.5 + 640 * embedding[i + 1]::DOUBLE))) AS INT) AS v FROM (SELECT vec_id, embedding, unnest(range(64)) AS i FROM embeddings)"""
 
 
-def pixel_measures(spark, d) -> DataFrame:
+def pixel_measures(spark, d, names) -> DataFrame:
     """The kernels' measures of 8 by 8 grey pictures made from embeddings."""
     v = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.lit(127.5) + 640 * x.cast("double")))).cast("int"))
     data = F.unhex(F.array_join(F.transform(v, lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")), ""))
     image = F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), data.alias("data"))
-    return table(spark, d, "embeddings").select("vec_id", image.alias("image")).select("vec_id", measure(F.col("image")).alias("m"))
+    return table(spark, d, "embeddings").select("vec_id", image.alias("image")).select("vec_id", measure(F.col("image"), names).alias("m"))
 
 
 @query(f"""WITH p AS ({PIXEL_SQL}), n AS (SELECT c.vec_id, c.y, c.x, c.v,
@@ -309,16 +309,65 @@ def pixel_measures(spark, d) -> DataFrame:
   (SELECT v FROM p q WHERE q.vec_id = c.vec_id AND q.y = c.y AND q.x = CASE WHEN c.x = 0 THEN 1 ELSE c.x - 1 END) AS l, (SELECT v FROM p q WHERE q.vec_id = c.vec_id AND q.y = c.y AND q.x = CASE WHEN c.x = 7 THEN 6 ELSE c.x + 1 END) AS r FROM p c)
 SELECT vec_id, CAST(64 * sum(k * k) - sum(k) * sum(k) AS BIGINT) AS variance_x4096 FROM (SELECT vec_id, CAST(u + d + l + r - 4 * v AS BIGINT) AS k FROM n) GROUP BY vec_id""")
 def laplacian_var(spark, d):
-    return pixel_measures(spark, d).select("vec_id", F.round(F.col("m.laplacian_var") * 4096).cast("long").alias("variance_x4096"))
+    return pixel_measures(spark, d, ["laplacian_var"]).select("vec_id", F.round(F.col("m.laplacian_var") * 4096).cast("long").alias("variance_x4096"))
 
 
 @query(f"""SELECT vec_id, count(*) FILTER (WHERE v < 5) AS black, count(*) FILTER (WHERE v >= 251) AS white, 100.0::DOUBLE * count(*) FILTER (WHERE v < 5) / count(*) > 8 AS underexposed FROM ({PIXEL_SQL}) GROUP BY vec_id""")
 def exposure_clip(spark, d):
-    m = pixel_measures(spark, d)
+    m = pixel_measures(spark, d, ["black_clip_pct", "white_clip_pct"])
     black, white = (F.round(F.col(f"m.{c}_clip_pct") * 64 / 100).cast("long") for c in ("black", "white"))
     return m.select("vec_id", black.alias("black"), white.alias("white"), (F.col("m.black_clip_pct") > 8).alias("underexposed"))
 
 
+# -- 40 by 40 colour pictures: area resampling, cosine transform and median, as sums over tables of weights
+
+#: Pixel values from an embedding's components, by place and channel (blue, green, red).
+COLOR_SQL = """SELECT vec_id, y, x, c, CASE WHEN y < 2 AND x < 2 THEN 200 ELSE (v + 31 * c + 5 * x + 3 * y) % 256 END AS v FROM (
+  SELECT vec_id, y, x, c, CAST(floor((embedding[1 + (y // 5) * 8 + x // 5]::DOUBLE + 1) * 997) AS BIGINT) AS v FROM embeddings, (SELECT unnest(range(40)) AS y), (SELECT unnest(range(40)) AS x), (SELECT unnest(range(3)) AS c))"""
+#: How much of pixel j lies in cell i of 32, as a share of the cell.
+BANDS_SQL = """SELECT i, j, (least(j + 1, (i + 1) * 1.25::DOUBLE) - greatest(j, i * 1.25::DOUBLE)) * 0.8::DOUBLE AS w FROM (SELECT unnest(range(32)) AS i), (SELECT unnest(range(40)) AS j) WHERE least(j + 1, (i + 1) * 1.25::DOUBLE) > greatest(j, i * 1.25::DOUBLE)"""
+GREY_SQL = f"""p AS ({COLOR_SQL}), b AS ({BANDS_SQL}),
+g AS (SELECT vec_id, y, x, round_even(0.114::DOUBLE * max(v) FILTER (WHERE c = 0) + 0.587::DOUBLE * max(v) FILTER (WHERE c = 1) + 0.299::DOUBLE * max(v) FILTER (WHERE c = 2), 0) AS v FROM p GROUP BY vec_id, y, x),
+r AS (SELECT vec_id, i AS y, x, sum(w * v) AS v FROM g JOIN b ON y = j GROUP BY vec_id, i, x),
+s AS (SELECT vec_id, y, i AS x, round_even(sum(w * v), 0) AS v FROM r JOIN b ON x = j GROUP BY vec_id, y, i)"""
+
+
+def color_pictures(spark, d) -> DataFrame:
+    """40 by 40 pictures made from embeddings; the first pixels are 200."""
+    at = F.expr("CAST(((i div 120) div 5) * 8 + ((i div 3) % 40) div 5 AS INT)")
+    base = F.floor((F.get("embedding", at).cast("double") + 1) * 997)
+    value = F.when((F.expr("i div 120") < 2) & (F.expr("(i div 3) % 40") < 2), F.lit(200).cast("long")).otherwise((base + 31 * F.expr("i % 3") + 5 * F.expr("(i div 3) % 40") + 3 * F.expr("i div 120")) % 256)
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(4799))).alias("i")).select("vec_id", "i", F.lpad(F.hex(value), 2, "0").alias("b"))
+    data = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "b"))), lambda t: t["b"]), ""))
+    picture = F.struct(F.lit(40).alias("height"), F.lit(40).alias("width"), F.lit(3).alias("nChannels"), data.alias("data"))
+    return rows.groupBy("vec_id").agg(picture.alias("image"))
+
+
+@query(f"""WITH {GREY_SQL} SELECT vec_id, array_to_string(list(CAST(v AS INT) ORDER BY y, x), ',') AS cells, true AS unit FROM s GROUP BY vec_id""")
+def grey_vector(spark, d):
+    """The unit vector's cells, told by the first, which is 200."""
+    m = color_pictures(spark, d).select("vec_id", measure(F.col("image"), ["img_vector"])["img_vector"].alias("v"))
+    cells = F.transform("v", lambda x: F.round(x.cast("double") / F.col("v")[0] * 200).cast("int").cast("string"))
+    return m.select("vec_id", F.array_join(cells, ",").alias("cells"), (F.abs(vectors.dot(F.col("v"), F.col("v")) - 1) < 1e-5).alias("unit"))
+
+
+@query(f"""WITH p AS ({COLOR_SQL}), b AS ({BANDS_SQL}), r AS (SELECT vec_id, i AS y, x, c, sum(w * v) AS v FROM p JOIN b ON y = j GROUP BY vec_id, i, x, c),
+s AS (SELECT vec_id, y, i AS x, c, round_even(sum(w * v), 0) AS v FROM r JOIN b ON x = j GROUP BY vec_id, y, i, c)
+SELECT vec_id, array_to_string(list(CAST(v AS INT) ORDER BY y, x, c), ',') AS cells FROM s GROUP BY vec_id""")
+def colour_thumb(spark, d):
+    m = color_pictures(spark, d).select("vec_id", measure(F.col("image"), ["color_thumb"])["color_thumb"].alias("v"))
+    return m.select("vec_id", F.array_join(F.transform("v", lambda x: F.round(x.cast("double") * 255).cast("int").cast("string")), ",").alias("cells"))
+
+
+@query(f"""WITH {GREY_SQL}, t AS (SELECT u, n, sqrt(CASE WHEN u = 0 THEN 1 ELSE 2 END / 32.0::DOUBLE) * cos((2 * n + 1) * u * pi() / 64) AS w FROM (SELECT unnest(range(8)) AS u), (SELECT unnest(range(32)) AS n)),
+h AS (SELECT vec_id, u AS k, x, sum(w * v) AS v FROM s JOIN t ON y = n GROUP BY vec_id, u, x), f AS (SELECT vec_id, k, u AS l, sum(w * v) AS v FROM h JOIN t ON x = n GROUP BY vec_id, k, u),
+m AS (SELECT vec_id, median(v) AS middle FROM f WHERE k > 0 GROUP BY vec_id)
+SELECT vec_id, string_agg(CASE WHEN v > middle THEN '1' ELSE '0' END, '' ORDER BY k, l) AS bits FROM f JOIN m USING (vec_id) GROUP BY vec_id""")
+def perceptual_hash(spark, d):
+    m = color_pictures(spark, d).select("vec_id", measure(F.col("image"), ["phash"])["phash"].alias("v"))
+    return m.select("vec_id", F.array_join(F.transform("v", lambda x: x.cast("string")), "").alias("bits"))
+
+
 @query("""SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CAST(floor(x::DOUBLE * 3 / sqrt(list_dot_product(list_transform(embedding, lambda y: y::DOUBLE * 3), list_transform(embedding, lambda y: y::DOUBLE * 3))) * 10000 + 0.5) AS BIGINT)), ',') AS unit_e4 FROM embeddings""")
 def unit_vector(spark, d):
     tripled = F.transform("embedding", lambda x: x.cast("double") * 3)
