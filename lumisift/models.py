@@ -6,6 +6,7 @@ from __future__ import annotations
 import json
 import os
 import time
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -13,7 +14,15 @@ from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .operators.tables import stored
+from .sources.paths import filesystem
 
 RETRY_STATUS = frozenset({429, 500, 503, 504})
 ATTEMPTS = 3
@@ -120,27 +129,137 @@ class FakeEmbedder:
         return self._of(zlib.crc32(prompt.encode()))
 
 
-def ask(requests: DataFrame, factory: Callable[[], JsonModel], schema: dict | None = None, per_second: float | None = None) -> DataFrame:
+class Pace:
+    """Times of the calls of one of ``callers`` tasks, so that all of them
+    together make no more than ``per_second`` calls a second, in even steps: a
+    task's first call waits for its turn, the others for a round of all."""
+
+    def __init__(self, per_second: float | None, callers: int, place: int, clock: Callable[[], float] = time.monotonic, wait: Callable[[float], None] = time.sleep):
+        self.step = callers / per_second if per_second else 0.0
+        self.clock, self.wait = clock, wait
+        self.next = clock() + (place % callers) / per_second if per_second else 0.0
+
+    def __call__(self) -> None:
+        if self.step:
+            now = self.clock()
+            if now < self.next:
+                self.wait(self.next - now)
+            self.next = max(self.next, now) + self.step
+
+
+def ask(requests: DataFrame, factory: Callable[[], JsonModel], schema: dict | None = None, per_second: float | None = None, callers: int = 1) -> DataFrame:
     """Adds response, error and elapsed_seconds to ``requests`` (with prompt
     and images array<binary>). The model is made once per task; failures are
-    recorded, not raised; ``per_second`` limits each task's calls."""
+    recorded, not raised.
+
+    ``per_second`` limits the calls of all tasks together: the requests are
+    dealt to ``callers`` tasks, each of which makes its share of them in turn.
+    It is reached if as many tasks can run at once, and never exceeded.
+    """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields) + ", response string, error string, elapsed_seconds double"
+    rows = requests.repartition(callers) if per_second else requests
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = factory()
+        model, pace = factory(), Pace(per_second, callers, TaskContext.get().partitionId())
         for frame in frames:
             out = []
             for prompt, images in zip(frame["prompt"], frame["images"]):
-                began = time.monotonic()
-                try:
-                    out.append((json_call(model, prompt, [] if images is None else list(images), schema), None, time.monotonic() - began))
-                except ModelError as error:
-                    out.append((None, str(error), time.monotonic() - began))
-                if per_second:
-                    time.sleep(max(0.0, 1 / per_second - (time.monotonic() - began)))
+                pace()
+                out.append(_answered(model, prompt, images, schema))
             yield frame.assign(response=[o[0] for o in out], error=[o[1] for o in out], elapsed_seconds=[o[2] for o in out])
 
-    return requests.mapInPandas(run, fields)
+    return rows.mapInPandas(run, fields)
+
+
+def _answered(model: JsonModel, prompt: str, images, schema: dict | None) -> tuple[str | None, str | None, float]:
+    began = time.monotonic()
+    try:
+        return json_call(model, prompt, [] if images is None else list(images), schema), None, time.monotonic() - began
+    except ModelError as error:
+        return None, str(error), time.monotonic() - began
+
+
+#: Calls after which a task writes down what it was answered.
+EVERY = 8
+#: Parts of the answer table, each of which one task asks for.
+SHELVES = 64
+_SHELF = pa.schema([("key", pa.string()), ("response", pa.string()), ("elapsed_seconds", pa.float64())])
+
+
+def _shelf(store: str, shelf: int) -> tuple:
+    fs, base, _ = filesystem(store)
+    return fs, f"{base.rstrip('/')}/shelf={shelf}"
+
+
+def _known(store: str, shelf: int) -> dict[str, tuple[str, float]]:
+    """Answers on a shelf, by key."""
+    fs, place = _shelf(store, shelf)
+    if fs.get_file_info(place).type != pafs.FileType.Directory:
+        return {}
+    found = {}
+    for f in fs.get_file_info(pafs.FileSelector(place)):
+        if f.base_name.endswith(".parquet"):
+            for row in pq.read_table(fs.open_input_file(f.path), schema=_SHELF).to_pylist():
+                found[row["key"]] = (row["response"], row["elapsed_seconds"])
+    return found
+
+
+def _put(store: str, shelf: int, rows: list[tuple[str, str, float]]) -> None:
+    """One more file of answers, whole or not at all."""
+    fs, place = _shelf(store, shelf)
+    fs.create_dir(place, recursive=True)
+    name = uuid.uuid4().hex
+    with fs.open_output_stream(f"{place}/.{name}") as out:
+        pq.write_table(pa.Table.from_pylist([dict(zip(_SHELF.names, r)) for r in rows], schema=_SHELF), out)
+    fs.move(f"{place}/.{name}", f"{place}/{name}.parquet")
+
+
+def ask_once(requests: DataFrame, factory: Callable[[], JsonModel], store: str, model: str, schema: dict | None = None, per_second: float | None = None, callers: int | None = None, every: int = EVERY) -> DataFrame:
+    """As ``ask``, but what ``store`` holds an answer to is not asked.
+
+    An answer's key is a hash of the model's name, the schema, the prompt and
+    the images. Equal requests are asked once. A task asks for the keys of its
+    shelves of the table and writes down every ``every`` answers; if it is
+    killed, its repetition reads them and goes on from there. Failed calls are
+    recorded in the result alone, so that a later run asks again. Several runs
+    that share a store may at worst ask the same prompt at the same time.
+    """
+    spark = requests.sparkSession
+    asked = json.dumps(schema, sort_keys=True) if schema else ""
+    images = F.transform(F.coalesce("images", F.array().cast("array<binary>")), lambda x: F.sha2(F.coalesce(x, F.lit(b"")), 256))
+    key = F.sha2(F.to_json(F.struct(F.lit(model).alias("model"), F.lit(asked).alias("schema"), F.col("prompt").alias("prompt"), images.alias("images"))), 256)
+    keyed = requests.withColumn("key_", key)
+    n = callers or SHELVES
+    todo = keyed.groupBy("key_").agg(F.first("prompt").alias("prompt"), F.first("images").alias("images")).withColumn("shelf", F.pmod(F.xxhash64("key_"), F.lit(SHELVES)).cast("int"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker, pace, known = None, Pace(per_second, n, TaskContext.get().partitionId()), {}
+        for frame in frames:
+            out, fresh = [], {}
+            for k, prompt, pictures, shelf in zip(frame["key_"], frame["prompt"], frame["images"], frame["shelf"]):
+                if shelf not in known:
+                    known[shelf] = _known(store, shelf)
+                if k in known[shelf]:
+                    response, took = known[shelf][k]
+                    out.append((k, response, None, took))
+                    continue
+                worker = worker or factory()
+                pace()
+                response, error, took = _answered(worker, prompt, pictures, schema)
+                out.append((k, response, error, took))
+                if error is None:
+                    known[shelf][k] = response, took
+                    fresh.setdefault(shelf, []).append((k, response, took))
+                    if sum(map(len, fresh.values())) >= every:
+                        for s, rows in fresh.items():
+                            _put(store, s, rows)
+                        fresh = {}
+            for s, rows in fresh.items():
+                _put(store, s, rows)
+            yield pd.DataFrame(out, columns=["key_", "response", "error", "elapsed_seconds"])
+
+    answers = stored(todo.repartition(n, "shelf").mapInPandas(run, "key_ string, response string, error string, elapsed_seconds double"), "answers")
+    return keyed.join(answers, "key_").select(*requests.columns, "response", "error", "elapsed_seconds")
 
 
 def pick_one(groups: DataFrame, factory: Callable[[], JsonModel], key: str = "group_id") -> DataFrame:

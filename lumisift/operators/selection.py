@@ -87,16 +87,21 @@ def decide(candidates: DataFrame, c: CurationConfig) -> DataFrame:
     }).drop("guard", "stays", "any_eligible", "winner", "eligible")
 
 
-def run_stats(log: DataFrame) -> DataFrame:
-    """One row of run counters from a decision log."""
-    return log.agg(
+def counters() -> list[Column]:
+    """Run counters over the rows of a decision log."""
+    return [
         F.count(F.lit(1)).alias("total_listed"), F.count_if(~F.col("decode_ok")).alias("decode_failures"),
         F.count_if(F.col("decode_ok") & ~F.col("passed_resolution")).alias("rejected_resolution"),
         F.count_if(F.col("passed_resolution") & ~F.col("passed_opencv")).alias("rejected_opencv"),
         F.count_if(F.col("passed_opencv") & ~F.col("passed_clip")).alias("below_clip"), F.count_if(F.col("status") == "selected").alias("kept"),
-    )
+    ]
+
+
+def run_stats(log: DataFrame) -> DataFrame:
+    """One row of run counters from a decision log."""
+    return log.agg(*counters())
 
 
-def summary_text(stats: DataFrame) -> str:
-    row = stats.first().asDict()
+def summary_text(stats: DataFrame | dict) -> str:
+    row = stats if isinstance(stats, dict) else stats.first().asDict()
     return "\n".join(f"{k.replace('_', ' ')}: {v}" for k, v in row.items())

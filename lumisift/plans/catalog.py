@@ -280,6 +280,17 @@ def remote_gate(spark, d):
     return stage1.remote(photos(spark, d), C).select("folder", "filename")
 
 
+@query(f"""SELECT folder, filename, mp >= 8 AS large FROM ({PHOTO_SQL}) WHERE decoded AND mp >= 8 AND lap >= 25 AND black <= 15 AND white <= 15""")
+def gate_without_model(spark, d):
+    """A remote run whose scoring model cannot be made: nothing is dropped for
+    its score."""
+    def broken():
+        raise RuntimeError("no weights")
+
+    scored, there = stage1.with_scores(photos(spark, d).drop("clip_score"), None, broken, None)
+    return stage1.remote(scored, C, there).select("folder", "filename", (F.col("tier") == "above_8mp").alias("large"))
+
+
 @query("""SELECT count(*) AS total_listed, count(*) FILTER (WHERE d.n_chars = 0) AS decode_failures, count(*) FILTER (WHERE d.n_chars > 0 AND d.n_chars < 500) AS rejected_resolution,
   count(*) FILTER (WHERE d.n_chars >= 500 AND coalesce(quality, 1) = 0) AS rejected_opencv, count(*) FILTER (WHERE d.n_chars >= 500 AND coalesce(quality, 1) = 1 AND coalesce(toxic, 0) = 1) AS below_clip,
   count(*) FILTER (WHERE d.n_chars >= 500 AND coalesce(quality, 1) = 1 AND coalesce(toxic, 0) = 0) AS kept FROM documents d LEFT JOIN labels l USING (doc_id)""")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import models
 from ..config import CurationConfig
-from ..functions import scoring, text
+from ..functions import scoring, text, vectors
+from ..models import Embedder
 from ..operators import grouping, selection
 
 
@@ -43,10 +47,28 @@ def scored(photos: DataFrame, c: CurationConfig, hard_clip: bool = False, clip_a
     return rows.withColumns({"reason": reason, "status": F.when(reason == "", "eligible").otherwise("rejected"), "quality": quality, "megapixels": F.bround("mp_raw", 2)})
 
 
-def curate(photos: DataFrame, c: CurationConfig) -> DataFrame:
+def with_scores(photos: DataFrame, images: DataFrame, factory: Callable[[], Embedder], prompts: DataFrame) -> tuple[DataFrame, bool]:
+    """``photos`` with clip_score, and whether there is a model to score them.
+
+    The model is probed once, on the driver, before anything is planned: if it
+    cannot be made, no photo is scored for the whole run and nothing fails.
+    ``images`` has path and image; ``prompts`` one row of the vectors ``pos``
+    and ``neg``.
+    """
+    if not models.probe(factory):
+        return photos.withColumn("clip_score", F.lit(0.0)), False
+    seen = models.embed_images(images.where("image.width > 0"), factory, ["path"])
+    score = vectors.preference(F.col("clip_vector"), F.col("pos"), F.col("neg"))
+    scores = seen.crossJoin(F.broadcast(prompts.limit(1))).select("path", score.alias("clip_score"))  # one row of two vectors
+    return photos.join(scores, "path", "left").withColumn("clip_score", F.coalesce("clip_score", F.lit(0.0))), True
+
+
+def curate(photos: DataFrame, c: CurationConfig, clip_available: bool = True) -> DataFrame:
     """The decision log: one row per photo. Photos that fail a gate have no
-    group; those that fail a filter are vertices of the graph all the same."""
-    rows = scored(photos, c)
+    group; those that fail a filter are vertices of the graph all the same.
+    Without a scoring model (``clip_available``) no photo passes its test and
+    none is dropped for it."""
+    rows = scored(photos, c, clip_available=clip_available)
     candidates = grouping.grouped(grouping.with_sequence(rows.where("gate = ''")), c)
     decided = selection.decide(candidates, c)
     done = decided.withColumns({"status": F.col("final_status"), "reason": F.col("final_reason"), "quality": F.when(F.col("selected"), F.col("score")).otherwise(F.col("quality"))})
@@ -64,7 +86,8 @@ def curate(photos: DataFrame, c: CurationConfig) -> DataFrame:
     )
 
 
-def remote(photos: DataFrame, c: CurationConfig) -> DataFrame:
-    """A remote run: no groups, and the aesthetic score is a hard gate."""
-    rows = scored(photos, c, hard_clip=True)
+def remote(photos: DataFrame, c: CurationConfig, clip_available: bool = True) -> DataFrame:
+    """A remote run: no groups, and the aesthetic score is a hard gate, unless
+    there is no model for it."""
+    rows = scored(photos, c, hard_clip=True, clip_available=clip_available)
     return rows.where((F.col("gate") == "") & F.col("still_in")).where(F.col("mp_raw") >= c.min_megapixels)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lenient_json, prompts
-from ..models import JsonModel, ModelError, ask
+from ..models import JsonModel, ModelError, ask, ask_once
 from ..operators import tournament
 from ..operators.tables import dense_place, stored
 
@@ -29,17 +29,27 @@ class Stage2Config:
     final_batches: int = 4
     #: A failed call ends the stage instead of leaving its photos without scores.
     strict: bool = False
+    #: A table of answers by model name: what it holds is not asked again.
+    answers: str | None = None
+    model: str = ""
+    #: Calls a second of all tasks together, made by so many of them.
+    per_second: float | None = None
+    callers: int = 4
 
     @property
     def prompt_size(self) -> int:
         return max(2, self.batch_size * self.final_batches)
 
 
-def _asked(requests: DataFrame, factory: Callable[[], JsonModel], label: str, strict: bool = False) -> DataFrame:
+def _asked(requests: DataFrame, factory: Callable[[], JsonModel], label: str, c: Stage2Config) -> DataFrame:
     """``requests`` (with prompt) and their responses."""
     rows = requests if "images" in requests.columns else requests.withColumn("images", F.lit(None).cast("array<binary>"))
-    out = stored(ask(rows, factory).drop("images"), label)
-    if strict and (failed := out.where("error IS NOT NULL").select("error").first()):
+    if c.answers:
+        said = ask_once(rows, factory, c.answers, c.model, per_second=c.per_second, callers=c.callers if c.per_second else None)
+    else:
+        said = ask(rows, factory, per_second=c.per_second, callers=c.callers)
+    out = stored(said.drop("images"), label)
+    if c.strict and (failed := out.where("error IS NOT NULL").select("error").first()):
         raise ModelError(f"{label}: {failed.error}")
     return out
 
@@ -55,7 +65,7 @@ def reduce_families(selected: DataFrame, factory: Callable[[], JsonModel], c: St
         done = plan.agg(F.count_distinct("scene_family_id").alias("processed_family_count"), F.count_distinct(F.when(F.col("mode") == "model", F.col("scene_family_id"))).alias("model_family_count"))
         return n.crossJoin(done)  # one row each
     groups = plan.where("mode = 'model'").groupBy("scene_family_id").agg(F.sort_array(F.collect_list("filename")).alias("names"), F.max("keep_limit").alias("limit"))
-    answers = _asked(groups.select("scene_family_id", prompts.family_prompt(F.col("names"), F.col("limit")).alias("prompt")), factory, "family-answers")
+    answers = _asked(groups.select("scene_family_id", prompts.family_prompt(F.col("names"), F.col("limit")).alias("prompt")), factory, "family-answers", c)
     v = lenient_json.from_free_text(F.col("response"))
     field = lenient_json.field
     answers = answers.select(
@@ -82,7 +92,7 @@ def rank_portfolio(survivors: DataFrame, factory: Callable[[], JsonModel], c: St
         return survivors.sparkSession.range(1).select(*[F.lit(v).cast("long").alias(k) for k, v in counts.items()])
     batched = tournament.batches(survivors.select("filename"), c.batch_size)
     groups = batched.groupBy("batch").agg(F.sort_array(F.collect_list("filename")).alias("names"))
-    answers = _asked(groups.select("batch", prompts.batch_prompt(F.col("names"), F.lit(per_batch)).alias("prompt")), factory, "batch-answers", c.strict)
+    answers = _asked(groups.select("batch", prompts.batch_prompt(F.col("names"), F.lit(per_batch)).alias("prompt")), factory, "batch-answers", c)
     scores = stored(tournament.photo_scores(batched, answers), "scores")
     best = tournament.batch_finalists(scores, c.batch_size, c.portfolio_divisor)
     placed = dense_place(best.select("filename", "batch", "rank"), ["batch", "rank"], "place").select("filename", F.col("place") + 1)
@@ -116,7 +126,7 @@ def rank_finalists(finalists: DataFrame, factory: Callable[[], JsonModel], top_n
         names = F.transform(F.array_sort(F.collect_list(F.struct("place", "filename"))), lambda x: x["filename"])
         groups = rows.groupBy("group").agg(names.alias("names")).select("group", prompts.final_prompt(F.col("names"), F.least(F.size("names"), F.lit(limit))).alias("prompt"))
         v, field = lenient_json.from_free_text(F.col("response")), lenient_json.field
-        answers = _asked(groups, factory, f"final-answers-{number}", c.strict).select(
+        answers = _asked(groups, factory, f"final-answers-{number}", c).select(
             "group", F.coalesce(field(v, "$.ranked_filenames", "array<string>"), F.array().cast("array<string>")).alias("ranked"), field(v, "$.top_filename", "string").alias("top"),
             field(v, "$.reasons", "array<struct<filename:string,reason:string>>").alias("reasons"),
         )

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..config import CurationConfig
 from ..functions import text
+from ..operators import selection
 from ..sources.albums import LOG_COLUMNS
 from . import files
 
@@ -42,16 +43,23 @@ def csv_text(value: Column, kind: str, decimals: int | None) -> Column:
     return value.cast("string")
 
 
-def _csv(rows: DataFrame, path: str, order: list[str]) -> None:
+def _csv(rows: DataFrame, path: str, order: list[str], counted: Observation | None = None) -> None:
+    """One sorted file; ``counted`` counts its rows as they are written."""
     kinds = dict(rows.dtypes)
-    out = rows.orderBy(*order).select(*[csv_text(F.col(c), kinds[c], DECIMALS.get(c)).alias(c) for c in rows.columns])
-    out.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").option("nullValue", "").option("lineSep", "\r\n").csv(path)
+    placed = rows.orderBy(*order).coalesce(1)  # behind the sort's exchange, whose sample would count rows twice
+    if counted is not None:
+        placed = placed.observe(counted, *selection.counters())
+    out = placed.select(*[csv_text(F.col(c), kinds[c], DECIMALS.get(c)).alias(c) for c in rows.columns])
+    out.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").option("nullValue", "").option("lineSep", "\r\n").csv(path)
 
 
-def write_selection_log(log: DataFrame, path: str) -> None:
+def write_selection_log(log: DataFrame, path: str) -> dict:
     """One album's log, every scanned image, by file name; an album without
-    candidates has one too."""
-    _csv(log_rows(log), path, ["filename"])
+    candidates has one too. Returns the run's counters, taken while the log is
+    written."""
+    counted = Observation("run")
+    _csv(log_rows(log), path, ["filename"], counted)
+    return counted.get
 
 
 def write_remote_log(records: DataFrame, path: str) -> bool:
