@@ -1,21 +1,30 @@
 """Main text of web pages by a site style tree.
 
-Pass 1 parses every page into style paths (tag, classes, role) and merges the
-pages of a host: per style node it counts the distinct contents and the
-distinct child sequences seen in that place. Their normalised entropies give
-the importance of content and of presentation, combined as
-``(1 - g**l) * presentation + g**l * content`` for a node with ``l`` children:
-what is the same on every page of a host tells nothing. Pages of equal content
-count once, so copies of a page are not boilerplate.
-
-Pass 2 parses each page again and weighs every block of text: the prior of its
-style path (what kind of element holds it, whether it stands in an ``article``,
-whether an element around it is a landmark such as ``nav``, or carries a name
-that marks what is not the article) plus what the tree knows of its path. The
-tree's word counts by how many different pages back it, up to ``TREE``, which
-is more than what speaks for a bare block of an article and less than for its
-paragraphs: a box that a site repeats goes, a paragraph that it repeats stays.
-Blocks whose weights do not add up to more than zero are removed.
+Pass 1 parses every page into style nodes (tag and classes below a parent node)
+and merges the pages of a host. Per style node it counts the distinct contents
+and the distinct child sequences seen in that place; their normalised entropies
+give the importance of content and of presentation, combined as ``(1 - g**l) *
+presentation + g**l * content`` for a node with ``l`` children: what is the same
+on every page of a host tells nothing. A node's presentation also says how much
+of its text is links, and how much text it holds beside its largest sibling:
+what links alone, or a small box next to the container of most text, is not the
+article though it differs on every page. Pages of equal content count once, so
+copies of a page are not boilerplate.
+
+Pass 2 parses each page again and weighs every block of text. Two things speak:
+the prior of its style path (what kind of element holds it, whether it stands in
+an ``article``) and the tree, on each branch that holds it. The more different
+pages a host shows, the more the tree counts: with one page the prior decides,
+with ``FULL`` of them the tree outweighs all that speaks for a block but a
+paragraph's place in an article: a box that a site repeats goes, a paragraph of
+an article that it repeats stays. Landmarks such as ``nav``, and names that mark
+what is not the article, such as reader comments, which differ on every page
+like text, remove a block in either case. Blocks whose weights do not add up to
+more than zero are removed.
+
+Pages are scanned once from left to right; nodes are named by 64-bit numbers, and
+what an element holds is added up when it ends, so time and memory grow with
+the length of a page, however its tags are nested or broken.
 """
 
 from __future__ import annotations
@@ -34,14 +43,19 @@ from .common import bounded_batches, small_side, stored
 
 #: Share of a node's presentation in its importance falls with g per child.
 DECAY = 0.9
-#: Greatest weight of the tree against a branch, at importance 0, and for one.
+#: Greatest weight of the tree against a branch and for one.
 TREE, FOR = 4.0, 1.0
-#: Different pages that give the tree half of its weight less one step: the
-#: weight grows with their logarithm and is full from here on.
+#: Different pages of a host at which the tree has its full weight, which grows
+#: with their logarithm.
 FULL = 8
+#: A container speaks against its smaller siblings if it holds this share of
+#: their parent's text; a sibling of less than a quarter of it is unimportant.
+MOST = 0.5
 #: Weights of the prior.
 ARTICLE, PAGE, OUTSIDE = 3.0, 0.5, -3.0
-RUN, LANDMARK, NAMED, PARTLY = 1.5, -8.0, -6.0, -2.5
+RUN, PARTLY = 1.5, -2.5
+#: Marks that remove a block whatever else speaks for it.
+LANDMARK, NAMED = -8.0, -6.0
 
 # Element classes of HTML and names that mark noise.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,8 +70,11 @@ MARKED = frozenset("ad ads advert adverts advertisement advertising banner spons
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert".split())
 
 _PARTS = re.compile(r"[-_]+")
-_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_QUOTED = re.compile(r"""[>"']""")
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+
+
 @lru_cache(maxsize=20_000)
 def _style(tag: str, attrs: str) -> tuple[str, float]:
     """The style name of an element, and what its kind and names weigh: a
@@ -81,65 +98,171 @@ def _raw_ends():
     return {tag: re.compile(rf"</{tag}[^>]*(?:>|$)", re.I) for tag in RAW}
 
 
+def tokens(source: str):
+    """``(text before, tag, attributes, closing)`` of each tag, in order, and at
+    last the text after all with an empty tag. Comments and declarations are
+    left out, CDATA is text, and so is a ``<`` that begins nothing.
+
+    Quoted ``>`` do not end a tag. Where a tag's quotes cannot be matched to the
+    end of the page, quotes count no more from there on: no place of the page is
+    looked at more than a few times.
+    """
+    n, at, begun, quotes = len(source), 0, 0, True
+    no_end = n  # from here on there is no ">"
+    missing: set[str] = set()  # quotes that do not come again
+
+    def end_of(start: int) -> int:
+        nonlocal quotes, no_end
+        i = start
+        while quotes:
+            m = _QUOTED.search(source, i)
+            if not m:
+                break
+            if m[0] == ">":
+                return m.start()
+            close = -1 if m[0] in missing else source.find(m[0], m.end())
+            if close < 0:
+                missing.add(m[0])
+                break
+            i = close + 1
+        found = source.find(">", start)
+        if found < 0:
+            no_end = min(no_end, start)
+        else:
+            quotes = False
+        return found
+
+    while (lt := source.find("<", at)) >= 0:
+        kind = source[lt + 1:lt + 2]
+        if kind and kind in "!?":
+            if source.startswith("<!--", lt):
+                end = source.find("-->", lt + 4)
+                end, text = (n, "") if end < 0 else (end + 3, "")
+            elif source.startswith("<![CDATA[", lt):
+                end = source.find("]]>", lt + 9)
+                text = htmllib.escape(source[lt + 9:end if end >= 0 else n])
+                end = n if end < 0 else end + 3
+            else:
+                end = source.find(">", lt)
+                end, text = (n, "") if end < 0 else (end + 1, "")
+            yield source[begun:lt] + text, "", "", False
+            at = begun = end
+            continue
+        m = _NAME.match(source, lt + 1) if lt < no_end else None
+        end = end_of(m.end()) if m else -1
+        if end < 0:
+            at = lt + 1
+            continue
+        tag = m[1].lower()
+        closing = kind == "/"
+        yield source[begun:lt], tag, source[m.end():end], closing
+        at = begun = end + 1
+        if tag in RAW and not closing and not source[m.end():end].endswith("/"):
+            raw = _raw_ends()[tag].search(source, at)
+            at = begun = raw.end() if raw else n
+    yield source[begun:], "", "", False
+
+
+def _mix(a: int, b: int) -> int:
+    return xxhash.xxh64_intdigest(a.to_bytes(8, "little") + b.to_bytes(8, "little"))
+
+
+class _Open:
+    """An element that has begun: its style node, what weighs on it, and what
+    it holds so far."""
+
+    __slots__ = ("tag", "node", "weight", "marked", "inside", "holder", "hash", "chars", "links", "children")
+
+    def __init__(self, tag: str, node: int, weight: float, marked: bool, inside: bool, holder: str):
+        self.tag, self.node, self.weight, self.marked, self.inside, self.holder = tag, node, weight, marked, inside, holder
+        self.hash = self.chars = self.links = 0
+        self.children: list[str] = []
+
+
 class Page:
     """Text blocks and style nodes of a page, in page order.
 
-    ``blocks``: ``(path, text, weight, in_article)``, the weight being that of
-    the elements around the text; ``children``: the child style names seen
-    below each path.
+    ``blocks``: ``(node, text, weight, in_article, marked)``, the weight being
+    that of the elements around the text and ``marked`` whether a landmark or a
+    marked name is among them; ``nodes``: per style node its parent, whether it
+    is a container, the digest of all that it holds, its characters, those in
+    links, and the digest and number of its children.
     """
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, str, float, bool]] = []
-        self.children: dict[str, list[str]] = {}
+        linked = 0  # characters of the text so far that stand in links
+        self.blocks: list[tuple[int, str, float, bool, bool]] = []
+        self.nodes: dict[int, list] = {}
         self.has_article = False
-        stack: list[tuple[str, str, float, bool, str]] = []  # tag, path, least weight, in article, nearest block
-        root = ("", "", 0.0, False, "")
+        root = _Open("", 0, 0.0, False, False, "")
+        stack = [root]
+        where: dict[str, list[int]] = {}  # places in the stack of each open tag
+        blocks: list[int] = []  # and of open blocks
         text: list[str] = []
-        at = 0
+
+        def last(tags) -> int:
+            return max((where[t][-1] for t in tags if where.get(t)), default=0)
 
         def flush() -> None:
+            nonlocal linked
             if text:
                 joined = " ".join(htmllib.unescape("".join(text)).split())
                 text.clear()
                 if joined:
-                    _, path, weight, inside, holder = stack[-1] if stack else root
-                    self.blocks.append((path, joined, weight + RUN * (holder in RUNNING), inside))
-                    self.has_article |= inside and weight > PARTLY
+                    top = stack[-1]
+                    self.blocks.append((top.node, joined, top.weight + RUN * (top.holder in RUNNING), top.inside, top.marked))
+                    self.has_article |= top.inside and top.weight > PARTLY
+                    top.hash = _mix(top.hash, xxhash.xxh64_intdigest(joined.encode("utf-8", "surrogatepass")))
+                    top.chars += len(joined)
+                    top.links += min(linked, len(joined))
+                linked = 0
+
+        def end(element: _Open) -> None:
+            """Hand what an element held to its parent and its style node."""
+            parent = stack[-1]
+            if element.chars:
+                parent.hash = _mix(parent.hash, _mix(element.node & (1 << 64) - 1, element.hash))
+                parent.chars += element.chars
+                parent.links += element.links
+            node = self.nodes.setdefault(element.node, [parent.node, element.tag not in RUNNING, 0, 0, 0, 0, 0])
+            if element.chars:
+                node[2] = _mix(node[2], element.hash)
+            node[3] += element.chars
+            node[4] += element.links
+            if element.children:
+                node[5] = _mix(node[5], xxhash.xxh64_intdigest("|".join(element.children).encode("utf-8", "surrogatepass")))
+                node[6] += len(element.children)
 
         def pop_to(i: int) -> None:
-            if any(s[0] in BLOCK for s in stack[i:]):
+            """Close the elements from place ``i`` of the stack on."""
+            if blocks and blocks[-1] >= i:
                 flush()
-            del stack[i:]
+            while len(stack) > i:
+                element = stack.pop()
+                where[element.tag].pop()
+                if element.tag in BLOCK:
+                    blocks.pop()
+                end(element)
 
         def close(tags: tuple, stop: tuple) -> None:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in tags:
-                    pop_to(i)
-                    return
-                if stack[i][0] in stop:
-                    return
-
-        for m in iter(lambda: _TOKEN.search(source, at), None):
-            if m.start() > at:
-                text.append(source[at:m.start()])
-            at = m.end()
-            tag = (m[2] or m[5] or "").lower()
+            i = last(tags)
+            if i > last(stop):
+                pop_to(i)
+
+        for before, tag, attrs, closing in tokens(source):
+            if before:
+                text.append(before)
+                if where.get("a"):
+                    linked += len(" ".join(before.split()))
             if not tag:
-                if m[0].startswith("<![CDATA["):
-                    text.append(htmllib.escape(m[0][9:].removesuffix("]]>")))
                 continue
-            if m[1] or m[4]:
-                if tag == "p" and not any(s[0] == "p" for s in stack):
+            if closing:
+                if tag == "p" and not where.get("p"):
                     flush()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        pop_to(i)
-                        break
-                    if tag not in BLOCK and stack[i][0] in BLOCK:
-                        break
+                i = last((tag,))
+                if i and (tag in BLOCK or not blocks or i > blocks[-1]):
+                    pop_to(i)
                 continue
-            attrs = m[3] if m[2] else m[6]
             if tag in VOID:
                 if tag == "hr":
                     flush()
@@ -147,9 +270,6 @@ class Page:
                     text.append(" ")
                 continue
             if tag in RAW:
-                if not attrs.endswith("/"):
-                    end = _raw_ends()[tag].search(source, at)
-                    at = end.end() if end else len(source)
                 continue
             if tag in BLOCK:
                 flush()
@@ -158,104 +278,148 @@ class Page:
                 if tag in CLOSES:
                     close(CLOSES[tag], SCOPE[tag])
             name, own = _style(tag, attrs)
-            _, path, weight, inside, holder = stack[-1] if stack else root
-            if tag == "header" and not inside:
+            top = stack[-1]
+            if tag == "header" and not top.inside:
                 own = LANDMARK
-            self.children.setdefault(path, []).append(name)
-            weight = min(weight, own)
-            inside = inside or (tag in ("article", "main") and weight > NAMED)
-            stack.append((tag, f"{path}/{name}", weight, inside, tag if tag in BLOCK else holder))
-        if at < len(source):
-            text.append(source[at:])
+            top.children.append(name)
+            weight = min(top.weight, own)
+            inside = top.inside or (tag in ("article", "main") and weight > NAMED)
+            node = xxhash.xxh64_intdigest(top.node.to_bytes(8, "little") + name.encode("utf-8", "surrogatepass"))
+            where.setdefault(tag, []).append(len(stack))
+            if tag in BLOCK:
+                blocks.append(len(stack))
+            stack.append(_Open(tag, node, weight, top.marked or own <= NAMED, inside, tag if tag in BLOCK else top.holder))
         flush()
+        pop_to(1)
 
-    def prior(self) -> list[tuple[str, str, float]]:
-        """``(path, text, weight)`` of every block before the tree is asked."""
+    def prior(self) -> list[tuple[int, str, float, bool]]:
+        """``(node, text, weight, marked)`` of every block before the tree is
+        asked."""
         around = {True: ARTICLE, False: OUTSIDE if self.has_article else PAGE}
-        return [(path, text, weight + around[inside]) for path, text, weight, inside in self.blocks]
-
-    def main_text(self, tree: dict[str, float]) -> str:
-        """Blocks whose prior and the tree's weights of their branches (by
-        path) come to more than zero; a page whose every block the tree speaks
-        against keeps those that the prior keeps."""
-        blocks = self.prior()
-        keep = [text for path, text, weight in blocks if weight + _branch(path, tree) > 0]
-        return " ".join(keep or [text for _, text, weight in blocks if weight > 0])
-
-
-def _branch(path: str, tree: dict[str, float]) -> float:
-    """The least weight of the branches that hold a path."""
-    if not tree:
-        return 0.0
-    parts = path.split("/")
-    return min((tree.get("/".join(parts[:i]), 0.0) for i in range(2, len(parts) + 1)), default=0.0)
+        return [(node, text, weight + around[inside], marked) for node, text, weight, inside, marked in self.blocks]
+
+    def parents(self) -> dict[int, int]:
+        return {node: v[0] for node, v in self.nodes.items()}
+
+    def main_text(self, tree: dict[int, float], marks: bool = True) -> str:
+        """Blocks whose weights come to more than zero: the prior's and the least
+        that the tree says of a branch that holds them. A page whose every
+        block the tree speaks against keeps those that the prior keeps."""
+        said: dict[int, float] = {0: math.inf}
+        parents = self.parents()
+
+        def branch(node: int) -> float:
+            """The least weight from the root down; each node is asked once."""
+            way = []
+            while node not in said:
+                way.append(node)
+                node = parents.get(node, 0)
+            least = said[node]
+            for x in reversed(way):
+                least = said[x] = min(least, tree.get(x, 0.0))
+            return 0.0 if math.isinf(least) else least
+
+        keep, plain = [], []
+        for node, text, weight, marked in self.prior():
+            if marked and marks:
+                continue
+            if weight > 0:
+                plain.append(text)
+            if weight + (branch(node) if tree else 0.0) > 0:
+                keep.append(text)
+        return " ".join(keep or plain)
 
 
 def style_nodes(pages: DataFrame) -> DataFrame:
-    """``(host, page, path, kind, digest, l)``: per page one row for the content
-    and one for the child sequence of each style node; ``page`` is a digest of
-    all that may be main text."""
+    """``(host, page, node, parent, container, content, chars, links, shape,
+    l)``: per page one row for each style node; ``page`` is a digest of all that
+    may be main text."""
     bounded_batches(pages.sparkSession)
-    schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("path", pa.string()), ("kind", pa.string()), ("digest", pa.int64()), ("l", pa.int64())])
+    schema = pa.schema([
+        ("host", pa.string()), ("page", pa.int64()), ("node", pa.int64()), ("parent", pa.int64()), ("container", pa.bool_()), ("content", pa.int64()), ("chars", pa.int64()), ("links", pa.int64()),
+        ("shape", pa.int64()), ("l", pa.int64()),
+    ])
+
+    def signed(x: int) -> int:
+        return x - (1 << 64) if x >> 63 else x
 
     def run(batches):
         for batch in batches:
-            rows = []
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 page = Page(source or "")
-                contents: dict[str, object] = {}
-                whole = xxhash.xxh64_intdigest("\n".join(f"{path}\t{text}" for path, text, weight in page.prior() if weight > 0).encode("utf-8", "surrogatepass")) >> 1
-                for path, text, _, _ in page.blocks:
-                    contents.setdefault(path, xxhash.xxh64(seed=0)).update(text.encode("utf-8", "surrogatepass") + b"\n")
-                rows += [(host, whole, path, "c", h.intdigest() >> 1, 0) for path, h in contents.items()]
-                rows += [(host, whole, path, "p", xxhash.xxh64_intdigest("|".join(names).encode()) >> 1, len(names)) for path, names in page.children.items() if path]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows) if rows else [()] * 6, schema)], schema=schema)
+                whole = signed(xxhash.xxh64_intdigest("\n".join(f"{node}\t{text}" for node, text, weight, _ in page.prior() if weight > 0).encode("utf-8", "surrogatepass")))
+                rows = [(host, whole, signed(n), signed(v[0]), v[1], signed(v[2]) if v[3] else None, v[3], v[4], signed(v[5]) if v[6] else None, v[6]) for n, v in page.nodes.items()]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return pages.select("host", "html").mapInArrow(run, "host string, page long, path string, kind string, digest long, l long")
+    return pages.select("host", "html").mapInArrow(run, "host string, page long, node long, parent long, container boolean, content long, chars long, links long, shape long, l long")
 
 
 def style_importance(nodes: DataFrame) -> DataFrame:
-    """``(host, path, importance, best, pages)`` of every style node; ``best``
-    is the greatest content importance at or below it, ``pages`` how many
-    different pages show it.
+    """``(host, node, parent, container, importance, content, chars, links,
+    pages)`` of every style node that holds text; ``content`` is the content's
+    importance, ``chars`` and ``links`` are summed over the ``pages`` different
+    pages that show it.
 
     Entropy is taken over the different pages, to the base of their number, so
-    it is 0 if all agree and 1 if all differ, or if there is but one. Content
-    counts for all ancestors, by how many pages show it. All sums combine
-    before their shuffles.
+    it is 0 if all agree and 1 if all differ, or if there is but one. All sums
+    combine before their shuffles.
     """
-    pages = nodes.groupBy("host", "path", "kind", "digest", "page").agg(F.max("l").alias("l"))
-    counted = pages.groupBy("host", "path", "kind", "digest").agg(F.count(F.lit(1)).alias("d"), F.sum("l").alias("l"))
-    sums = counted.groupBy("host", "path", "kind").agg(F.sum("d").alias("m"), F.sum(F.col("d") * F.log("d")).alias("s"), F.sum("l").alias("l"))
+    kinds = F.explode(F.array(F.struct(F.lit("c").alias("kind"), F.col("content").alias("digest")), F.struct(F.lit("p").alias("kind"), F.col("shape").alias("digest"))))
+    each = nodes.select("host", "page", "node", "parent", "container", "chars", "links", "l", kinds.alias("k")).select("*", "k.kind", "k.digest").drop("k").where("digest IS NOT NULL")
+    pages = each.groupBy("host", "node", "kind", "digest", "page").agg(*[F.max(c).alias(c) for c in ("parent", "container", "chars", "links", "l")])
+    counted = pages.groupBy("host", "node", "kind", "digest").agg(F.count(F.lit(1)).alias("d"), F.max("parent").alias("parent"), F.max("container").alias("container"), *[F.sum(c).alias(c) for c in ("chars", "links", "l")])
+    sums = counted.groupBy("host", "node", "kind").agg(F.sum("d").alias("m"), F.sum(F.col("d") * F.log("d")).alias("s"), F.max("parent").alias("parent"), F.max("container").alias("container"), *[F.sum(c).alias(c) for c in ("chars", "links", "l")])
     even = F.when(F.col("m") > 1, 1 - F.col("s") / (F.col("m") * F.log("m"))).otherwise(1.0)
-    entropy = sums.select("host", "path", "kind", "m", (F.col("l") / F.col("m")).alias("l"), even.alias("e"))
-    steps = F.split("path", "/")
-    up = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))
-    content = (
-        entropy.where("kind = 'c' AND path <> ''").select("host", F.explode(up).alias("path"), "m", "e")
-        .groupBy("host", "path").agg((F.sum(F.col("e") * F.col("m")) / F.sum("m")).alias("content"), F.max("m").alias("pages"), F.max("e").alias("best"))
-    )
-    shown = entropy.where("kind = 'p'").select("host", "path", F.col("e").alias("presentation"), "l")
+
+    def of(kind: str, value):
+        return F.max(F.when(F.col("kind") == kind, value))
+
+    both = sums.groupBy("host", "node").agg(
+        of("c", F.col("parent")).alias("parent"), of("c", F.col("container")).alias("container"), of("c", even).alias("content"), of("p", even).alias("presentation"), of("p", F.col("l") / F.col("m")).alias("l"),
+        of("c", F.col("chars")).alias("chars"), of("c", F.col("links")).alias("links"), of("c", F.col("m")).alias("pages"),
+    ).where("content IS NOT NULL")
     weight = F.pow(F.lit(DECAY), F.coalesce("l", F.lit(0.0)))
-    return content.join(shown, ["host", "path"], "left").select(
-        "host", "path", ((1 - weight) * F.coalesce("presentation", F.lit(0.0)) + weight * F.col("content")).alias("importance"), "best", "pages"
-    )
+    importance = (1 - weight) * F.coalesce("presentation", F.lit(0.0)) + weight * F.col("content")
+    return both.select("host", "node", "parent", "container", importance.alias("importance"), "content", "chars", "links", "pages")
 
 
 def branch_weights(importance: DataFrame) -> DataFrame:
-    """``(host, path, weight)``: what the tree says for or against a branch."""
-    x = 2 * F.greatest("importance", "best") - 1
-    backed = F.least(F.lit(1.0), F.log2(F.col("pages").cast("double")) / math.log2(FULL))
-    return importance.select("host", "path", (backed * F.when(x < 0, x * TREE).otherwise(x * FOR)).alias("weight"))
+    """``(host, node, weight, pages)``: what the tree says for or against a
+    branch: by its entropies, by the share of links in its text, and by its
+    text beside that of a larger sibling; the worst of them counts.
 
-
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", tree: bool = True) -> DataFrame:
+    Siblings are looked at through their parent's sums, so a parent with many
+    kinds of children is no group of one task.
+    """
+    around = importance.groupBy("host", F.col("parent").alias("of")).agg(F.sum("chars").alias("all"), F.max(F.struct("chars", "container", "node")).alias("top"))
+    rows = importance.join(around.withColumnRenamed("host", "h"), (F.col("host") == F.col("h")) & (F.col("parent") == F.col("of")), "left")
+    seen = 2 * F.greatest("importance", "content") - 1
+    linked = F.least(F.lit(0.0), 1 - 2 * F.col("links") / F.col("chars"))
+    large = F.col("top.container") & (F.col("top.chars") >= MOST * F.col("all")) & (F.col("top.node") != F.col("node"))
+    small = F.when(large & F.col("container"), F.least(F.lit(0.0), 4 * F.col("chars") / F.col("top.chars") - 1)).otherwise(0.0)
+    against = F.least(linked, small)
+    x = F.when((seen < 0) | (against < 0), F.least(seen, against)).otherwise(seen)
+    return rows.select("host", "node", F.when(x < 0, x * TREE).otherwise(x * FOR).alias("weight"), "pages")
+
+
+def host_trees(pages: DataFrame) -> DataFrame:
+    """``(host, tree)``: the weights of a host's branches, each as far as the
+    different pages that show it back it, which is not at all for one page."""
+    weights = branch_weights(style_importance(style_nodes(pages)))
+    share = F.least(F.lit(1.0), F.log2(F.col("pages").cast("double")) / math.log2(FULL))
+    said = weights.where("pages > 1").select("host", F.struct("node", (share * F.col("weight")).cast("float").alias("weight")).alias("entry"))
+    return said.groupBy("host").agg(F.sort_array(F.collect_list("entry")).alias("tree"))
+
+
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", tree: bool = True, marks: bool = True) -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points of text).
 
     A null or empty html gives an empty text, a very long or deeply nested one
     is parsed whole; a null url has the empty host. Ties and repeated rows are
     kept. Other columns are not looked at. An empty table gives an empty
-    result. ``tree=False`` leaves all to the prior.
+    result. ``tree=False`` leaves all to the prior; without ``marks`` landmarks
+    and marked names remove nothing by themselves.
 
     The branch weights of a host travel with its pages: broadcast if their
     size is small, else by a join on host, whose page side skew handling may
@@ -269,16 +433,18 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
         F.col(html_col).alias("html"),
     )
     if tree:
-        entry = F.struct("path", F.col("weight").cast("float").alias("weight"))
-        weights = stored(branch_weights(style_importance(style_nodes(rows))).where("abs(weight) > 0").groupBy("host").agg(F.sort_array(F.collect_list(entry)).alias("tree")), "tree")
+        weights = stored(host_trees(rows), "tree")
         joined = rows.join(small_side(weights), "host", "left").select("page_id", "url", "html", "tree")
     else:
-        joined = rows.select("page_id", "url", "html", F.lit(None).cast("array<struct<path:string,weight:float>>").alias("tree"))
+        joined = rows.select("page_id", "url", "html", F.lit(None).cast("array<struct<node:long,weight:float>>").alias("tree"))
     kind = dict(pages.select(F.col(id_col).alias("i")).dtypes)["i"]
 
     def run(batches):
         for batch in batches:
-            texts = [Page(s or "").main_text({e["path"]: e["weight"] for e in t or ()}) for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = []
+            for source, said in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                weights = {e["node"] & (1 << 64) - 1: e["weight"] for e in said or ()}
+                texts.append(Page(source or "").main_text(weights, marks))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )

@@ -181,26 +181,28 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def band_members(classes: DataFrame) -> DataFrame:
-    """``(band, n, text_hash, fp)`` of the texts that share a band with another;
-    ``n`` is how many share it."""
+    """``(band, text_hash, fp, n, first)`` of the texts that share a band with
+    another: ``n`` is how many share it and ``first`` one of them, in an order
+    that differs from band to band. Bands' sizes are stored, so that skew
+    handling may split a popular band's texts when they meet them."""
+    me = F.struct("text_hash", "fp")
     met = stored(classes.select(F.explode("bands").alias("band"), "text_hash", "fp"), "bands")
-    sizes = met.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = F.min(F.struct(F.xxhash64("text_hash", "band").alias("h"), me.alias("me")))["me"]
+    sizes = stored(met.groupBy("band").agg(F.count(F.lit(1)).alias("n"), first.alias("first")).where("n > 1"), "sizes")
     return stored(met.join(sizes, "band"), "met")
 
 
 def star_pairs(members: DataFrame) -> DataFrame:
     """Distinct pairs ``(a, b)`` of ``(text_hash, fp)``: each text of a band with
-    the first of them and with the two before it, in an order that differs from
-    band to band. Crowded bands are cut into runs of about ``RUN`` texts for the
-    neighbours, so that none is sorted whole."""
+    the first of them and with the two before it. Crowded bands are cut into
+    runs of about ``RUN`` texts for the neighbours, so that none is sorted
+    whole."""
     me = F.struct("text_hash", "fp")
-    firsts = members.groupBy("band").agg(F.min(F.struct(F.xxhash64("text_hash", "band").alias("h"), me.alias("me")))["me"].alias("other"))
-    with_first = members.join(firsts, "band").select(me.alias("me"), "other")
     order = F.xxhash64("text_hash", "band")
     w = W.partitionBy("band", "run").orderBy(order, "text_hash", "fp")
     runs = members.withColumn("run", F.pmod(F.shiftright(order, 20), F.ceil(F.col("n") / RUN).cast("long")))
     near = runs.select(me.alias("me"), F.array(F.lag(me).over(w), F.lag(me, 2).over(w)).alias("others")).select("me", F.explode("others").alias("other"))
-    pairs = with_first.unionByName(near).where("other.fp <> me.fp")  # equal ones are linked as they are
+    pairs = members.select(me.alias("me"), F.col("first").alias("other")).unionByName(near).where("other.fp <> me.fp")  # equal ones are linked as they are
     return pairs.select(F.least("me", "other").alias("a"), F.greatest("me", "other").alias("b")).distinct()
 
 
@@ -263,7 +265,8 @@ def crowd_links(docs: DataFrame, members: DataFrame, tile: int = TILE) -> DataFr
     ``tile`` texts; a tile gives no more links than it has texts, enough to join
     all that it found alike.
     """
-    mixed = members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("band", "n")
+    members = stored(members, "labelled-bands")
+    mixed = stored(members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("band", "n"), "mixed")
     crowd = stored(members.join(mixed, "band"), "crowd")
     schema = "a long, b long"
     if crowd.isEmpty():
