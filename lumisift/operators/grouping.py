@@ -34,12 +34,16 @@ def family_limits(c: CurationConfig) -> Limits:
 
 
 def with_sequence(photos: DataFrame, name: str = "filename") -> DataFrame:
-    """Adds ord (place in its folder by path), prefix and idx of the name."""
+    """Adds ord (place in its folder by path), prefix and idx of the name.
+
+    Only folders and paths are sorted; the rest of a photo meets its place in a
+    join, so an album's vectors are never in one task. A path is one file of
+    its folder. ``photos`` is read twice and had better be stored."""
     s = text.stem(F.col(name))
-    return photos.withColumns({
-        "ord": F.row_number().over(W.partitionBy("folder").orderBy("path")),
-        "prefix": text.sequence_prefix(s), "idx": text.sequence_index(s),
-    })
+    places = photos.select(F.col("folder").alias("f_"), F.col("path").alias("p_"))
+    places = places.withColumn("ord", F.row_number().over(W.partitionBy("f_").orderBy("p_")))
+    placed = photos.join(places, (F.col("folder") == F.col("f_")) & (F.col("path") == F.col("p_"))).drop("f_", "p_")
+    return placed.withColumns({"prefix": text.sequence_prefix(s), "idx": text.sequence_index(s)})
 
 
 def band_pairs(rows: DataFrame, keys: list[str], order: str, index: str, window: int, carry: list[str] = ()) -> DataFrame:
@@ -98,16 +102,41 @@ def similar(limits: Limits) -> Column:
     return out
 
 
+def _hash_near(limits: list[Limits]) -> Column:
+    """Whether a pair's indexes and hashes allow an edge under any limits."""
+    far, gap = vectors.packed_hamming(F.col("a_hash"), F.col("b_hash")), F.abs(F.col("a_idx") - F.col("b_idx"))
+    out = F.lit(False)
+    for x in limits:
+        out = out | ((far <= x.hash) & (gap <= x.window))
+    return out
+
+
+def _fetched(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``pairs`` with the ``columns`` of both their rows."""
+    out = pairs
+    for side in "ab":
+        found = rows.select(F.col("folder").alias("f_"), F.col("ord").alias("o_"), *[F.col(c).alias(f"{side}_{c}") for c in columns])
+        out = out.join(found, (F.col("a_folder") == F.col("f_")) & (F.col(f"{side}_ord") == F.col("o_"))).drop("f_", "o_")
+    return out
+
+
 def similarity_edges(candidates: DataFrame, limits: list[Limits], gate: bool = True) -> DataFrame:
     """``folder, prefix, a, b`` and ``edge_0``, ``edge_1``, ... per limits: pairs
     are made once, at the widest window, and tested for all limits together.
 
+    If every limit has a hash, pairs are made of names, indexes and hashes
+    alone; vectors are fetched for those whose hashes are near enough.
+
     Without the sequence gate every pair of a folder is a candidate. Those that
     the least cosine rules out by angle are not made (``metric_pairs``); only if
     a limit admits any angle of 90 degrees or more are all made, in tiles.
     """
-    carry = ["img_vector"] + (["color_thumb", "hash"] if any(x.color is not None or x.hash is not None for x in limits) else [])
-    if gate:
+    visual = ["img_vector", *(["color_thumb"] if any(x.color is not None for x in limits) else [])]
+    carry = [*visual, *(["hash"] if any(x.hash is not None for x in limits) else [])]
+    if gate and all(x.hash is not None for x in limits):
+        near = band_pairs(candidates, ["folder", "prefix"], "ord", "idx", max(x.window for x in limits), ["hash"])
+        pairs = _fetched(near.where(_hash_near(limits)), candidates, visual)
+    elif gate:
         pairs = band_pairs(candidates, ["folder", "prefix"], "ord", "idx", max(x.window for x in limits), carry)
     else:
         flat = candidates.withColumns({"prefix": F.lit(""), "idx": F.lit(0)})

@@ -12,6 +12,7 @@ from ..config import CurationConfig
 from ..functions import scoring, text, vectors
 from ..models import Embedder
 from ..operators import grouping, selection
+from ..operators.tables import stored
 
 
 def _or(df: DataFrame, name: str, default: Column) -> Column:
@@ -68,7 +69,8 @@ def curate(photos: DataFrame, c: CurationConfig, clip_available: bool = True) ->
     group; those that fail a filter are vertices of the graph all the same.
     Without a scoring model (``clip_available``) no photo passes its test and
     none is dropped for it."""
-    rows = scored(photos, c, clip_available=clip_available)
+    # pictures are decoded and measured once, whatever reads them below
+    rows = stored(scored(photos, c, clip_available=clip_available), "scored")
     candidates = grouping.grouped(grouping.with_sequence(rows.where("gate = ''")), c)
     decided = selection.decide(candidates, c)
     done = decided.withColumns({"status": F.col("final_status"), "reason": F.col("final_reason"), "quality": F.when(F.col("selected"), F.col("score")).otherwise(F.col("quality"))})

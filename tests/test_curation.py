@@ -266,3 +266,43 @@ def test_tiles_give_all_pairs(spark):
     got = grouping.tile_pairs(rows, "folder", "ord")
     assert got.count() == n * (n - 1) // 2 + 1 == got.distinct().count()
     assert got.where("a_ord >= b_ord OR a_folder <> b_folder").count() == 0
+
+
+def test_no_vector_crosses_the_pair_join(spark):
+    """Hashes are tested first: the join that makes pairs carries names,
+    indexes and hashes; vectors are joined to what is left."""
+    e = lambda d: [math.cos(math.radians(d)), math.sin(math.radians(d))]
+    rows = spark.createDataFrame([photo(i, e(7 * i), color=0.1 * (i % 3)) for i in range(40)], PHOTO).withColumn("hash", F.expr("CASE WHEN length(filename) % 2 = 0 THEN 7 ELSE 255 END").cast("long"))
+    limits = [Limits(20, 0.97, 0.14, 2), Limits(4, 0.9, 0.3, 8)]
+    seq = grouping.with_sequence(rows)
+    edges = grouping.similarity_edges(seq, limits)
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join Inner" in line and "bucket" in line]
+    assert len(joins) == 1
+    below = plan[plan.index(joins[0]):].split("\n")
+    depth = below[0].index("Join")
+    inside = [below[0]]
+    for line in below[1:]:
+        if len(line) - len(line.lstrip(" :+-")) <= depth - 2:
+            break
+        inside.append(line)
+    assert not any("img_vector" in x or "color_thumb" in x for x in inside if "Project" in x or "Generate" in x)
+    carried = grouping.band_pairs(seq, ["folder", "prefix"], "ord", "idx", 20, ["hash", "img_vector", "color_thumb"])
+    for k, x in enumerate(limits):
+        gap = F.abs(F.col("a_idx") - F.col("b_idx"))
+        want = {(r.a_ord, r.b_ord) for r in carried.where(grouping.similar(x) & (gap <= x.window)).collect()}
+        assert want and {(r.a, r.b) for r in edges.where(f"edge_{k}").collect()} == want
+
+
+def test_places_in_one_large_album(spark):
+    """A million names of one album, each with a vector: only names are sorted."""
+    n = 1_000_000
+    rows = spark.range(n).select(
+        F.lit("a").alias("folder"), F.format_string("/a/IMG_%07d.jpg", F.pmod(F.col("id") * 7919, F.lit(n))).alias("path"), F.array_repeat(F.col("id").cast("float"), 8).alias("img_vector"),
+    ).withColumn("filename", F.element_at(F.split("path", "/"), -1))
+    placed = grouping.with_sequence(rows)
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    window = plan[plan.index("Window"):]
+    assert "img_vector" not in window.split("\n")[0] and "img_vector" not in window.split("\n")[1]
+    got = placed.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ord") != F.col("idx") + 1).alias("wrong"), F.sum("ord").alias("s")).first()
+    assert (got.n, got.wrong, got.s) == (n, 0, n * (n + 1) // 2)
