@@ -204,15 +204,20 @@ def label_rounds(edges: DataFrame) -> DataFrame:
         labels = after
 
 
-def numbered_groups(frames: DataFrame, roots: DataFrame, group: str, size: str) -> DataFrame:
-    """``frames`` with group numbers from 1 per folder, in the order of their
-    first frames, and group sizes; frames without an edge stand alone."""
+def group_numbers(places: DataFrame, roots: DataFrame, group: str, size: str) -> DataFrame:
+    """``folder, ord`` of ``places`` with group numbers from 1 per folder, in the
+    order of their first frames, and group sizes; frames without an edge stand
+    alone. Rows are a few numbers each, also where an album is one window."""
     r = roots.select("folder", "ord", "root")
-    placed = frames.join(r, ["folder", "ord"], "left").withColumn("root", F.coalesce("root", "ord"))
-    return placed.withColumns({
-        group: F.dense_rank().over(W.partitionBy("folder").orderBy("root")),
-        size: F.count(F.lit(1)).over(W.partitionBy("folder", "root")),
-    }).drop("root")
+    placed = places.select("folder", "ord").join(r, ["folder", "ord"], "left").withColumn("root", F.coalesce("root", "ord"))
+    groups = placed.groupBy("folder", "root").agg(F.count(F.lit(1)).alias(size))
+    groups = groups.withColumn(group, F.row_number().over(W.partitionBy("folder").orderBy("root")))
+    return placed.join(groups, ["folder", "root"]).select("folder", "ord", group, size)
+
+
+def numbered_groups(frames: DataFrame, roots: DataFrame, group: str, size: str) -> DataFrame:
+    """``frames`` with the numbers and sizes of their groups."""
+    return frames.join(group_numbers(frames, roots, group, size), ["folder", "ord"])
 
 
 def linked(candidates: DataFrame, limits: list[Limits], gate: bool = True) -> DataFrame:
@@ -227,5 +232,6 @@ def grouped(candidates: DataFrame, c: CurationConfig) -> DataFrame:
     """Strict groups and scene families of all candidates, rejected ones
     included: they are vertices too and may link two good frames."""
     edges = linked(candidates, [strict_limits(c), family_limits(c)], c.sequence_gate)
-    out = numbered_groups(candidates, components(edges.where("edge_0")), "group_id", "group_size")
-    return numbered_groups(out, components(edges.where("edge_1")), "scene_family_id", "scene_family_size")
+    strict = group_numbers(candidates, components(edges.where("edge_0")), "group_id", "group_size")
+    family = group_numbers(candidates, components(edges.where("edge_1")), "scene_family_id", "scene_family_size")
+    return candidates.join(strict.join(family, ["folder", "ord"]), ["folder", "ord"])

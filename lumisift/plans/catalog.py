@@ -842,6 +842,22 @@ def family_totals(spark, d):
     rows = table(spark, d, "orders").select(
         F.col("o_custkey").alias("scene_family_id"), F.col("o_orderkey").cast("string").alias("filename"), (F.col("o_orderstatus") == "O").alias("kept"), F.lit(False).alias("is_primary"), F.lit("").alias("reason"), (F.col("o_orderkey") % 5).alias("strict_group_id"),
     )
-    doc = outputs.family_summary(rows).select(F.parse_json("json").alias("v"))
-    ids = F.variant_get("v", "$.families", "array<struct<strict_group_ids:array<int>>>")
-    return doc.select(*[F.variant_get("v", f"$.{c}", "bigint").alias(c) for c in ("family_count", "input_count", "survivor_count")], F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + F.size(x["strict_group_ids"])).alias("group_ids"), F.array_join(F.transform(ids, lambda x: x["strict_group_ids"][0].cast("string")), "").alias("first_ids"))
+    lines = outputs.family_summary(rows)
+    item = F.when(F.col("part") == 2, F.parse_json(F.ltrim("line", F.lit(","))))
+    head = F.max(F.when(F.col("part") == 0, F.concat("line", F.lit("}"))))
+    ids = F.variant_get(item, "$.strict_group_ids", "array<int>")
+    doc = lines.select("part", "place", "line", ids.alias("ids")).groupBy().agg(
+        head.alias("head"), F.sum(F.size("ids")).alias("group_ids"), F.array_sort(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("place", F.col("ids")[0].cast("string").alias("i"))))).alias("first"),
+    )
+    counts = [F.get_json_object("head", f"$.{c}").cast("long").alias(c) for c in ("family_count", "input_count", "survivor_count")]
+    return doc.select(*counts, "group_ids", F.array_join(F.transform("first", lambda x: x["i"]), "").alias("first_ids"))
+
+
+@query("""WITH p AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'O') AS kept, list_sort(list(DISTINCT o_orderkey % 5)) AS groups FROM orders GROUP BY o_custkey)
+SELECT o_custkey AS place, CASE WHEN o_custkey = (SELECT min(o_custkey) FROM p) THEN '' ELSE ',' END || '{"scene_family_id":' || o_custkey || ',"input_count":' || n || ',"kept_count":' || kept || ',"strict_group_ids":[' || array_to_string(groups, ',') || ']' AS begins FROM p""")
+def family_lines(spark, d):
+    """The summary's lines of families, up to their photos."""
+    rows = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("scene_family_id"), F.col("o_orderkey").cast("string").alias("filename"), (F.col("o_orderstatus") == "O").alias("kept"), F.lit(False).alias("is_primary"), F.lit("").alias("reason"), (F.col("o_orderkey") % 5).alias("strict_group_id"),
+    )
+    return outputs.family_summary(rows).where("part = 2").select("place", F.element_at(F.split("line", ',"photos"'), 1).alias("begins"))

@@ -120,26 +120,54 @@ def improvement_documents(images: DataFrame) -> DataFrame:
     return json_rows(images, F.concat(text.stem(F.col("filename")), F.lit(".json")))
 
 
+def document_lines(head: DataFrame, lists: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """``(part, place, line)`` of one JSON document, a line at a time: the fields
+    of ``head`` (one row) and, by name, lists of ``(rows, order)``, whose items
+    are rows in the order of a column of whole numbers. No row holds more than
+    one item, however long the lists are."""
+    whole = {"ignoreNullFields": "false"}
+    fields = F.to_json(F.struct("*"), whole)
+    zero = F.lit(0).cast("long")
+    out = head.select(fields.alias("j")).select(F.lit(0).alias("part"), zero.alias("place"), F.expr("substring(j, 1, length(j) - 1)").alias("line"))
+    one = head.select(F.lit(1).alias("one_")).limit(1)
+    part = 1
+    for i, (name, (rows, order)) in enumerate(lists.items()):
+        begin = ("" if i == 0 else "]") + ("," if head.columns or i else "") + json.dumps(name) + ":["
+        out = out.unionByName(one.select(F.lit(part).alias("part"), zero.alias("place"), F.lit(begin).alias("line")))
+        first = rows.agg(F.min(order).alias("first_"))
+        items = rows.crossJoin(F.broadcast(first)).select(F.col(order).cast("long").alias("place"), F.concat(F.when(F.col(order) == F.col("first_"), "").otherwise(","), F.to_json(F.struct(*rows.columns), whole)).alias("line"))  # one row of one number
+        out = out.unionByName(items.select(F.lit(part + 1).alias("part"), "place", "line"))
+        part += 2
+    return out.unionByName(one.select(F.lit(part).alias("part"), zero.alias("place"), F.lit("]}" if lists else "}").alias("line")))
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """A document of ``document_lines`` as one file, row by row."""
+    lines.orderBy("part", "place").select("line").coalesce(1).write.mode("overwrite").text(path)
+
+
 def family_summary(decisions: DataFrame, family: str = "scene_family_id") -> DataFrame:
-    """One JSON row: counts, and the decisions of every family."""
+    """Lines of a document of counts and the decisions of every family, one
+    family a line."""
     per = decisions.groupBy(family).agg(
         F.count(F.lit(1)).alias("input_count"), F.count_if("kept").alias("kept_count"),
-        F.array_sort(F.collect_list(F.struct("filename", "kept", "is_primary", "reason"))).alias("photos"),
         F.sort_array(F.collect_set("strict_group_id")).alias("strict_group_ids"),
+        F.array_sort(F.collect_list(F.struct("filename", "kept", "is_primary", "reason"))).alias("photos"),
     )
-    doc = per.agg(F.count(F.lit(1)).alias("family_count"), F.sum("input_count").alias("input_count"), F.sum("kept_count").alias("survivor_count"), F.array_sort(F.collect_list(F.struct(family, "input_count", "kept_count", "strict_group_ids", "photos"))).alias("families"))
-    return doc.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+    counts = per.agg(F.count(F.lit(1)).alias("family_count"), F.coalesce(F.sum("input_count"), F.lit(0)).alias("input_count"), F.coalesce(F.sum("kept_count"), F.lit(0)).alias("survivor_count"))
+    return document_lines(counts, {"families": (per, family)})
 
 
-def portfolio_summary(details: DataFrame, ranking: DataFrame, settings: dict) -> DataFrame:
-    """One JSON row: settings, the ranking and its details by rank."""
-    listed = details.agg(F.array_sort(F.collect_list(F.struct("rank", *[c for c in details.columns if c != "rank"]))).alias("ranked_details"))
-    doc = ranking.crossJoin(listed)  # one row each
-    return doc.select(F.to_json(F.struct(F.lit(json.dumps(settings)).alias("settings"), "ranked_filenames", "top_filename", "ranked_details"), {"ignoreNullFields": "false"}).alias("json"))
+def portfolio_summary(details: DataFrame, settings: dict) -> DataFrame:
+    """Lines of a document of the settings, the top file, and the ranking with
+    its details, one photo a line."""
+    top = details.agg(F.max("top_filename").alias("top_filename"), F.count(F.lit(1)).alias("ranked_count"))
+    head = top.select(F.lit(json.dumps(settings)).alias("settings"), "*")
+    return document_lines(head, {"ranked_details": (details.drop("top_filename"), "rank")})
 
 
 def suite_summary(runs: DataFrame, settings: dict) -> DataFrame:
-    """One JSON row over the runs of all models."""
+    """One JSON row over the runs of all models, a few."""
     doc = runs.agg(F.array_sort(F.collect_list(F.struct("model", *[c for c in runs.columns if c != "model"]))).alias("runs"))
     return doc.select(F.to_json(F.struct(F.lit(json.dumps(settings)).alias("settings"), F.current_timestamp().cast("string").alias("generated_at"), "runs"), {"ignoreNullFields": "false"}).alias("json"))
 

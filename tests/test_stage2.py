@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lumisift.models import ModelError
 from lumisift.operators import tournament
-from lumisift.plans import stage2
+from lumisift.plans import stage2, suite
+from lumisift.sinks import outputs
 
 
 def ranker(most, leave_out=(), broken=()):
@@ -93,3 +94,38 @@ def test_a_large_family_is_not_copied_into_its_rows(spark):
     assert "collect_set" not in out._jdf.queryExecution().executedPlan().toString()
     kept = {r.filename: (r.is_primary, r.reason) for r in out.where("kept").collect()}
     assert kept == {"p00009": (False, ""), "p00007": (True, "")} and out.count() == 5000
+
+
+def test_a_suite_of_models_writes_its_documents(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    rows = []
+    for i in range(30):
+        path = tmp_path / "in" / f"p{i:05d}.jpg"
+        path.write_bytes(str(i).encode())
+        rows.append((path.name, str(path), i // 10, i % 10, 1))
+    selected = spark.createDataFrame(rows, "filename string, source_path string, scene_family_id int, group_id int, group_size int")
+    c = stage2.Stage2Config(batch_size=4)
+    models = {"Good/Model 1": ranker(99), "Bad:model": ranker(0)}
+    runs = {r.model: r for r in suite.run_suite(selected, models, str(tmp_path / "out"), c, str(tmp_path / "answers")).collect()}
+    good = tmp_path / "out" / "good_model_1"
+    assert runs["Bad:model"].error and runs["Good/Model 1"].error is None and runs["Good/Model 1"].families == 3
+    document = lambda p: json.loads("".join(x.read_text() for x in sorted(p.glob("part-*"))))
+    families, portfolio = document(good / "family_summary"), document(good / "portfolio_summary")
+    assert families["family_count"] == 3 and families["input_count"] == 30 and [f["scene_family_id"] for f in families["families"]] == [0, 1, 2]
+    assert [d["rank"] for d in portfolio["ranked_details"]] == list(range(1, runs["Good/Model 1"].ranked + 1)) and portfolio["top_filename"] == runs["Good/Model 1"].top_filename
+    assert sorted(p.name for p in (good / "families").iterdir()) == [f"family_{i:04d}.json" for i in range(3)]
+    copied = sorted(p.name for p in (good / "ranked").iterdir())
+    assert len(copied) == runs["Good/Model 1"].ranked and copied[0].startswith("01_p")
+    assert len(json.loads(json.loads((tmp_path / "out" / "suite_summary.json").read_text())["settings"])) > 5
+    again = suite.run_suite(selected, {"Good/Model 1": ranker(0)}, str(tmp_path / "out"), c, str(tmp_path / "answers")).first()
+    assert again.error is None and again.ranked == runs["Good/Model 1"].ranked  # every answer is known
+    with pytest.raises(ValueError):
+        suite.selected_photos(spark, [])
+
+
+def test_lines_of_a_document_without_items(spark):
+    head = spark.createDataFrame([(1, None)], "n int, x string")
+    none = spark.createDataFrame([], "k int, v string")
+    lines = outputs.document_lines(head, {"a": (none, "k"), "b": (spark.createDataFrame([(2, "y"), (1, None)], "k int, v string"), "k")})
+    text = "".join(r.line for r in lines.orderBy("part", "place").collect())
+    assert json.loads(text) == {"n": 1, "x": None, "a": [], "b": [{"k": 1, "v": None}, {"k": 2, "v": "y"}]}
