@@ -1,7 +1,9 @@
 import math
+import struct
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lumisift.llm import quality_classifier as qc
@@ -94,3 +96,116 @@ def test_regression_keeps_signs():
     b = qc.regression(x, y)
     assert b[1] > 1 and b[2] == 0  # what speaks against may not speak for
     assert qc.regression(x, np.zeros(400))[1] >= 0
+
+
+def spark_hash(*parts):
+    """Spark's xxhash64 of longs and, as a last part, an int."""
+    seed = 42
+    for k, x in enumerate(parts):
+        seed = xxhash.xxh64_intdigest(struct.pack("<q" if k == 0 else "<i", x), seed=seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def logistic(x, y, ridge=0.1):
+    """Log odds against the common ones, by plain Newton steps, with wrong signs
+    set to zero."""
+    used, signs = [0, 1, 2, 3], (0, 1, -1, 0)
+    while True:
+        b = np.zeros(4)
+        for _ in range(200):
+            p = 1 / (1 + np.exp(-(x @ b)))
+            z, penalty = x[:, used], np.array([0.0 if k == 0 else ridge for k in used])
+            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty + 1e-9), z.T @ (y - p) - penalty * b[used])
+            b[used] += np.clip(step, -1, 1)
+        wrong = [k for k in used if signs[k] * b[k] < 0]
+        if not wrong:
+            rate = (y.sum() + 0.5) / (len(y) + 1)
+            b[0] -= math.log(rate / (1 - rate))
+            return b
+        used = [k for k in used if k not in wrong]
+
+
+def strength(groups, rates):
+    """Pseudo-rows of a Beta prior by the method of moments, of (n, bad) and
+    the parents' rates."""
+    n = sum(g[0] for g in groups)
+    noise = sum(g[0] * p * (1 - p) for g, p in zip(groups, rates)) / n
+    between = sum(g[0] * (g[1] / g[0] - p) ** 2 for g, p in zip(groups, rates)) / n - noise * len(groups) / n
+    return min(10_000.0, max(1.0, noise / max(between, 1e-9) - 1))
+
+
+def brute(docs, labels):
+    """``{doc_id: (p_low, p_toxic)}`` from dictionaries of buckets."""
+    known = {}
+    for i, quality, toxic in labels:
+        if i is not None and (quality is not None or toxic is not None):
+            low, bad = known.get(i, (0, 0))
+            known[i] = (max(low, int(quality == 0)), max(bad, int(toxic == 1)))
+
+    def parts(text):
+        words = (text or "").lower().split()
+        return qc.statistic_buckets(text or "", words, len(set(words))), [qc.word_buckets(w) for w in set(words)], len(words)
+
+    sample = [(parts(text), spark_hash(i, 3) % 3, known[i]) for i, text, _, _ in docs if i in known]
+    weights = {}
+    for part in ("a", "all"):
+        rows = [s for s in sample if part == "all" or s[1] < 2]
+        counts = {}
+        for (own, words, _), _, bad in rows:
+            for b in {*own, *(x for w in words for x in w)}:
+                row = counts.setdefault(b, [0, 0, 0])
+                row[0] += 1
+                row[1] += bad[0]
+                row[2] += bad[1]
+        for h in (0, 1):
+            rate = min(0.99, max(0.01, sum(s[2][h] for s in rows) / max(1, len(rows))))
+            gain = lambda n, k: sum(x * math.log(x / n / p) for x, p in ((k, rate), (n - k, 1 - rate)) if x) - math.log(n + 1) / 2  # noqa: E731, B023
+            share = 0.01
+            for _ in range(qc.ROUNDS):
+                share = min(0.5, max(1e-5, sum(1 / (1 + (1 - share) / share * math.exp(-min(700, gain(c[0], c[1 + h])))) for c in counts.values()) / len(counts)))
+            for b, c in counts.items():
+                q = (c[1 + h] + qc.SHRINK * rate) / (c[0] + qc.SHRINK)
+                odds = math.log(q / (1 - q)) - math.log(rate / (1 - rate))
+                own = 1 / (1 + (1 - share) / share * math.exp(-min(700, gain(c[0], c[1 + h]))))
+                weights[part, h, b] = tuple(float(np.float16(np.float32(own * (math.exp(min(9, s)) - 1) if s > 0 else 0))) for s in (odds, -odds))
+
+    def features(part, h, own, words, n):
+        said = [sum(weights.get((part, h, b), (0, 0))[k] for b in [*own, *(x for w in words for x in w)]) for k in (0, 1)]
+        return [1, math.log(said[0] + 1e-3), math.log(said[1] + 1e-3), math.log1p(n)]
+
+    held = [s for s in sample if s[1] == 2]
+    fits = [logistic(np.array([features("a", h, *s[0]) for s in held]), np.array([s[2][h] for s in held], dtype=float)) for h in (0, 1)]
+    site = lambda r: (r[2] or "", r[3] or "")
+    paths, hosts = {}, {}
+    for r in docs:
+        if r[0] in known:
+            for table, key in ((paths, site(r)), (hosts, site(r)[0])):
+                row = table.setdefault(key, [0, 0, 0])
+                for k, x in enumerate((1, *known[r[0]])):
+                    row[k] += x
+    out = {}
+    for h in (0, 1):
+        n = sum(v[0] for v in hosts.values())
+        overall = (sum(v[1 + h] for v in hosts.values()) + 1) / (n + 20)
+        m = strength([(v[0], v[1 + h]) for v in hosts.values()], [overall] * len(hosts))
+        host = {k: (v[1 + h] + m * overall) / (v[0] + m) for k, v in hosts.items()}
+        m = strength([(v[0], v[1 + h]) for v in paths.values()], [host[k[0]] for k in paths])
+        path = {k: (v[1 + h] + m * host[k[0]]) / (v[0] + m) for k, v in paths.items()}
+        for r in docs:
+            prior = path.get(site(r), host.get(site(r)[0], overall))
+            odds = math.log(prior / (1 - prior)) + float(np.dot(fits[h], features("all", h, *parts(r[1]))))
+            out.setdefault(r[0], []).append(1 / (1 + math.exp(-max(-700, min(700, odds)))))
+    return out
+
+
+def test_query_matches_brute_force(spark, small):
+    docs = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "source", "lang").collect()]
+    labels = [tuple(r) for r in spark.read.parquet(f"{small}/labels.parquet").select("doc_id", "quality", "toxic").collect()]
+    want = brute(docs, labels)
+    out = op3_quality_classifier(spark, small).collect()
+    assert len(out) == len(want)
+    for r in out:
+        low, toxic = want[r.doc_id]
+        assert (r.p_low, r.p_toxic) == (pytest.approx(low, abs=2e-3), pytest.approx(toxic, abs=2e-3)), r.doc_id
+        assert r.kept == (1 - (1 - low) * (1 - toxic) < 0.5)
+    assert 0 < sum(not r.kept for r in out) < len(out)

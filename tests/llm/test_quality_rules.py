@@ -1,6 +1,8 @@
+import math
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from lumisift.llm import quality_rules as qr
@@ -91,3 +93,72 @@ def test_verdicts_on_held_out_labels(spark):
     held = out.where("NOT base_failed").join(labels.where("doc_id % 2 = 1"), "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("kept"), F.count(F.lit(1)).alias("n")).collect()
     kept = {r.quality: r.kept for r in held}
     assert kept[1] >= 0.99 and kept[0] <= 0.05
+
+
+def covering(rows, edges):
+    """The decision list by plain search over all thresholds, of ``(features,
+    bad, fold)`` rows."""
+    def gain(p, n, p0, n0):
+        return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else 0.0
+
+    def holds(c, x):
+        return x[c[0]] > c[2] if c[1] else x[c[0]] <= c[2]
+
+    found = []
+    while True:
+        left = [r for r in rows if not any(all(holds(c, r[0]) for c in rule) for rule in found)]
+        grow, check, rule = [r for r in left if r[2] < 2], [r for r in left if r[2] == 2], []
+        while True:
+            p0, n0 = (sum(r[1] == k for r in grow) for k in (1, 0))
+            best, top = None, 1e-9
+            for f, cuts in enumerate(edges):
+                for e in cuts:
+                    for above in (False, True):
+                        some = [r for r in grow if (r[0][f] > e) == above]
+                        p = sum(r[1] for r in some)
+                        n = len(some) - p
+                        if n < n0 and (g := gain(p, n, p0, n0)) > top:
+                            best, top = (f, above, e), g
+            if best is None:
+                break
+            rule.append(best)
+            grow = [r for r in grow if holds(best, r[0])]
+        if not rule:
+            return found
+        worth = []
+        for size in range(1, len(rule) + 1):
+            some = [r for r in check if all(holds(c, r[0]) for c in rule[:size])]
+            p = sum(r[1] for r in some)
+            worth.append((p, len(some) - p))
+        score = [(p - n) / max(1, p + n) for p, n in worth]
+        size = score.index(max(score)) + 1
+        p, n = worth[size - 1]
+        if p < 5 or p < 0.95 * (p + n):
+            return found
+        found.append(rule[:size])
+
+
+def test_verdicts_match_brute_force(spark):
+    """The learned list, and so ``kept``, against plain covering."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    known = {r.doc_id: int(r.quality == 0) for r in labels.collect() if r.quality is not None}
+    statistics = {r.doc_id: r for r in qr.text_statistics(docs).collect()}
+    fold = {r.doc_id: r.fold for r in labels.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)).alias("fold")).collect()}
+    rows = [(list(s.features), known[i], fold[i]) for i, s in statistics.items() if i in known and not s.base_failed]
+    share = [k / 24 for k in range(1, 24)] + [0.005, 0.01, 0.02, 0.98, 0.99, 0.995]
+    edges = []
+    for f in range(len(qr.FEATURES)):
+        seen = set()
+        for bad in (0, 1):
+            values = sorted(r[0][f] for r in rows if r[1] == bad)
+            seen |= {values[max(0, math.ceil(q * len(values)) - 1)] for q in share}
+        seen = sorted(seen)
+        edges.append([(a + b) / 2 for a, b in zip(seen, seen[1:])])
+    rules = covering(rows, edges)
+    learned = qr.learn_rules(qr.text_statistics(docs), labels)
+    assert [[(c.feature, c.above, c.edge) for c in r] for r in learned.rules] == [[(f, a, pytest.approx(e)) for f, a, e in r] for r in rules] and rules
+    out = {r.doc_id: r.kept for r in op1_quality_rules(spark, sf).collect()}
+    for i, s in statistics.items():
+        rejected = any(all(s.features[f] > e if above else s.features[f] <= e for f, above, e in rule) for rule in rules)
+        assert out[i] == (not s.base_failed and not rejected)
