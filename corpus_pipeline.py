@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumisift.llm.common import fresh_path
+from lumisift.llm.common import filesystem, fresh_path
 from lumisift.llm.decontamination import decontaminated
 from lumisift.llm.packing import pack_documents
 from lumisift.llm.quality_classifier import classifier_filtered
@@ -66,10 +66,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn, over the whole of ``documents``."""
-    docs = _table(spark, sf_dir, "documents")
+    """All stages in turn, over the whole of ``documents``. What a stage kept is
+    removed when the next one has written its own."""
+    docs, before = _table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = fresh_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            fs, place = filesystem(before)
+            fs.delete_dir(place)
+        before = path
     return docs

@@ -170,3 +170,28 @@ def measure(image: Column, names=tuple(METRICS)) -> Column:
 
     schema = ", ".join(f"{n} {METRICS[n]}" for n in names)
     return F.pandas_udf(run, schema)(image["height"], image["width"], image["nChannels"], image["data"])
+
+
+def shrunk(image: Column, side: int) -> Column:
+    """A decoded image struct whose longer side is ``side`` at most."""
+    def run(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series) -> pd.DataFrame:
+        rows = []
+        for h, w, c, d in zip(height, width, channels, data):
+            if d is None or h is None or not h > 0:
+                rows.append((h, w, c, d))
+                continue
+            img = fit_side(np.frombuffer(d, np.uint8).reshape(int(h), int(w), int(c)), side)
+            rows.append((img.shape[0], img.shape[1], c, img.tobytes()))
+        return pd.DataFrame(rows, columns=["height", "width", "nChannels", "data"])
+
+    return F.pandas_udf(run, "height int, width int, nChannels int, data binary")(image["height"], image["width"], image["nChannels"], image["data"])
+
+
+def padding(height: Column, width: Column, sides: Column, percent: int) -> Column:
+    """``struct<left, right, top, bottom>``: how much is padded on listed sides."""
+    names = ["left", "right", "top", "bottom"]
+
+    def run(h: pd.Series, w: pd.Series, s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([pad_geometry(int(a), int(b), [] if c is None else list(c), percent) for a, b, c in zip(h, w, s)], columns=names)
+
+    return F.pandas_udf(run, ", ".join(f"{n} int" for n in names))(height, width, sides)

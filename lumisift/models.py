@@ -1,5 +1,5 @@
-"""Model adapters: protocols, deterministic stand-ins, retries, and the hosts
-that run them over DataFrames."""
+"""Model adapters: protocols, retries, answers that are kept, and the hosts that
+run models over DataFrames."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ import json
 import os
 import time
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 from pathlib import Path
 from typing import Any, Protocol
@@ -76,59 +75,6 @@ def json_call(model: JsonModel, prompt: str, images: list[bytes], schema: dict |
         return with_retry(lambda: model(prompt, images, None))
 
 
-def _number(*parts: Any) -> int:
-    return zlib.crc32(repr(parts).encode())
-
-
-class FakeJsonModel:
-    """Answers from the prompt's listed names alone, so runs repeat exactly."""
-
-    def __call__(self, prompt: str, images: list[bytes], schema: dict | None = None) -> str:
-        names = [x.strip() for x in prompt.rpartition(": ")[2].split(",") if x.strip()]
-        order = sorted(names, key=lambda n: (_number(n), n))
-        score = {n: 1 + _number(n) % 10 for n in names}
-        return json.dumps({
-            "keep_filenames": order, "primary_filename": order[0] if order else None, "ranked_filenames": order, "top_filename": order[0] if order else None,
-            "top_batch_filenames": sorted(names, key=lambda n: (-score[n], n)), "best_filename": order[0] if order else None, "reason": "chosen by name",
-            "photos": [{"filename": n, "printworthy_score": score[n], "reason": "by name"} for n in names], "repair_mode": "tonal_only", "pad_sides": [],
-        })
-
-
-class OrdinalModel:
-    """Answers from the numbers in the listed names: keeps the last names,
-    scores by the last digit, ranks by score and name."""
-
-    def __call__(self, prompt: str, images: list[bytes], schema: dict | None = None) -> str:
-        names = sorted(x.strip() for x in prompt.rpartition(": ")[2].split(",") if x.strip())
-        score = {n: 1 + int("0" + "".join(c for c in n if c.isdigit())) % 10 for n in names}
-        best = sorted(names, key=lambda n: (-score[n], n))
-        return "Answer: " + json.dumps({
-            "keep_filenames": names[::-1], "primary_filename": names[-1] if names else None, "top_batch_filenames": best, "ranked_filenames": best, "top_filename": best[0] if best else None,
-            "photos": [{"filename": n, "printworthy_score": score[n], "category": "c" + n[-5:-4], "reason": "by number"} for n in names], "reasons": [{"filename": n, "reason": "last " + n[-5:-4]} for n in best[::2]],
-        })
-
-
-class FakeImageModel:
-    def __call__(self, prompt: str, image: bytes, aspect: str) -> tuple[str, bytes]:
-        return "image/png", image
-
-
-class FakeEmbedder:
-    """Unit vectors seeded by content."""
-
-    size = 64
-
-    def _of(self, seed: int) -> np.ndarray:
-        v = np.random.default_rng(seed).normal(size=self.size)
-        return v / np.linalg.norm(v)
-
-    def image(self, image: np.ndarray) -> np.ndarray:
-        return self._of(zlib.crc32(np.ascontiguousarray(image).tobytes()))
-
-    def text(self, prompt: str) -> np.ndarray:
-        return self._of(zlib.crc32(prompt.encode()))
-
-
 class Pace:
     """Times of the calls of one of ``callers`` tasks, so that all of them
     together make no more than ``per_second`` calls a second, in even steps: a

@@ -14,10 +14,10 @@ from ..functions.pixels import measure
 from ..operators import grouping, lookups, selection, tournament
 from ..operators.grouping import Limits
 from ..operators.tables import dense_place
-from ..models import OrdinalModel
 from ..sinks import outputs
 from ..sources.albums import album_filter
 from . import stage1, stage2
+from .stand_in import OrdinalModel
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -615,11 +615,10 @@ def download_names(spark, d):
     return lookups.collision_names(rows).select("o_orderkey", "out_name")
 
 
-@query("""SELECT conv_id, turn, length(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS n, text LIKE '%?%' AS asks FROM conversations""")
+@query("""SELECT conv_id, turn, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM conversations""")
 def fenced_text(spark, d):
     fenced = F.concat(F.lit("```json\n"), "text", F.lit("\n```"))
-    body = lenient_json.strip_fence(fenced)
-    return table(spark, d, "conversations").select("conv_id", "turn", F.length(body).cast("long").alias("n"), body.contains("?").alias("asks"))
+    return table(spark, d, "conversations").select("conv_id", "turn", lenient_json.strip_fence(fenced).alias("body"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN '.png' WHEN p_size % 4 IN (1, 2) THEN '.jpg' ELSE '.tif' END AS suffix, CASE WHEN strpos(p_name, '_') > 0 THEN substr(p_name, strpos(p_name, '_') + 1) ELSE p_name END AS bare FROM part""")

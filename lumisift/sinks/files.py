@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import shutil
+import time
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -30,6 +31,8 @@ COLUMNS = ("target", "source", "content")
 #: Moves that the driver has under way at once.
 MOVERS = 16
 BLOCK = 1 << 20
+#: How often a staging folder is tried to be removed.
+TRIES = 10
 
 
 class FileSet(DataSource):
@@ -52,9 +55,14 @@ class Staged(WriterCommitMessage):
 
 
 class FileSetWriter(DataSourceWriter):
+    """Made on the driver, which makes the staging folder: tasks that go on for
+    a moment after a failed job cannot make it anew."""
+
     def __init__(self, root: str):
         self.root = root.rstrip("/")
         self.run = f".staging-{uuid.uuid4().hex}"
+        fs, base, _ = filesystem(self.root)
+        fs.create_dir(f"{base}/{self.run}", recursive=True)
 
     def write(self, iterator: Iterator) -> Staged:
         fs, base, _ = filesystem(self.root)
@@ -65,7 +73,7 @@ class FileSetWriter(DataSourceWriter):
             if not target or target.startswith("/") or ".." in target.split("/"):
                 raise ValueError(f"not a path below the set's root: {target}")
             if not manifest:
-                fs.create_dir(folder, recursive=True)
+                fs.create_dir(folder, recursive=False)
             staged = f"{folder}/{n}"
             if row["source"] is not None:
                 self._copy(row["source"], fs, staged)
@@ -121,8 +129,13 @@ class FileSetWriter(DataSourceWriter):
 
     def _drop(self, fs: pafs.FileSystem, base: str) -> None:
         staging = f"{base}/{self.run}"
-        if fs.get_file_info(staging).type == pafs.FileType.Directory:
-            fs.delete_dir(staging)
+        for _ in range(TRIES):  # a task that is being killed may still add a file
+            if fs.get_file_info(staging).type != pafs.FileType.Directory:
+                return
+            try:
+                fs.delete_dir(staging)
+            except OSError:
+                time.sleep(0.2)
 
 
 def below(root: str, path: Column) -> Column:

@@ -148,19 +148,3 @@ class _StreamReader(DataSourceStreamReader):
 def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RemoteImages)
-
-
-class SampleClient:
-    """A small listing, for tests and trials."""
-
-    files = [
-        {"file_id": f"id{i}", "name": f"IMG_{i:04d}.jpg", "mime_type": "image/jpeg" if i % 5 else "image/gif", "width": None if i == 7 else 1000 + 300 * i, "height": 1000 + 200 * i}
-        for i in range(25)
-    ]
-
-    def page(self, folder_id: str, token: str | None, size: int):
-        at = int(token or 0)
-        return self.files[at:at + size], str(at + size) if at + size < len(self.files) else None
-
-    def content(self, file_id: str) -> bytes:
-        return file_id.encode()

@@ -12,6 +12,8 @@ from lumisift.config import CurationConfig
 from lumisift.plans import stage1
 from lumisift.sinks import outputs
 
+from tests import fakes
+
 
 def counting(log, die_at=None, fail=()):
     """A model that writes down its calls; the process that makes call
@@ -119,8 +121,7 @@ def test_counters_are_taken_while_the_log_is_written(spark, tmp_path):
 
 
 def test_a_missing_scorer_is_found_once(spark):
-    from lumisift.models import FakeEmbedder
-
+    FakeEmbedder = fakes.FakeEmbedder
     img = np.zeros((4, 5, 3), np.uint8)
     images = spark.createDataFrame([("/a", (4, 5, 3, bytearray(img.tobytes()))), ("/b", (-1, -1, -1, bytearray()))], "path string, image struct<height:int,width:int,nChannels:int,data:binary>")
     photos = spark.createDataFrame([("/a",), ("/b",), ("/c",)], "path string")

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from lumisift.config import CurationConfig
 from lumisift.functions import image_files, lenient_json, pixels, prompts, scoring, text, vectors
 from lumisift.operators import grouping, lookups, selection, tournament
-from lumisift.models import OrdinalModel
 from lumisift.operators.grouping import Limits
 from lumisift.operators.tables import dense_place
 from lumisift.plans import stage1, stage2
+from lumisift.plans.stand_in import OrdinalModel
 from lumisift.sources import albums
 
 C = CurationConfig()

@@ -19,6 +19,8 @@ from lumisift.sinks import outputs
 from lumisift.sources import albums, remote
 from lumisift.streaming import ingest
 
+from tests import fakes
+
 
 def png(path: Path, img: np.ndarray) -> None:
     """An RGB picture as a PNG file."""
@@ -112,9 +114,9 @@ def test_copies_and_documents(spark, root, tmp_path):
 
 def test_remote_source(spark):
     remote.register(spark)
-    load = lambda **o: spark.read.format("remote_images").options(folder_id="x", client="lumisift.sources.remote:SampleClient", page_size="4", **o).load()
+    load = lambda **o: spark.read.format("remote_images").options(folder_id="x", client="tests.fakes:SampleClient", page_size="4", **o).load()
     rows = {r.file_id: r for r in load(min_pixels="2000000").collect()}
-    want = {f["file_id"] for f in remote.SampleClient.files if f["mime_type"] in remote.MIME_TYPES and f["width"] and f["width"] * f["height"] >= 2_000_000}
+    want = {f["file_id"] for f in fakes.SampleClient.files if f["mime_type"] in remote.MIME_TYPES and f["width"] and f["width"] * f["height"] >= 2_000_000}
     assert set(rows) == want and rows["id6"].megapixels == round(2800 * 2200 / 1e6, 2)
     assert load(content="true").where("file_id = 'id9'").first().content == b"id9"
     assert load().where("mime_type = 'image/gif'").count() == 0
@@ -122,7 +124,7 @@ def test_remote_source(spark):
 
 def test_models(spark):
     rows = spark.createDataFrame([("Rank: a.jpg, b.jpg", [b"1"])], "prompt string, images array<binary>")
-    got = json.loads(models.ask(rows, models.FakeJsonModel).first().response)
+    got = json.loads(models.ask(rows, fakes.FakeJsonModel).first().response)
     assert set(got["ranked_filenames"]) == {"a.jpg", "b.jpg"}
     calls = []
 
@@ -144,10 +146,10 @@ def test_models(spark):
 
     assert models.json_call(no_json, "p", [], {"type": "object"}) == "plain"
     group = spark.createDataFrame([(1, "a", b""), (1, "b", b"")], "group_id int, filename string, content binary")
-    assert models.pick_one(group, models.FakeJsonModel).first().best_filename in ("a", "b")
-    made = models.improve(spark.createDataFrame([("p", b"x", "1:1")], "prompt string, content binary, aspect string"), models.FakeImageModel).first()
+    assert models.pick_one(group, fakes.FakeJsonModel).first().best_filename in ("a", "b")
+    made = models.improve(spark.createDataFrame([("p", b"x", "1:1")], "prompt string, content binary, aspect string"), fakes.FakeImageModel).first()
     assert (made.mime, bytes(made.output), made.error) == ("image/png", b"x", None)
-    assert models.probe(models.FakeEmbedder) and not models.probe(lambda: 1 / 0)
+    assert models.probe(fakes.FakeEmbedder) and not models.probe(lambda: 1 / 0)
     assert models.resolve_project("p") == "p" and models.resolve_project(env={"GCLOUD_PROJECT": "q"}) == "q" and models.resolve_project(env={}) is None
     assert models.stage2_command("s.py", "m", 4, 4, 12, 9, resume_family_dir="d")[2:4] == ["--resume-family-dir", "d"]
 
@@ -161,7 +163,7 @@ def test_faces_and_embeddings(spark, root):
 
     r = models.detect_faces(images, Detector, ["path"]).first()
     assert (r.faces[0].w, r.image_h) == (25, 40)
-    v = models.embed_images(images, models.FakeEmbedder, ["path"]).first().clip_vector
+    v = models.embed_images(images, fakes.FakeEmbedder, ["path"]).first().clip_vector
     assert abs(sum(x * x for x in v) - 1) < 1e-9
 
 
