@@ -3,6 +3,8 @@ batches, size-checked broadcasts, connected components and shared storage."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -27,11 +29,24 @@ def held(kind: str, key, make):
     A worker keeps the large things of one kind only: the next kind of work
     frees what the last one held."""
     if (kind, key) not in _held:
-        _held.clear()
+        release()
         _held[kind, key] = make()
     return _held[kind, key]
 
 
+def release() -> None:
+    """Free what a worker process holds, and give the memory back. Tasks that
+    hold nothing call it too, as an idle worker would keep what it held."""
+    if not _held:
+        return
+    _held.clear()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 

@@ -24,6 +24,8 @@ LENGTH = 1024
 OPEN_BINS = 16_384
 #: Documents whose short pieces share one packer.
 PACKER_DOCS = 50_000
+#: Words that a worker remembers the ids of.
+PACK_MEMO = 150_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -79,7 +81,7 @@ def token_pieces(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * with_ids)
 
     def run(batches):
-        tokens = encoder(vocabulary)
+        tokens = encoder(vocabulary, PACK_MEMO)
         for batch in batches:
             rows, doc_ids = [], batch.column(0).to_pylist()
             for first, ids, lengths in tokens.encode_column(batch.column(1), END_ID):

@@ -49,6 +49,8 @@ ROUNDS = 6
 HEADS = ("low", "toxic")
 _EDGE = re.compile(r"^\W+|\W+$")
 _MEMO = 200_000
+#: Words whose buckets are remembered while buckets are counted.
+_COUNT_MEMO = 60_000
 
 
 def _bucket(name: str, kind: int) -> int:
@@ -89,7 +91,7 @@ class _Buckets(dict):
     """Buckets by word, made when missing; full, it starts anew."""
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= _MEMO:
+        if len(self) >= _COUNT_MEMO:
             self.clear()
         self[word] = got = word_buckets(word)
         return got

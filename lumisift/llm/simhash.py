@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded_batches, connected_components, cut, free_name, small_side, stored
+from .common import BROADCAST_ROWS, bounded_batches, connected_components, cut, free_name, release, small_side, stored
 
 RADIUS = 2
 SHINGLE = 3
@@ -165,6 +165,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("fp", pa.int64()), ("same", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
+        release()
         for batch in batches:
             fps, same, bands = [], [], []
             for x in batch.column(2):

@@ -197,6 +197,6 @@ class Encoder:
         return ids, np.diff(bounds[offsets])
 
 
-def encoder(path: str = VOCABULARY) -> Encoder:
-    """One encoder, and so one memo, per worker process and vocabulary."""
-    return held("encoder", path, lambda: Encoder(path))
+def encoder(path: str = VOCABULARY, memo: int = MEMO) -> Encoder:
+    """One encoder, and so one memo, per worker process, vocabulary and size."""
+    return held("encoder", (path, memo), lambda: Encoder(path, memo))
