@@ -48,6 +48,8 @@ TREE, FOR = 4.0, 1.0
 #: Different pages of a host at which the tree has its full weight, which grows
 #: with their logarithm.
 FULL = 8
+#: Nodes that a task hands on together.
+NODES = 20_000
 #: A container speaks against its smaller siblings if it holds this share of
 #: their parent's text; a sibling of less than a quarter of it is unimportant.
 MOST = 0.5
@@ -72,10 +74,11 @@ ROLES = frozenset("navigation banner contentinfo complementary search form menu
 _PARTS = re.compile(r"[-_]+")
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _QUOTED = re.compile(r"""[>"']""")
+#: A tag as most are written; what it cannot match ends at the next bracket.
+_PLAIN = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']|"[^"<>]*"|'[^'<>]*')*+)>""")
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
-@lru_cache(maxsize=20_000)
 def _style(tag: str, attrs: str) -> tuple[str, float]:
     """The style name of an element, and what its kind and names weigh: a
     landmark most, a class or id that is a marked name less, and one that
@@ -133,6 +136,15 @@ def tokens(source: str):
         return found
 
     while (lt := source.find("<", at)) >= 0:
+        if quotes and (m := _PLAIN.match(source, lt)):
+            slash, tag, attrs = m.groups()
+            tag = tag.lower()
+            yield source[begun:lt], tag, attrs, bool(slash)
+            at = begun = m.end()
+            if tag in RAW and not slash and not attrs.endswith("/"):
+                raw = _raw_ends()[tag].search(source, at)
+                at = begun = raw.end() if raw else n
+            continue
         kind = source[lt + 1:lt + 2]
         if kind and kind in "!?":
             if source.startswith("<!--", lt):
@@ -163,8 +175,23 @@ def tokens(source: str):
     yield source[begun:], "", "", False
 
 
+_ALL = (1 << 64) - 1
+
+
 def _mix(a: int, b: int) -> int:
-    return xxhash.xxh64_intdigest(a.to_bytes(8, "little") + b.to_bytes(8, "little"))
+    """A number of 64 bits that depends on both and on their order."""
+    x = (a * 0x9E3779B97F4A7C15 + b + 0x632BE59BD9B4E019) & _ALL
+    x = ((x ^ x >> 32) * 0xD6E8FEB86659FD93) & _ALL
+    return x ^ x >> 29
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+
+
+_known_hash, _known_style = lru_cache(maxsize=50_000)(_hash), lru_cache(maxsize=20_000)(_style)
+#: Longer names and attributes are not remembered.
+SHORT = 300
 
 
 class _Open:
@@ -189,10 +216,12 @@ class Page:
     links, and the digest and number of its children.
     """
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, sums: bool = True):
+        """Without ``sums`` only blocks and parents are kept."""
         linked = 0  # characters of the text so far that stand in links
         self.blocks: list[tuple[int, str, float, bool, bool]] = []
         self.nodes: dict[int, list] = {}
+        self.parents: dict[int, int] = {}
         self.has_article = False
         root = _Open("", 0, 0.0, False, False, "")
         stack = [root]
@@ -200,37 +229,40 @@ class Page:
         blocks: list[int] = []  # and of open blocks
         text: list[str] = []
 
-        def last(tags) -> int:
-            return max((where[t][-1] for t in tags if where.get(t)), default=0)
-
         def flush() -> None:
             nonlocal linked
             if text:
-                joined = " ".join(htmllib.unescape("".join(text)).split())
+                joined = "".join(text)
+                joined = " ".join((htmllib.unescape(joined) if "&" in joined else joined).split())
                 text.clear()
                 if joined:
                     top = stack[-1]
                     self.blocks.append((top.node, joined, top.weight + RUN * (top.holder in RUNNING), top.inside, top.marked))
                     self.has_article |= top.inside and top.weight > PARTLY
-                    top.hash = _mix(top.hash, xxhash.xxh64_intdigest(joined.encode("utf-8", "surrogatepass")))
-                    top.chars += len(joined)
-                    top.links += min(linked, len(joined))
+                    if sums:
+                        top.hash = _mix(top.hash, _hash(joined))
+                        top.chars += len(joined)
+                        top.links += min(linked, len(joined))
                 linked = 0
 
         def end(element: _Open) -> None:
-            """Hand what an element held to its parent and its style node."""
+            """Hand what an element held to its parent and its style node; one
+            without text and children leaves nothing."""
+            if not element.chars and not element.children:
+                return
             parent = stack[-1]
+            node = self.nodes.get(element.node)
+            if node is None:
+                node = self.nodes[element.node] = [parent.node, element.tag not in RUNNING, 0, 0, 0, 0, 0]
             if element.chars:
-                parent.hash = _mix(parent.hash, _mix(element.node & (1 << 64) - 1, element.hash))
+                parent.hash = _mix(parent.hash, _mix(element.node, element.hash))
                 parent.chars += element.chars
                 parent.links += element.links
-            node = self.nodes.setdefault(element.node, [parent.node, element.tag not in RUNNING, 0, 0, 0, 0, 0])
-            if element.chars:
                 node[2] = _mix(node[2], element.hash)
-            node[3] += element.chars
-            node[4] += element.links
+                node[3] += element.chars
+                node[4] += element.links
             if element.children:
-                node[5] = _mix(node[5], xxhash.xxh64_intdigest("|".join(element.children).encode("utf-8", "surrogatepass")))
+                node[5] = _mix(node[5], _hash("|".join(element.children)))
                 node[6] += len(element.children)
 
         def pop_to(i: int) -> None:
@@ -242,11 +274,19 @@ class Page:
                 where[element.tag].pop()
                 if element.tag in BLOCK:
                     blocks.pop()
-                end(element)
+                if sums:
+                    end(element)
 
         def close(tags: tuple, stop: tuple) -> None:
-            i = last(tags)
-            if i > last(stop):
+            """End the last of ``tags`` unless one of ``stop`` began since."""
+            i = 0
+            for t in tags:
+                if (open_ := where.get(t)) and open_[-1] > i:
+                    i = open_[-1]
+            if i:
+                for t in stop:
+                    if (open_ := where.get(t)) and open_[-1] > i:
+                        return
                 pop_to(i)
 
         for before, tag, attrs, closing in tokens(source):
@@ -259,7 +299,7 @@ class Page:
             if closing:
                 if tag == "p" and not where.get("p"):
                     flush()
-                i = last((tag,))
+                i = where[tag][-1] if where.get(tag) else 0
                 if i and (tag in BLOCK or not blocks or i > blocks[-1]):
                     pop_to(i)
                 continue
@@ -277,14 +317,16 @@ class Page:
                     close(("p",), SCOPE["p"])
                 if tag in CLOSES:
                     close(CLOSES[tag], SCOPE[tag])
-            name, own = _style(tag, attrs)
+            name, own = (_known_style if len(attrs) < SHORT else _style)(tag, attrs)
             top = stack[-1]
             if tag == "header" and not top.inside:
                 own = LANDMARK
             top.children.append(name)
             weight = min(top.weight, own)
             inside = top.inside or (tag in ("article", "main") and weight > NAMED)
-            node = xxhash.xxh64_intdigest(top.node.to_bytes(8, "little") + name.encode("utf-8", "surrogatepass"))
+            node = _mix(top.node, (_known_hash if len(name) < SHORT else _hash)(name))
+            if node not in self.parents:
+                self.parents[node] = top.node
             where.setdefault(tag, []).append(len(stack))
             if tag in BLOCK:
                 blocks.append(len(stack))
@@ -298,15 +340,12 @@ class Page:
         around = {True: ARTICLE, False: OUTSIDE if self.has_article else PAGE}
         return [(node, text, weight + around[inside], marked) for node, text, weight, inside, marked in self.blocks]
 
-    def parents(self) -> dict[int, int]:
-        return {node: v[0] for node, v in self.nodes.items()}
-
     def main_text(self, tree: dict[int, float], marks: bool = True) -> str:
         """Blocks whose weights come to more than zero: the prior's and the least
         that the tree says of a branch that holds them. A page whose every
         block the tree speaks against keeps those that the prior keeps."""
         said: dict[int, float] = {0: math.inf}
-        parents = self.parents()
+        parents = self.parents
 
         def branch(node: int) -> float:
             """The least weight from the root down; each node is asked once."""
@@ -343,14 +382,21 @@ def style_nodes(pages: DataFrame) -> DataFrame:
     def signed(x: int) -> int:
         return x - (1 << 64) if x >> 63 else x
 
+    def table(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
     def run(batches):
+        rows = []
         for batch in batches:
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 page = Page(source or "")
                 whole = signed(xxhash.xxh64_intdigest("\n".join(f"{node}\t{text}" for node, text, weight, _ in page.prior() if weight > 0).encode("utf-8", "surrogatepass")))
-                rows = [(host, whole, signed(n), signed(v[0]), v[1], signed(v[2]) if v[3] else None, v[3], v[4], signed(v[5]) if v[6] else None, v[6]) for n, v in page.nodes.items()]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                rows += [(host, whole, signed(n), signed(v[0]), v[1], signed(v[2]) if v[3] else None, v[3], v[4], signed(v[5]) if v[6] else None, v[6]) for n, v in page.nodes.items()]
+                if len(rows) >= NODES:
+                    yield table(rows)
+                    rows = []
+        if rows:
+            yield table(rows)
 
     return pages.select("host", "html").mapInArrow(run, "host string, page long, node long, parent long, container boolean, content long, chars long, links long, shape long, l long")
 
@@ -444,7 +490,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             texts = []
             for source, said in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 weights = {e["node"] & (1 << 64) - 1: e["weight"] for e in said or ()}
-                texts.append(Page(source or "").main_text(weights, marks))
+                texts.append(Page(source or "", sums=False).main_text(weights, marks))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lumisift.llm.html_extract import Page, extract_main_text, style_importance, style_nodes, tokens
+from lumisift.llm.html_extract import Page, _mix, extract_main_text, style_importance, style_nodes, tokens
 from lumisift.llm.queries import op6_html
 
 NONE = {}
@@ -98,7 +98,7 @@ def test_importance_against_brute_force(spark):
     def number(path):
         out = 0
         for name in path.split("/")[1:]:
-            out = xxhash.xxh64_intdigest(out.to_bytes(8, "little") + name.encode())
+            out = _mix(out, xxhash.xxh64_intdigest(name.encode()))
         return out - (1 << 64) if out >> 63 else out
 
     want = {}
