@@ -18,7 +18,7 @@ BROADCAST_ROWS = 200_000
 #: Largest side, in measured bytes.
 BROADCAST_BYTES = 64 << 20
 #: Bytes of one Arrow batch handed to a Python worker.
-ARROW_BATCH_BYTES = 8 << 20
+ARROW_BATCH_BYTES = 4 << 20
 
 
 _held: dict = {}

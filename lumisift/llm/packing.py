@@ -25,7 +25,7 @@ OPEN_BINS = 16_384
 #: Documents whose short pieces share one packer.
 PACKER_DOCS = 50_000
 #: Words that a worker remembers the ids of.
-PACK_MEMO = 150_000
+PACK_MEMO = 80_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
