@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -306,3 +307,14 @@ def test_places_in_one_large_album(spark):
     assert "img_vector" not in window.split("\n")[0] and "img_vector" not in window.split("\n")[1]
     got = placed.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ord") != F.col("idx") + 1).alias("wrong"), F.sum("ord").alias("s")).first()
     assert (got.n, got.wrong, got.s) == (n, 0, n * (n + 1) // 2)
+
+
+def test_a_long_answer_is_matched_by_hashes(spark):
+    """Names of a key times names of its answer would be 3,600,000,000 looks."""
+    rows = spark.range(60_000).select(F.concat(F.lit("a long name of a photo "), F.col("id").cast("string")).alias("filename"), F.col("id").alias("final_place"))
+    rows = rows.unionByName(spark.createDataFrame([(None, 60_000)], "filename string, final_place long"))
+    began = time.monotonic()
+    got = tournament.final_ranking(rows, F.concat(F.array(F.lit("nobody"), F.get("names", F.lit(4))), F.reverse("names")), "nobody", 3).first()
+    assert time.monotonic() - began < 30
+    name = "a long name of a photo {}".format
+    assert tuple(got) == ([name(4), name(59_999), name(59_998)], name(4))
