@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -343,15 +345,31 @@ r AS (SELECT vec_id, i AS y, x, sum(w * v) AS v FROM g JOIN b ON y = j GROUP BY
 s AS (SELECT vec_id, y, i AS x, round_even(sum(w * v), 0) AS v FROM r JOIN b ON x = j GROUP BY vec_id, y, i)"""
 
 
+def color_bytes(embeddings: pd.Series) -> pd.Series:
+    """The pixels of 40 by 40 pictures, blue, green and red; null for a null
+    embedding or one of other than 64 numbers. A picture is made at a time."""
+    y, x, c = np.ogrid[:40, :40, :3]
+    shift, corner = 31 * c + 5 * x + 3 * y, (y < 2) & (x < 2)
+
+    def pixels(e) -> bytes | None:
+        if e is None or len(e) != 64:
+            return None
+        e = np.asarray(e, np.float64)  # a null component is not a number here
+        if not np.isfinite(e).all():
+            return None
+        base = np.floor((e + 1) * 997).astype(np.int64).reshape(8, 8)
+        value = base.repeat(5, axis=0).repeat(5, axis=1)[..., None] + shift
+        return np.where(corner, 200, np.fmod(value, 256)).astype(np.uint8).tobytes()
+
+    return pd.Series([pixels(e) for e in embeddings], dtype=object)
+
+
 def color_pictures(spark, d) -> DataFrame:
-    """40 by 40 pictures made from embeddings; the first pixels are 200."""
-    at = F.expr("CAST(((i div 120) div 5) * 8 + ((i div 3) % 40) div 5 AS INT)")
-    base = F.floor((F.get("embedding", at).cast("double") + 1) * 997)
-    value = F.when((F.expr("i div 120") < 2) & (F.expr("(i div 3) % 40") < 2), F.lit(200).cast("long")).otherwise((base + 31 * F.expr("i % 3") + 5 * F.expr("(i div 3) % 40") + 3 * F.expr("i div 120")) % 256)
-    rows = table(spark, d, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(4799))).alias("i")).select("vec_id", "i", F.lpad(F.hex(value), 2, "0").alias("b"))
-    data = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "b"))), lambda t: t["b"]), ""))
-    picture = F.struct(F.lit(40).alias("height"), F.lit(40).alias("width"), F.lit(3).alias("nChannels"), data.alias("data"))
-    return rows.groupBy("vec_id").agg(picture.alias("image"))
+    """40 by 40 pictures made from embeddings; the first pixels are 200. Each is
+    made in its row, so that no pixel is shuffled."""
+    data = F.pandas_udf(color_bytes, "binary")("embedding")
+    rows = table(spark, d, "embeddings").select("vec_id", data.alias("data"))
+    return rows.select("vec_id", F.struct(F.lit(40).alias("height"), F.lit(40).alias("width"), F.lit(3).alias("nChannels"), "data").alias("image"))
 
 
 @query(f"""WITH {GREY_SQL} SELECT vec_id, array_to_string(list(CAST(v AS INT) ORDER BY y, x), ',') AS cells, true AS unit FROM s GROUP BY vec_id""")
@@ -367,7 +385,7 @@ s AS (SELECT vec_id, y, i AS x, c, round_even(sum(w * v), 0) AS v FROM r JOIN b
 SELECT vec_id, array_to_string(list(CAST(v AS INT) ORDER BY y, x, c), ',') AS cells FROM s GROUP BY vec_id""")
 def colour_thumb(spark, d):
     m = color_pictures(spark, d).select("vec_id", measure(F.col("image"), ["color_thumb"])["color_thumb"].alias("v"))
-    return m.select("vec_id", F.array_join(F.transform("v", lambda x: F.round(x.cast("double") * 255).cast("int").cast("string")), ",").alias("cells"))
+    return m.select("vec_id", F.array_join(F.transform("v", lambda x: F.floor(x.cast("double") * 255 + 0.5).cast("string")), ",").alias("cells"))
 
 
 @query(f"""WITH {GREY_SQL}, t AS (SELECT u, n, sqrt(CASE WHEN u = 0 THEN 1 ELSE 2 END / 32.0::DOUBLE) * cos((2 * n + 1) * u * pi() / 64) AS w FROM (SELECT unnest(range(8)) AS u), (SELECT unnest(range(32)) AS n)),

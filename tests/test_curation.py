@@ -318,3 +318,16 @@ def test_a_long_answer_is_matched_by_hashes(spark):
     assert time.monotonic() - began < 30
     name = "a long name of a photo {}".format
     assert tuple(got) == ([name(4), name(59_999), name(59_998)], name(4))
+
+
+def test_pictures_of_embeddings_are_made_in_their_rows(spark):
+    """No pixel is a row of an exchange."""
+    from lumisift.plans import catalog, catalog_io  # noqa: F401
+
+    for name in ("grey_vector", "colour_thumb"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "Aggregate" not in plan, name
+    rows = [(1, [-1.0] * 64), (2, None), (3, [0.0, None] * 32), (4, [0.5])]
+    data = [None if x is None else bytes(x) for x in catalog.color_bytes(spark.createDataFrame(rows, "vec_id int, e array<float>").orderBy("vec_id").toPandas()["e"])]
+    assert data[1:] == [None] * 3
+    assert list(data[0][:6]) == [200] * 6 and list(data[0][6:9]) == [10, 41, 72] and len(data[0]) == 4800
