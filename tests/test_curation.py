@@ -324,7 +324,7 @@ def test_pictures_of_embeddings_are_made_in_their_rows(spark):
     """No pixel is a row of an exchange."""
     from lumisift.plans import catalog, catalog_io  # noqa: F401
 
-    for name in ("grey_vector", "colour_thumb", "shrunk_pictures", "hosted_models"):
+    for name in ("grey_vector", "colour_thumb", "shrunk_pictures", "hosted_models", "perceptual_hash"):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "Generate" not in plan and "Aggregate" not in plan, name
     rows = [(1, [-1.0] * 64), (2, None), (3, [0.0, None] * 32), (4, [0.5])]
