@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.dataset as ds
 import pyarrow.parquet as pq
 
 from ..models import ModelError
@@ -71,18 +73,37 @@ class PartListing:
     """A remote listing of the parts of a folder of tables: ``folder_id`` is
     that folder. A part is a file whose size follows from its key."""
 
-    def _keys(self, folder: str) -> list[tuple[int, str, int]]:
-        fs, path, _ = filesystem(f"{folder}/part.parquet")
-        table = pq.read_table(path, filesystem=fs, columns=["p_partkey", "p_name", "p_size"])
-        return sorted(zip(*(table.column(c).to_pylist() for c in table.column_names)))
+    def __init__(self):
+        self.files: dict[str, list] = {}
+        self.group: tuple = (None, None)
+
+    def _rows(self, folder: str, file: int, group: int) -> pa.Table | None:
+        """A row group of a file of the table, the last one kept; None if the
+        table has no such file or the file no such group."""
+        if folder not in self.files:
+            fs, path, _ = filesystem(f"{folder}/part.parquet")
+            self.files[folder] = [pq.ParquetFile(fs.open_input_file(f)) for f in ds.dataset(path, filesystem=fs, format="parquet").files]
+        if file >= len(self.files[folder]):
+            return None
+        if self.group[0] != (folder, file, group):
+            read = self.files[folder][file]
+            rows = read.read_row_group(group, columns=["p_partkey", "p_name", "p_size"]) if group < read.num_row_groups else None
+            self.group = (folder, file, group), rows
+        return self.group[1]
 
     def page(self, folder_id: str, token: str | None, size: int) -> tuple[list[dict], str | None]:
-        rows, at = self._keys(folder_id), int(token or 0)
+        """The next rows of the table in the order of its files. A token is the
+        file, the row group and the row where a page begins; a page ends with
+        its row group, so that only that group is read."""
+        file, group, at = map(int, token.split(".")) if token else (0, 0, 0)
+        rows = self._rows(folder_id, file, group)
+        if rows is None:
+            return [], f"{file + 1}.0.0" if file + 1 < len(self.files[folder_id]) else None
         files = [
             {"file_id": f"id{k}", "name": f"{name}.jpg", "mime_type": "image/png" if k % 3 else "text/plain", "width": 100 * n + 1 if n % 5 else None, "height": 1001 + 2 * (k % 350)}
-            for k, name, n in rows[at:at + size]
+            for k, name, n in zip(*(rows.column(c).slice(at, size).to_pylist() for c in ("p_partkey", "p_name", "p_size")))
         ]
-        return files, str(at + size) if at + size < len(rows) else None
+        return files, f"{file}.{group}.{at + size}" if at + size < rows.num_rows else f"{file}.{group + 1}.0"
 
     def content(self, file_id: str) -> bytes:
         return b"x" * (int(file_id[2:]) % 50)

@@ -19,6 +19,8 @@ from ..config import CurationConfig
 MAX_BYTES = CurationConfig.max_download_bytes
 # Accepted kinds of files.
 MIME_TYPES = frozenset({"image/jpeg", "image/png", "image/tiff", "image/bmp", "image/webp"})
+#: Most tasks of a listing.
+TASKS = 256
 SCHEMA = "file_id string, name string, mime_type string, width int, height int, megapixels double"
 
 
@@ -43,9 +45,10 @@ class RemoteImages(DataSource):
 
 
 class _Reader(DataSourceReader):
-    """Pages are listed once for the plan; each becomes a partition, so bytes
-    are fetched where they are used. Limits on size and kind are pushed here,
-    before any byte is read."""
+    """The plan walks the pages for their tokens and keeps nothing else of them;
+    tasks list their pages again, so files and bytes are held where they are
+    used. A page keeps its files between both, as for streams. Limits on size
+    and kind are pushed here, before any byte is read."""
 
     def __init__(self, options: dict):
         self.options = dict(options)
@@ -64,29 +67,39 @@ class _Reader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        client, token, out = _client(self.options["client"]), None, []
+        """Tokens of pages that follow each other, with how many files each has,
+        dealt into ``TASKS`` partitions at most."""
+        client, token, pages = _client(self.options["client"]), None, []
         while True:
-            files, token = client.page(self.options["folder_id"], token, int(self.options.get("page_size", 100)))
-            if rows := [f for f in files if self._wanted(f)]:
-                out.append(InputPartition(rows))
+            begin = token
+            files, token = self._page(client, begin)
+            if any(map(self._wanted, files)):
+                pages.append((begin, len(files)))
             if not token:
-                return out or [InputPartition([])]
+                step = -(-len(pages) // TASKS) or 1
+                return [InputPartition(pages[i:i + step]) for i in range(0, len(pages), step)] or [InputPartition([])]
+
+    def _page(self, client, token: str | None) -> tuple[list, str | None]:
+        return client.page(self.options["folder_id"], token, int(self.options.get("page_size", 100)))
 
     def _wanted(self, f: dict) -> bool:
         w, h = f.get("width"), f.get("height")
         return bool(f.get("mime_type") in MIME_TYPES and w and h and w * h >= self.least and (self.mime is None or f["mime_type"] == self.mime) and round(w * h / 1e6, 2) >= self.pixels)
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with_content = self.options.get("content", "false") == "true"
-        client, most = _client(self.options["client"]) if with_content else None, int(self.options.get("max_bytes", MAX_BYTES))
-
-        def content(file_id: str) -> bytes | None:
-            data = client.content(file_id)
-            return data if len(data) <= most else None
-
-        for f in partition.value:
+        client = _client(self.options["client"])
+        for token, count in partition.value:
+            yield from self.rows(client, self._page(client, token)[0][:count])
+
+    def rows(self, client, files: list[dict]) -> Iterator[tuple]:
+        """A row for each of ``files`` that is wanted."""
+        with_content, most = self.options.get("content", "false") == "true", int(self.options.get("max_bytes", MAX_BYTES))
+        for f in filter(self._wanted, files):
             row = (f["file_id"], f["name"], f["mime_type"], int(f["width"]), int(f["height"]), round(f["width"] * f["height"] / 1e6, 2))
-            yield (*row, content(f["file_id"])) if with_content else row
+            if with_content:
+                data = client.content(f["file_id"])
+                row += (data if len(data) <= most else None,)
+            yield row
 
 
 class _StreamReader(DataSourceStreamReader):
@@ -142,7 +155,7 @@ class _StreamReader(DataSourceStreamReader):
         token, skip, stop = partition.value
         self.client = None
         files = self._page(token)[0][skip:stop]
-        yield from self.batch.read(InputPartition([f for f in files if self.batch._wanted(f)]))
+        yield from self.batch.rows(self.client, files)
 
 
 def register(spark: SparkSession) -> None:

@@ -194,3 +194,28 @@ def test_stream_recomputes_touched_albums(spark, tmp_path):
     assert go() == {"007": 1, "12": 2}
     spark.createDataFrame([("007", 10)], "folder string, v int").write.mode("append").parquet(src)
     assert go() == {"007": 11, "12": 2}
+
+
+def test_a_listing_reads_each_row_group_once(spark, tmp_path, monkeypatch):
+    """The plan keeps tokens of pages, not their files, and a page reads no more
+    of the stand-in's table than the row group it lies in."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from lumisift.plans import stand_in
+
+    (tmp_path / "part.parquet").mkdir()
+    for i in range(2):
+        keys = list(range(1000 * i, 1000 * i + 1000))
+        pq.write_table(pa.table({"p_partkey": keys, "p_name": [f"n{k}" for k in keys], "p_size": [k % 50 for k in keys]}), tmp_path / f"part.parquet/{i}.parquet", row_group_size=300)
+    reads = []
+    whole = pq.ParquetFile.read_row_group
+    monkeypatch.setattr(pq.ParquetFile, "read_row_group", lambda self, i, **k: reads.append(i) or whole(self, i, **k))
+    monkeypatch.setattr(pq, "read_table", None)
+    given = {"folder_id": str(tmp_path), "client": "lumisift.plans.stand_in:PartListing", "page_size": "7"}
+    parts = remote._Reader(given).partitions()
+    assert reads == [0, 1, 2, 3] * 2
+    assert len(parts) <= remote.TASKS and all(isinstance(token, str | None) and n <= 7 for p in parts for token, n in p.value)
+    rows = [r for p in parts for r in remote._Reader(given).read(p)]
+    want = {f"id{k}" for k in range(2000) if k % 3 and k % 50 % 5}
+    assert len(rows) == len(want) and {r[0] for r in rows} == want
