@@ -11,7 +11,7 @@ repeated or ran twice is not moved. Of rows with one target one is left.
 
 from __future__ import annotations
 
-import json
+import io
 import os
 import shutil
 import time
@@ -19,6 +19,7 @@ import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,8 @@ from ..sources.paths import filesystem, same_path
 COLUMNS = ("target", "source", "content")
 #: Moves that the driver has under way at once.
 MOVERS = 16
+#: Moves whose names the driver holds at once.
+MOVES = 4096
 BLOCK = 1 << 20
 #: How often a staging folder is tried to be removed.
 TRIES = 10
@@ -101,26 +104,26 @@ class FileSetWriter(DataSourceWriter):
         fs, base, _ = filesystem(self.root)
         made: set[str] = set()
 
-        def move(pair: tuple[str, str]) -> None:
-            staged, target = pair
-            if isinstance(fs, pafs.LocalFileSystem):
-                os.replace(staged, target)
-            else:
-                if fs.get_file_info(target).type != pafs.FileType.NotFound:
-                    fs.delete_file(target)
-                fs.move(staged, target)
+        def move(pairs: list[tuple[str, str]]) -> None:
+            for staged, target in pairs:
+                if isinstance(fs, pafs.LocalFileSystem):
+                    os.replace(staged, target)
+                else:
+                    if fs.get_file_info(target).type != pafs.FileType.NotFound:
+                        fs.delete_file(target)
+                    fs.move(staged, target)
 
         with ThreadPoolExecutor(MOVERS) as movers:
             for folder in (m.manifest for m in messages if m is not None and m.manifest):
-                with fs.open_input_stream(f"{folder}/manifest") as read:
-                    lines = [line.split("\t", 1) for line in read.read().decode().split("\n")]
-                last = {target: n for n, target in lines}  # one of equal targets
-                for target in last:
-                    place = f"{base}/{target}".rsplit("/", 1)[0]
-                    if place not in made:
-                        fs.create_dir(place, recursive=True)
-                        made.add(place)
-                list(movers.map(move, ((f"{folder}/{n}", f"{base}/{target}") for target, n in last.items())))
+                for lines in _manifest_parts(fs, f"{folder}/manifest"):
+                    last = {target: n for n, target in lines}  # one of equal targets
+                    for target in last:
+                        place = f"{base}/{target}".rsplit("/", 1)[0]
+                        if place not in made:
+                            fs.create_dir(place, recursive=True)
+                            made.add(place)
+                    moves = [(f"{folder}/{n}", f"{base}/{target}") for target, n in last.items()]
+                    list(movers.map(move, (moves[i::MOVERS] for i in range(MOVERS))))
         self._drop(fs, base)
 
     def abort(self, messages: list) -> None:
@@ -138,6 +141,14 @@ class FileSetWriter(DataSourceWriter):
                 time.sleep(0.2)
 
 
+def _manifest_parts(fs: pafs.FileSystem, path: str) -> Iterator[list[list[str]]]:
+    """``[number, target]`` of a manifest's lines, ``MOVES`` at a time: however
+    many files a task wrote, the driver holds few of their names."""
+    with fs.open_input_stream(path) as read, io.TextIOWrapper(io.BufferedReader(read, BLOCK), "utf-8", newline="\n") as lines:
+        while part := [line.rstrip("\n").split("\t", 1) for line in islice(lines, MOVES)]:
+            yield part
+
+
 def below(root: str, path: Column) -> Column:
     """``path`` relative to ``root``; an error if it lies elsewhere."""
     top = same_path(root).rstrip("/") + "/"

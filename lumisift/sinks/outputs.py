@@ -179,8 +179,10 @@ def improvement_summary(images: DataFrame, key: list[str] = ()) -> DataFrame:
 
 
 def write_documents(docs: DataFrame, folder: str) -> None:
-    """Documents ``(name, json)`` as files, all or none."""
-    files.write_files(docs, folder, F.col("name"), content=F.encode("json", "UTF-8"))
+    """Documents ``(name, json)`` as files, all or none. They are dealt out by
+    name, as one small part of a table may hold very many."""
+    dealt = docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "name")
+    files.write_files(dealt, folder, F.col("name"), content=F.encode("json", "UTF-8"))
 
 
 def exit_status(records: int, failures: int = 0) -> int:

@@ -76,16 +76,23 @@ def _content(files: DataFrame, most: int | None, head: int | None = None) -> Dat
     row is; null for what is longer than ``most`` or cannot be read."""
     at = files.columns.index("path")
 
+    def bytes_of(path: str) -> bytes | None:
+        fs, inner, _ = filesystem(path)
+        try:
+            with fs.open_input_file(inner) as file:
+                return None if most is not None and file.size() > most else file.read(head)
+        except OSError:
+            return None
+
     def run(batches):
         for batch in batches:
-            for i, path in enumerate(batch.column(at).to_pylist()):  # one file at a time is held
-                fs, inner, _ = filesystem(path)
-                try:
-                    with fs.open_input_file(inner) as file:
-                        data = None if most is not None and file.size() > most else file.read(head)
-                except OSError:
-                    data = None
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, pa.array([data], pa.binary())], names=[*batch.schema.names, "content"])
+            first, data, size = 0, [], 0
+            for i, path in enumerate(batch.column(at).to_pylist()):
+                data.append(bytes_of(path))
+                size += len(data[-1] or b"")
+                if size >= HELD or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(first, len(data)).columns, pa.array(data, pa.binary())], names=[*batch.schema.names, "content"])
+                    first, data, size = i + 1, [], 0
 
     return files.mapInArrow(run, StructType([*files.schema.fields, StructField("content", BinaryType())]))
 
@@ -126,6 +133,8 @@ def read_images(spark: SparkSession, files: DataFrame, upright: bool = True) ->
 
 
 IMAGE = "struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+#: Bytes of files that a reading task holds before it hands them on.
+HELD = 1 << 20
 #: Bytes of a file in which the blocks before its picture are looked for.
 HEAD = 256 << 10
 
@@ -142,8 +151,10 @@ def _orientations(files: DataFrame) -> DataFrame:
 
 def read_bytes(spark: SparkSession, files: DataFrame, most: int | None = None) -> DataFrame:
     """``files`` with content and length; of files longer than ``most`` both
-    are null."""
+    are null. Files of one folder, listed by one task, are dealt out by path to
+    be read."""
     kept = files.select(*[c for c in files.columns if c not in ("content", "length")])
+    kept = kept.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
     return _content(kept, most).withColumn("length", F.octet_length("content").cast("long"))
 
 

@@ -9,6 +9,7 @@ Only the subfolders of a root are listed by the driver.
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
@@ -61,10 +62,22 @@ class _Reader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         for folder in partition.value:
             fs, path, before = filesystem(folder)
-            for f in fs.get_file_info(pafs.FileSelector(path)):
-                if f.type == pafs.FileType.File:
-                    when = f.mtime if f.mtime is not None else datetime.fromtimestamp(0, timezone.utc)
-                    yield same_path(folder), same_path(before + f.path), f.base_name, suffix_of(f.base_name), f.size, when
+            for name, inner, size, seconds in _files(fs, path):
+                yield same_path(folder), same_path(before + inner), name, suffix_of(name), size, datetime.fromtimestamp(seconds, timezone.utc)
+
+
+def _files(fs: pafs.FileSystem, path: str) -> Iterator[tuple[str, str, int, float]]:
+    """Name, path, size and time of change of a folder's files; those of a local
+    folder are told one by one, so that a large one is not held."""
+    if isinstance(fs, pafs.LocalFileSystem):
+        with os.scandir(path) as entries:
+            for e in entries:
+                if e.is_file():
+                    yield e.name, f"{path.rstrip('/')}/{e.name}", e.stat().st_size, e.stat().st_mtime
+        return
+    for f in fs.get_file_info(pafs.FileSelector(path)):
+        if f.type == pafs.FileType.File:
+            yield f.base_name, f.path, f.size, f.mtime.timestamp() if f.mtime is not None else 0.0
 
 
 def list_folders(spark: SparkSession, **options) -> DataFrame:

@@ -181,3 +181,24 @@ def test_a_listing_as_a_stream_that_restarts(spark, tmp_path):
     got = [r.file_id for r in spark.read.parquet(seen).collect()]
     assert sorted(got) == sorted(f"id{i}" for i in range(30) if i % 7)
     assert spark.read.parquet(seen).where("content IS NULL").count() == 0
+
+
+def test_a_commit_holds_few_names_at_once(tmp_path, monkeypatch):
+    """A task's manifest is moved a part at a time, however long it is, and of
+    equal targets in different parts the last is left."""
+    monkeypatch.setattr(files, "MOVES", 10)
+    writer = files.FileSetWriter(str(tmp_path))
+    said = writer.write({"target": f"t{i % 95}", "source": None, "content": str(i).encode()} for i in range(100))
+    parts = list(files._manifest_parts(*files.filesystem(f"{said.manifest}/manifest")[:2]))
+    assert [len(p) for p in parts] == [10] * 10
+    writer.commit([said, None])
+    assert {p.name: p.read_text() for p in tmp_path.iterdir()} == {f"t{i % 95}": str(i) for i in range(100)}
+
+
+def test_files_of_one_folder_are_read_by_several_tasks(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"f{i}").write_bytes(b"x" * i)
+    found = albums.read_bytes(spark, albums.list_files(spark, [str(tmp_path)], images_only=False))
+    rows = found.select("name", "length", F.octet_length("content").alias("n"), F.spark_partition_id().alias("task")).collect()
+    assert {(r.name, r.length, r.n) for r in rows} == {(f"f{i}", i, i) for i in range(40)}
+    assert len({r.task for r in rows}) > 1
