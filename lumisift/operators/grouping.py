@@ -120,9 +120,11 @@ def _fetched(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame
     return out
 
 
-def similarity_edges(candidates: DataFrame, limits: list[Limits], gate: bool = True) -> DataFrame:
+def similarity_edges(candidates: DataFrame, limits: list[Limits], gate: bool = True, keep: list[str] = ()) -> DataFrame:
     """``folder, prefix, a, b`` and ``edge_0``, ``edge_1``, ... per limits: pairs
     are made once, at the widest window, and tested for all limits together.
+    Both frames' columns ``keep`` come with the pair as ``a_*`` and ``b_*``, which
+    spares a join of the edges.
 
     If every limit has a hash, pairs are made of names, indexes and hashes
     alone; vectors are fetched for those whose hashes are near enough.
@@ -132,9 +134,9 @@ def similarity_edges(candidates: DataFrame, limits: list[Limits], gate: bool = T
     a limit admits any angle of 90 degrees or more are all made, in tiles.
     """
     visual = ["img_vector", *(["color_thumb"] if any(x.color is not None for x in limits) else [])]
-    carry = [*visual, *(["hash"] if any(x.hash is not None for x in limits) else [])]
+    carry = [*visual, *(["hash"] if any(x.hash is not None for x in limits) else []), *keep]
     if gate and all(x.hash is not None for x in limits):
-        near = band_pairs(candidates, ["folder", "prefix"], "ord", "idx", max(x.window for x in limits), ["hash"])
+        near = band_pairs(candidates, ["folder", "prefix"], "ord", "idx", max(x.window for x in limits), ["hash", *keep])
         pairs = _fetched(near.where(_hash_near(limits)), candidates, visual)
     elif gate:
         pairs = band_pairs(candidates, ["folder", "prefix"], "ord", "idx", max(x.window for x in limits), carry)
@@ -144,7 +146,7 @@ def similarity_edges(candidates: DataFrame, limits: list[Limits], gate: bool = T
         pairs = metric_pairs(flat, "folder", "ord", "img_vector", least, ["prefix", "idx", *carry]) if least > 0 else tile_pairs(flat, "folder", "ord", ["prefix", "idx", *carry])
     gap = F.abs(F.col("a_idx") - F.col("b_idx"))
     tests = [(similar(x) & (gap <= x.window) if gate else similar(x)).alias(f"edge_{i}") for i, x in enumerate(limits)]
-    return pairs.select(F.col("a_folder").alias("folder"), F.col("a_prefix").alias("prefix"), F.col("a_ord").alias("a"), F.col("b_ord").alias("b"), *tests)
+    return pairs.select(F.col("a_folder").alias("folder"), F.col("a_prefix").alias("prefix"), F.col("a_ord").alias("a"), F.col("b_ord").alias("b"), *[f"{side}_{c}" for side in "ab" for c in keep], *tests)
 
 
 def _union_find(edges: pd.DataFrame) -> pd.DataFrame:

@@ -165,7 +165,8 @@ FLAT_SQL = """SELECT 'all' AS folder, vec_id, list_transform(embedding[1:4], lam
 def metric_edges(spark, d):
     """Without the sequence gate: one album, frames of four numbers."""
     rows = table(spark, d, "embeddings").select(F.lit("all").alias("folder"), F.format_string("/%09d", "vec_id").alias("path"), F.lit("x.jpg").alias("filename"), "vec_id", vectors.unit(F.slice("embedding", 1, 4)).alias("img_vector"))
-    return with_ids(grouping.similarity_edges(grouping.with_sequence(rows), [Limits(0, 0.97)], gate=False).where("edge_0"), rows).select("a", "b")
+    edges = grouping.similarity_edges(grouping.with_sequence(rows), [Limits(0, 0.97)], gate=False, keep=["vec_id"]).where("edge_0")
+    return edges.select(F.col("a_vec_id").alias("a"), F.col("b_vec_id").alias("b"))
 
 
 def groups_sql(limits: Limits, source: str = PHOTO_SQL, where: str = "true") -> str:

@@ -57,3 +57,12 @@ def test_no_angle_rules_out_a_limit_below_zero(spark):
     rows = spark.createDataFrame([("a", f"/{i}", f"x{i}.jpg", [1.0, 0.0] if i else [0.0, 1.0]) for i in range(4)], "folder string, path string, filename string, img_vector array<float>")
     edges = grouping.similarity_edges(grouping.with_sequence(rows), [Limits(0, 0.0), Limits(0, 0.9)], gate=False)
     assert (edges.where("edge_0").count(), edges.where("edge_1").count()) == (6, 3)
+
+
+def test_edges_bring_their_ids(spark):
+    """The edges, which may be many more than the frames, are joined with none."""
+    from lumisift.plans import catalog
+
+    plan = catalog.metric_edges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    tables = [line for line in plan.splitlines() if "Relation" in line]
+    assert not any("embedding" in line for line in tables), plan  # only what the pair join stored is read
