@@ -8,6 +8,7 @@ import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,13 +41,31 @@ def release() -> None:
     if not _held:
         return
     _held.clear()
+    trim()
+
+
+def trim() -> None:
+    """Give back what Arrow and the C library hold of freed memory."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library
         pass
 
 
+def tidy(run):
+    """``run`` over a task's batches for ``mapInArrow``; freed memory is given
+    back when it ends, as a worker that waits for another task would keep it."""
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return whole
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut
+from .common import bounded_batches, cut, tidy
 from .tokens import END_ID, VOCABULARY, encoder
 
 LENGTH = 1024
@@ -96,7 +96,7 @@ def token_pieces(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows) if rows else [()] * len(schema), schema)], schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, PIECES + ", ids binary" * with_ids)
+    return rows.mapInArrow(tidy(run), PIECES + ", ids binary" * with_ids)
 
 
 def pack(pieces: DataFrame, packers: int, length: int = LENGTH, most: int = OPEN_BINS) -> DataFrame:
@@ -113,7 +113,7 @@ def pack(pieces: DataFrame, packers: int, length: int = LENGTH, most: int = OPEN
             yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array([o for _, o in placed], pa.int64())], names=[*batch.schema.names, "sequence_id", "offset"])
 
     fields = ", ".join(f"{c} {t}" for c, t in full.dtypes)
-    return full.unionByName(short.mapInArrow(run, fields))
+    return full.unionByName(short.mapInArrow(tidy(run), fields))
 
 
 def pack_documents(docs: DataFrame, length: int = LENGTH, most: int = OPEN_BINS, packer_docs: int = PACKER_DOCS, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, filesystem, free_name, held, small_side, stored, table_path
+from .common import bounded_batches, filesystem, free_name, held, small_side, stored, table_path, tidy
 
 #: Most labelled documents that evidence is fitted on, by a hash of the id.
 TRAIN_ROWS = 40_000
@@ -245,7 +245,7 @@ def bucket_counts(sample: DataFrame, small: bool = False) -> DataFrame:
             part = used[at:at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *(pa.array(t[part].astype(np.int32)) for t in totals)], names=names)
 
-    rows = sample.select("text", "fold", *HEADS).mapInArrow(count, ", ".join(c + " int" for c in names))
+    rows = sample.select("text", "fold", *HEADS).mapInArrow(tidy(count), ", ".join(c + " int" for c in names))
     sums = rows.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names[1:]])
     return sums.select("bucket", *(F.col(c + "_a") for c in ("n", *HEADS)), *((F.col(c + "_a") + F.col(c + "_b")).alias(c) for c in ("n", *HEADS)))
 
@@ -312,7 +312,7 @@ def fit_evidence(rows: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROW
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.float64())), *batch.columns[1:]], names=["x", *HEADS])
 
     bounded_batches(rows.sparkSession)
-    held_out = sample.where("fold = 2").select("text", *HEADS).mapInArrow(sums, "x array<double>, low int, toxic int").collect()  # about a third of train_rows, four numbers a head
+    held_out = sample.where("fold = 2").select("text", *HEADS).mapInArrow(tidy(sums), "x array<double>, low int, toxic int").collect()  # about a third of train_rows, four numbers a head
     x = np.array([r["x"] for r in held_out]).reshape(len(held_out), len(HEADS), -1)
     fits = [regression(x[:, i], np.array([r[h] for r in held_out], dtype=float)) for i, h in enumerate(HEADS)]
     return Evidence(path, "", tuple(tuple(f.tolist()) for f in fits))
@@ -378,7 +378,7 @@ def _judged(docs: DataFrame, labels: DataFrame, train_rows: int, host_col: str,
             yield pa.RecordBatch.from_arrays([site.field(0), site.field(1), *batch.columns[1:1 + len(keep)], *(pa.array(got[:, i]) for i in range(len(HEADS)))], names=names)
 
     types = [f"k{i} {t}" for i, (_, t) in enumerate(docs.select(*keep).dtypes)]
-    scored = source.mapInArrow(run, ", ".join(["host string", "path string", *types, *(f"r_{h} double" for h in HEADS)]))
+    scored = source.mapInArrow(tidy(run), ", ".join(["host string", "path string", *types, *(f"r_{h} double" for h in HEADS)]))
     placed = scored.join(small_side(sites.drop(*["host_" + h for h in HEADS]), n_sites), ["host", "path"], "left").join(small_side(hosts, n_sites), "host", "left")
     out = []
     for h in HEADS:

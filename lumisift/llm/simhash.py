@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded_batches, connected_components, cut, free_name, release, small_side, stored
+from .common import BROADCAST_ROWS, bounded_batches, connected_components, cut, free_name, release, small_side, stored, tidy
 
 RADIUS = 2
 SHINGLE = 3
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def ball(radius: int) -> list[int]:
@@ -178,7 +178,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new], names=["doc_id", "text_hash", *schema.names])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, same long, bands array<long>")
+    return rows.mapInArrow(tidy(run), "doc_id long, text_hash long, fp long, same long, bands array<long>")
 
 
 def band_members(classes: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             sets = [shingle_set(x.as_py()).view(np.int64) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["text_hash", "shingles"])
 
-    return cut(texts.mapInArrow(run, "text_hash long, shingles array<long>"))
+    return cut(texts.mapInArrow(tidy(run), "text_hash long, shingles array<long>"))
 
 
 def shingle_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:

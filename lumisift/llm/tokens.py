@@ -10,6 +10,7 @@ batch are gathered from there as vectors. The ids are those of
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ END_ID = 2
 #: Remembered chunks per worker; when full, the memo starts anew.
 MEMO = 400_000
 #: Bytes of texts that are cut and gathered at once; a longer text goes alone.
-SPAN = 2 << 20
+SPAN = 1 << 20
 #: Characters that the library encodes at once.
 JOINED = 1 << 16
 
@@ -66,6 +67,7 @@ def _groups(chunks: list[str]) -> Iterator[list[str]]:
 
 class Encoder:
     def __init__(self, path: str = VOCABULARY, memo: int = MEMO):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # threads of one text at a time only hold memory
         self._tokenizer = Tokenizer.from_file(path)
         self._most = memo
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
@@ -152,7 +154,9 @@ class Encoder:
         while row < len(texts):
             before = sizes[row - 1] if row else 0
             stop = max(row + 1, int(np.searchsorted(sizes, before + SPAN, side="right")))
-            yield (row, *self._span(pc.fill_null(texts.slice(row, stop - row), ""), end))
+            got = self._span(pc.fill_null(texts.slice(row, stop - row), ""), end)
+            pa.default_memory_pool().release_unused()  # a span's chunks are many times its text
+            yield (row, *got)
             row = stop
 
     def _span(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:

@@ -1,6 +1,9 @@
 import random
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +19,7 @@ from lumisift.llm.queries import op4_packing, op5_token_store
 from lumisift.llm.tokens import VOCABULARY, Encoder, encoder
 
 PLAIN = Tokenizer.from_file(VOCABULARY)
+ROOT = Path(__file__).parents[2]
 
 
 def ids(text):
@@ -171,3 +175,33 @@ def test_best_fit_against_plain_search(lengths, most):
         where[got] = used + n
         if where[got] == 50:
             bins.remove(got)
+
+
+def test_a_worker_gives_back_what_a_task_freed():
+    """An idle worker holds little more than it did before its task."""
+    code = """
+import random, re, sys
+import pyarrow as pa
+from lumisift.llm.common import tidy
+from lumisift.llm.tokens import encoder
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def batches():
+    draw = random.Random(5)
+    for _ in range(6):
+        yield pa.array([" ".join(f"w{draw.randrange(20_000)}" for _ in range(700)) for _ in range(800)])
+
+def run(batches):
+    for batch in batches:
+        for _, ids, _ in encoder(memo=80_000).encode_column(batch, 2):
+            yield len(ids)
+
+encoder(memo=80_000)
+before = held()
+n = sum((tidy(run) if sys.argv[1] == "tidy" else run)(batches()))
+print(n, held() - before)
+"""
+    n, grown = subprocess.run([sys.executable, "-c", code, "tidy"], capture_output=True, text=True, check=True, cwd=ROOT).stdout.split()
+    assert int(n) > 3_000_000 and float(grown) < 25
