@@ -12,7 +12,7 @@ Edited copies lie farther apart than fingerprints can tell. For them
 a pair counts if its sets of five-word shingles have a Jaccard similarity of
 ``JACCARD`` or more, compared whole. Those that share a band are first compared
 with one of them and with neighbours, which joins copies of one text without
-pairing them all; then, in the bands that still hold texts of several groups,
+pairing them all: one such pair a text, then the pairs that this left apart; then, in the bands that still hold texts of several groups,
 every pair of two groups is compared, in tiles dealt to as many tasks. No pair
 that shares a band and is not joined already is left out.
 """
@@ -207,6 +207,19 @@ def star_pairs(members: DataFrame) -> DataFrame:
     return pairs.select(F.least("me", "other").alias("a"), F.greatest("me", "other").alias("b")).distinct()
 
 
+def first_partners(pairs: DataFrame) -> DataFrame:
+    """Of ``pairs`` one for each text that has a lesser partner: the least. They
+    join most of a group of copies, and its other pairs need no comparison."""
+    return pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+
+
+def still_apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """Those of ``pairs`` whose fingerprints are not in one component."""
+    ends = pairs.select("a", "b", F.col("a.fp").alias("x"), F.col("b.fp").alias("y"))
+    ends = with_labels(with_labels(ends, "x", components).withColumnRenamed("label", "first_"), "y", components)
+    return ends.where("first_ <> label").select("a", "b")
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(text_hash, shingles)`` of the distinct texts that ``wanted`` names,
     stored."""
@@ -320,7 +333,9 @@ def near_copy_groups(docs: DataFrame, radius: int = RADIUS, edited: bool = True)
         classes = cut(rows.groupBy("same").agg(F.min(F.struct("text_hash", "fp", "bands")).alias("r")).select("same", "r.*"))
         equal = rows.select("same", F.col("fp").alias("b")).distinct().join(classes.select("same", F.col("fp").alias("a")), "same").where("a <> b").select("a", "b")
         members = band_members(classes)
-        links = links.unionByName(equal).unionByName(shingle_links(docs, cut(star_pairs(members))))
+        pairs = cut(star_pairs(members))
+        links = cut(links.unionByName(equal).unionByName(shingle_links(docs, cut(first_partners(pairs)))))
+        links = links.unionByName(shingle_links(docs, cut(still_apart(pairs, connected_components(links)))))
     labelled = with_labels(rows.select("doc_id", "text_hash", "fp"), "fp", connected_components(links))
     if not edited:
         return labelled
