@@ -4,6 +4,7 @@ kernel takes one picture or a stack of pictures of equal size."""
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,11 +33,11 @@ def area_resize(img: np.ndarray, height: int, width: int, channels: bool | None
 
 def fit_side(img: np.ndarray, side: int) -> np.ndarray:
     """Shrunk so that the longer side is ``side``; never enlarged."""
-    h, w = img.shape[:2]
+    h, w = img.shape[-3:-1] if img.ndim > 2 else img.shape
     if max(h, w) <= side:
         return img
     k = side / max(h, w)
-    return np.clip(np.rint(area_resize(img, max(1, int(h * k)), max(1, int(w * k)))), 0, 255).astype(np.uint8)
+    return np.clip(np.rint(area_resize(img, max(1, int(h * k)), max(1, int(w * k)), img.ndim > 2)), 0, 255).astype(np.uint8)
 
 
 def gray(img: np.ndarray) -> np.ndarray:
@@ -127,8 +128,25 @@ def exif_oriented(img: np.ndarray, orientation: int) -> np.ndarray:
 
 #: Measures and their types.
 METRICS = {"laplacian_var": "double", "black_clip_pct": "double", "white_clip_pct": "double", "img_vector": "array<float>", "color_thumb": "array<float>", "phash": "array<tinyint>"}
-#: Bytes of pictures that are measured together.
-STACK = 32 << 20
+#: Bytes of pictures that are looked at together; floats made of them take several times as many.
+STACK = 4 << 20
+
+
+def stacks(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series, decode: Callable[[pd.Series], pd.Series] | None = None) -> Iterator[tuple[list[int], np.ndarray]]:
+    """Places of rows whose pictures have equal size, and the stack of those;
+    rows without a picture are left out. ``decode`` makes the pixels of what
+    ``data`` holds (null: none), a stack at a time."""
+    sizes: dict[tuple, list[int]] = {}
+    for i, (h, w, c, d) in enumerate(zip(height, width, channels, data)):
+        if d is not None and h is not None and h > 0:
+            sizes.setdefault((int(h), int(w), int(c)), []).append(i)
+    for (h, w, c), members in sizes.items():
+        step = max(1, STACK // (h * w * c))
+        for at in range(0, len(members), step):
+            some = data.iloc[members[at:at + step]]
+            found = [(i, d) for i, d in zip(members[at:at + step], some if decode is None else decode(some)) if d is not None]
+            if found:
+                yield [i for i, _ in found], np.frombuffer(b"".join(d for _, d in found), np.uint8).reshape(len(found), h, w, c)
 
 
 def _measures(stack: np.ndarray, names: tuple) -> dict:
@@ -172,16 +190,16 @@ def measure(image: Column, names=tuple(METRICS)) -> Column:
     return F.pandas_udf(run, schema)(image["height"], image["width"], image["nChannels"], image["data"])
 
 
-def shrunk(image: Column, side: int) -> Column:
-    """A decoded image struct whose longer side is ``side`` at most."""
+def shrunk(image: Column, side: int, decode: Callable[[pd.Series], pd.Series] | None = None) -> Column:
+    """A decoded image struct whose longer side is ``side`` at most. With
+    ``decode`` pixels are made of what ``image`` holds in the same worker, and
+    data is null where it makes none."""
     def run(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series) -> pd.DataFrame:
-        rows = []
-        for h, w, c, d in zip(height, width, channels, data):
-            if d is None or h is None or not h > 0:
-                rows.append((h, w, c, d))
-                continue
-            img = fit_side(np.frombuffer(d, np.uint8).reshape(int(h), int(w), int(c)), side)
-            rows.append((img.shape[0], img.shape[1], c, img.tobytes()))
+        rows = list(zip(height, width, channels, data if decode is None else [None] * len(data)))
+        for places, stack in stacks(height, width, channels, data, decode):
+            small = fit_side(stack, side)
+            for i, img in zip(places, small):
+                rows[i] = (*img.shape, img.tobytes())
         return pd.DataFrame(rows, columns=["height", "width", "nChannels", "data"])
 
     return F.pandas_udf(run, "height int, width int, nChannels int, data binary")(image["height"], image["width"], image["nChannels"], image["data"])

@@ -373,6 +373,13 @@ def color_pictures(spark, d) -> DataFrame:
     return rows.select("vec_id", F.struct(F.lit(40).alias("height"), F.lit(40).alias("width"), F.lit(3).alias("nChannels"), "data").alias("image"))
 
 
+def coded_pictures(spark, d) -> DataFrame:
+    """The same pictures, with embeddings as data: ``color_bytes`` decodes them
+    where they are looked at, so that no pixel goes to a worker or back."""
+    image = F.struct(F.lit(40).alias("height"), F.lit(40).alias("width"), F.lit(3).alias("nChannels"), F.col("embedding").alias("data"))
+    return table(spark, d, "embeddings").select("vec_id", image.alias("image"))
+
+
 @query(f"""WITH {GREY_SQL} SELECT vec_id, array_to_string(list(CAST(v AS INT) ORDER BY y, x), ',') AS cells, true AS unit FROM s GROUP BY vec_id""")
 def grey_vector(spark, d):
     """The unit vector's cells, told by the first, which is 200."""

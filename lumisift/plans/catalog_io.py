@@ -12,7 +12,7 @@ from ..functions import lenient_json, pixels, prompts
 from ..operators.tables import shared_folder
 from ..sinks import files, outputs
 from ..sources import albums, remote
-from .catalog import color_pictures, query, table, BANDS_SQL, COLOR_SQL
+from .catalog import coded_pictures, color_bytes, color_pictures, query, table, BANDS_SQL, COLOR_SQL
 from .stand_in import MeanEmbedder, NoSchemaModel, PickingModel, QuarterDetector, TurningModel
 
 
@@ -231,8 +231,8 @@ def repair_plans(spark, d):
 s AS (SELECT vec_id, y, i AS x, c, CAST(round_even(sum(w * v), 0) AS INT) AS v FROM r JOIN b ON x = j GROUP BY vec_id, y, i, c)
 SELECT vec_id, 32 AS height, 32 AS width, string_agg(printf('%02X', v), '' ORDER BY y, x, c) AS data FROM s GROUP BY vec_id""")
 def shrunk_pictures(spark, d):
-    small = pixels.shrunk(F.col("image"), 32)
-    return color_pictures(spark, d).select("vec_id", small.alias("s")).select("vec_id", "s.height", "s.width", F.hex("s.data").alias("data"))
+    small = pixels.shrunk(F.col("image"), 32, color_bytes)
+    return coded_pictures(spark, d).select("vec_id", small.alias("s")).select("vec_id", "s.height", "s.width", F.hex("s.data").alias("data"))
 
 
 @query(f"""SELECT vec_id, 40 AS image_h, 40 AS image_w, 20 AS face_w, 20 AS face_h, CAST(floor(avg(v) FILTER (WHERE c = 0) * 100 + 0.5) AS BIGINT) AS blue, CAST(floor(avg(v) FILTER (WHERE c = 2) * 100 + 0.5) AS BIGINT) AS red FROM ({COLOR_SQL}) GROUP BY vec_id""")

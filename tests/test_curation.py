@@ -6,6 +6,7 @@ import time
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -331,3 +332,32 @@ def test_pictures_of_embeddings_are_made_in_their_rows(spark):
     data = [None if x is None else bytes(x) for x in catalog.color_bytes(spark.createDataFrame(rows, "vec_id int, e array<float>").orderBy("vec_id").toPandas()["e"])]
     assert data[1:] == [None] * 3
     assert list(data[0][:6]) == [200] * 6 and list(data[0][6:9]) == [10, 41, 72] and len(data[0]) == 4800
+
+
+def test_pixels_are_made_where_they_are_looked_at(monkeypatch):
+    """A stack at a time, of rows that have pixels."""
+    monkeypatch.setattr(pixels, "STACK", 24)
+    asked = []
+
+    def decode(codes):
+        asked.append(len(codes))
+        return pd.Series([None if x < 0 else bytes([x] * 12) for x in codes], dtype=object)
+
+    n = pd.Series([2] * 6)
+    got = [(p, x.shape, x[:, 0, 0, 0].tolist()) for p, x in pixels.stacks(n, n, n + 1, pd.Series([5, None, 7, -1, 9, -1], dtype=object), decode)]
+    assert got == [([0, 2], (2, 2, 2, 3), [5, 7]), ([4], (1, 2, 2, 3), [9])] and asked == [2, 2, 1]
+
+
+def test_pictures_are_shrunk_in_one_worker(spark):
+    """Two evaluations would send every picture out of a worker and into the next."""
+    from lumisift.plans import catalog, catalog_io  # noqa: F401
+
+    plan = catalog.QUERIES["shrunk_pictures"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    rows = [(1, [0.5] * 64), (2, None), (3, [0.5]), (4, [0.25] * 64)]
+    e = F.col("e")
+    image = F.struct(F.lit(40).alias("height"), F.lit(40).alias("width"), F.lit(3).alias("nChannels"), e.alias("data"))
+    small = spark.createDataFrame(rows, "k int, e array<float>").select("k", pixels.shrunk(image, 32, catalog.color_bytes).alias("s")).orderBy("k").collect()
+    assert [(r.s.height, r.s.data is None) for r in small] == [(32, False), (40, True), (40, True), (32, False)]
+    whole = catalog.color_bytes(pd.Series([rows[0][1]]))[0]
+    assert bytes(small[0].s.data) == pixels.fit_side(np.frombuffer(whole, np.uint8).reshape(40, 40, 3), 32).tobytes()
