@@ -224,40 +224,66 @@ def pick_one(groups: DataFrame, factory: Callable[[], JsonModel], key: str = "gr
     return groups.groupBy(key).applyInPandas(run, f"{key} {kind}, best_filename string, reason string")
 
 
-def detect_faces(images: DataFrame, factory: Callable[[], FaceDetector], keep: list[str], side: int = 1280) -> DataFrame:
-    """``keep`` plus faces array<struct<x,y,w,h>>, image_h and image_w of decoded
-    images, shrunk to ``side`` first."""
-    from .functions.pixels import fit_side
+def _looks(images: DataFrame, looks: list[tuple[dict[str, str], Callable[[], Callable[[np.ndarray], tuple]]]], keep: list[str], decode: Callable[[pd.Series], pd.Series] | None) -> DataFrame:
+    """``keep`` plus what looks at decoded images give, all in one worker. A
+    look is the types of its columns and what makes it, once per task; rows
+    without a picture have nulls. ``decode`` as in ``pixels.stacks``."""
+    from .functions.pixels import stacks
 
     types = dict(images.dtypes)
-    fields = ", ".join(f"`{k}` {types[k]}" for k in keep) + ", faces array<struct<x:int,y:int,w:int,h:int>>, image_h int, image_w int"
+    added = {n: kind for fields, _ in looks for n, kind in fields.items()}
+    fields = ", ".join([f"`{k}` {types[k]}" for k in keep] + [f"{n} {kind}" for n, kind in added.items()])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        detector = factory()
+        ready = [make() for _, make in looks]
         for frame in frames:
-            faces, hs, ws = [], [], []
-            for h, w, c, d in zip(frame["height"], frame["width"], frame["nChannels"], frame["data"]):
-                img = fit_side(np.frombuffer(d, np.uint8).reshape(h, w, c), side)
-                faces.append([dict(zip("xywh", map(int, box))) for box in detector(img)])
-                hs.append(img.shape[0])
-                ws.append(img.shape[1])
-            yield frame[keep].assign(faces=faces, image_h=hs, image_w=ws)
+            rows: list[tuple] = [(None,) * len(added)] * len(frame)
+            for places, stack in stacks(frame["height"], frame["width"], frame["nChannels"], frame["data"], decode):
+                for i, img in zip(places, stack):
+                    rows[i] = tuple(v for look in ready for v in look(img))
+            yield frame[keep].assign(**{n: pd.Series([r[k] for r in rows], index=frame.index, dtype=object) for k, n in enumerate(added)})
 
     return images.select(*keep, "image.height", "image.width", "image.nChannels", "image.data").mapInPandas(run, fields)
 
 
+def _faces(factory: Callable[[], FaceDetector], side: int):
+    from .functions.pixels import fit_side
+
+    def make():
+        detector = factory()
+
+        def look(img: np.ndarray) -> tuple:
+            img = fit_side(img, side)
+            return [dict(zip("xywh", map(int, box))) for box in detector(img)], img.shape[0], img.shape[1]
+
+        return look
+
+    return {"faces": "array<struct<x:int,y:int,w:int,h:int>>", "image_h": "int", "image_w": "int"}, make
+
+
+def _vector(factory: Callable[[], Embedder]):
+    def make():
+        model = factory()
+        return lambda img: (model.image(img).tolist(),)
+
+    return {"clip_vector": "array<double>"}, make
+
+
+def detect_faces(images: DataFrame, factory: Callable[[], FaceDetector], keep: list[str], side: int = 1280) -> DataFrame:
+    """``keep`` plus faces array<struct<x,y,w,h>>, image_h and image_w of decoded
+    images, shrunk to ``side`` first."""
+    return _looks(images, [_faces(factory, side)], keep, None)
+
+
 def embed_images(images: DataFrame, factory: Callable[[], Embedder], keep: list[str]) -> DataFrame:
     """``keep`` plus clip_vector; the model loads once per task."""
-    types = dict(images.dtypes)
-    fields = ", ".join(f"`{k}` {types[k]}" for k in keep) + ", clip_vector array<double>"
+    return _looks(images, [_vector(factory)], keep, None)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = factory()
-        for frame in frames:
-            vectors = [model.image(np.frombuffer(d, np.uint8).reshape(h, w, c)).tolist() for h, w, c, d in zip(frame["height"], frame["width"], frame["nChannels"], frame["data"])]
-            yield frame[keep].assign(clip_vector=vectors)
 
-    return images.select(*keep, "image.height", "image.width", "image.nChannels", "image.data").mapInPandas(run, fields)
+def detect_and_embed(images: DataFrame, detector: Callable[[], FaceDetector], embedder: Callable[[], Embedder], keep: list[str], side: int = 1280, decode: Callable[[pd.Series], pd.Series] | None = None) -> DataFrame:
+    """What ``detect_faces`` and ``embed_images`` add, of one look at each image,
+    so that nothing is joined. ``decode`` as in ``pixels.stacks``."""
+    return _looks(images, [_faces(detector, side), _vector(embedder)], keep, decode)
 
 
 def improve(images: DataFrame, factory: Callable[[], ImageModel]) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions import lenient_json, pixels, prompts
 from ..operators.tables import shared_folder
 from ..sinks import files, outputs
 from ..sources import albums, remote
-from .catalog import coded_pictures, color_bytes, color_pictures, query, table, BANDS_SQL, COLOR_SQL
+from .catalog import coded_pictures, color_bytes, query, table, BANDS_SQL, COLOR_SQL
 from .stand_in import MeanEmbedder, NoSchemaModel, PickingModel, QuarterDetector, TurningModel
 
 
@@ -238,11 +238,9 @@ def shrunk_pictures(spark, d):
 @query(f"""SELECT vec_id, 40 AS image_h, 40 AS image_w, 20 AS face_w, 20 AS face_h, CAST(floor(avg(v) FILTER (WHERE c = 0) * 100 + 0.5) AS BIGINT) AS blue, CAST(floor(avg(v) FILTER (WHERE c = 2) * 100 + 0.5) AS BIGINT) AS red FROM ({COLOR_SQL}) GROUP BY vec_id""")
 def hosted_models(spark, d):
     """Detector and encoder over pictures, each made once per task."""
-    pictures = color_pictures(spark, d)
-    faces = models.detect_faces(pictures, QuarterDetector, ["vec_id"]).select("vec_id", "image_h", "image_w", F.col("faces")[0]["w"].alias("face_w"), F.col("faces")[0]["h"].alias("face_h"))
-    seen = models.embed_images(pictures, MeanEmbedder, ["vec_id"])
+    seen = models.detect_and_embed(coded_pictures(spark, d), QuarterDetector, MeanEmbedder, ["vec_id"], decode=color_bytes)
     mean = lambda i: F.floor(F.col("clip_vector")[i] * 100 + 0.5)
-    return faces.join(seen.select("vec_id", mean(0).alias("blue"), mean(2).alias("red")), "vec_id")
+    return seen.select("vec_id", "image_h", "image_w", F.col("faces")[0]["w"].alias("face_w"), F.col("faces")[0]["h"].alias("face_h"), mean(0).alias("blue"), mean(2).alias("red"))
 
 
 @query("""WITH p AS (SELECT p_partkey, greatest(1, CAST(floor((300 + p_size) * 7 / 100) AS INT)) AS x, greatest(1, CAST(floor((5 + p_partkey % 400) * 7 / 100) AS INT)) AS y, p_size % 4 AS k FROM part)

@@ -361,3 +361,18 @@ def test_pictures_are_shrunk_in_one_worker(spark):
     assert [(r.s.height, r.s.data is None) for r in small] == [(32, False), (40, True), (40, True), (32, False)]
     whole = catalog.color_bytes(pd.Series([rows[0][1]]))[0]
     assert bytes(small[0].s.data) == pixels.fit_side(np.frombuffer(whole, np.uint8).reshape(40, 40, 3), 32).tobytes()
+
+
+def test_hosted_models_look_once(spark, tmp_path):
+    """Nothing is joined or exchanged; a repeated id and a null picture keep their rows."""
+    from lumisift.plans import catalog, catalog_io  # noqa: F401
+
+    rows = [(1, [0.5] * 64), (1, [0.25] * 64), (2, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = catalog.QUERIES["hosted_models"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and plan.count("MapInPandas") == 1
+    got = got.collect()
+    assert sorted((r.vec_id, r.image_h, r.face_w) for r in got if r.vec_id == 1) == [(1, 40, 20)] * 2
+    assert len({r.blue for r in got if r.vec_id == 1}) == 2
+    assert [(r.image_h, r.face_w, r.blue) for r in got if r.vec_id == 2] == [(None, None, None)]
