@@ -163,27 +163,20 @@ def _measures(stack: np.ndarray, names: tuple) -> dict:
     return {k: out[k] for k in names}
 
 
-def measure(image: Column, names=tuple(METRICS)) -> Column:
+def measure(image: Column, names=tuple(METRICS), decode: Callable[[pd.Series], pd.Series] | None = None) -> Column:
     """A struct of the named measures of a decoded image struct (Spark's image
     source), in one pass; nulls if it could not be decoded. Pictures of equal
-    size that lie in a batch are measured as one stack."""
+    size that lie in a batch are measured as one stack. With ``decode`` pixels
+    are made of what ``image`` holds in the same worker."""
     names = tuple(names)
 
     def run(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series) -> pd.DataFrame:
         rows: dict[str, list] = {n: [None] * len(data) for n in names}
-        sizes: dict[tuple, list[int]] = {}
-        for i, (h, w, c, d) in enumerate(zip(height, width, channels, data)):
-            if d is not None and h is not None and h > 0:
-                sizes.setdefault((int(h), int(w), int(c)), []).append(i)
-        for (h, w, c), members in sizes.items():
-            step = max(1, STACK // (h * w * c))
-            for at in range(0, len(members), step):
-                some = members[at:at + step]
-                stack = np.frombuffer(b"".join(data.iloc[i] for i in some), np.uint8).reshape(len(some), h, w, c)
-                stack = np.repeat(stack, 3, axis=3) if c == 1 else stack[..., :3]
-                for name, values in _measures(stack, names).items():
-                    for i, v in zip(some, values):
-                        rows[name][i] = v
+        for places, stack in stacks(height, width, channels, data, decode):
+            stack = np.repeat(stack, 3, axis=3) if stack.shape[3] == 1 else stack[..., :3]
+            for name, values in _measures(stack, names).items():
+                for i, v in zip(places, values):
+                    rows[name][i] = v
         return pd.DataFrame(rows, columns=list(names))
 
     schema = ", ".join(f"{n} {METRICS[n]}" for n in names)

@@ -401,7 +401,7 @@ h AS (SELECT vec_id, u AS k, x, sum(w * v) AS v FROM s JOIN t ON y = n GROUP BY
 m AS (SELECT vec_id, median(v) AS middle FROM f WHERE k > 0 GROUP BY vec_id)
 SELECT vec_id, string_agg(CASE WHEN v > middle THEN '1' ELSE '0' END, '' ORDER BY k, l) AS bits FROM f JOIN m USING (vec_id) GROUP BY vec_id""")
 def perceptual_hash(spark, d):
-    m = color_pictures(spark, d).select("vec_id", measure(F.col("image"), ["phash"])["phash"].alias("v"))
+    m = coded_pictures(spark, d).select("vec_id", measure(F.col("image"), ["phash"], color_bytes)["phash"].alias("v"))
     return m.select("vec_id", F.array_join(F.transform("v", lambda x: x.cast("string")), "").alias("bits"))
 
 

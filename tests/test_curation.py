@@ -376,3 +376,16 @@ def test_hosted_models_look_once(spark, tmp_path):
     assert sorted((r.vec_id, r.image_h, r.face_w) for r in got if r.vec_id == 1) == [(1, 40, 20)] * 2
     assert len({r.blue for r in got if r.vec_id == 1}) == 2
     assert [(r.image_h, r.face_w, r.blue) for r in got if r.vec_id == 2] == [(None, None, None)]
+
+
+def test_pictures_are_hashed_in_one_worker(spark):
+    """Two evaluations would send every picture out of a worker and into the next."""
+    from lumisift.plans import catalog
+
+    plan = catalog.QUERIES["perceptual_hash"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    rows = [(1, [0.5, -0.25] * 32), (2, None), (3, [0.5])]
+    image = F.struct(F.lit(40).alias("height"), F.lit(40).alias("width"), F.lit(3).alias("nChannels"), F.col("e").alias("data"))
+    got = [r.m.phash for r in spark.createDataFrame(rows, "k int, e array<float>").select("k", pixels.measure(image, ["phash"], catalog.color_bytes).alias("m")).orderBy("k").collect()]
+    whole = np.frombuffer(catalog.color_bytes(pd.Series([rows[0][1]]))[0], np.uint8).reshape(40, 40, 3)
+    assert got == [pixels.perceptual_hash(whole).tolist(), None, None]
