@@ -128,6 +128,8 @@ def exif_oriented(img: np.ndarray, orientation: int) -> np.ndarray:
 
 #: Measures and their types.
 METRICS = {"laplacian_var": "double", "black_clip_pct": "double", "white_clip_pct": "double", "img_vector": "array<float>", "color_thumb": "array<float>", "phash": "array<tinyint>"}
+#: Numbers that a row of each measure holds.
+NUMBERS = {"laplacian_var": 1, "black_clip_pct": 1, "white_clip_pct": 1, "img_vector": 1024, "color_thumb": 3072, "phash": 64}
 #: Bytes of pictures that are looked at together; floats made of them take several times as many.
 STACK = 4 << 20
 
@@ -163,21 +165,32 @@ def _measures(stack: np.ndarray, names: tuple) -> dict:
     return {k: out[k] for k in names}
 
 
+def measured(batches: Iterator[tuple], names: tuple, decode: Callable[[pd.Series], pd.Series] | None = None) -> Iterator[pd.DataFrame]:
+    """The named measures of ``(height, width, channels, data)``, in the order of
+    the rows. What is given out at once holds ``STACK`` bytes of numbers at most,
+    or one row, however many rows a batch has."""
+    step = max(1, STACK // max(1, 4 * sum(NUMBERS[n] for n in names)))
+    for batch in batches:
+        for first in range(0, len(batch[0]), step):
+            height, width, channels, data = (x.iloc[first:first + step] for x in batch)
+            rows: dict[str, list] = {n: [None] * len(data) for n in names}
+            for places, stack in stacks(height, width, channels, data, decode):
+                stack = np.repeat(stack, 3, axis=3) if stack.shape[3] == 1 else stack[..., :3]
+                for name, values in _measures(stack, names).items():
+                    for i, v in zip(places, values):
+                        rows[name][i] = v
+            yield pd.DataFrame(rows, columns=list(names))
+
+
 def measure(image: Column, names=tuple(METRICS), decode: Callable[[pd.Series], pd.Series] | None = None) -> Column:
     """A struct of the named measures of a decoded image struct (Spark's image
     source), in one pass; nulls if it could not be decoded. Pictures of equal
-    size that lie in a batch are measured as one stack. With ``decode`` pixels
-    are made of what ``image`` holds in the same worker."""
+    size that lie near each other are measured as one stack. With ``decode``
+    pixels are made of what ``image`` holds in the same worker."""
     names = tuple(names)
 
-    def run(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series) -> pd.DataFrame:
-        rows: dict[str, list] = {n: [None] * len(data) for n in names}
-        for places, stack in stacks(height, width, channels, data, decode):
-            stack = np.repeat(stack, 3, axis=3) if stack.shape[3] == 1 else stack[..., :3]
-            for name, values in _measures(stack, names).items():
-                for i, v in zip(places, values):
-                    rows[name][i] = v
-        return pd.DataFrame(rows, columns=list(names))
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        return measured(batches, names, decode)
 
     schema = ", ".join(f"{n} {METRICS[n]}" for n in names)
     return F.pandas_udf(run, schema)(image["height"], image["width"], image["nChannels"], image["data"])

@@ -392,7 +392,7 @@ def grey_vector(spark, d):
 s AS (SELECT vec_id, y, i AS x, c, round_even(sum(w * v), 0) AS v FROM r JOIN b ON x = j GROUP BY vec_id, y, i, c)
 SELECT vec_id, array_to_string(list(CAST(v AS INT) ORDER BY y, x, c), ',') AS cells FROM s GROUP BY vec_id""")
 def colour_thumb(spark, d):
-    m = color_pictures(spark, d).select("vec_id", measure(F.col("image"), ["color_thumb"])["color_thumb"].alias("v"))
+    m = coded_pictures(spark, d).select("vec_id", measure(F.col("image"), ["color_thumb"], color_bytes)["color_thumb"].alias("v"))
     return m.select("vec_id", F.array_join(F.transform("v", lambda x: F.floor(x.cast("double") * 255 + 0.5).cast("string")), ",").alias("cells"))
 
 

@@ -348,6 +348,25 @@ def test_pixels_are_made_where_they_are_looked_at(monkeypatch):
     assert got == [([0, 2], (2, 2, 2, 3), [5, 7]), ([4], (1, 2, 2, 3), [9])] and asked == [2, 2, 1]
 
 
+def test_measures_are_given_out_in_pieces():
+    """A batch of small rows makes 12 KB of numbers a row; rows keep their order."""
+    n = 1000
+    size, data = pd.Series([2] * n), pd.Series([None if i % 7 == 3 else i % 251 for i in range(n)], dtype=object)
+    decode = lambda codes: pd.Series([bytes([int(x)] * 12) for x in codes], dtype=object)
+    pieces = [x["color_thumb"] for x in pixels.measured(iter([(size, size, size + 1, data)] * 2), ("color_thumb",), decode)]
+    assert max(sum(v.nbytes for v in x if v is not None) for x in pieces) <= pixels.STACK
+    got = [None if v is None else round(float(v[0]) * 255) for x in pieces for v in x]
+    assert got == [None if i % 7 == 3 else i % 251 for i in range(n)] * 2
+
+
+def test_thumbs_are_made_in_one_worker(spark):
+    """No pixel goes to a worker or back."""
+    from lumisift.plans import catalog
+
+    plan = catalog.colour_thumb(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "color_bytes" not in plan
+
+
 def test_pictures_are_shrunk_in_one_worker(spark):
     """Two evaluations would send every picture out of a worker and into the next."""
     from lumisift.plans import catalog, catalog_io  # noqa: F401
