@@ -5,22 +5,30 @@ pivot; a partner within ``t`` of it is at most ``2 t`` farther from that cell's
 pivot than from its own nearest one, so only such cells are visited, and there
 only the rings whose angles to the pivot differ by ``t`` or less. What the
 triangle inequality rules out is never paired. Cells and rings that are crowded
-are cut into tiles of bounded size, dealt to as many tasks.
+are cut into tiles of bounded size, dealt to as many tasks. A tile is one product
+of two matrices; only pairs that can reach the limit leave it.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors
 from .tables import stored
 
 #: Pivots of a key, rows of one side of a tile, and angle (radians) that rounding may cost.
-PIVOTS, TILE, SLACK = 32, 512, 1e-6
+PIVOTS, TILE, SLACK = 32, 2048, 1e-6
+#: Bytes of pairs that leave a tile together.
+PIECE = 4 << 20
 
 
 def _angle(v: Column, norm: Column, p: Column) -> Column:
@@ -35,6 +43,45 @@ def widest_angle(limit: float, longest: float) -> float:
     return math.acos(cos) if cos <= 1 else math.acos(1.0) if cos <= 1 + 1e-9 else -1.0
 
 
+def _matrix(vectors: pa.ListArray) -> np.ndarray:
+    """A row per vector; shorter ones end in zeros."""
+    sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    out = np.zeros((len(sizes), int(sizes.max(initial=0))))
+    out[np.arange(out.shape[1])[None] < sizes[:, None]] = flat
+    return out
+
+
+def tile_product(rows: pa.Table, columns: list[str], order: str, vector: str, limit: float, longest: float) -> Iterator[pa.RecordBatch]:
+    """Pairs ``l_*``, ``v_*`` of a living and a visiting row of one tile whose
+    inner product may be ``limit`` or more: what rounding of vectors of a norm up
+    to ``longest`` may cost is let through. ``PIECE`` bytes or one pair at a time."""
+    lives = rows.column("lives").to_numpy()
+    sides = []
+    for mine in (lives, ~lives):
+        some = rows.filter(pa.array(mine))
+        sides.append({c: pa.concat_arrays(chunks) if (chunks := some.column(c).chunks) else pa.array([], some.schema.field(c).type) for c in ["home_", "cell", *("r_" + x for x in columns)]})
+    left, right = sides
+    if not len(left["cell"]) or not len(right["cell"]):
+        return
+    x, y = _matrix(left["r_" + vector]), _matrix(right["r_" + vector])
+    width = min(x.shape[1], y.shape[1])
+    least = limit - 1e-14 * (width + 1) * longest**2
+    step = max(1, PIECE // max(1, 2 * rows.nbytes // rows.num_rows))
+    names = [side + c for side in ("l_", "v_") for c in columns]
+    block = max(1, PIECE // (8 * len(y)))
+    for at in range(0, len(x), block):
+        i, j = np.nonzero(~(x[at:at + block, :width] @ y[:, :width].T < least))
+        i += at
+        for lo in range(0, len(i), step):
+            p, q = pa.array(i[lo:lo + step]), pa.array(j[lo:lo + step])
+            # a pair of one cell is seen from both its rows
+            once = pc.or_(pc.greater(right["home_"].take(q), right["cell"].take(q)), pc.less(left["r_" + order].take(p), right["r_" + order].take(q)))
+            p, q = p.filter(once), q.filter(once)
+            if len(p):
+                yield pa.RecordBatch.from_arrays([*(left["r_" + c].take(p) for c in columns), *(right["r_" + c].take(q) for c in columns)], names=names)
+
+
 def metric_pairs(rows: DataFrame, key: str, order: str, vector: str, limit: float, carry: list[str] = (), pivots: int = PIVOTS, tile: int = TILE) -> DataFrame:
     """Pairs ``a_*``, ``b_*`` of rows with equal ``key`` and ``a.order <
     b.order``, among them every pair whose vectors have an inner product of
@@ -49,7 +96,8 @@ def metric_pairs(rows: DataFrame, key: str, order: str, vector: str, limit: floa
     columns = list(dict.fromkeys([key, order, vector, *carry]))
     known = rows.where(F.col(key).isNotNull() & F.col(order).isNotNull() & F.col(vector).isNotNull()).select(*columns, F.sqrt(vectors.dot(F.col(vector), F.col(vector))).alias("norm_")).where("norm_ > 0")
     known = stored(known, "metric")
-    theta = widest_angle(limit, known.agg(F.max("norm_")).first()[0] or 0.0)
+    longest = known.agg(F.max("norm_")).first()[0] or 0.0
+    theta = widest_angle(limit, longest)
     if theta < 0:
         known, theta = known.limit(0), 0.0
     theta += SLACK
@@ -79,13 +127,17 @@ def metric_pairs(rows: DataFrame, key: str, order: str, vector: str, limit: floa
         own = F.pmod(F.xxhash64(mine[0] + "_" + order), F.col(mine + "_cuts")).cast("int")
         return rows.select(*side.columns, own.alias(f"{mine}_cut"), F.explode(F.sequence(F.lit(0), F.col(other + "_cuts") - 1)).alias(f"{other}_cut"))
 
-    both = [*place, "l_cut", "v_cut"]
-    left, right = dealt(living, "l", "v"), dealt(visiting, "v", "l")
-    same = left["l_" + key] == right["v_" + key]
-    for c in both:
-        same &= left[c] == right[c]
-    once = (F.col("home_") > left["cell"]) | (F.col("l_" + order) < F.col("v_" + order))
-    pairs = left.join(right, same & once)
+    left = dealt(living, "l", "v").select(*[F.col("l_" + c).alias("r_" + c) for c in columns], F.lit(True).alias("lives"), F.col("cell").alias("home_"), *place, "l_cut", "v_cut")
+    right = dealt(visiting, "v", "l").select(*[F.col("v_" + c).alias("r_" + c) for c in columns], F.lit(False).alias("lives"), "home_", *place, "l_cut", "v_cut")
+    # dealt out by number: tiles are few bytes and much work, and would be put together by size
+    spread = ["r_" + key, *place, "l_cut", "v_cut"]
+    rows = left.unionByName(right).repartition(int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")), *spread)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from tile_product(pa.Table.from_batches(list(batches)), columns, order, vector, limit, longest)
+
+    fields = [T.StructField(side + c, rows.schema["r_" + c].dataType) for side in ("l_", "v_") for c in columns]
+    pairs = rows.groupBy(*spread).applyInArrow(run, T.StructType(fields))
     first = F.col("l_" + order) < F.col("v_" + order)
     a = [F.when(first, F.col("l_" + c)).otherwise(F.col("v_" + c)).alias("a_" + c) for c in columns]
     b = [F.when(first, F.col("v_" + c)).otherwise(F.col("l_" + c)).alias("b_" + c) for c in columns]

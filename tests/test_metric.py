@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +45,26 @@ def test_fewer_pairs_are_made(spark):
     assert close <= made < 0.12 * n * (n - 1) / 2
 
 
+def test_only_pairs_near_the_limit_leave_a_tile(spark):
+    """Others would each be tested in a row of a join."""
+    n, dim = 2000, 4
+    x = np.random.default_rng(5).normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([("f", i, x[i].tolist()) for i in range(n)], SCHEMA)
+    made = metric.metric_pairs(df, "folder", "ord", "v", 0.97).count()
+    close = np.triu(x @ x.T, 1)
+    assert int((close >= 0.97).sum()) <= made <= int((close >= 0.97 - 1e-9).sum())
+
+
+def test_a_tile_of_copies_leaves_in_pieces(monkeypatch):
+    monkeypatch.setattr(metric, "PIECE", 4096)
+    n = 60
+    rows = {"r_ord": [*range(n)] * 2, "r_v": [[1.0, 0.0, 0.0][: 2 + i % 2] for i in range(2 * n)], "lives": [True] * n + [False] * n, "home_": [3] * 2 * n, "cell": [3] * 2 * n}
+    pieces = list(metric.tile_product(pa.table(rows), ["ord", "v"], "ord", "v", 1.0, 1.0))
+    assert len(pieces) > 10 and max(p.nbytes for p in pieces) < 2 * 4096
+    assert sorted((a, b) for p in pieces for a, b in zip(p["l_ord"].to_pylist(), p["v_ord"].to_pylist())) == [(a, b) for a in range(n) for b in range(a + 1, n)]
+
+
 def test_odd_input(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert metric.metric_pairs(empty, "folder", "ord", "v", 0.5).count() == 0
